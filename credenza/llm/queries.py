@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credenza.llm import mixing, quality_rules, sentencepiece_codec, url_filters
+from credenza.llm import media_chunks, mixing, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filters
 from credenza.llm.common import WORD
 from credenza.session import table
 
@@ -18,6 +18,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -80,7 +92,7 @@ FROM pages_ p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op6_quality_rules": op6_quality_rules, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_media_chunks": op4_media_chunks, "op6_quality_rules": op6_quality_rules, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
