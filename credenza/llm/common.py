@@ -105,16 +105,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for i, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, factor, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive ids (len - k + 1 of them; none if fewer than k)."""
+    """Hash of every run of k consecutive ids (len - k + 1 of them; none if fewer than k): a polynomial of
+    the ids modulo 2**64 from prefix sums, so the cost does not depend on k."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    multiplier = 0x9E3779B97F4A7C15
-    factor = 1
-    for j in range(k):
-        factor = (factor * multiplier + 2 * j) & 0xFFFFFFFFFFFFFFFF | 1
-        total += mix(ids[j : j + n] ^ np.uint64(factor))
-        total = (total << np.uint64(7)) | (total >> np.uint64(57))
-    return mix(total)
+    up, down = powers(len(ids))
+    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
+    np.cumsum(ids * up, out=sums[1:])
+    return mix(((sums[k:] - sums[:-k]) * down[:n]) ^ np.uint64(k * _BASE & 0xFFFFFFFFFFFFFFFF))
