@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credenza.llm import jaccard_join, media_chunks, mixing, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, url_filters
+from credenza.llm import jaccard_join, katz_lm, media_chunks, mixing, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, url_filters
 from credenza.llm.common import WORD
 from credenza.session import table
 
@@ -30,6 +30,10 @@ def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -100,7 +104,7 @@ FROM pages_ p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_media_chunks": op4_media_chunks, "op6_quality_rules": op6_quality_rules, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_media_chunks": op4_media_chunks, "op5_katz_lm": op5_katz_lm, "op6_quality_rules": op6_quality_rules, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
