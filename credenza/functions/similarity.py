@@ -10,9 +10,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two texts; 0 where either is empty or null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -27,7 +28,7 @@ def prefiltered_ratio(a, b, least: float):
 def signer(secret: str):
     """Column of JSON payloads to signed URL-safe tokens (payload.signature, HMAC-SHA256)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def sign(payload: pd.Series) -> pd.Series:
         def one(p: str | None) -> str | None:
             if p is None:
@@ -43,7 +44,7 @@ def signer(secret: str):
 def verifier(secret: str, now: int):
     """Column of tokens to their payloads; null where the signature is wrong, exp has passed or the form is bad."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def verify(token: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
             try:

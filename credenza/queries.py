@@ -2,16 +2,417 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from credenza.functions import dates, identifiers, similarity, text
+from credenza.operators import extraction, sequence, store
+from credenza.plans import relational, rules
+from credenza.plans.dialect import DUCK, SPARK
+from credenza.plans.standins import STANDINS
+from credenza.session import TABLES, table
+from credenza.sources import uploads
+from credenza.streaming import auth
 
 FLAGSHIP = "risk_score"
 
 
+def sql(spark: SparkSession, sf_dir: str, text_: str) -> DataFrame:
+    """SQL over the input tables of sf_dir, which are bound by name in this statement alone."""
+    for name in TABLES:
+        if name in text_:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text_)
+
+
+def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return sql(spark, sf_dir, STANDINS[name])
+
+
+FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query by its function's name, with its oracle; {name} in it stands for a stand-in table."""
+
+    def register(fn):
+        FRAMES[fn.__name__] = fn
+        if oracle:
+            out = oracle
+            for name, source in STANDINS.items():
+                out = out.replace("{" + name + "}", f"({source})")
+            SQL[fn.__name__] = out
+        return fn
+
+    return register
+
+
+RISK_SQL = """
+WITH p AS (SELECT *,
+  CASE consistency_band WHEN 'HIGH' THEN least(18, greatest(8, round_even(consistency_score * 0.35::DOUBLE, 0))) WHEN 'MEDIUM' THEN least(9, greatest(2, round_even(consistency_score * 0.22::DOUBLE, 0))) ELSE 0 END AS semantic,
+  CASE WHEN NOT ref_available THEN 0 WHEN ref_band = 'HIGH' THEN least(35, greatest(22, round_even(ref_score * 0.45::DOUBLE, 0))) WHEN ref_band = 'MEDIUM' THEN least(14, greatest(5, round_even(ref_score * 0.28::DOUBLE, 0))) WHEN ref_score > 0 THEN least(4, round_even(ref_score * 0.10::DOUBLE, 0)) ELSE 0 END AS reference,
+  CASE ai_band WHEN 'HIGH' THEN least(20, greatest(12, round_even(ai_score * 0.28::DOUBLE, 0))) WHEN 'MEDIUM' THEN least(8, greatest(4, round_even(ai_score * 0.18::DOUBLE, 0))) ELSE 0 END AS synthetic,
+  least(35, least(35, CASE profile_status WHEN 'FAIL' THEN 10 WHEN 'REVIEW' THEN 3 ELSE 0 END + CASE qr_status WHEN 'MISMATCH' THEN 25 WHEN 'REVIEW' THEN 2 ELSE 0 END + least(12, n_fail * 6) + least(4, n_format_review * 2)
+    + CASE WHEN ocr_conf >= 70 THEN least(4, n_missing * 2) ELSE 0 END + CASE WHEN security_status = 'HIGH' THEN 4 WHEN security_status = 'REVIEW' AND security_review_count >= 3 THEN 2 ELSE 0 END) + least(15, fab_high * 6 + fab_medium * 3)) AS verification,
+  CASE integrity_status WHEN 'POSSIBLE_EDITING' THEN least(15, greatest(10, round_even(integrity_score * 0.22::DOUBLE, 0))) WHEN 'REVIEW_SIGNAL' THEN least(8, greatest(3, round_even(integrity_score * 0.12::DOUBLE, 0))) ELSE 0 END AS integrity,
+  CASE cross_status WHEN 'REVIEW' THEN least(8, cross_score) ELSE 0 END AS cross_points,
+  CASE WHEN indicator_severity = 'HIGH' THEN least(10, 8 + least(2, n_indicators)) WHEN indicator_severity = 'MEDIUM' THEN least(6, 3 + n_indicators) WHEN n_indicators > 0 THEN 1 ELSE 0 END AS indicator,
+  consistency_band = 'HIGH' OR (ref_available AND ref_band = 'HIGH') OR ai_band = 'HIGH' OR qr_status = 'MISMATCH' OR n_fail >= 2 OR verification_overall = 'HIGH' OR fab_verdict = 'FABRICATED_OR_TAMPERED' OR indicator_severity = 'HIGH' OR integrity_status = 'POSSIBLE_EDITING' OR security_status = 'HIGH' AS any_high,
+  consistency_band = 'MEDIUM' OR (ref_available AND ref_band = 'MEDIUM') OR ai_band = 'MEDIUM' OR profile_status IN ('FAIL', 'REVIEW') OR qr_status = 'REVIEW' OR n_format_review > 0 OR indicator_severity = 'MEDIUM' OR integrity_status IN ('REVIEW_SIGNAL', 'INCONCLUSIVE') OR security_status = 'REVIEW' AS any_medium,
+  CASE WHEN ocr_conf >= 85 THEN 3 WHEN ocr_conf >= 70 THEN 2 WHEN ocr_conf >= 55 THEN 1 ELSE 0 END + CASE WHEN quality IN ('GOOD', 'EXCELLENT') THEN 2 WHEN quality = 'MODERATE' THEN 1 ELSE 0 END
+    + CASE profile_status WHEN 'PASS' THEN 1 WHEN 'REVIEW' THEN -1 ELSE 0 END + CASE WHEN n_conflicts = 0 THEN 1 WHEN n_conflicts >= 2 THEN -1 ELSE 0 END AS points
+  FROM {risk_inputs} r),
+s AS (SELECT *, round_even(semantic + reference + synthetic + verification + cross_points + indicator + integrity, 0) AS raw,
+  CASE WHEN points >= 7 THEN 'HIGH' WHEN points >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p),
+f AS (SELECT *, greatest(least(100, greatest(0, raw)), CASE WHEN any_high THEN 50 WHEN any_medium THEN 25 ELSE 0 END) AS floored,
+  reference >= 22 OR synthetic >= 12 OR n_fail >= 2 OR qr_status = 'MISMATCH' OR (ref_available AND ref_band = 'HIGH') OR profile_status = 'FAIL' OR fab_verdict = 'FABRICATED_OR_TAMPERED' AS strong FROM s),
+g AS (SELECT *, CAST(CASE WHEN confidence = 'LOW' AND NOT strong THEN least(floored, 24) ELSE floored END AS INT) AS risk_score FROM f)
+SELECT doc_id, risk_score, CASE WHEN risk_score < 25 THEN 'Low Risk' WHEN risk_score < 50 THEN 'Review' ELSE 'High / Potentially Suspicious' END AS risk_band,
+  CASE WHEN risk_score < 25 THEN 'LOW_RISK' WHEN risk_score < 50 THEN 'REVIEW' ELSE 'HIGH_RISK' END AS screening_outcome, confidence,
+  CASE WHEN n_identity_mismatch > 0 THEN 'FAIL' WHEN n_identity_uncertain > 0 THEN 'REVIEW' ELSE 'PASS' END AS identity_gate, CAST(raw AS INT) AS raw_points, CAST(verification AS INT) AS verification_points FROM g
+"""
+
+
+@query(RISK_SQL)
+def risk_score(spark, sf_dir):
+    """Risk score, band, outcome, confidence and identity gate per document."""
+    return standin(spark, sf_dir, "risk_inputs").select("doc_id", *[v.alias(k) for k, v in rules.risk().items()])
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'SCREENED' WHEN doc_id % 13 = 0 THEN 'REJECT_NUMBER_MISSING' WHEN doc_id % 17 = 0 THEN 'REJECT_NUMBER_MISMATCH' WHEN face_score < 62 THEN 'REJECT_FACE' WHEN identity_gate = 'FAIL' THEN 'REJECT_IDENTITY'
+  WHEN doc_id % 19 = 0 THEN 'CONFLICT_OTHER_OWNER' WHEN risk_score >= 50 THEN 'REJECT_RISK' WHEN risk_score < 25 THEN 'VERIFIED' ELSE 'PENDING_REVIEW' END AS decision
+  FROM (SELECT z.*, x.face_score FROM ({RISK_SQL}) z JOIN {{risk_inputs}} x USING (doc_id)) y""")
+def decision(spark, sf_dir):
+    rows = standin(spark, sf_dir, "risk_inputs")
+    scored = rows.select("doc_id", "face_score", *[v.alias(k) for k, v in rules.risk().items()])
+    number = F.when(F.col("doc_id") % 13 != 0, F.col("doc_id").cast("string"))
+    staged = scored.withColumns({"screen_only": F.col("doc_id") % 11 == 0, "number": number, "reference_number": F.when(F.col("doc_id") % 17 == 0, "x").otherwise(F.col("doc_id").cast("string")), "other_owner": F.col("doc_id") % 19 == 0})
+    return staged.select("doc_id", rules.decision().alias("decision"))
+
+
+def _ints(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("int") for n in names})
+
+
+@query("""SELECT doc_id, CAST(score AS INT) AS integrity_score, CASE WHEN high >= 2 OR (high >= 1 AND medium >= 1) THEN 'POSSIBLE_EDITING' WHEN high >= 1 OR score >= 45 THEN 'REVIEW_SIGNAL' WHEN score < 20 THEN 'NO_STRONG_EDIT_SIGNAL' ELSE 'INCONCLUSIVE' END AS integrity_status FROM (
+  SELECT doc_id, eh + th AS high, em + tm + u AS medium, least(100, eh * 38 + em * 18 + th * 34 + tm * 16 + u * 16 + least(8, n_editing_markers * 2)) AS score FROM (SELECT *,
+   (ela_outlier_ratio >= 0.08 AND ela_max_z >= 6)::INT AS eh, (NOT (ela_outlier_ratio >= 0.08 AND ela_max_z >= 6) AND ela_outlier_ratio >= 0.04 AND ela_max_z >= 5)::INT AS em,
+   (texture_outlier_ratio >= 0.10 AND noise_cv >= 0.75)::INT AS th, (NOT (texture_outlier_ratio >= 0.10 AND noise_cv >= 0.75) AND texture_outlier_ratio >= 0.05 AND noise_cv >= 0.50)::INT AS tm,
+   (lap_var >= 700 AND texture_cv < 0.18 AND noise_cv < 0.28)::INT AS u FROM {features} f) a) b""")
+def integrity(spark, sf_dir):
+    return _ints(standin(spark, sf_dir, "features").select("doc_id", *[v.alias(k) for k, v in rules.integrity().items()]), "integrity_score")
+
+
+@query("""SELECT doc_id, s AS synthetic_score, CASE WHEN s >= 55 THEN 'HIGH' WHEN s >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS synthetic_band FROM (SELECT doc_id, CAST(least(100,
+  CASE WHEN texture_outlier_ratio >= 0.10 AND noise_cv >= 0.75 THEN 22 WHEN texture_outlier_ratio >= 0.05 AND noise_cv >= 0.50 THEN 10 ELSE 0 END + CASE WHEN lap_var >= 700 AND texture_cv < 0.18 AND noise_cv < 0.28 AND edge_density >= 0.035 THEN 20 WHEN lap_var >= 500 AND texture_cv < 0.25 AND noise_cv < 0.40 THEN 9 ELSE 0 END
+  + CASE WHEN ela_outlier_ratio >= 0.08 AND ela_max_z >= 6 THEN 20 WHEN ela_outlier_ratio >= 0.04 AND ela_max_z >= 5 THEN 9 ELSE 0 END) AS INT) AS s FROM {features} f) x""")
+def synthetic_band(spark, sf_dir):
+    return standin(spark, sf_dir, "features").select("doc_id", *[v.alias(k) for k, v in rules.synthetic().items()])
+
+
+@query("""WITH b AS (SELECT doc_id, CASE WHEN width >= 1200 AND height >= 800 THEN 0 WHEN width >= 700 AND height >= 450 THEN 1 ELSE 2 END AS a1, CASE WHEN brightness BETWEEN 65 AND 195 THEN 0 WHEN brightness BETWEEN 40 AND 225 THEN 1 ELSE 2 END AS a2, CASE WHEN contrast >= 40 THEN 0 WHEN contrast >= 22 THEN 1 ELSE 2 END AS a3,
+  CASE WHEN laplacian_variance >= 180 THEN 0 WHEN laplacian_variance >= 45 THEN 1 ELSE 2 END AS a4, CASE WHEN abs(skew_deg) <= 2.5 THEN 0 WHEN abs(skew_deg) <= 6 THEN 1 ELSE 2 END AS a5, CASE WHEN glare_ratio < 0.025 THEN 0 WHEN glare_ratio < 0.08 THEN 1 ELSE 2 END AS a6 FROM {features} f),
+  c AS (SELECT *, (a1 = 2)::INT + (a2 = 2)::INT + (a3 = 2)::INT + (a4 = 2)::INT + (a5 = 2)::INT + (a6 = 2)::INT AS p, (a1 = 1)::INT + (a2 = 1)::INT + (a3 = 1)::INT + (a4 = 1)::INT + (a5 = 1)::INT + (a6 = 1)::INT AS m FROM b)
+  SELECT doc_id, CASE a4 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'MODERATE' ELSE 'POOR' END AS blur, CASE WHEN p >= 2 THEN 'POOR' WHEN p = 1 OR m >= 2 THEN 'MODERATE' ELSE 'GOOD' END AS overall FROM c""")
+def quality_band(spark, sf_dir):
+    bands = rules.quality_bands()
+    return standin(spark, sf_dir, "features").select("doc_id", bands["blur"].alias("blur"), bands["overall"].alias("overall"))
+
+
+TRUST_INPUT = """SELECT doc_id, doc_id % 13 = 0 AS c2pa_ai, doc_id % 5 = 0 AS c2pa_signed, CASE WHEN n_high >= 3 THEN 'HIGH' WHEN n_high >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS exif_level, CAST(n_high % 2 AS INT) AS ai_hits, CAST(n_medium % 2 AS INT) AS editor_hits,
+  CASE WHEN n_medium >= 3 THEN 'HIGH' WHEN n_medium >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS ela_level, CASE WHEN doc_id % 7 = 0 THEN 'HIGH' ELSE 'LOW' END AS ocr_level, CAST(n % 5 AS INT) AS typo_count, CAST(n % 3 AS INT) AS missing_count, CASE WHEN doc_id % 4 > 0 THEN CAST(units % 101 AS DOUBLE) END AS dl_ai FROM {evidence} e"""
+
+
+@query(f"""SELECT doc_id, p AS trust_points, least(100, greatest(0, 100 + p)) AS trust_score, 100 + p >= 70 AS authentic FROM (SELECT doc_id, CASE WHEN c2pa_ai THEN -25 WHEN c2pa_signed THEN 15 ELSE 0 END + CASE WHEN exif_level = 'HIGH' AND ai_hits > 0 THEN -20 WHEN exif_level = 'MEDIUM' AND editor_hits > 0 THEN -10 ELSE 0 END
+  + CASE ela_level WHEN 'HIGH' THEN -22 WHEN 'MEDIUM' THEN -11 ELSE 0 END + CASE WHEN ocr_level = 'HIGH' THEN -20 ELSE -least(8, 2 * typo_count) - least(6, 3 * missing_count) END + CASE WHEN dl_ai >= 80 THEN -30 WHEN dl_ai >= 60 THEN -18 WHEN dl_ai >= 45 THEN -8 WHEN dl_ai <= 20 THEN 10 ELSE 0 END AS p FROM ({TRUST_INPUT}) t) x""")
+def trust_score(spark, sf_dir):
+    rows = sql(spark, sf_dir, TRUST_INPUT.replace("{evidence}", f"({STANDINS['evidence']})"))
+    return rows.select("doc_id", *[v.alias(k) for k, v in rules.trust().items()])
+
+
+@query("""SELECT doc_id, CASE WHEN n_high >= 2 OR (n_high >= 1 AND n_medium >= 1) THEN 'FABRICATED_OR_TAMPERED' WHEN n_high = 1 OR n_medium >= 2 THEN 'SUSPICIOUS_REQUIRES_REVIEW' ELSE 'NO_FABRICATION_SIGNAL' END AS fab_verdict, least(8, n_high + n_medium) AS n_shown,
+  CASE WHEN n_high >= 2 THEN 'HIGH' WHEN n_high = 1 OR n_medium >= 2 THEN 'REVIEW' ELSE 'LOW' END AS rollup, CASE WHEN n_high > 0 THEN 'MISMATCH' WHEN n_medium > 0 THEN 'PARTIAL' WHEN n > 6 THEN 'UNKNOWN' ELSE 'MATCH' END AS worst FROM {evidence} e""")
+def fabrication_rollup(spark, sf_dir):
+    rows = standin(spark, sf_dir, "evidence")
+    return rows.select("doc_id", *[v.alias(k) for k, v in rules.fabrication().items()], rules.module_rollup(F.col("n_high"), F.col("n_medium")).alias("rollup"), rules.worst_status(F.col("n_high"), F.col("n_medium"), (F.col("n") > 6).cast("int")).alias("worst"))
+
+
+PROFILE_TEXT = "upper(text) || CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN ' INCOME TAX ABCPE1234F' WHEN 1 THEN ' PERMANENT ACCOUNT' WHEN 2 THEN ' DRIVING LICENCE' ELSE ' PASSPORT' END"
+
+
+def _profile_sql() -> str:
+    anchors, others, patterns = rules.PROFILES["PAN"]
+    count = lambda terms: " + ".join(f"contains(t, '{x}')::INT" for x in terms)
+    return f"""SELECT doc_id, CASE WHEN o >= 1 AND a = 0 AND p = 0 THEN 'FAIL' WHEN s >= 55 THEN 'PASS' ELSE 'REVIEW' END AS status, CASE WHEN o >= 1 AND a = 0 AND p = 0 THEN 0 ELSE least(100, s) END AS score FROM (
+      SELECT doc_id, a, o, p, CASE WHEN doc_id % 3 > 0 THEN 35 ELSE 0 END + least(45, 12 * a) + least(20, 10 * p) AS s FROM (SELECT doc_id, {count(anchors)} AS a, {count(others)} AS o, regexp_matches(t, '{patterns[0]}')::INT AS p FROM (SELECT doc_id, {PROFILE_TEXT} AS t FROM documents) x) y) z"""
+
+
+@query(_profile_sql())
+def profile(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(PROFILE_TEXT).alias("t"))
+    status, score = rules.profile(F.lit("PAN"), F.col("t"), F.col("doc_id") % 3 > 0)
+    return rows.select("doc_id", status.alias("status"), score.alias("score"))
+
+
+@query("""SELECT id, upper(regexp_replace(trim(document_number), '[^A-Za-z0-9]', '', 'g')) AS number_key, lower(regexp_replace(full_name, '[^A-Za-z0-9]', '', 'g')) AS name_text, regexp_replace(upper(document_number), '[^A-Z0-9]', '', 'g') AS compared, upper(full_name) AS consensus FROM {docs} d""")
+def normalize_numbers(spark, sf_dir):
+    rows = standin(spark, sf_dir, "docs")
+    number, name = F.col("document_number"), F.col("full_name")
+    return rows.select("id", text.document_number(number).alias("number_key"), text.match_text(name).alias("name_text"), text.comparator_text(F.lit("document_number"), number).alias("compared"), text.consensus_key(F.lit("name"), name).alias("consensus"))
+
+
+@query("SELECT unique_id, lower(trim(email)) AS email, CASE WHEN length(trim(email)) <= 254 THEN lower(trim(email)) END AS auth FROM {users} u")
+def normalize_emails(spark, sf_dir):
+    return standin(spark, sf_dir, "users").select("unique_id", text.email(F.col("email")).alias("email"), text.auth_email(F.col("email")).alias("auth"))
+
+
+def _verhoeff_sql() -> str:
+    product = "[" + ",".join(str(identifiers.dihedral(a, b)) for a in range(10) for b in range(10)) + "]"
+    permuted = "[" + ",".join(str(x) for row in identifiers.permutations() for x in row) + "]"
+    return f"""SELECT o_orderkey, list_reduce(list_prepend(0, range(1, 13)), lambda c, i: {product}[c * 10 + {permuted}[((i - 1) % 8) * 10 + substr(reverse(n), i, 1)::INT + 1] + 1]) = 0 AS valid FROM (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 12, '3') AS n FROM orders) x"""
+
+
+@query(_verhoeff_sql())
+def verhoeff(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS STRING), 12, '3') AS n FROM orders").select("o_orderkey", identifiers.verhoeff_valid(F.col("n")).alias("valid"))
+
+
+CODES = "SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'ABCPE' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || 'F' WHEN 1 THEN 'ABCDE1234F' WHEN 2 THEN 'M' || lpad(CAST(p_partkey AS STRING), 7, '0') WHEN 3 THEN '0123456789' WHEN 4 THEN 'MH12' || '2011' || lpad(CAST(p_partkey % 100000 AS STRING), 7, '0') ELSE '7777777' END AS n, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'PASSPORT' WHEN 1 THEN 'VISA' ELSE 'NATIONAL_ID' END AS family FROM part"
+
+
+@query(f"""SELECT p_partkey, regexp_matches(n, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AS pan, substr(n, 4, 1) IN ('P','C','H','F','A','T','B','L','J') AS category, regexp_matches(n, '^[A-Z][0-9]{{7}}$') AS passport, regexp_matches(n, '^[A-Z][A-Z0-9]{{7,8}}$') AS loose, regexp_matches(n, '^[A-Z]{{2}}[0-9]{{2}}(19|20)[0-9]{{2}}[0-9]{{4,8}}$') AS licence,
+  n IN ('ABCDE1234F','123456789012','1234567890','U1234567','AAAPL1234C','000000000000','111111111111','123412341234') AS placeholder,
+  length(d) >= 6 AND (contains(d || d, '0123456789') OR contains(d || d, '9876543210') OR len(list_distinct(string_split(d, ''))) = 1) AS sequential FROM (SELECT *, regexp_replace(n, '[^0-9]', '', 'g') AS d FROM ({CODES}) c) x""")
+def identifier_shapes(spark, sf_dir):
+    n = F.col("n")
+    return sql(spark, sf_dir, CODES).select("p_partkey", identifiers.shaped("PAN", n).alias("pan"), identifiers.pan_category_ok(n).alias("category"), identifiers.shaped("PASSPORT", n).alias("passport"), F.rlike(n, F.lit(identifiers.LOOSE_PASSPORT)).alias("loose"), identifiers.shaped("DRIVING_LICENSE", n).alias("licence"), identifiers.placeholder(n).alias("placeholder"), identifiers.sequential_or_repeated(n).alias("sequential"))
+
+
+DATES = "SELECT o_orderkey, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN CAST(1 + o_orderkey % 28 AS STRING) || '/' || CAST(1 + o_orderkey % 14 AS STRING) || '/' || CAST(1960 + o_orderkey % 60 AS STRING) WHEN 1 THEN CAST(1 + o_orderkey % 31 AS STRING) || '-02-' || CAST(1990 + o_orderkey % 20 AS STRING) WHEN 2 THEN CAST(1990 + o_orderkey % 20 AS STRING) || '-0' || CAST(1 + o_orderkey % 9 AS STRING) || '-1' || CAST(o_orderkey % 10 AS STRING) WHEN 3 THEN lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0') ELSE 'no date' END AS x FROM orders"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, x, regexp_matches(x, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$') AS ymd, regexp_matches(x, '^[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{4}}$') AS dmy, string_split(replace(x, '/', '-'), '-') AS s FROM ({DATES}) d)
+  SELECT o_orderkey, CASE WHEN ymd THEN TRY_CAST(s[1] || '-' || lpad(s[2], 2, '0') || '-' || lpad(s[3], 2, '0') AS DATE)::VARCHAR WHEN dmy THEN TRY_CAST(s[3] || '-' || lpad(s[2], 2, '0') || '-' || lpad(s[1], 2, '0') AS DATE)::VARCHAR END AS strict,
+  CASE WHEN regexp_matches(x, '^[0-9]{{6}}$') THEN TRY_CAST(CASE WHEN substr(x, 1, 2)::INT <= 49 THEN '20' ELSE '19' END || substr(x, 1, 2) || '-' || substr(x, 3, 2) || '-' || substr(x, 5, 2) AS DATE)::VARCHAR END AS machine_zone,
+  CASE WHEN ymd AND s[2]::INT BETWEEN 1 AND 12 AND s[3]::INT BETWEEN 1 AND 31 THEN lpad(s[1], 4, '0') || lpad(s[2], 2, '0') || lpad(s[3], 2, '0') WHEN dmy AND s[2]::INT BETWEEN 1 AND 12 AND s[1]::INT BETWEEN 1 AND 31 THEN s[3] || lpad(s[2], 2, '0') || lpad(s[1], 2, '0') ELSE regexp_replace(lower(x), '[^a-z0-9]', '', 'g') END AS compared,
+  coalesce(dmy AND TRY_CAST(s[3] || '-' || lpad(s[2], 2, '0') || '-' || lpad(s[1], 2, '0') AS DATE) IS NOT NULL AND s[3]::INT BETWEEN 1900 AND 2010, false) AS plausible FROM p""")
+def date_parse(spark, sf_dir):
+    x = F.col("x")
+    return sql(spark, sf_dir, DATES).select("o_orderkey", dates.strict(x).cast("string").alias("strict"), dates.machine_zone(x).cast("string").alias("machine_zone"), dates.comparison(x).alias("compared"), dates.plausible_birth(x, 2010).alias("plausible"))
+
+
+@query("""SELECT number_key, last(owner ORDER BY created_at, id) AS owner, last(full_name ORDER BY created_at, id) FILTER (WHERE full_name IS NOT NULL) AS full_name, first(id_type ORDER BY created_at, id) AS id_type, min(created_at) AS created_at, max(created_at) AS updated_at FROM (SELECT * REPLACE (CASE WHEN id % 4 > 0 THEN full_name END AS full_name) FROM {docs} d) x GROUP BY number_key""")
+def registry_upsert(spark, sf_dir):
+    rows = standin(spark, sf_dir, "docs").withColumn("full_name", F.when(F.col("id") % 4 > 0, F.col("full_name")))
+    return store.registry_upsert(rows, "number_key", ["created_at", "id"])
+
+
+@query("""WITH cur AS (SELECT number_key, min(id) AS id, arg_min(owner, id) AS owner FROM {docs} d WHERE id % 2 = 0 GROUP BY number_key), ch AS (SELECT id AS change_id, CASE WHEN id % 29 = 0 THEN '' ELSE number_key END AS number_key, owner FROM {docs} e WHERE id % 2 = 1)
+  SELECT change_id, ch.number_key, ch.owner, cur.id AS kept_id, CASE WHEN ch.number_key = '' THEN 'REJECT_EMPTY' WHEN cur.number_key IS NULL THEN 'INSERT' WHEN cur.owner <> ch.owner THEN 'REJECT_OWNER' ELSE 'UPDATE' END AS action FROM ch LEFT JOIN cur ON ch.number_key = cur.number_key""")
+def document_upsert_guarded(spark, sf_dir):
+    rows = standin(spark, sf_dir, "docs")
+    current = rows.filter("id % 2 = 0").groupBy("number_key").agg(F.min("id").alias("id"), F.min_by("owner", "id").alias("owner"))
+    changes = rows.filter("id % 2 = 1").select(F.col("id").alias("change_id"), F.when(F.col("id") % 29 == 0, "").otherwise(F.col("number_key")).alias("number_key"), "owner")
+    return store.guarded_upsert_actions(current, changes)
+
+
+@query("""SELECT u.unique_id, coalesce(nullif(trim(c.full_name), ''), u.full_name) AS full_name, coalesce(c.latest_risk_score, u.latest_risk_score) AS latest_risk_score, u.status FROM {users} u LEFT JOIN (SELECT unique_id, CASE WHEN unique_id % 4 = 0 THEN ' ' ELSE 'New ' || full_name END AS full_name, CASE WHEN unique_id % 3 = 0 THEN NULL ELSE 7 END AS latest_risk_score FROM {users} v WHERE unique_id % 2 = 0) c ON c.unique_id = u.unique_id""")
+def user_patch(spark, sf_dir):
+    users = standin(spark, sf_dir, "users").select("unique_id", "full_name", "latest_risk_score", "status")
+    changes = users.filter("unique_id % 2 = 0").select("unique_id", F.when(F.col("unique_id") % 4 == 0, " ").otherwise(F.concat(F.lit("New "), "full_name")).alias("full_name"), F.when(F.col("unique_id") % 3 != 0, 7).alias("latest_risk_score"))
+    return store.patch(users, changes, "unique_id", ["full_name"], ["latest_risk_score"])
+
+
+@query("SELECT d.id, coalesce(d.reverification_count, 0) + coalesce(c.n, 0) AS reverification_count FROM {docs} d LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) c ON c.id = d.id")
+def reverify_counter(spark, sf_dir):
+    docs = standin(spark, sf_dir, "docs").select("id", "reverification_count")
+    return store.count_up(docs, sql(spark, sf_dir, "SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'"), "id", "reverification_count")
+
+
+@query("SELECT c.id, c.email, coalesce(c.used_at, u.at) AS used_at FROM {codes} c LEFT JOIN (SELECT event_id AS id, min(ts) AS at FROM events WHERE event_id % 4 = 0 GROUP BY event_id) u ON u.id = c.id")
+def otp_consume(spark, sf_dir):
+    codes = standin(spark, sf_dir, "codes").select("id", "email", "used_at")
+    return store.consume_once(codes, sql(spark, sf_dir, "SELECT event_id AS id, ts AS at FROM events WHERE event_id % 4 = 0"), "id", "at")
+
+
+@query("""WITH n AS (SELECT id + 1000000 AS id, email, purpose, CAST(NULL AS TIMESTAMP) AS used_at FROM {codes} c WHERE id % 10 = 0) SELECT id, email, purpose, used_at FROM {codes} o WHERE used_at IS NOT NULL OR NOT EXISTS (SELECT 1 FROM n WHERE n.email = o.email AND n.purpose = o.purpose) UNION ALL SELECT * FROM n""")
+def otp_replace_pending(spark, sf_dir):
+    codes = standin(spark, sf_dir, "codes").select("id", "email", "purpose", "used_at")
+    new = codes.filter("id % 10 = 0").withColumns({"id": F.col("id") + 1000000, "used_at": F.lit(None).cast(codes.schema["used_at"].dataType)})
+    return store.replace_pending(codes, new, ["email", "purpose"])
+
+
+@query("""WITH req AS (SELECT id, CASE WHEN id % 3 = 0 THEN owner + 1 ELSE owner END AS owner FROM {docs} d WHERE id % 20 = 0), gone AS (SELECT d.* FROM {docs} d JOIN req ON req.id = d.id AND req.owner = d.owner)
+  SELECT 'document' AS kind, id AS key FROM {docs} d WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT DISTINCT 'registry', min(id) FROM {docs} d WHERE (id_type, number_key) NOT IN (SELECT id_type, number_key FROM gone) GROUP BY id_type, number_key UNION ALL SELECT 'verification', verification_id FROM {docs} d WHERE verification_id NOT IN (SELECT verification_id FROM gone)""")
+def cascade_delete(spark, sf_dir):
+    docs = standin(spark, sf_dir, "docs")
+    registry = docs.groupBy("id_type", "number_key").agg(F.min("id").alias("key"))
+    verifications = docs.select("verification_id", "owner")
+    request = docs.filter("id % 20 = 0").select("id", F.when(F.col("id") % 3 == 0, F.col("owner") + 1).otherwise(F.col("owner")).alias("owner"))
+    kept, registry_left, verifications_left = store.cascade_delete(docs, registry, verifications, request)
+    return kept.select(F.lit("document").alias("kind"), F.col("id").alias("key")).unionByName(registry_left.select(F.lit("registry").alias("kind"), "key")).unionByName(verifications_left.select(F.lit("verification").alias("kind"), F.col("verification_id").alias("key")))
+
+
+@query("SELECT id, owner FROM {docs} d WHERE owner NOT IN (SELECT unique_id FROM {users} u WHERE status = 'SUSPENDED')")
+def user_fk_cascade(spark, sf_dir):
+    gone = standin(spark, sf_dir, "users").filter("status = 'SUSPENDED'").select(F.col("unique_id").alias("owner"))
+    return store.drop_children(standin(spark, sf_dir, "docs").select("id", "owner"), gone, "owner").select("id", "owner")
+
+
+@query("SELECT d.id, coalesce(m.new_id, d.owner) AS owner FROM {docs} d LEFT JOIN (SELECT unique_id AS old_id, 1000000000 + unique_id AS new_id FROM {users} u WHERE unique_id % 10 = 3) m ON m.old_id = d.owner")
+def id_migration(spark, sf_dir):
+    mapping = standin(spark, sf_dir, "users").filter("unique_id % 10 = 3").select(F.col("unique_id").alias("old_id"), (F.lit(1000000000).cast("long") + F.col("unique_id")).alias("new_id"))
+    return store.rewrite_keys(standin(spark, sf_dir, "docs").select("id", "owner"), mapping, "owner")
+
+
+@query("SELECT c.unique_id FROM (SELECT DISTINCT o_custkey * 2 AS unique_id FROM orders) c ANTI JOIN customer k ON k.c_custkey = c.unique_id ORDER BY 1 LIMIT 25")
+def free_id_antijoin(spark, sf_dir):
+    candidates = sql(spark, sf_dir, "SELECT DISTINCT o_custkey * 2 AS unique_id FROM orders")
+    return store.free_ids(candidates, sql(spark, sf_dir, "SELECT c_custkey AS unique_id FROM customer"), "unique_id", 25)
+
+
+@query("SELECT id, 'v1' AS details, CAST(0 AS BIGINT) AS reverification_count FROM {docs} d WHERE id % 2 = 0 UNION ALL SELECT id, 'v2' AS details, coalesce(reverification_count, 0) FROM {docs} e WHERE id % 2 = 1")
+def schema_evolution(spark, sf_dir):
+    docs = standin(spark, sf_dir, "docs")
+    old = docs.filter("id % 2 = 0").select("id", F.lit("v1").alias("details"))
+    new = docs.filter("id % 2 = 1").select("id", F.lit("v2").alias("details"), F.coalesce("reverification_count", F.lit(0)).cast("long").alias("reverification_count"))
+    return store.append(store.with_defaults(old, {"reverification_count": F.lit(0).cast("long")}), new)
+
+
+@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(a.field, b.field) AS field, a.value AS old_value, b.value AS new_value, CASE WHEN a.value IS NULL THEN 'ADDED' WHEN b.value IS NULL THEN 'REMOVED' WHEN a.value = b.value THEN 'MATCH' ELSE 'CHANGED' END AS status FROM (SELECT id, 'name' AS field, full_name AS value FROM {docs} x WHERE id % 3 > 0) a
+  FULL OUTER JOIN (SELECT id, 'name' AS field, CASE WHEN id % 5 = 0 THEN full_name || '!' ELSE full_name END AS value FROM {docs} y WHERE id % 4 > 0) b ON a.id = b.id AND a.field = b.field""")
+def field_diff_full_outer(spark, sf_dir):
+    docs = standin(spark, sf_dir, "docs")
+    a = docs.filter("id % 3 > 0").select("id", F.lit("name").alias("field"), F.col("full_name").alias("value"))
+    b = docs.filter("id % 4 > 0").select("id", F.lit("name").alias("field"), F.when(F.col("id") % 5 == 0, F.concat("full_name", F.lit("!"))).otherwise(F.col("full_name")).alias("value"))
+    return store.full_outer_diff(a, b, ["id", "field"], "value")
+
+
+@query("""SELECT coalesce(g.id, s.id) AS id, CASE WHEN s.value IS NOT NULL AND (g.value IS NULL OR s.conf >= 50) THEN s.value ELSE g.value END AS value, coalesce(lower(g.value) <> lower(s.value), false) AS conflict FROM (SELECT id, full_name AS value FROM {docs} x WHERE id % 3 > 0) g
+  FULL OUTER JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN upper(full_name) ELSE full_name || ' Jr' END AS value, risk_score AS conf FROM {docs} y WHERE id % 4 > 0) s ON g.id = s.id""")
+def confidence_override(spark, sf_dir):
+    docs = standin(spark, sf_dir, "docs")
+    generic = docs.filter("id % 3 > 0").select("id", F.col("full_name").alias("value"))
+    special = docs.filter("id % 4 > 0").select("id", F.when(F.col("id") % 2 == 0, F.upper("full_name")).otherwise(F.concat("full_name", F.lit(" Jr"))).alias("value"), F.col("risk_score").alias("conf"))
+    return store.override_by_confidence(generic, special, ["id"], F.lit(50))
+
+
+@query("""SELECT id, field, CASE WHEN ref IS NULL OR ext IS NULL OR trim(ref) = '' THEN 'NOT_APPLICABLE' WHEN trim(ext) = '' THEN 'UNKNOWN' WHEN regexp_replace(lower(ref), '[^a-z0-9]', '', 'g') = regexp_replace(lower(ext), '[^a-z0-9]', '', 'g') THEN 'MATCH' ELSE 'CLOSE?' END AS status FROM (
+  SELECT id, 'name' AS field, CASE WHEN id % 7 > 0 THEN full_name END AS ref, CASE CAST(id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN upper(full_name) WHEN 2 THEN full_name || 'x' ELSE full_name END AS ext FROM {docs} d) x""")
+def identity_compare(spark, sf_dir):
+    rows = standin(spark, sf_dir, "docs").select("id", F.lit("name").alias("field"), F.when(F.col("id") % 7 > 0, F.col("full_name")).alias("ref"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.upper("full_name")).when(F.col("id") % 4 == 2, F.concat("full_name", F.lit("x"))).otherwise(F.col("full_name")).alias("ext"))
+    return rows.select("id", "field", rules.compare_exact(F.col("ref"), F.col("ext"), text.match_text).alias("status"))
+
+
+@query("""SELECT path, length BETWEEN 1 AND 8388608 AND lower(regexp_extract(path, '[.][^.]+$', 0)) IN ('.jpg', '.jpeg', '.png', '.pdf') AS document, length >= 1 AND lower(regexp_extract(path, '[.][^.]+$', 0)) IN ('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.tif', '.tiff') AS screening FROM (
+  SELECT 'u/' || CAST(event_id AS STRING) || CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '.JPG' WHEN 1 THEN '.pdf' WHEN 2 THEN '.webp' WHEN 3 THEN '.exe' ELSE '' END AS path, CAST(value * 100000 AS BIGINT) AS length FROM events) x""")
+def upload_filter(spark, sf_dir):
+    files = sql(spark, sf_dir, "SELECT 'u/' || CAST(event_id AS STRING) || CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '.JPG' WHEN 1 THEN '.pdf' WHEN 2 THEN '.webp' WHEN 3 THEN '.exe' ELSE '' END AS path, CAST(round(value * 100000) AS BIGINT) AS length FROM events")
+    path, length = F.col("path"), F.col("length")
+    return files.select("path", uploads.accepted(path, length, uploads.DOCUMENT_ENDINGS, uploads.DOCUMENT_BYTES).alias("document"), uploads.accepted(path, length, uploads.SCREENING_ENDINGS, None).alias("screening"))
+
+
+@query("SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 3 > 0 AND strlen(text) <= 5242880 THEN strlen(text) END AS decoded FROM documents")
+def data_urls(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("data:image/jpeg;base64,"), F.replace(F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")))).otherwise("data:image/png;base64,AAAA").alias("url"))
+    return rows.select("doc_id", "n", F.octet_length(uploads.data_url_bytes(F.col("url"))).cast("long").alias("decoded"))
+
+
+@query()
+def name_similarity(spark, sf_dir):
+    """Ratio of each customer's name to a damaged copy: no SQL twin."""
+    users = standin(spark, sf_dir, "users").select("unique_id", text.match_text(F.col("full_name")).alias("a"))
+    pairs = users.withColumn("b", F.concat(F.reverse(F.substring("a", 1, 3)), F.substring("a", 4, 100)))
+    return pairs.select("unique_id", F.round(similarity.prefiltered_ratio(F.col("a"), F.col("b"), 0.70), 4).alias("ratio"))
+
+
+@query()
+def cross_document(spark, sf_dir):
+    """Each account's newest document against its earlier ones: name by similarity; one row per account."""
+    docs = standin(spark, sf_dir, "docs").select("id", "owner", text.match_text(F.concat("full_name", F.lit(" "), F.substring("document_number", 2, 2))).alias("name"))
+    newest = store.latest(docs, ["owner"], [F.desc("id")]).select("owner", F.col("id").alias("new_id"), F.col("name").alias("new_name"))
+    pairs = docs.join(newest, "owner").filter("id <> new_id")
+    graded = pairs.withColumn("r", similarity.prefiltered_ratio(F.col("new_name"), F.col("name"), 0.70))
+    counts = graded.groupBy("owner").agg(F.count_if(F.col("r") < 0.70).alias("mismatches"), F.count_if((F.col("r") >= 0.70) & (F.col("r") < 0.92)).alias("partials"), F.count("*").alias("compared"))
+    return counts.select("owner", "compared", F.when(F.col("mismatches") > 0, F.least(F.lit(10), 6 + F.least(F.lit(4), F.col("mismatches") * 2))).when(F.col("partials") > 0, 4).otherwise(0).alias("score"), F.when((F.col("mismatches") > 0) | (F.col("partials") > 0), "REVIEW").otherwise("PASS").alias("status"))
+
+
+@query()
+def fuzzy_clusters(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT l_orderkey AS doc_id, 'name' AS field, CAST(l_linenumber AS BIGINT) AS seq, 'holder ' || CAST(l_partkey % 50 AS STRING) AS value, l_quantity AS conf FROM lineitem WHERE l_orderkey % 20 = 0")
+    return sequence.leader_clusters(rows, 0.80)
+
+
+@query()
+def line_grouping(spark, sf_dir):
+    rows = standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", F.col("box_id").alias("seq"), (F.col("y") + F.col("h") / 2).alias("yc"), F.col("h").cast("double").alias("height"))
+    return sequence.line_groups(rows)
+
+
+@query()
+def box_suppression(spark, sf_dir):
+    return sequence.suppressed(standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", "box_id", "x", "y", "w", "h", "conf"), 0.30)
+
+
+@query()
+def label_overlaps(spark, sf_dir):
+    rows = standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), F.col("box_id").alias("label_order"))
+    return sequence.label_matches(rows)
+
+
+@query()
+def extract_waterfall(spark, sf_dir):
+    labelled = F.concat(F.lit("Name: "), F.substring("text", 1, 20), F.lit("\nDate of Birth\n"), F.format_string("%02d/08/19%02d", F.col("doc_id") % 28 + 1, F.col("doc_id") % 90 + 10), F.lit("\nGender: M\nAddress: "), F.substring("text", 21, 60))
+    return extraction.extract(table(spark, sf_dir, "documents").select("doc_id", labelled.alias("text")))
+
+
+@query()
+def signed_tokens(spark, sf_dir):
+    payload = F.to_json(F.struct(F.col("unique_id").alias("sub"), (F.col("unique_id") % 100 + 1000).alias("exp")))
+    signed = standin(spark, sf_dir, "users").select("unique_id", similarity.signer("test-secret")(payload).alias("token"))
+    return signed.select("unique_id", "token", similarity.verifier("test-secret", 1050)("token").isNotNull().alias("valid"))
+
+
+def _auth_events(spark, sf_dir):
+    from credenza.session import table as read
+
+    schema = read(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*") if schema else None
+    return stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("success"))
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY ALL")
+def stream_throttle(spark, sf_dir):
+    windows = auth.failures_by_window(_auth_events(spark, sf_dir), "1 day", None, "1 day")
+    out = auth.run_available(windows, f"throttle_{uuid.uuid4().hex}", _folder(spark), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "failures")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    firsts = auth.first_uses(_auth_events(spark, sf_dir), "user_id", "3650 days")
+    return auth.run_available(firsts, f"dedup_{uuid.uuid4().hex}", _folder(spark)).select("user_id")
+
+
+@query()
+def stream_lockout(spark, sf_dir):
+    rows = auth.lockouts(_auth_events(spark, sf_dir).select("user_id", "at", "success"), 5, 4320)
+    return auth.run_available(rows, f"lockout_{uuid.uuid4().hex}", _folder(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    both = {name: (lambda spark, sf_dir, fn=fn: sql(spark, sf_dir, fn(SPARK))) for name, fn in relational.shared().items()}
+    return both | FRAMES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: fn(DUCK) for name, fn in relational.shared().items()} | SQL
