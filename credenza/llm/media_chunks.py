@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import partitions, save, shared_dir, slices, texts_of
+from credenza.llm.common import partitions, release, save, shared_dir, slices, texts_of
 
 BLOCK, PAD = 576, 255
 LEAST, MASK_BITS, GREATEST = 2048, 13, 65536
@@ -83,39 +83,47 @@ def feature_of(samples: bytes) -> str:
     return f"n={len(a)};sum={int(a.sum())};energy={int((centred * centred).sum())};crossings={crossings};mode={int(np.bincount(a, minlength=256).argmax())}"
 
 
-RECIPE = "id {kind}, n_bytes bigint, media binary, whole binary, names array<binary>, chunks array<struct<name: binary, size: int, data: binary>>"
+LIST = "id {kind}, n_bytes bigint, media binary, whole binary, names array<binary>"
+CHUNK = "name binary, size int, data binary"
+
+
+def pieces_of(text: bytes) -> tuple[bytes, list[tuple[bytes, bytes]]]:
+    """The media file of a text, and its chunks in order: (name, bytes)."""
+    file = wav(payload_of(text))
+    ends = cut_points(file)
+    return file, [(hashlib.sha256(file[a:b]).digest(), file[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def listed(batches):
+    """(id, text) to the row's media name, file digest and ordered chunk names."""
+    for batch in batches:
+        for part in slices(batch, most=8 << 20):
+            sizes, media_name, whole, names = [], [], [], []
+            for text in texts_of(part):
+                file, pieces = pieces_of(text)
+                own = [name for name, _ in pieces]
+                sizes.append(len(text))
+                media_name.append(hashlib.sha256(b"".join(own)).digest())
+                whole.append(hashlib.sha256(file).digest())
+                names.append(own)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(media_name, pa.binary()), pa.array(whole, pa.binary()), pa.array(names, pa.list_(pa.binary()))], ["id", "n_bytes", "media", "whole", "names"])
 
 
 def chunked(batches):
-    """(id, text) to the row's media name, file digest, ordered chunk names, and the chunks not yet sent by this task."""
+    """(text) to its chunks, compressed, but for those that this task has sent already."""
     sent: set[bytes] = set()
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for part in slices(batch, most=8 << 20):
-            sizes, media_name, whole, names, chunks = [], [], [], [], []
+            out = []
             for text in texts_of(part):
-                file = wav(payload_of(text))
-                ends = cut_points(file)
-                own, new = [], []
-                for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                    piece = file[a:b]
-                    name = hashlib.sha256(piece).digest()
-                    own.append(name)
+                for name, piece in pieces_of(text)[1]:
                     if name not in sent:
                         sent.add(name)
-                        new.append({"name": name, "size": b - a, "data": pack(piece)})
-                if len(sent) > 500_000:  # 32 bytes each; a name sent again is dropped in the shuffle
-                    sent.clear()
-                sizes.append(len(text))
-                media_name.append(hashlib.sha256(b"".join(own)).digest())
-                whole.append(hashlib.sha256(file).digest())
-                names.append(own)
-                chunks.append(new)
-            kind = pa.list_(pa.struct([("name", pa.binary()), ("size", pa.int32()), ("data", pa.binary())]))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(media_name, pa.binary()), pa.array(whole, pa.binary()), pa.array(names, pa.list_(pa.binary())), pa.array(chunks, kind)],
-                ["id", "n_bytes", "media", "whole", "names", "chunks"],
-            )
+                        out.append((name, len(piece), pack(piece)))
+            if len(sent) > 500_000:  # 32 bytes each; a name sent again is dropped in the shuffle
+                sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["name", "size", "data"])
 
 
 READ = "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, file binary"
@@ -152,11 +160,10 @@ def read_back(keep_file: bool):
     return run
 
 
-def store_chunks(rows: DataFrame) -> DataFrame:
+def store_chunks(chunks: DataFrame) -> DataFrame:
     """Each distinct chunk once, in a table bucketed by name in the shared folder."""
-    spark = rows.sparkSession
+    spark = chunks.sparkSession
     n = partitions(spark)
-    chunks = rows.select(F.explode("chunks").alias("c")).select("c.*")
     once = chunks.groupBy("name").agg(F.first("size").alias("size"), F.first("data").alias("data"))
     name = f"credenza_chunks_{uuid.uuid4().hex}"
     once.write.bucketBy(n, "name").sortBy("name").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
@@ -169,8 +176,10 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    rows = narrow.mapInArrow(chunked, RECIPE.format(kind=kind))
-    lists, store = _write(rows)
+    # The two tables of the medium. Texts are cut once for each, which costs less than keeping all bytes twice.
+    lists = save(narrow.mapInArrow(listed, LIST.format(kind=kind)), "media")
+    store = store_chunks(narrow.select("text").mapInArrow(chunked, CHUNK))
+    release(spark)
     media = lists.groupBy("media").agg(F.first("whole").alias("whole"), F.first("names").alias("names"))
     wanted = media.select("media", "whole", F.size("names").alias("n"), F.posexplode("names").alias("at", "name"))
     found = wanted.join(store.select("name", "data"), "name")
@@ -180,8 +189,3 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["file"] if keep_file else [])]
     return lists.select("id", "n_bytes", "media").join(read, "media").select(F.col("id").alias(id_col), "n_bytes", *columns)
 
-
-def _write(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables of the medium: ordered chunk lists per document, and the chunk store. The chunks are
-    cut once for each; cutting again is cheaper than keeping all bytes a second time."""
-    return save(rows.select("id", "n_bytes", "media", "whole", "names"), "media"), store_chunks(rows)
