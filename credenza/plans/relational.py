@@ -185,7 +185,7 @@ def text_coverage(d: Spark) -> str:
 
 
 def adjacent_boxes(d: Spark) -> str:
-    return f"""SELECT doc_id, n_overlaps, n_overlaps >= 4 AS issue FROM (SELECT doc_id, count_if(y < last_y + last_h AND x < last_x + last_w) AS n_overlaps FROM (SELECT *, lag(x) OVER w AS last_x, lag(y) OVER w AS last_y, lag(w) OVER w AS last_w, lag(h) OVER w AS last_h, row_number() OVER w AS n
+    return f"""SELECT doc_id, n_overlaps, n_overlaps >= 4 AS issue FROM (SELECT doc_id, count_if(coalesce(y < last_y + last_h AND x < last_x + last_w, false)) AS n_overlaps FROM (SELECT *, lag(x) OVER w AS last_x, lag(y) OVER w AS last_y, lag(w) OVER w AS last_w, lag(h) OVER w AS last_h, row_number() OVER w AS n
         FROM {t("boxes")} b WINDOW w AS (PARTITION BY doc_id ORDER BY y, x, box_id)) z WHERE n <= 400 GROUP BY doc_id) q"""
 
 
@@ -350,3 +350,55 @@ def indicators(d: Spark) -> str:
 def shared() -> dict:
     """Every function of a dialect in this module."""
     return {name: fn for name, fn in globals().items() if callable(fn) and getattr(fn, "__annotations__", {}).get("d") in ("Spark", Spark)}
+
+
+def keyword_template(d: Spark) -> str:
+    """At least two of a family's three words in the text."""
+    hits = " + ".join(f"CAST(contains(upper(text), '{k}') AS INT)" for k in ("TH", "ING", "DER"))
+    return f"SELECT doc_id, {hits} AS hits, CASE WHEN {hits} >= least(2, 3) THEN 'PASS' ELSE 'REVIEW' END AS status FROM documents"
+
+
+def encoded_payload(d: Spark) -> str:
+    """A decoded payload against the extracted identifier."""
+    return "SELECT event_id, CASE WHEN props IS NULL THEN 'UNAVAILABLE' WHEN contains(upper(props), upper(event_type)) THEN 'MATCH' WHEN event_id % 3 = 0 THEN 'MISMATCH' ELSE 'REVIEW' END AS status FROM events"
+
+
+def identity_issues(d: Spark) -> str:
+    return f"SELECT id, field, value IS NULL AS nothing_extracted FROM {fields_long()} v WHERE field <> 'address' AND (value IS NULL OR conf < 30)"
+
+
+def verification_append(d: Spark) -> str:
+    return f"SELECT id, owner AS subject_id, id_type, number_key AS id_number, CAST(risk_score AS STRING) AS risk_score, CASE WHEN risk_score < 25 THEN 'VERIFIED' WHEN risk_score < 50 THEN 'PENDING_REVIEW' ELSE 'REJECTED' END AS final_status, 'history' AS source FROM {t('docs')} d WHERE id % 2 = 0 UNION ALL SELECT id, owner, id_type, number_key, CAST(risk_score AS STRING), 'PENDING_REVIEW', 'upload' FROM {t('docs')} e WHERE id % 2 = 1"
+
+
+def capture_append(d: Spark) -> str:
+    return "SELECT event_id AS id, user_id AS unique_id, 'capture_' || CAST(event_id AS STRING) || '.jpg' AS stored_filename, CAST(floor(value * 1000) AS BIGINT) AS file_size, value AS motion_score, CAST(event_id % 12 AS INT) AS motion_samples FROM events WHERE event_type = 'click'"
+
+
+def year_range(d: Spark) -> str:
+    """Validity ranges in text against a given year (1996)."""
+    x = "CAST(1990 + o_orderkey % 9 AS STRING) || ' - ' || CAST(1991 + o_orderkey % 7 AS STRING)"
+    return f"SELECT o_orderkey, CASE WHEN b < a THEN 'FAIL' WHEN b < 1996 THEN 'REVIEW' ELSE 'PASS' END AS status FROM (SELECT o_orderkey, CAST({d.group(x, '([0-9]{4}) *- *([0-9]{4})', 1)} AS INT) AS a, CAST({d.group(x, '([0-9]{4}) *- *([0-9]{4})', 2)} AS INT) AS b FROM orders) z"
+
+
+def licence_year(d: Spark) -> str:
+    n = "'MH12' || CAST(1992 + o_orderkey % 7 AS STRING) || lpad(CAST(o_orderkey % 10000 AS STRING), 5, '0')"
+    return f"SELECT o_orderkey, CASE WHEN NOT {d.match(n, '^[A-Z]{2}[0-9]{2}(19|20)[0-9]{2}[0-9]{4,8}$')} THEN 'FAIL' WHEN CAST(substr({n}, 5, 4) AS INT) <> year(o_orderdate) THEN 'REVIEW' ELSE 'PASS' END AS status FROM orders"
+
+
+def labelled_number(d: Spark) -> str:
+    """A labelled number, else any long run of digits, else none."""
+    return f"SELECT page_id, coalesce(nullif({d.group('html', '(no|number|id)[ .:=]+([A-Z0-9]{4,})', 2)}, ''), nullif({d.group('html', '([0-9]{5,})', 1)}, '')) AS number FROM pages"
+
+
+def address_clean(d: Spark) -> str:
+    return f"SELECT doc_id, {d.sub(d.sub('substr(text, 1, 120)', '[^A-Za-z0-9 ,]+', ', '), ' *, *', ', ')} AS address, {d.match('text', '(^|[^0-9])[0-9]{6}([^0-9]|$)')} AS has_pin FROM documents"
+
+
+def saturating_scores(d: Spark) -> str:
+    return f"SELECT l_orderkey, l_linenumber, {d.half_even('100e0 * (1e0 - exp(-l_quantity / 25e0))', 3)} AS saturated, {d.half_even('sqrt(l_quantity) + ln(1e0 + l_quantity)', 3)} AS edge FROM lineitem"
+
+
+def timeline_user_json(d: Spark) -> str:
+    quote = '"'
+    return f"SELECT x.id, '{{{quote}name{quote}:{quote}' || u.full_name || '{quote},{quote}status{quote}:{quote}' || u.status || '{quote}}}' AS user_json FROM {t('docs')} x JOIN {t('users')} u ON u.unique_id = x.owner WHERE x.id % 10 = 0"

@@ -416,3 +416,77 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: fn(DUCK) for name, fn in relational.shared().items()} | SQL
+
+
+@query("SELECT event_id, count(*) FILTER (WHERE v <> '') AS kept, string_agg(k, ',' ORDER BY k) FILTER (WHERE v <> '') AS names FROM (SELECT event_id, unnest(['kind', 'k', 'user']) AS k, unnest([event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'x' END, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'y' END]) AS v FROM events) x GROUP BY event_id")
+def drop_empty_entries(spark, sf_dir):
+    """Map entries that are not empty."""
+    entries = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.when(F.col("event_id") % 3 == 0, "").otherwise("x"), F.lit("user"), F.when(F.col("event_id") % 2 == 0, "").otherwise("y"))
+    kept = F.map_filter(entries, lambda k, v: text.absent(v).isNotNull())
+    return table(spark, sf_dir, "events").select("event_id", F.size(kept).cast("long").alias("kept"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("names"))
+
+
+#: Keys that a timeline never shows.
+REDACTED = ("log_id", "user_id", "unique_id", "subject_id", "document_id", "capture_id", "verification_id", "stored_path", "stored_filename", "sha256")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'kind' ELSE 'kind,value' END AS shown FROM events")
+def redacted_keys(spark, sf_dir):
+    entries = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user_id"), F.lit("1"), F.lit("sha256"), F.lit("2"), F.when(F.col("event_type") == "error", "stored_path").otherwise("value"), F.lit("3"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(F.map_filter(entries, lambda k, v: ~k.isin(*REDACTED)))), ",").alias("shown"))
+
+
+@query("""SELECT doc_id, string_agg(w, ' ' ORDER BY first) AS words FROM (SELECT doc_id, w, min(i) AS first FROM (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(lower(substr(text, 1, 300)), ' ') AS l FROM documents) a) b GROUP BY doc_id, w) c GROUP BY doc_id""")
+def ordered_distinct(spark, sf_dir):
+    words = F.split(F.lower(F.substring("text", 1, 300)), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(words), " ").alias("words"))
+
+
+@query("""SELECT p_partkey, length(c) >= 3 AND abs(length(c) - 6) + len(list_filter(range(1, least(length(c), 6) + 1), lambda i: substr(c, i, 1) <> substr('medium', i, 1))) <= 1 AS hit FROM (SELECT p_partkey, regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, 'I', '1') ELSE p_type END), '[^a-z0-9]', '', 'g') AS c FROM part) x""")
+def label_fuzzy(spark, sf_dir):
+    token = F.when(F.col("p_partkey") % 3 == 0, F.replace("p_type", F.lit("I"), F.lit("1"))).otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.label_like(token, "medium").alias("hit"))
+
+
+@query("""SELECT doc_id, contains(upper(text), 'TH')::INT + contains(upper(text), 'ING')::INT + contains(upper(text), 'OF')::INT + contains(upper(text), 'IN')::INT >= 3 AS same FROM documents""")
+def institution_similar(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.similar_institution(F.col("text"), F.lit("THE INSTITUTE OF ENGINEERING"), ("TH", "ING", "OF", "IN")).alias("same"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ABCPO0158F' ELSE 'SZBGI2OI8B' END AS raw, CASE WHEN o_orderkey % 2 = 0 THEN 'ABCPO0158F' ELSE 'SZBGI2018B' END AS fixed FROM orders""")
+def pan_repair(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 2 == 0, "ABCPO0158F").otherwise("SZBGI2OI8B")
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), identifiers.repaired_pan(raw).alias("fixed"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '390424945992' WHEN o_orderkey % 3 = 1 THEN '123412341234' END AS found FROM orders""")
+def number_finder(spark, sf_dir):
+    shown = F.when(F.col("o_orderkey") % 3 == 0, "ref 9130 1770 6757 and 3904 2494 5992.").when(F.col("o_orderkey") % 3 == 1, "no: 123412341234").otherwise("913017706757")
+    return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.first_valid_12_digits(shown).alias("found"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND TRY_CAST('2049-02-' || lpad((1 + o_orderkey % 31)::VARCHAR, 2, '0') AS DATE) IS NOT NULL THEN (1 + o_orderkey % 31)::VARCHAR || '/02/49' WHEN o_orderkey % 2 = 1 AND TRY_CAST('1950-04-' || lpad((1 + o_orderkey % 31)::VARCHAR, 2, '0') AS DATE) IS NOT NULL THEN (1 + o_orderkey % 31)::VARCHAR || '-04-50' END AS kept FROM orders""")
+def numeric_dates(spark, sf_dir):
+    day = (F.col("o_orderkey") % 31 + 1).cast("string")
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(day, F.lit(".02.49"))).otherwise(F.concat(day, F.lit("-04-50")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.numeric(shown).alias("kept"))
+
+
+@query("SELECT doc_id, replace(replace(substr(text, 1, 80), chr(8212), '-'), chr(160), ' ') AS folded FROM documents")
+def punctuation_folded(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.folded(F.substring("text", 1, 80)).alias("folded"))
+
+
+@query()
+def stream_sessions(spark, sf_dir):
+    out = auth.sessions(_auth_events(spark, sf_dir).filter("success"), "1 day", "3650 days")
+    return auth.run_available(out, f"sessions_{uuid.uuid4().hex}", _folder(spark), "complete")
+
+
+@query("SELECT a.event_id AS issued_key, b.event_id AS used_key FROM events a JOIN events b ON a.event_id = b.event_id - 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE")
+def stream_codes(spark, sf_dir):
+    rows = _auth_events(spark, sf_dir)
+    issued = rows.select(F.col("event_id").alias("issued_key"), F.col("at").alias("issued_at"))
+    used = rows.select((F.col("event_id") - 1).alias("used_key"), F.col("at").alias("used_at"))
+    out = auth.run_available(auth.used_codes(issued, used), f"codes_{uuid.uuid4().hex}", _folder(spark))
+    return out.select("issued_key", (F.col("used_key") + 1).alias("used_key"))
