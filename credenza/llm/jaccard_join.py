@@ -3,7 +3,7 @@
 Rows with equal shingle sets are one node. Nodes are compared only where they can link: sets of similarity
 s or more share a shingle among the first n - ceil(s n) + 1 of each in one global order (frequent shingles
 last, then by hash), so candidates are gathered per shared prefix shingle, equal gatherings once. Each
-node is a point: its shingles hashed into 64 groups, and the count in each. A gathering's points are packed
+node is a point: its shingles hashed into 512 groups, and the count in each. A gathering's points are packed
 into an R-tree; the overlap with a node, or with all of a page (by its greatest coordinates), is at most
 the summed coordinate minima, and branches below the needed overlap are cut. Surviving pairs are
 verified on the shingle sets of the texts.
@@ -35,7 +35,7 @@ from credenza.llm.common import WordIds, partitions, save, slices, texts_of, win
 from credenza.llm.graph import components
 from credenza.llm.postings import packed, unpacked
 
-GROUPS, LEAF, CHUNK = 64, 32, 2048
+GROUPS, LEAF, CHUNK = 512, 32, 2048
 #: Shingles in this many documents of a slice are reported as frequent; the most frequent are put last in the order.
 FREQUENT, MOST_FREQUENT = 8, 100_000
 
@@ -60,6 +60,12 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
+def point_of(found: np.ndarray) -> bytes:
+    """Shingles per group, in the narrowest unsigned integers that hold them."""
+    n = np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return n.astype("<u1" if n.max() < 256 else "<u2" if n.max() < 65536 else "<u4").tobytes()
+
+
 def read_sets(k: int):
     """(id, text) to one row per document (node, size, counts) and rows of frequent shingles of the slice."""
 
@@ -72,7 +78,7 @@ def read_sets(k: int):
                     found = shingles(text, ids, k)
                     nodes.append(node_of(found) if len(found) else None)
                     sizes.append(len(found))
-                    counts.append(np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u2" if len(found) < 65536 else "<u4").tobytes() if len(found) else None)
+                    counts.append(point_of(found) if len(found) else None)
                     every.append(found)
                 n = len(nodes)
                 names, times = np.unique(np.concatenate(every), return_counts=True)
@@ -86,6 +92,13 @@ def read_sets(k: int):
     return run
 
 
+def among(found: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each is in a sorted table."""
+    if not len(table):
+        return np.zeros(len(found), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found
+
+
 def prefix_postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
     """Texts to (bucket, blob of prefix shingles and their nodes); a node is posted once per task as a rule."""
 
@@ -102,7 +115,7 @@ def prefix_postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
                     if node in seen:
                         continue
                     seen.add(node)
-                    late = np.isin(found, frequent, assume_unique=True)
+                    late = among(found, frequent)
                     found = np.concatenate([found[~late], found[late]])
                     nodes.append(node)
                     prefixes.append(found[: len(found) - (-(-percent * len(found) // 100)) + 1])
@@ -189,7 +202,7 @@ def compare(percent: int, forest: bool):
         for a, b in zip(starts, np.r_[starts[1:], len(name)], strict=True) if len(name) else []:
             if (comp[a:b] == comp[a]).all():
                 continue
-            points = np.array([np.frombuffer(r, "<u2" if n < 65536 else "<u4") for r, n in zip(raw[a:b], size[a:b], strict=True)], dtype=np.int64)
+            points = np.array([np.frombuffer(r, f"<u{len(r) // GROUPS}") for r in raw[a:b]], dtype=np.int32)
             sizes, nodes, comps, sides = size[a:b], node[a:b], comp[a:b], side[a:b]
             tree = RTree(points[sides == 0], sizes[sides == 0])
             nodes0, comps0 = nodes[sides == 0], comps[sides == 0]
