@@ -135,30 +135,34 @@ def prefix_postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
     return run
 
 
-def gather(table: pa.Table) -> pa.Table:
-    """A bucket's postings to the distinct gatherings of two or more nodes: (gathering, chunk, chunks, members)."""
-    import xxhash
+def gather(most: int):
+    """A bucket's postings to the distinct gatherings of two or more nodes, in chunks: (gathering, chunk, chunks, members)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import xxhash
+
+        parts = [unpacked(b) for b in table.column("blob").to_pylist()]
+        shingle = np.concatenate([p[0] for p in parts])
+        node = np.concatenate([p[1][p[2]] for p in parts])
+        order = np.lexsort((node, shingle))
+        shingle, node = shingle[order], node[order]
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
+        shingle, node = shingle[new], node[new]
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        sizes = np.diff(np.r_[starts, len(shingle)])
+        found: dict[bytes, None] = {}
+        for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            found[node[a : a + n].tobytes()] = None
+        name, chunk, chunks, members = [], [], [], []
+        for raw in found:
+            own = np.frombuffer(raw, dtype=np.int64)
+            # Chunks after the first also hold the first node.
+            pieces = [own] if len(own) <= most else [np.r_[own[:1], own[i : i + most]] if i else own[:most] for i in range(0, len(own), most)]
+            for i, piece in enumerate(pieces):
+                name.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63)), chunk.append(i), chunks.append(len(pieces)), members.append(piece)
+        return pa.table({"gathering": pa.array(name, pa.int64()), "chunk": pa.array(chunk, pa.int32()), "chunks": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.list_(pa.int64()))})
 
-    parts = [unpacked(b) for b in table.column("blob").to_pylist()]
-    shingle = np.concatenate([p[0] for p in parts])
-    node = np.concatenate([p[1][p[2]] for p in parts])
-    order = np.lexsort((node, shingle))
-    shingle, node = shingle[order], node[order]
-    new = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
-    shingle, node = shingle[new], node[new]
-    starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-    sizes = np.diff(np.r_[starts, len(shingle)])
-    found: dict[bytes, None] = {}
-    for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        found[node[a : a + n].tobytes()] = None
-    name, chunk, chunks, members = [], [], [], []
-    for raw in found:
-        own = np.frombuffer(raw, dtype=np.int64)
-        # Chunks after the first also hold the first node.
-        pieces = [own] if len(own) <= CHUNK else [np.r_[own[:1], own[i : i + CHUNK]] if i else own[:CHUNK] for i in range(0, len(own), CHUNK)]
-        for i, piece in enumerate(pieces):
-            name.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63)), chunk.append(i), chunks.append(len(pieces)), members.append(piece)
-    return pa.table({"gathering": pa.array(name, pa.int64()), "chunk": pa.array(chunk, pa.int32()), "chunks": pa.array(chunks, pa.int32()), "members": pa.array(members, pa.list_(pa.int64()))})
+    return run
 
 
 class RTree:
@@ -280,13 +284,24 @@ def _candidates(tasks: DataFrame, nodes: DataFrame, comps: DataFrame | None, per
     return rows.groupBy(F.pmod("gathering", F.lit(buckets)).alias("bucket")).applyInArrow(compare(percent, forest), "a bigint, b bigint").dropDuplicates()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("node"))).dropDuplicates()
+
+
+def _texts(narrow: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, compressed text of one of its rows) of the wanted nodes."""
+    rows = nodes.join(wanted, "node").select("node", F.col("least").alias("w_id"))
+    joined = narrow.join(rows, F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    return save(joined.mapInArrow(compressed(k), "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     whole = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, percent), "a bigint, b bigint")
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included) and n_links
     of the row's class that were verified (0 for a class without links)."""
     spark = docs.sparkSession
@@ -299,17 +314,14 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = read.filter("NOT frequent")
     nodes = save(rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("counts").alias("counts"), F.min("id").alias("least")), "nodes")
     postings = narrow.select("text").mapInArrow(prefix_postings(k, percent, frequent, buckets), "bucket int, blob binary")
-    gathered = postings.groupBy("bucket").applyInArrow(gather, "gathering bigint, chunk int, chunks int, members array<bigint>")
+    gathered = postings.groupBy("bucket").applyInArrow(gather(chunk), "gathering bigint, chunk int, chunks int, members array<bigint>")
     gathered = save(gathered.groupBy("gathering", "chunk").agg(F.first("chunks").alias("chunks"), F.first("members").alias("members")), "gathered")
     task = F.xxhash64("gathering", "chunk")
     inside = gathered.select(task.alias("gathering"), F.lit(0).alias("side"), F.explode("members").alias("node"))
     points = nodes.select("node", "size", "counts")
     proposed = save(_candidates(inside, points, None, percent, True), "proposed")
     # Texts of the nodes that have a possible partner: one row's text per node, compressed.
-    wanted = proposed.select(F.col("a").alias("node")).unionByName(proposed.filter("b IS NOT NULL").select(F.col("b").alias("node"))).dropDuplicates()
-    rows_wanted = nodes.join(wanted, "node").select("node", F.col("least").alias("w_id"))
-    joined = narrow.join(rows_wanted, F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    texts = save(joined.mapInArrow(compressed(k), "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = _texts(narrow, nodes, _ends(proposed), k)
     links = save(_verified(proposed.filter("b IS NOT NULL"), texts, k, percent), "links")
     comps = components(links)
     rest = _candidates(inside, points, comps, percent, False)
@@ -326,7 +338,10 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         parts = outside.select("gathering", "part").dropDuplicates()
         across = large.join(parts, "gathering").select(task.alias("gathering"), F.lit(0).alias("side"), F.explode("members").alias("node"))
         asked = outside.join(large.select("gathering", "chunk"), "gathering").select(task.alias("gathering"), F.lit(1).alias("side"), "node")
-        last = save(_verified(_candidates(across.unionByName(asked), points, comps, percent, False), texts, k, percent), "links")
+        pairs = save(_candidates(across.unionByName(asked), points, comps, percent, False), "proposed")
+        # Nodes without a possible partner in their own chunk have no text yet.
+        texts = texts.unionByName(_texts(narrow, nodes, _ends(pairs).join(texts, "node", "left_anti"), k))
+        last = save(_verified(pairs, texts, k, percent), "links")
         every = every.unionByName(last)
     comps = components(every)
     degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
