@@ -198,66 +198,97 @@ def count_pairs(buckets: int, frequent: dict[int, int], total: int, d1: list[flo
     return run
 
 
-def _count_pairs(parts, blocks, words, buckets, frequent, total, d1, unknown):
-    # Pairs as the blocks sent them; documents of each pair follow.
-    w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-    h = np.concatenate([p[2][p[3]] for p in parts])
-    runs = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    doc = np.concatenate([p[5].astype(np.uint32) for p in parts])
-    f = np.concatenate([p[6].astype(np.uint32) for p in parts])
-    train = np.concatenate([np.unpackbits(p[7], count=len(p[5])) for p in parts]).astype(bool)
-    block = np.repeat(np.array(blocks, dtype=np.int64), [len(p[5]) for p in parts])
-    starts = np.cumsum(runs) - runs
-    in_training = np.add.reduceat(f * train, starts).astype(np.int64)
-    # One entry per distinct pair.
-    key = mix(w ^ mix(h))
-    order = np.argsort(key)
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    c_distinct = np.add.reduceat(in_training[order], first)
-    c_pair = np.empty(len(w), dtype=np.int64)
-    c_pair[order] = np.repeat(c_distinct, np.diff(np.r_[first, len(order)]))
-    one = order[first]
+#: A bucket's pairs are worked on in this many parts, one after the other, to bound a worker's memory.
+PARTS = 4
+
+
+def _part_of(blob: list[np.ndarray], number: int, buckets: int) -> list[np.ndarray]:
+    """The arrays of a blob for the pairs whose second word falls into one part; documents' train flags as booleans."""
+    used_w, n_w, used_h, at_h, runs, doc, f, bits = blob
+    own = (used_w // np.uint64(buckets)) % np.uint64(PARTS) == np.uint64(number)
+    pairs = np.repeat(own, n_w)
+    entries = np.repeat(pairs, runs)
+    return [np.repeat(used_w[own], n_w[own]), used_h[at_h[pairs]], runs[pairs].astype(np.int64), doc[entries].astype(np.uint32), f[entries].astype(np.uint32), np.unpackbits(bits, count=len(doc)).astype(bool)[entries]]
+
+
+def _count_pairs(blobs, blocks, words, buckets, frequent, total, d1, unknown):
     names, counts = unpacked(words.column("blob")[0].as_py()) if words.num_rows else (np.empty(0, np.uint64), np.empty(0, np.uint64))
-    c_word = lookup(names, counts, w)
-    if frequent:
-        hot = np.array(sorted(frequent), dtype=np.uint64)
-        c_word = np.where(np.isin(w, hot), lookup(hot, np.array([frequent[int(x)] for x in hot]), w), c_word)
-    # What each token adds, per pair: as a word (base), as a history of the next one, and its own probability.
-    own = np.where(c_pair > K, np.log10(np.maximum(c_pair, 1)), 0.0) + np.where(c_pair == 0, unigram_log(c_word, total, d1, unknown), 0.0)
-    as_history = np.where(w == np.uint64(END), 0.0, np.log10(c_word + 1.0))
-    each = np.repeat(np.arange(len(w)), runs)
-    ff = f.astype(np.float64)
-    columns = [np.log10(c_word + 1.0)[each] * ff, f * (c_word > 0)[each], (own - as_history)[each] * ff, *[f * (c_pair == r)[each] for r in range(1, K + 1)]]
-    for b, blob in per_document(block, doc, columns):
-        yield DOCUMENTS, b, blob
-    # Pairs unseen in training, to their histories (frequent ones by block as well).
-    lost = np.flatnonzero((c_pair == 0)[each])
-    hot = np.array(sorted(frequent), dtype=np.uint64) if frequent else np.empty(0, np.uint64)
-    lh, lb, ld, lf = h[each[lost]], block[lost], doc[lost], f[lost]
-    to = (np.where(np.isin(lh, hot), mix(lh + lb.astype(np.uint64)), lh) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[edges[b] : edges[b + 1]]
-        if len(part):
-            part = part[np.lexsort((ld[part], lb[part]))]
-            code, block_of = np.unique(lb[part], return_inverse=True)
-            yield UNSEEN, b, packed(lh[part], code, block_of.astype(np.uint32), ld[part].astype(np.uint32), lf[part].astype(np.uint32))
-    # Integer sums per history over its distinct seen pairs.
-    seen = one[c_pair[one] > 0]
-    names, where = np.unique(h[seen], return_inverse=True)
-    c, cw = c_pair[seen], c_word[seen]
-    sums = [np.bincount(where, weights=x, minlength=len(names)).astype(np.int64) for x in (np.where(c > K, c, 0), np.where(cw > K, cw, 0), *[c == r for r in range(1, K + 1)], *[cw == r for r in range(1, K + 1)])]
-    common = np.isin(names, hot)
-    to = (names % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(np.where(common, buckets, to), kind="stable")
-    edges = np.searchsorted(np.where(common, buckets, to)[order], np.arange(buckets + 2))
-    for b in range(buckets + 1):
-        part = order[edges[b] : edges[b + 1]]
-        if len(part):
-            blob = packed(names[part], *[s[part].astype(np.uint32 if s[part].max() < 2**32 else np.uint64) for s in sums])
-            yield (FREQUENT if b == buckets else HISTORIES), b, blob
-    yield COUNTS, 0, packed(np.array([int((c == r).sum()) for r in range(1, K + 2)], dtype=np.int64))
+    hot = np.array(sorted(frequent), dtype=np.uint64)
+    hot_counts = np.array([frequent[int(x)] for x in hot], dtype=np.int64)
+    documents, histories, n_counts = [], [], np.zeros(K + 1, dtype=np.int64)
+    for number in range(PARTS):
+        parts = [_part_of(b, number, buckets) for b in blobs]
+        w, h, runs, doc, f, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        block = np.repeat(np.array(blocks, dtype=np.int64), [len(p[3]) for p in parts])
+        del parts
+        if not len(w):
+            continue
+        # One entry per distinct pair; `each` is the pair of each (pair, document).
+        in_training = np.add.reduceat(f * train, np.cumsum(runs) - runs).astype(np.int64)
+        key = mix(w ^ mix(h))
+        order = np.argsort(key)
+        first = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]])
+        c_distinct = np.add.reduceat(in_training[order], first)
+        c_pair = np.empty(len(w), dtype=np.int64)
+        c_pair[order] = np.repeat(c_distinct, np.diff(np.r_[first, len(order)]))
+        one = order[first]
+        del key, order, first, c_distinct, in_training, train
+        c_word = lookup(names, counts, w)
+        if len(hot):
+            c_word = np.where(np.isin(w, hot), lookup(hot, hot_counts, w), c_word)
+        # What each token adds, per pair: its own probability, less what it takes as the history of the next one.
+        own = np.where(c_pair > K, np.log10(np.maximum(c_pair, 1)), 0.0) + np.where(c_pair == 0, unigram_log(c_word, total, d1, unknown), 0.0)
+        own -= np.where(w == np.uint64(END), 0.0, np.log10(c_word + 1.0))
+        each = np.repeat(np.arange(len(w)), runs)
+        of, where = np.unique((block << 32) | doc, return_inverse=True)
+        small = np.where(c_pair <= K, c_pair, 0).astype(np.int8)[each]
+        sums = [np.bincount(where, weights=np.log10(c_word + 1.0)[each] * f, minlength=len(of)), np.bincount(where, weights=f * (c_word > 0)[each], minlength=len(of)).astype(np.uint32), np.bincount(where, weights=own[each] * f, minlength=len(of))]
+        sums += [np.bincount(where, weights=f * (small == r), minlength=len(of)).astype(np.uint32) for r in range(1, K + 1)]
+        documents.append((of, sums))
+        del where, small, own
+        # Pairs unseen in training, to their histories (frequent ones by block as well).
+        lost = np.flatnonzero((c_pair == 0)[each])
+        lh, lb, ld, lf = h[each[lost]], block[lost], doc[lost], f[lost]
+        to = (np.where(np.isin(lh, hot), mix(lh + lb.astype(np.uint64)), lh) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((ld, lb, to))
+        edges = np.searchsorted(to[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            part = order[edges[b] : edges[b + 1]]
+            if len(part):
+                code, block_of = np.unique(lb[part], return_inverse=True)
+                yield UNSEEN, b, packed(lh[part], code, block_of.astype(np.uint32), ld[part], lf[part])
+        # Integer sums per history over its distinct seen pairs.
+        seen = one[c_pair[one] > 0]
+        of_h, where = np.unique(h[seen], return_inverse=True)
+        c, cw = c_pair[seen], c_word[seen]
+        every = [np.where(c > K, c, 0), np.where(cw > K, cw, 0), *[c == r for r in range(1, K + 1)], *[cw == r for r in range(1, K + 1)]]
+        histories.append((of_h, [_narrow(np.bincount(where, weights=x, minlength=len(of_h))) for x in every]))
+        n_counts += np.array([int((c == r).sum()) for r in range(1, K + 2)], dtype=np.int64)
+    if documents:
+        of, sums = _added(documents)
+        edges = np.flatnonzero(np.r_[True, (of[1:] >> 32) != (of[:-1] >> 32), True])
+        for x, y in zip(edges, edges[1:], strict=False):
+            yield DOCUMENTS, int(of[x] >> 32), packed((of[x:y] & 0xFFFFFFFF).astype(np.uint32), *[s[x:y] if s.dtype.kind == "f" and i in (0, 2) else s[x:y].astype(np.uint32) for i, s in enumerate(sums)])
+        of_h, sums = _added(histories)
+        common = np.isin(of_h, hot)
+        to = np.where(common, buckets, (of_h % np.uint64(buckets)).astype(np.int64))
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(buckets + 2))
+        for b in range(buckets + 1):
+            part = order[edges[b] : edges[b + 1]]
+            if len(part):
+                yield (FREQUENT if b == buckets else HISTORIES), b, packed(of_h[part], *[_narrow(s[part]) for s in sums])
+    yield COUNTS, 0, packed(n_counts)
+
+
+def _narrow(sums: np.ndarray) -> np.ndarray:
+    return sums.astype(np.uint32 if not len(sums) or sums.max() < 2**32 else np.uint64)
+
+
+def _added(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of the parts' columns per key."""
+    names, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return names, [np.bincount(where, weights=np.concatenate([p[1][i] for p in parts]), minlength=len(names)) for i in range(len(parts[0][1]))]
 
 
 def alpha_log(sums: list[np.ndarray], c_history: np.ndarray, d: list[float], d1: list[float], total: int) -> np.ndarray:
