@@ -24,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def save(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), fewer: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+    fewer: a quarter as many files as shuffle partitions, for results that are a fraction of their shuffle."""
+    if fewer:
+        df = df.coalesce(max(8, partitions(df.sparkSession) // 4))
     path = f"{shared_dir(df.sparkSession)}/credenza-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:

@@ -14,13 +14,13 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Rounds of least-neighbour labels and pointer jumping; labels pass through the shared folder, so a lost
     executor costs at most one round. Label sums are combined before each shuffle, so a hub is no hot spot.
     """
-    both = save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(), "edges")
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
+    both = save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(), "edges", fewer=True)
+    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels", fewer=True)
     for _ in range(most_rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = save(least.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp")), "labels")
+        new = save(least.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp")), "labels", fewer=True)
         changed = new.filter("old <> comp").limit(1).count()
         drop_saved(labels)
         labels = new.select("node", "comp")

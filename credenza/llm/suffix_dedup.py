@@ -89,6 +89,8 @@ def windows(batches):
         for part in slices(batch, most=4 << 20):
             out_key, out_at, out_print = [], [], []
             for key, text, prints in zip(part.column("key").to_pylist(), texts_of(part), part.column("prints").to_pylist(), strict=True):
+                if text_key(text) != key:  # another row with the same id
+                    continue
                 array = ids.array(text.split())
                 runs = window_hashes(array, width)
                 places = minimisers(window_hashes(array, GRAM), WINDOW)
@@ -140,24 +142,24 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = save(narrow.mapInArrow(suffixes, "id bigint, key bigint, n_words bigint, prints array<bigint>, twice array<bigint>"), "suffixes")
-    texts = save(read.filter(F.col("n_words") >= LENGTH).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts")
+    texts = save(read.filter(F.col("n_words") >= LENGTH).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts", fewer=True)
     # The sparse suffix order: equal fingerprints are neighbours. A text's own repeats count as well.
     suffix = read.filter("prints IS NOT NULL").select("key", F.explode("prints").alias("print"))
-    shared = save(suffix.groupBy("print").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("print"), "shared")
+    shared = save(suffix.groupBy("print").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("print"), "shared", fewer=True)
     within = read.select("key", F.explode("twice").alias("print"))
     marked = suffix.join(shared, "print").select("key", "print").unionByName(within)
     per_text = marked.groupBy("key").agg(F.collect_set("print").alias("prints")).join(texts, "key")
     chosen = per_text.select("key", "prints", "least")
     body = narrow.join(chosen, F.col("id").eqNullSafe(F.col("least"))).select("key", "text", "prints")
-    placed = save(body.mapInArrow(_same_text, "key bigint, text string, prints array<bigint>").mapInArrow(windows, "key bigint, at bigint, print bigint").dropDuplicates(["key", "at"]), "windows")
+    placed = save(body.mapInArrow(windows, "key bigint, at bigint, print bigint").dropDuplicates(["key", "at"]), "windows")
     origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("key")))
     owned = placed.join(texts.select("key", "least"), "key")
     first = owned.groupBy("print").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", F.col("o.key").alias("o_key"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
-    first = save(first, "first")
+    first = save(first, "first", fewer=True)
     later = placed.join(first, "print").filter((F.col("key") != F.col("o_key")) | (F.col("at") != F.col("o_at")))
     # Rows of one text together and in order; texts are many and each is bounded by its own length.
     ordered = later.select("key", "at", "o_id", "o_at").repartition(partitions(spark), "key").sortWithinPartitions("key", "at")
-    spans = save(ordered.mapInArrow(merged, "key bigint, first_word bigint, end_word bigint, o_id bigint, o_at bigint"), "spans")
+    spans = save(ordered.mapInArrow(merged, "key bigint, first_word bigint, end_word bigint, o_id bigint, o_at bigint"), "spans", fewer=True)
     rows = read.filter(F.col("n_words") >= LENGTH).select("id", "key", "n_words").join(texts.select("key", "least", "copies"), "key")
     # Equal texts: one row, the least id, stands for the text; of repeated rows of that id too, any but one is a copy.
     lead = rows.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("key", "id").agg(F.count("*").alias("same"), F.first("n_words").alias("n_words"))
@@ -169,13 +171,6 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return out, rows
 
 
-def _same_text(batches):
-    """Drops rows whose text is not the key's: another row with the same id."""
-    for batch in batches:
-        keep = pa.array([text_key(t) == k for t, k in zip(texts_of(batch), batch.column("key").to_pylist(), strict=True)], pa.bool_())
-        yield batch.filter(keep)
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """docs with the words of every repeated span cut out of the text (first occurrences stay); all rows and
     columns. Equal texts keep their words in the row with the least id; rows equal in id and text are
