@@ -313,6 +313,8 @@ def back_off(frequent: dict[int, float], d: list[float], d1: list[float], total:
             block = np.concatenate([u[1][u[2]] for u in unseen])
             value = np.zeros(len(h))
             wanted, where = np.unique(h, return_inverse=True)
+            # Only histories that an unseen pair asks for.
+            histories = [[c[own] for c in x] for x in histories for own in [wanted[np.minimum(np.searchsorted(wanted, x[0]), len(wanted) - 1)] == x[0]] if own.any()]
             if histories:
                 every = np.concatenate([x[0] for x in histories])
                 names, at = np.unique(every, return_inverse=True)
