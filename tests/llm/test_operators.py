@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credenza.llm import jaccard_join, katz_lm, media_chunks, mixing, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, url_filters
+from credenza.llm.graph import components
 from credenza.session import table
 from tests.llm import brute
 from tests.oracle import assert_same, connect
@@ -161,6 +162,21 @@ def test_components(spark, chunk):
     assert got == set(brute.components(data))
 
 
+def test_components_of_long_chains(spark):
+    """Each version of a drifting text is similar to its neighbours only."""
+    data = [(i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 22))) for i in range(400)]
+    got = jaccard_join.similarity_classes(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(got) == 400 and {r.component_id for r in got} == {0}
+
+
+def test_components_of_a_path(spark):
+    rng = random.Random(10)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(1500)]
+    edges = [*zip(names[:1000], names[1:1000], strict=False), *zip(names[1000:], names[1001:], strict=False)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: min(part) for part in (names[:1000], names[1000:]) for n in part}
+
+
 def test_gatherings_are_cut_with_the_first_node():
     import numpy as np
     import pyarrow as pa
