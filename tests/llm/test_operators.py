@@ -120,6 +120,21 @@ def test_quality_outliers_go(spark):
     assert kept == {r[0] for r in clean}
 
 
+def test_quality_repeats_are_outliers(spark):
+    """Duplicate lines alone and repeated words alone, under the base rule, in a group without either."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lines = lambda n: [f"{word()} {word()}" for _ in range(n)]
+    some = lambda n: [word() for _ in range(n)]
+    clean = [(i, "\n".join(lines(50)), "en", "a") for i in range(200)]
+    few = [(500 + i, "\n".join([*(x := lines(45)), *x[::9]]), "en", "a") for i in range(5)]
+    menus = [(1000 + i, "\n".join(rng.choice(x) for x in [lines(12)] for _ in range(100)), "en", "a") for i in range(5)]
+    passages = [(2000 + i, " ".join([*(x := some(14)), *some(36), *x, *some(36)]), "en", "a") for i in range(5)]
+    got = quality_rules.quality(spark.createDataFrame(clean + few + menus + passages, "doc_id bigint, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {r[0] for r in clean + few}
+
+
 def test_repeats(spark, docs, rows):
     want = brute.repeated_words(rows)
     got = defaultdict(set)
