@@ -8,6 +8,9 @@ from __future__ import annotations
 
 FAMILY = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'PAN' WHEN 1 THEN 'AADHAAR' WHEN 2 THEN 'PASSPORT' WHEN 3 THEN 'DRIVING_LICENSE' WHEN 4 THEN 'COLLEGE_ID' WHEN 5 THEN 'NATIONAL_ID' ELSE 'VISA' END"
 TEXT_KEY = "CAST(o_orderkey AS STRING)"
+#: Every line item as a box of its document; "boxes" below is the part that the queries with SQL read.
+BOXES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS box_id, CAST(l_partkey * 13 % 300 AS BIGINT) AS x, CAST(l_suppkey * 29 % 200 AS BIGINT) AS y,
+        CAST(40 + l_partkey % 120 AS BIGINT) AS w, CAST(20 + l_suppkey % 60 AS BIGINT) AS h, l_quantity AS conf, CAST(l_partkey % 10000 AS STRING) AS text FROM lineitem"""
 
 STANDINS = {
     "users": """SELECT c_custkey AS unique_id, c_name AS full_name, '  ' || upper(replace(c_name, '#', '.')) || '@Example.ORG ' AS email,
@@ -25,8 +28,7 @@ STANDINS = {
         CASE l_linestatus WHEN 'F' THEN 'FAIL' ELSE 'PASS' END AS status, l_quantity * 2 AS conf, l_partkey, l_suppkey, l_extendedprice AS amount FROM lineitem""",
     "evidence": """SELECT l_orderkey AS doc_id, count(*) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_high, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS n_medium,
         max(l_quantity * 2) AS ocr_conf, sum(CAST(l_quantity AS BIGINT)) AS units FROM lineitem GROUP BY l_orderkey""",
-    "boxes": """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS box_id, CAST(l_partkey * 13 % 300 AS BIGINT) AS x, CAST(l_suppkey * 29 % 200 AS BIGINT) AS y,
-        CAST(40 + l_partkey % 120 AS BIGINT) AS w, CAST(20 + l_suppkey % 60 AS BIGINT) AS h, l_quantity AS conf, CAST(l_partkey % 10000 AS STRING) AS text FROM lineitem WHERE l_orderkey % 4 = 0""",
+    "boxes": f"{BOXES} WHERE l_orderkey % 4 = 0",
     "features": """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CAST(l_partkey % 1600 + 300 AS INT) AS width, CAST(l_suppkey * 17 % 1100 + 200 AS INT) AS height,
         CAST(l_partkey * 7 % 256 AS DOUBLE) AS brightness, l_quantity AS contrast, CAST(l_partkey * 31 % 900 AS DOUBLE) AS laplacian_variance,
         CAST(l_suppkey % 19 AS DOUBLE) - 9 AS skew_deg, l_discount AS glare_ratio, CAST(l_partkey * 31 % 900 AS DOUBLE) AS lap_var, l_tax AS edge_density,

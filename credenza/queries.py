@@ -12,7 +12,7 @@ from credenza.functions import dates, identifiers, similarity, text
 from credenza.operators import extraction, sequence, store
 from credenza.plans import relational, rules
 from credenza.plans.dialect import DUCK, SPARK
-from credenza.plans.standins import STANDINS
+from credenza.plans.standins import BOXES, STANDINS
 from credenza.session import TABLES, table
 from credenza.sources import uploads
 from credenza.streaming import auth
@@ -343,24 +343,24 @@ def cross_document(spark, sf_dir):
 
 @query()
 def fuzzy_clusters(spark, sf_dir):
-    rows = sql(spark, sf_dir, "SELECT l_orderkey AS doc_id, 'name' AS field, CAST(l_linenumber AS BIGINT) AS seq, 'holder ' || CAST(l_partkey % 50 AS STRING) AS value, l_quantity AS conf FROM lineitem WHERE l_orderkey % 20 = 0")
+    rows = sql(spark, sf_dir, "SELECT l_orderkey AS doc_id, 'name' AS field, CAST(l_linenumber AS BIGINT) AS seq, 'holder ' || CAST(l_partkey % 50 AS STRING) AS value, l_quantity AS conf FROM lineitem")
     return sequence.leader_clusters(rows, 0.80)
 
 
 @query()
 def line_grouping(spark, sf_dir):
-    rows = standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", F.col("box_id").alias("seq"), (F.col("y") + F.col("h") / 2).alias("yc"), F.col("h").cast("double").alias("height"))
+    rows = sql(spark, sf_dir, BOXES).select("doc_id", F.col("box_id").alias("seq"), (F.col("y") + F.col("h") / 2).alias("yc"), F.col("h").cast("double").alias("height"))
     return sequence.line_groups(rows)
 
 
 @query()
 def box_suppression(spark, sf_dir):
-    return sequence.suppressed(standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", "box_id", "x", "y", "w", "h", "conf"), 0.30)
+    return sequence.suppressed(sql(spark, sf_dir, BOXES).select("doc_id", "box_id", "x", "y", "w", "h", "conf"), 0.30)
 
 
 @query()
 def label_overlaps(spark, sf_dir):
-    rows = standin(spark, sf_dir, "boxes").filter("doc_id % 20 = 0").select("doc_id", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), F.col("box_id").alias("label_order"))
+    rows = sql(spark, sf_dir, BOXES).select("doc_id", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), F.col("box_id").alias("label_order"))
     return sequence.label_matches(rows)
 
 
