@@ -79,7 +79,19 @@ def repeated_words(rows: list[tuple], length: int = 50) -> dict:
     return out
 
 
-def katz(rows: list[tuple], discounts, k: int = 5) -> list[tuple]:
+def good_turing(counts: list[int], k: int) -> list[float]:
+    """Katz's factors for counts 1 to k from the numbers of types seen 1 to k + 1 times; absolute discounting
+    (all but a thousandth of n1 / (n1 + 2 n2)) where those do not give factors between 0 and 1."""
+    n = dict(enumerate(counts, 1))
+    b = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    other = [1 - 0.999 * b / r for r in range(1, k + 1)]
+    if not all(n[r] > 0 for r in range(1, k + 2)) or (common := (k + 1) * n[k + 1] / n[1]) >= 1:
+        return other
+    out = [((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)]
+    return out if min(out) > 0 and max(out) < 1 else other
+
+
+def katz(rows: list[tuple], k: int = 5) -> list[tuple]:
     """rows: (id, text). Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     texts = [[*words(lower(t or "")), None] for _, t in rows]
     out_of = [held_out(doc, 7, 2) for doc, _ in rows]
@@ -91,7 +103,7 @@ def katz(rows: list[tuple], discounts, k: int = 5) -> list[tuple]:
             two.update(zip(s, t, strict=False))
             history.update(s[:-1])
     total, types = sum(one.values()), len(one)
-    d1, d2 = (discounts([Counter(c.values())[r] for r in range(1, k + 2)]) for c in (one, two))
+    d1, d2 = (good_turing([Counter(c.values())[r] for r in range(1, k + 2)], k) for c in (one, two))
     cut = lambda n, d: n * (d[n - 1] if n <= k else 1)
     unknown = 1 - sum(cut(n, d1) for n in one.values()) / total if total else 1.0
     p = lambda w: cut(one[w], d1) / total if one[w] else unknown

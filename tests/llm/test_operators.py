@@ -98,11 +98,38 @@ def test_chunks_survive_an_insertion():
 
 def test_katz(spark, docs, rows):
     got = {r.doc_id: tuple(r) for r in katz_lm.score(docs).collect()}
-    for want in brute.katz(rows, katz_lm.discounts):
+    for want in brute.katz(rows):
         assert got[want[0]][:5] == want[:5]
         assert got[want[0]][5:] == pytest.approx(want[5:], rel=1e-9)
 
 
+def test_katz_does_not_depend_on_partitions(spark, rows):
+    """More than 128 input partitions: a block's number takes more than 31 bits."""
+    some = rows[:300]
+    want = {r[0]: r[1:] for r in brute.katz(some)}
+    got = katz_lm.score(spark.createDataFrame(some, "doc_id bigint, text string").repartition(300)).collect()
+    assert len(got) == len(some)
+    for r in got:
+        assert tuple(r)[1:5] == want[r.doc_id][:4] and (r.base_score, r.score) == pytest.approx(want[r.doc_id][4:], rel=1e-9)
+
+
+def test_katz_histories_sum_to_one(spark, docs):
+    """Over all known words and the unknown one, from the stored tables."""
+    grams = katz_lm.ngrams(katz_lm.fit(docs)[1]).collect()
+    unknown = 10 ** next(r.log_p for r in grams if r.order_n == 0)
+    p = {r.word: 10**r.log_p for r in grams if r.order_n == 1}
+    bow = {r.word: 10**r.log_bow for r in grams if r.order_n == 1}
+    assert unknown + sum(p.values()) == pytest.approx(1, rel=1e-9)
+    seen, lower = defaultdict(float), defaultdict(float)
+    for r in grams:
+        if r.order_n == 2:
+            seen[r.history] += 10**r.log_p
+            lower[r.history] += p[r.word]
+    assert len(seen) > 1000
+    for h, mass in seen.items():
+        assert mass + bow[h] * (1 - lower[h]) == pytest.approx(1, rel=1e-9)
+
+
 def test_quality_base(docs, rows):
     got = {r.doc_id: r for r in quality_rules.quality(docs).collect()}
     for doc, text in rows:
