@@ -24,11 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), fewer: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-    fewer: a quarter as many files as shuffle partitions, for results that are a fraction of their shuffle."""
-    if fewer:
-        df = df.coalesce(max(8, partitions(df.sparkSession) // 4))
+def save(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/credenza-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -88,20 +85,38 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordIds(dict):
-    """Word (bytes) to its 64-bit xxh3 hash; a bounded memo, so that a word is hashed once as a rule."""
+class Memo(dict):
+    """Results of a pure function, by argument. Emptied when what it holds passes `most` bytes, about."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    #: Bytes of an entry beside its key's and value's own.
+    ENTRY = 200
+
+    def __init__(self, most: int):
         super().__init__()
-        self.seed, self.most = seed, most
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        """Keeps a result whose key and value take `size` bytes, and returns it."""
+        if self.held + size + self.ENTRY > self.most:
+            self.clear()
+            self.held = 0
+        if size < self.most >> 6:
+            self[key] = value
+            self.held += size + self.ENTRY
+        return value
+
+
+class WordIds(Memo):
+    """Word (bytes) to its 64-bit xxh3 hash, so that a word is hashed once as a rule."""
+
+    def __init__(self, seed: int = 0, most: int = 48 << 20):
+        super().__init__(most)
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
+        return self.keep(word, xxhash.xxh3_64_intdigest(word, self.seed), len(word))
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))

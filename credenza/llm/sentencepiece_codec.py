@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import map_arrow, slices
+from credenza.llm.common import Memo, map_arrow, slices
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
@@ -36,7 +36,7 @@ RUN = re.compile(f"{MARK}+[^{MARK}]*")
 class Agenda:
     """Encoder and decoder over one vocabulary. The library is used to read the model file and to check."""
 
-    def __init__(self, model_path: str, most: int = 700_000):
+    def __init__(self, model_path: str, most: int = 112 << 20):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -56,9 +56,7 @@ class Agenda:
         #: Pairs of characters that some piece holds; no piece, so no merge, spans a place between any other two.
         self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         #: Run without its first marker, or part of a run, -> packed ids.
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.most = most
+        self.memo, self.parts = Memo(most * 3 // 4), Memo(most // 4)
         if self.library.encode("a  b ", out_type=str) and self.library.decode(self.library.encode(" a  b ")) != " a  b ":
             raise ValueError("the model folds white space; only identity normalisation is supported")
 
@@ -103,24 +101,23 @@ class Agenda:
         cuts = [i for i, pair in enumerate(map(str.__add__, run, run[1:]), 1) if pair not in inside]
         return [run[a:b] for a, b in zip([0, *cuts], [*cuts, len(run)], strict=True)] if cuts else [run]
 
-    def learn(self, runs: list[str]) -> None:
-        """Put runs (without their first marker) into the memo, each checked against the library."""
+    def learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Packed ids of runs (without their first marker), each checked against the library; they go into the memo."""
         expected = self.library.encode(runs, num_threads=1)
-        parts, memo = self.parts, self.memo
-        if len(parts) > self.most // 2:
-            parts.clear()
+        parts, learned = self.parts, {}
         for run, want in zip(runs, expected, strict=True):
             packed = b""
             for part in self.parted(MARK + run):
                 found = parts.get(part)
                 if found is None:
                     ids = self.merge(part)
-                    found = parts[part] = pack(f"<{len(ids)}I", *ids)
+                    found = parts.keep(part, pack(f"<{len(ids)}I", *ids), 2 * len(part) + 4 * len(ids))
                 packed += found
             # A lone marker is what follows a text's last space; alone, the library encodes "" to no ids.
             if packed != pack(f"<{len(want)}I", *want) and run:
                 raise RuntimeError(f"agenda and library differ on {run[:80]!r}: {unpack(f'<{len(packed) // 4}I', packed)[:20]} {want[:20]}")
-            memo[run] = packed
+            learned[run] = self.memo.keep(run, packed, 2 * len(run) + len(packed))
+        return learned
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """UTF-8 of each list of packed ids: pieces put together, byte pieces as bytes, the dummy prefix taken off."""
@@ -149,12 +146,10 @@ class Agenda:
         hits = [list(map(self.memo.get, rs)) for rs in cut]
         missing = {r for rs, h in zip(cut, hits, strict=True) if None in h for r, x in zip(rs, h, strict=True) if x is None}
         if missing:
-            if len(self.memo) + len(missing) > self.most:  # keep what this batch uses
-                self.memo = {r: self.memo[r] for r in set().union(*cut) - missing}
-            self.learn(list(missing))
-            for k, h in enumerate(hits):
+            learned = self.learn(list(missing))
+            for k, (rs, h) in enumerate(zip(cut, hits, strict=True)):
                 if None in h:
-                    hits[k] = map(self.memo.__getitem__, cut[k])
+                    hits[k] = [learned[r] if x is None else x for r, x in zip(rs, h, strict=True)]
         ids = [begin + b"".join(h) + end for h in hits]
         decoded = self.decode(ids)
         for k in range(len(texts)) if verify == "texts" else [len(texts) // 2][: len(texts)]:

@@ -3,22 +3,26 @@
 A passage is repeated if a run of `length` words (50) occurs elsewhere: in another document or again in the
 same one. Suffixes are kept only at minimiser positions: the place whose k-word hash is least among w
 consecutive ones (the last on ties), w + k - 1 words together, so that any two occurrences of a passage
-have the same retained places in it, the first of them within its first w words. A retained suffix is
-ordered by the fingerprint of its first length - w + 1 words; suffixes that are neighbours in that order
-with equal fingerprints are candidates. Matches are extended right and left of each candidate: every
-window of `length` words that holds it at one of the w possible offsets is fingerprinted, and windows with
-equal fingerprints are equal passages. Runs of overlapping windows form a span. The first occurrence of
-each window (least id, then least position) is the original; spans are made of the windows that have
-an earlier original elsewhere, so one copy of every passage stays.
-
-Scale: equal texts are one text until the end. Neighbours are found by counting equal fingerprints, with
-counts combined before each shuffle, so a passage that a third of all documents share is no hot spot;
-joins of windows to their originals are plain equi-joins that adaptive execution can split. Texts are
-shuffled once, and only windows around candidates are ever made. Fingerprints are 64-bit hashes.
+have the same retained places in it, the first of them within its first w words. Retained suffixes whose
+leading length - w + 1 words occur in no other text are left out by counts of those words' fingerprints.
+The rest are sorted by their words over all partitions, and each is compared, word by word, with the one
+before and the one after it: the longer of the two common prefixes is the longest it has with any other
+suffix, and tells how far its match reaches to the right. To the left a match is extended by up to w - 1
+words: each window of `length` words around the suffix that the right match leaves possible is
+fingerprinted (96 bits), and windows with equal fingerprints are equal passages. Runs of overlapping windows
+form a span. The first occurrence of each window (least id, then least position) is the original; spans
+are made of the windows that have an earlier original elsewhere, so one copy of every passage stays.
+
+Scale: equal texts are one text until the end (128 bits of hashes). The suffix order is a range partitioning
+by words, text and place together, so that a passage which a third of all documents share is cut over
+partitions as well; suffixes at the edge of a partition keep the neighbour they lack as a possible match.
+Fingerprints are counted with counts combined before each shuffle; joins of windows to their originals are
+plain equi-joins that adaptive execution can split. Texts are shuffled once, by text, and only the words
+around candidates a second time. Two texts with the same first 64 bits (not the second) have no spans.
 
 Defined cases: null, empty and short texts have no spans; very long texts are read whole; repeated rows and
-ids: every row but the first (least id; null ids last) of equal texts is a copy of the first; null
-ids take part; an empty table gives an empty result; other columns are not carried by repeats().
+ids: every row but the first (least id; null ids last) of equal texts is a copy of the first; ids may be of
+any type and null; an empty table gives an empty result; other columns are not carried by repeats().
 """
 
 from __future__ import annotations
@@ -27,175 +31,230 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import WordIds, partitions, save, slices, texts_of, window_hashes
+from credenza.llm.common import WordIds, mix, partitions, save, slices, texts_of, window_hashes
 
 LENGTH, WINDOW, GRAM = 50, 20, 8
+#: Words of a suffix that any two occurrences of a passage have in common from their first retained place on.
+LEAD = LENGTH - WINDOW + 1
 #: The same words as in common.WORD, on bytes, for their places in a text.
 PLACES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def text_key(text: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
 def minimisers(grams: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the last least hash among each w consecutive ones (of all, if there are fewer)."""
-    n = len(grams)
-    if not n:
+    """The position of the last least hash among each w consecutive ones; it never falls."""
+    if len(grams) < w:
         return np.empty(0, dtype=np.int64)
-    if n <= w:
-        return np.array([n - 1 - int(np.argmin(grams[::-1]))])
     views = np.lib.stride_tricks.sliding_window_view(grams, w)[:, ::-1]
-    return np.unique(np.arange(n - w + 1) + (w - 1 - np.argmin(views, axis=1)))
+    return np.arange(len(grams) - w + 1) + (w - 1 - np.argmin(views, axis=1))
 
 
 def suffixes(batches):
-    """(id, text) to one row (id, key, n_words) per document, with the fingerprints of its retained suffixes
-    (and of those that occur twice in it), once per task and text."""
-    ids, seen, width = WordIds(), set(), LENGTH - WINDOW + 1
+    """(id, node, mark, text) to one row (id, node, mark, n_words) per document, with the fingerprints of its retained
+    suffixes' leads (and of those that occur twice in it), once per task and text."""
+    ids, seen = WordIds(), set()
     for batch in batches:
-        for part in slices(batch, most=8 << 20):
-            keys, counts, prints, twice = [], [], [], []
-            for text in texts_of(part):
-                key = text_key(text)
+        for part in slices(batch):
+            counts, prints, twice = [], [], []
+            for node, text in zip(part.column("node").to_pylist(), texts_of(part), strict=True):
                 words = text.split()
-                keys.append(key)
                 counts.append(len(words))
-                if len(words) < LENGTH or key in seen:
+                if len(words) < LENGTH or node in seen:
                     prints.append(None)
                     twice.append(None)
                     continue
-                seen.add(key)
+                seen.add(node)
                 array = ids.array(words)
-                runs = window_hashes(array, width)
-                places = minimisers(window_hashes(array, GRAM), WINDOW)
-                names, n = np.unique(runs[places[places < len(runs)]], return_counts=True)
+                names, n = np.unique(retained(array)[1], return_counts=True)
                 prints.append(names.view(np.int64))
                 twice.append(names[n > 1].view(np.int64))
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["id", "key", "n_words", "prints", "twice"])
+            arrays = [part.column(c) for c in ("id", "node", "mark")] + [pa.array(counts, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "node", "mark", "n_words", "prints", "twice"])
+
+
+def retained(array: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the retained suffixes, the fingerprints of their leads, and the first and last window (by its first
+    word) whose minimiser each is. A window's minimiser depends on its own words alone."""
+    of_window = minimisers(window_hashes(array, GRAM), WINDOW)[: max(0, len(array) - LENGTH + 1)]
+    places, first, n = np.unique(of_window, return_index=True, return_counts=True)
+    return places, window_hashes(array, LEAD)[places], first, first + n - 1
 
 
-def windows(batches):
-    """(key, text, prints: the text's candidate suffix fingerprints) to (key, position, print) of the windows around them."""
-    ids, width = WordIds(), LENGTH - WINDOW + 1
+def contexts(batches):
+    """(id, node, text, prints: of the text's candidate suffixes) to those suffixes: their first LENGTH words, the words
+    before them that their windows hold, and the number of those windows."""
+    ids = WordIds()
     for batch in batches:
-        for part in slices(batch, most=4 << 20):
-            out_key, out_at, out_print = [], [], []
-            for key, text, prints in zip(part.column("key").to_pylist(), texts_of(part), part.column("prints").to_pylist(), strict=True):
-                if text_key(text) != key:  # another row with the same id
-                    continue
-                array = ids.array(text.split())
-                runs = window_hashes(array, width)
-                places = minimisers(window_hashes(array, GRAM), WINDOW)
-                places = places[places < len(runs)]
-                places = places[np.isin(runs[places], np.array(prints, dtype=np.int64).view(np.uint64))]
-                if not len(places):
-                    continue
-                at = np.unique((places[:, None] - np.arange(WINDOW)[None, :]).ravel())
-                at = at[(at >= 0) & (at <= len(array) - LENGTH)]
-                if len(at):
-                    out_key.append(np.full(len(at), key, dtype=np.int64))
-                    out_at.append(at)
-                    out_print.append(window_hashes(array, LENGTH)[at].view(np.int64))
-            if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_key, out_at, out_print)], ["key", "at", "print"])
+        for part in slices(batch, most=2 << 20):
+            rows: list[tuple] = []
+            for doc, node, text, prints in zip(*(part.column(c).to_pylist() for c in ("id", "node")), texts_of(part), part.column("prints").to_pylist(), strict=True):
+                words = text.split()
+                places, leads, first, last = retained(ids.array(words))
+                own = np.isin(leads, np.array(prints, dtype=np.int64).view(np.uint64))
+                for at, a, z in zip(places[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
+                    rows.append((b" ".join(words[at : at + LENGTH]), b" ".join(words[a:at]), at - a, z - a + 1, doc, node, at))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), part.column("id").type, pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["suffix", "before", "n_before", "n_windows", "least", "node", "at"])
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """Number of words at the beginning that a and b (words with one space between them) have in common."""
+    if a == b:
+        return a.count(b" ") + 1
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the length of the common prefix in bytes
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    ends = all(low == len(x) or x[low] == 32 for x in (a, b))
+    return a.count(b" ", 0, low) + ends
+
+
+def neighbours(batches):
+    """Suffixes in order to the windows (node, at, print, mark, least) that their matches with the one before and the
+    one after make possible."""
+    ids, last, reach = WordIds(), None, LENGTH
+    for batch in batches:
+        for part in slices(batch, "suffix", most=1 << 20):
+            names = part.schema.names
+            rows = list(zip(*(part.column(c).to_pylist() for c in names), strict=True))
+            shared = [common_words(a[0], b[0]) for a, b in zip([last, *rows] if last else rows, rows if last else rows[1:], strict=False)]
+            # The row before this slice waits for its later neighbour; so does this slice's last row.
+            ready = [last, *rows[:-1]] if last else rows[:-1]
+            left = [reach, *shared[:-1]] if shared else []
+            if ready:
+                yield windows_of(ready, [max(x, y) for x, y in zip(left, shared, strict=True)], ids, part.schema.field("least").type)
+            last, reach = rows[-1], shared[-1] if shared else LENGTH
+    if last:
+        yield windows_of([last], [LENGTH], ids, part.schema.field("least").type)
+
+
+def windows_of(rows: list[tuple], reach: list[int], ids: WordIds, kind: pa.DataType) -> pa.RecordBatch:
+    """The windows of suffixes that match another suffix in so many words."""
+    words, sizes = [], []
+    for suffix, before, n_before, *_ in rows:
+        own = (before.split() if n_before else []) + suffix.split()
+        sizes.append(len(own))
+        words += own
+    sizes, n_before, n, at = (np.array(x, dtype=np.int64) for x in (sizes, [r[2] for r in rows], [r[3] for r in rows], [r[6] for r in rows]))
+    # Window i of a row holds n_before - i words before the suffix, and so many words less of its match.
+    n = np.maximum(0, np.minimum(n, n_before + np.array(reach, dtype=np.int64) - LENGTH + 1))
+    row = np.repeat(np.arange(len(rows)), n)
+    i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    array = ids.array(words)
+    prints, marks = window_hashes(array, LENGTH), window_hashes(mix(array ^ np.uint64(LENGTH)), LENGTH)
+    where = (np.cumsum(sizes) - sizes)[row] + i
+    taken = row.tolist()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([rows[r][5] for r in taken], pa.int64()), pa.array(at[row] - n_before[row] + i), pa.array(prints[where].view(np.int64)), pa.array((marks[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array([rows[r][4] for r in taken], kind)],
+        ["node", "at", "print", "mark", "least"],
+    )
 
 
 def merged(batches):
-    """(key, at, o_id, o_at, ...) sorted by key and at, rows of a key together, to spans of overlapping windows."""
-    now = None
+    """(node, at, o_id, o_at) sorted by node and at, rows of a node together, to spans of overlapping windows."""
+    now, kind = None, None
     for batch in batches:
-        rows = []
-        for key, at, o_id, o_at in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "o_id", "o_at")), strict=True):
-            if now and now[0] == key and at <= now[2]:
+        rows, kind = [], batch.column("o_id").type
+        for node, at, o_id, o_at in zip(*(batch.column(c).to_pylist() for c in ("node", "at", "o_id", "o_at")), strict=True):
+            if now and now[0] == node and at <= now[2]:
                 now[2] = at + LENGTH
             else:
                 if now:
                     rows.append(now)
-                now = [key, at, at + LENGTH, o_id, o_at]
+                now = [node, at, at + LENGTH, o_id, o_at]
         if rows:
-            yield _spans(rows, batch.column("o_id").type)
+            yield _spans(rows, kind)
     if now:
-        yield _spans([now], None)
+        yield _spans([now], kind)
 
 
-def _spans(rows: list[list], kind) -> pa.RecordBatch:
+def _spans(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "first_word", "end_word", "o_id", "o_at"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), kind, pa.int64()), strict=True)], ["node", "first_word", "end_word", "o_id", "o_at"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span that is not the first occurrence: id, first_word, end_word (word numbers, the
     end excluded), n_words, of_id and of_word (where the span's first window occurs first)."""
-    return _located(docs, id_col, text_col)[0].drop("key", "again")
-
-
-def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The spans of repeats() with the text's key, and the rows (id, key, n_words, least)."""
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    read = save(narrow.mapInArrow(suffixes, "id bigint, key bigint, n_words bigint, prints array<bigint>, twice array<bigint>"), "suffixes")
-    texts = save(read.filter(F.col("n_words") >= LENGTH).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts", fewer=True)
-    # The sparse suffix order: equal fingerprints are neighbours. A text's own repeats count as well.
-    suffix = read.filter("prints IS NOT NULL").select("key", F.explode("prints").alias("print"))
-    shared = save(suffix.groupBy("print").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("print"), "shared", fewer=True)
-    within = read.select("key", F.explode("twice").alias("print"))
-    marked = suffix.join(shared, "print").select("key", "print").unionByName(within)
-    per_text = marked.groupBy("key").agg(F.collect_set("print").alias("prints")).join(texts, "key")
-    chosen = per_text.select("key", "prints", "least")
-    body = narrow.join(chosen, F.col("id").eqNullSafe(F.col("least"))).select("key", "text", "prints")
-    placed = save(body.mapInArrow(windows, "key bigint, at bigint, print bigint").dropDuplicates(["key", "at"]), "windows")
-    origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("key")))
-    owned = placed.join(texts.select("key", "least"), "key")
-    first = owned.groupBy("print").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", F.col("o.key").alias("o_key"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
-    first = save(first, "first", fewer=True)
-    later = placed.join(first, "print").filter((F.col("key") != F.col("o_key")) | (F.col("at") != F.col("o_at")))
-    # Rows of one text together and in order; texts are many and each is bounded by its own length.
-    ordered = later.select("key", "at", "o_id", "o_at").repartition(partitions(spark), "key").sortWithinPartitions("key", "at")
-    spans = save(ordered.mapInArrow(merged, "key bigint, first_word bigint, end_word bigint, o_id bigint, o_at bigint"), "spans", fewer=True)
-    rows = read.filter(F.col("n_words") >= LENGTH).select("id", "key", "n_words").join(texts.select("key", "least", "copies"), "key")
+    rows, texts, spans = _located(docs, id_col, text_col)
+    every = rows.join(texts.select("node", "least", "copies"), "node")
     # Equal texts: one row, the least id, stands for the text; of repeated rows of that id too, any but one is a copy.
-    lead = rows.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("key", "id").agg(F.count("*").alias("same"), F.first("n_words").alias("n_words"))
-    of_first = lead.join(spans, "key").select("id", "key", "first_word", "end_word", F.col("o_id").alias("of_id"), F.col("o_at").alias("of_word"), F.lit(False).alias("again"))
-    again = lead.filter("same > 1").select("id", "key", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), F.col("id").alias("of_id"), F.lit(0).cast("long").alias("of_word"), F.lit(True).alias("again"), F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))).alias("x")).drop("x")
-    others = rows.filter(~F.col("id").eqNullSafe(F.col("least"))).select("id", "key", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), F.col("least").alias("of_id"), F.lit(0).cast("long").alias("of_word"), F.lit(False).alias("again"))
-    every = of_first.unionByName(others).unionByName(again)
-    out = every.select(F.col("id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "of_id", "of_word", "key", "again")
-    return out, rows
+    lead = every.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("node", "id").agg(F.count("*").alias("same"), F.first("n_words").alias("n_words"))
+    long = lambda n: F.lit(n).cast("long")
+    of_first = lead.join(spans, "node").select("id", "first_word", "end_word", F.col("o_id").alias("of_id"), F.col("o_at").alias("of_word"))
+    again = lead.filter("same > 1").select("id", long(0).alias("first_word"), F.col("n_words").alias("end_word"), F.col("id").alias("of_id"), long(0).alias("of_word"), F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))).alias("x")).drop("x")
+    others = every.filter(~F.col("id").eqNullSafe(F.col("least"))).select("id", long(0).alias("first_word"), F.col("n_words").alias("end_word"), F.col("least").alias("of_id"), long(0).alias("of_word"))
+    found = of_first.unionByName(others).unionByName(again)
+    return found.select(F.col("id").alias(id_col), "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "of_id", "of_word")
+
+
+def _keys(text: Column) -> list[Column]:
+    """node and mark: 64 bits each of the text's identity."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("node"), F.xxhash64(F.lit(LENGTH), whole).alias("mark")]
+
+
+def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of texts of LENGTH words or more: the rows (id, node, n_words), the texts (node, mark, least id, copies) and the
+    spans (node, first_word, end_word, o_id, o_at) of each text but for the first occurrences."""
+    narrow = docs.select(F.col(id_col).alias("id"), *_keys(F.col(text_col)), F.col(text_col).alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    read = save(narrow.mapInArrow(suffixes, f"id {kind}, node bigint, mark bigint, n_words bigint, prints array<bigint>, twice array<bigint>"), "suffixes")
+    enough = read.filter(F.col("n_words") >= LENGTH)
+    texts = enough.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
+    texts = save(texts.filter("mark = other").drop("other"), "texts")
+    # Leads that another text has too; a text's own repeats count as well.
+    suffix = read.filter("prints IS NOT NULL").select("node", F.explode("prints").alias("print"))
+    shared = suffix.groupBy("print").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("print")
+    marked = suffix.join(shared, "print").select("node", "print").unionByName(read.select("node", F.explode("twice").alias("print")))
+    chosen = marked.groupBy("node").agg(F.collect_set("print").alias("prints")).join(texts, "node").select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "prints", "least")
+    body = narrow.join(chosen, (F.col("node") == F.col("c_node")) & (F.col("mark") == F.col("c_mark")) & F.col("id").eqNullSafe(F.col("least"))).select("id", "node", "text", "prints")
+    candidates = save(body.mapInArrow(contexts, f"suffix binary, before binary, n_before int, n_windows int, least {kind}, node bigint, at bigint"), "candidates")
+    order = ["suffix", "node", "at"]
+    ordered = candidates.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    placed = save(ordered.mapInArrow(neighbours, f"node bigint, at bigint, print bigint, mark int, least {kind}"), "windows")
+    origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("node")))
+    first = placed.groupBy("print", "mark").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", "mark", F.col("o.node").alias("o_node"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
+    later = placed.join(first, ["print", "mark"]).filter((F.col("node") != F.col("o_node")) | (F.col("at") != F.col("o_at")))
+    # Rows of one text together and in order; texts are many and each is bounded by its own length.
+    inside = later.select("node", "at", "o_id", "o_at").repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "at")
+    spans = save(inside.mapInArrow(merged, f"node bigint, first_word bigint, end_word bigint, o_id {kind}, o_at bigint"), "spans")
+    return enough.select("id", "node", "n_words"), texts, spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """docs with the words of every repeated span cut out of the text (first occurrences stay); all rows and
     columns. Equal texts keep their words in the row with the least id; rows equal in id and text are
     trimmed alike, as the first. count_col, if present, becomes the new length."""
-    spans = _located(docs, id_col, text_col)[0].filter("NOT again")
-    cut = spans.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set(F.struct("key", "first_word", "end_word")).alias("__spans"))
+    _, texts, spans = _located(docs, id_col, text_col)
+    of_text = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("spans"))
+    cut = texts.join(of_text, "node", "left").filter("copies > 1 OR spans IS NOT NULL").select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "least", "spans")
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).cast("long").alias("__i"), F.col(text_col).alias("text"))
-    joined = rows.join(cut, F.col("__i").eqNullSafe(F.col("__id")), "left").select("row", "text", F.col("__spans").alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_keys(F.col(text_col)))
+    joined = rows.join(cut, (F.col("node") == F.col("c_node")) & (F.col("mark") == F.col("c_mark")), "left")
+    joined = joined.select("row", "text", F.col("spans"), (F.col("c_node").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))).alias("whole"))
     out = joined.mapInArrow(_trim, f"row {docs.schema.simpleString()}, text string")
     replaced = [F.col("text").alias(c) if c == text_col else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(f"row.`{c}`").alias(c) for c in columns]
     return out.select(*replaced)
 
 
 def _trim(batches):
-    """Cuts the spans that name this very text (an id may have several texts)."""
+    """Cuts the spans out of each text, or all of its words."""
     for batch in batches:
         texts = []
-        for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
-            key = text_key(text) if spans else None
-            own = sorted((s["first_word"], s["end_word"]) for s in spans or () if s["key"] == key)
-            if own:
+        for text, spans, whole in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+            if text and (whole or spans):
                 places = [m.span() for m in PLACES.finditer(text)]
                 kept, at = [], 0
-                for first, end in own:
+                for first, end in [(0, len(places))] if whole else [(s["first_word"], s["end_word"]) for s in spans]:
                     kept.append(text[at : max(at, places[first][0])])
                     at = max(at, places[min(end, len(places)) - 1][1])
                 text = b"".join(kept) + text[at:]

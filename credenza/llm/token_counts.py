@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import partitions, slices
+from credenza.llm.common import Memo, partitions, slices
 from credenza.llm.postings import block_number, counted, dealt, packed, unpacked
 
 #: The byte-level pre-token pattern (white space by its Unicode property) and those characters.
@@ -36,7 +37,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 class Cutter:
     """Pre-tokens of texts; special strings are kept whole."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 96 << 20):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -47,8 +48,7 @@ class Cutter:
         special = [t["content"] for t in model["added_tokens"]]
         self.special = special
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        self.memo: dict[str, tuple[str, ...]] = {}
-        self.most = most
+        self.memo = Memo(most)
 
     def pretokens(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -85,13 +85,11 @@ class Cutter:
 
         s_term, s_doc, s_n = pairs(of_spaced)
         w_term, w_doc, w_n = pairs(of_whole)
-        if len(self.memo) > self.most:
-            self.memo.clear()
         sizes, flat = np.empty(len(spaced), dtype=np.int64), []
         for i, w in enumerate(spaced):
             found = self.memo.get(w)
             if found is None:
-                found = self.memo[w] = tuple(self.find(" " + w))
+                found = self.memo.keep(w, tuple(self.find(" " + w)), 4 * len(w) + 100)
             sizes[i] = len(found)
             flat.extend([whole.setdefault(t, len(whole)) for t in found])
         starts = np.cumsum(sizes) - sizes
@@ -153,41 +151,45 @@ BLOBS = "bucket int, block bigint, head boolean, blob binary"
 
 
 def count_bucket(path: str):
-    """All blobs of a bucket to per-document sums of pieces, by block."""
+    """The blobs of a bucket, one after the other, to per-document sums of pieces, by block."""
 
-    def run(table: pa.Table) -> pa.Table:
-        library = tokenizer(path)
-        pieces: dict[bytes, int] = {}
-        out_block, out_head, out_blob = [], [], []
-        for block, head, blob in zip(table.column("block").to_pylist(), table.column("head").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            if head:
-                out_block.append(block), out_head.append(True), out_blob.append(blob)
-                continue
-            names, sizes, runs, docs, freq = unpacked(blob)
-            ends = np.cumsum(sizes).tolist()
-            own = [names[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            new = [x for x in own if x not in pieces]
-            for x, encoded in zip(new, library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-                pieces[x] = len(encoded.ids)
-            each = np.repeat(np.array([pieces[x] for x in own], dtype=np.int64), runs)
-            present, where = np.unique(docs, return_inverse=True)
-            sums = np.bincount(where, weights=each * freq.astype(np.int64)).astype(np.uint64)
-            out_block.append(block), out_head.append(False), out_blob.append(packed(present.astype(np.uint32), sums.astype(np.uint64)))
-        return pa.table({"block": pa.array(out_block, pa.int64()), "head": pa.array(out_head, pa.bool_()), "blob": pa.array(out_blob, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, pieces = tokenizer(path), Memo(64 << 20)
+        for batch in batches:
+            blocks, heads, blobs = (batch.column(c).to_pylist() for c in ("block", "head", "blob"))
+            out = [blob if head else packed(*sums_of(blob, library, pieces)) for head, blob in zip(heads, blobs, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(heads, pa.bool_()), pa.array(out, pa.binary())], ["block", "head", "blob"])
 
     return run
 
 
-def sum_block(table: pa.Table) -> pa.Table:
+def sums_of(blob: bytes, library, pieces: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a blob of postings and their sums of pieces."""
+    names, sizes, runs, docs, freq = unpacked(blob)
+    ends = np.cumsum(sizes).tolist()
+    own = [names[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    counts = list(map(pieces.get, own))
+    new = [i for i, n in enumerate(counts) if n is None]
+    for i, encoded in zip(new, library.encode_batch_fast([own[i].decode() for i in new], add_special_tokens=False), strict=True):
+        counts[i] = pieces.keep(own[i], len(encoded.ids), len(own[i]))
+    each = np.repeat(np.array(counts, dtype=np.int64), runs)
+    present, where = np.unique(docs, return_inverse=True)
+    return present.astype(np.uint32), np.bincount(where, weights=each * freq.astype(np.int64)).astype(np.uint64)
+
+
+def sum_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's heading and sums to one row per document."""
-    heads = [b for h, b in zip(table.column("head").to_pylist(), table.column("blob").to_pylist(), strict=True) if h]
-    rows = pa.ipc.open_stream(heads[0]).read_all()
+    rows, sums = None, []
+    for batch in batches:
+        for head, blob in zip(batch.column("head").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if head:
+                rows = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            else:
+                sums.append(unpacked(blob))
     total = np.zeros(rows.num_rows, dtype=np.int64)
-    for head, blob in zip(table.column("head").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        if not head:
-            docs, sums = unpacked(blob)
-            total[docs] += sums.astype(np.int64)
-    return pa.table({"id": rows.column("id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
+    for docs, n in sums:
+        total[docs] += n.astype(np.int64)
+    yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns] + [pa.array(total, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

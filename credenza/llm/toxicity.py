@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import held_out, slices
+from credenza.llm.common import Memo, held_out, slices
 
 #: Identity terms by kind. A term is swapped for the next of its kind.
 IDENTITY_TERMS = (
@@ -129,7 +129,7 @@ def scorer(chosen: np.ndarray, weights: np.ndarray, intercept: float):
 
     def run(batches):
         place = {h: i for i, h in enumerate(hashes)}
-        memo: dict[str, tuple[int, ...]] = {}
+        memo = Memo(48 << 20)
         for batch in batches:
             for part in slices(batch):
                 scores = []
@@ -139,13 +139,11 @@ def scorer(chosen: np.ndarray, weights: np.ndarray, intercept: float):
                     hits = list(map(memo.get, words))
                     for word, hit in zip(words, hits, strict=True):
                         if hit is None:
-                            hit = memo[word] = tuple(place[h] for h in map(feature_hash, features_of_word(word)) if h in place)
+                            hit = memo.keep(word, tuple(place[h] for h in map(feature_hash, features_of_word(word)) if h in place), 2 * len(word) + 64)
                         if hit:
                             present.update(hit)
                     z = intercept + sum(values[i] for i in sorted(present))
                     scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-                    if len(memo) > 400_000:
-                        memo.clear()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
     return run

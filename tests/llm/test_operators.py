@@ -56,7 +56,7 @@ def texts(seed: int, n: int) -> list[str]:
 def test_agenda_is_the_library():
     agenda = sentencepiece_codec.Agenda(PIECES)
     agenda.batch(texts(1, 2000), "texts")
-    agenda.most = 10
+    agenda.memo.most = agenda.parts.most = 1 << 15
     agenda.batch(texts(2, 500), "texts")
 
 
