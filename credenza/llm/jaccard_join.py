@@ -2,11 +2,12 @@
 
 Rows with equal shingle sets are one node. Nodes are compared only where they can link: sets of similarity
 s or more share a shingle among the first n - ceil(s n) + 1 of each in one global order (frequent shingles
-last, then by hash), so candidates are gathered per shared prefix shingle, equal gatherings once. Each
-node is a point: its shingles hashed into 512 groups, and the count in each. A gathering's points are packed
-into an R-tree; the overlap with a node, or with all of a page (by its greatest coordinates), is at most
-the summed coordinate minima, and branches below the needed overlap are cut. Surviving pairs are
-verified on the shingle sets of the texts.
+last, then by hash), so nodes are gathered per shared prefix shingle, equal gatherings once. Each node is a
+point: its shingles hashed into 512 groups, and the count in each. A gathering's points are packed into an
+R-tree (pages by recursive cuts at the median of the coordinate that varies most, then levels of eight
+boxes to a box), and each point is sent down the tree: the overlap with a point, or with all that a box holds
+(by its greatest coordinates), is at most the summed coordinate minima, and branches below the needed
+overlap are cut. Pairs that survive are verified on the texts' shingles, first by hashes, then word by word.
 
 Rounds: first each point proposes only its best earlier partner, and the verified links are joined to
 components; then all surviving pairs that still lie in two components are verified. A pair is never
@@ -15,8 +16,7 @@ no other pair is left out: the components are exact. Gatherings of more than CHU
 chunks (each with the first node), and nodes outside the first node's component are then compared with
 every chunk.
 
-Shingles and nodes are 64-bit hashes (xxh3); two sets of different texts with equal hashes would be taken
-for equal.
+Nodes are 64-bit hashes (xxh3) of shingle sets; two different sets with equal hashes would be taken for equal.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component;
 fewer than k words are one shingle; repeated rows and ids and null ids are rows of their own (component_id
@@ -25,17 +25,19 @@ is the smallest id that is not null, or null); an empty table gives an empty res
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credenza.llm.common import WordIds, partitions, save, slices, texts_of, window_hashes
 from credenza.llm.graph import components
 from credenza.llm.postings import packed, unpacked
 
-GROUPS, LEAF, CHUNK = 512, 32, 2048
+GROUPS, LEAF, FANOUT, CHUNK = 512, 32, 8, 1024
 #: Shingles in this many documents of a slice are reported as frequent; the most frequent are put last in the order.
 FREQUENT, MOST_FREQUENT = 8, 100_000
 
@@ -67,12 +69,12 @@ def point_of(found: np.ndarray) -> bytes:
 
 
 def read_sets(k: int):
-    """(id, text) to one row per document (node, size, counts) and rows of frequent shingles of the slice."""
+    """(id, tkey, text) to one row per document (node, size, counts) and rows of frequent shingles of the slice."""
 
     def run(batches):
         ids = WordIds()
         for batch in batches:
-            for part in slices(batch, most=16 << 20):
+            for part in slices(batch, most=8 << 20):
                 nodes, sizes, counts, every = [], [], [], []
                 for text in texts_of(part):
                     found = shingles(text, ids, k)
@@ -84,9 +86,10 @@ def read_sets(k: int):
                 names, times = np.unique(np.concatenate(every), return_counts=True)
                 names, times = names[times >= FREQUENT].view(np.int64), times[times >= FREQUENT]
                 m = len(names)
+                own = pa.array([*range(n), *[None] * m], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array([*range(n), *[None] * m], pa.int64())), pa.array([False] * n + [True] * m), pa.array(nodes + [None] * m, pa.int64()), pa.array(sizes + [0] * m, pa.int64()), pa.array(counts + [None] * m, pa.binary()), pa.array([None] * n + names.tolist(), pa.int64()), pa.array([0] * n + times.tolist(), pa.int64())],
-                    ["id", "frequent", "node", "n_shingles", "counts", "shingle", "times"],
+                    [part.column("id").take(own), part.column("tkey").take(own), pa.array([False] * n + [True] * m), pa.array(nodes + [None] * m, pa.int64()), pa.array(sizes + [0] * m, pa.int64()), pa.array(counts + [None] * m, pa.binary()), pa.array([None] * n + names.tolist(), pa.int64()), pa.array([0] * n + times.tolist(), pa.int64())],
+                    ["id", "tkey", "frequent", "node", "n_shingles", "counts", "shingle", "times"],
                 )
 
     return run
@@ -105,7 +108,7 @@ def prefix_postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
     def run(batches):
         ids, seen = WordIds(), set()
         for batch in batches:
-            for part in slices(batch, most=16 << 20):
+            for part in slices(batch, most=8 << 20):
                 nodes, prefixes = [], []
                 for text in texts_of(part):
                     found = shingles(text, ids, k)
@@ -165,28 +168,53 @@ def gather(most: int):
     return run
 
 
+def page_order(points: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The points' numbers, page after page, and where pages begin: cut at the median of the coordinate that varies
+    most until a page has LEAF points or fewer."""
+    order, starts, open_ = [], [], [np.arange(len(points))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= LEAF:
+            starts.append(sum(map(len, order)))
+            order.append(own)
+            continue
+        axis = int(np.argmax(points[own].var(axis=0)))
+        own = own[np.argsort(points[own, axis], kind="stable")]
+        open_ += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate(order), starts
+
+
 class RTree:
-    """Points (counts) packed into pages by size; a page knows its greatest coordinates and least size."""
+    """Points (counts) in pages, and levels of boxes over them; a box knows the greatest coordinates and the least size
+    of what it holds."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((points[:, 0], sizes)) if len(points) else np.empty(0, dtype=np.int64)
+        self.order, starts = page_order(points)
         self.points, self.sizes = points[self.order], sizes[self.order]
-        cuts = np.arange(0, len(points), LEAF)
-        self.pages = [(int(a), int(min(a + LEAF, len(points)))) for a in cuts]
-        self.greatest = np.array([self.points[a:b].max(axis=0) for a, b in self.pages]).reshape(len(self.pages), points.shape[1])
-        self.least = np.array([self.sizes[a:b].min() for a, b in self.pages], dtype=np.int64)
+        self.ends = np.r_[starts[1:], len(points)].astype(np.int64)
+        self.starts = np.array(starts, dtype=np.int64)
+        boxes, least = (np.maximum.reduceat(self.points, starts, axis=0), np.minimum.reduceat(self.sizes, starts)) if len(points) else (points, sizes)
+        self.levels = [(boxes, least)]
+        while len(boxes) > FANOUT:
+            cuts = np.arange(0, len(boxes), FANOUT)
+            boxes, least = np.maximum.reduceat(boxes, cuts, axis=0), np.minimum.reduceat(least, cuts)
+            self.levels.append((boxes, least))
 
     def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the points that may link with this one, and their overlap bounds."""
-        near = np.minimum(self.greatest, point).sum(axis=1) >= needed(self.least, size, percent)
-        hits, bounds = [], []
-        for page in np.flatnonzero(near):
-            a, b = self.pages[page]
-            bound = np.minimum(self.points[a:b], point).sum(axis=1)
-            good = np.flatnonzero(bound >= needed(self.sizes[a:b], size, percent))
-            hits.append(self.order[a + good])
-            bounds.append(bound[good])
-        return (np.concatenate(hits), np.concatenate(bounds)) if hits else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        found = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            boxes, least = self.levels[depth]
+            found = found[np.minimum(boxes[found], point).sum(axis=1) >= needed(least[found], size, percent)]
+            if depth:
+                found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                found = found[found < len(self.levels[depth - 1][0])]
+        if not len(found):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at = np.concatenate([np.arange(self.starts[p], self.ends[p]) for p in found])
+        bounds = np.minimum(self.points[at], point).sum(axis=1)
+        good = bounds >= needed(self.sizes[at], size, percent)
+        return self.order[at[good]], bounds[good]
 
 
 def compare(percent: int, forest: bool):
@@ -234,46 +262,48 @@ def tree_sizes(sizes: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return sizes[sides == 0]
 
 
+def similar(a: np.ndarray | set, b: np.ndarray | set, percent: int) -> bool:
+    both = len(a & b) if isinstance(a, set) else len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def verify(k: int, percent: int):
-    """(a, b, text_a, text_b), texts compressed, to the pairs whose shingle sets are similar enough."""
+    """(a, b, text_a, text_b), texts compressed, to the pairs whose shingle sets are similar enough: hashes of shingles
+    leave few pairs, whose shingles are compared themselves."""
 
     def run(batches):
         ids, unpack = WordIds(), zstandard.ZstdDecompressor().decompress
-        last: dict[int, np.ndarray] = {}
+        hashed, whole = OrderedDict(), OrderedDict()
 
-        def set_of(node: int, text: bytes) -> np.ndarray:
-            found = last.get(node)
+        def of(node: int, text: bytes, kept: OrderedDict, make):
+            found = kept.get(node)
             if found is None:
-                if len(last) >= 64:
-                    last.clear()
-                found = last[node] = shingles(unpack(text), ids, k)
+                found = kept[node] = make(unpack(text))
+                if len(kept) > 64:
+                    kept.popitem(last=False)
             return found
 
+        def words(text: bytes) -> set[bytes]:
+            own = text.lower().split()
+            n = min(k, len(own))
+            return {b" ".join(own[i : i + n]) for i in range(len(own) - n + 1)}
+
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for i, (x, y, s, t) in enumerate(zip(a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                p, q = set_of(x, s), set_of(y, t)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
+            for i, (x, y, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)):
+                if similar(of(x, s, hashed, lambda v: shingles(v, ids, k)), of(y, t, hashed, lambda v: shingles(v, ids, k)), percent) and similar(of(x, s, whole, words), of(y, t, whole, words), percent):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def compressed(k: int):
-    """(node, text) to (node, compressed text), for the rows whose own set is that node."""
-
-    def run(batches):
-        ids, pack = WordIds(), zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part in slices(batch):
-                texts, nodes = texts_of(part), part.column("node").to_pylist()
-                good = [(n, pack(t)) for n, t in zip(nodes, texts, strict=True) for found in [shingles(t, ids, k)] if len(found) and node_of(found) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.binary())], ["node", "text"])
-
-    return run
+def compressed(batches):
+    """(node, text) to (node, compressed text)."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(map(pack, texts_of(part)), pa.binary())], ["node", "text"])
 
 
 def _candidates(tasks: DataFrame, nodes: DataFrame, comps: DataFrame | None, percent: int, forest: bool) -> DataFrame:
@@ -288,11 +318,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.filter("b IS NOT NULL").select(F.col("b").alias("node"))).dropDuplicates()
 
 
-def _texts(narrow: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _texts(narrow: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, compressed text of one of its rows) of the wanted nodes."""
-    rows = nodes.join(wanted, "node").select("node", F.col("least").alias("w_id"))
-    joined = narrow.join(rows, F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    return save(joined.mapInArrow(compressed(k), "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    rows = nodes.join(wanted, "node").select("node", F.col("o.id").alias("w_id"), F.col("o.tkey").alias("w_tkey"))
+    joined = narrow.join(rows, (F.col("tkey") == F.col("w_tkey")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    return save(joined.mapInArrow(compressed, "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -301,18 +331,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(verify(k, percent), "a bigint, b bigint")
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included) and n_links
-    of the row's class that were verified (0 for a class without links)."""
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, tkey, node, n_shingles), node null for an empty set; and nodes (node, o, comp): o is the first of the
+    node's rows (no_id, id, tkey), by id, null ids last; comp names its component."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    read = save(narrow.mapInArrow(read_sets(k), f"id {kind}, frequent boolean, node bigint, n_shingles bigint, counts binary, shingle bigint, times bigint"), "sets")
+    read = save(narrow.mapInArrow(read_sets(k), f"id {kind}, tkey bigint, frequent boolean, node bigint, n_shingles bigint, counts binary, shingle bigint, times bigint"), "sets")
     top = read.filter("frequent").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64))
     rows = read.filter("NOT frequent")
-    nodes = save(rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("counts").alias("counts"), F.min("id").alias("least")), "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("tkey"))).alias("o")
+    nodes = save(rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("counts").alias("counts"), first), "nodes")
     postings = narrow.select("text").mapInArrow(prefix_postings(k, percent, frequent, buckets), "bucket int, blob binary")
     gathered = postings.groupBy("bucket").applyInArrow(gather(chunk), "gathering bigint, chunk int, chunks int, members array<bigint>")
     gathered = save(gathered.groupBy("gathering", "chunk").agg(F.first("chunks").alias("chunks"), F.first("members").alias("members")), "gathered")
@@ -321,7 +352,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     points = nodes.select("node", "size", "counts")
     proposed = save(_candidates(inside, points, None, percent, True), "proposed")
     # Texts of the nodes that have a possible partner: one row's text per node, compressed.
-    texts = _texts(narrow, nodes, _ends(proposed), k)
+    texts = _texts(narrow, nodes, _ends(proposed))
     links = save(_verified(proposed.filter("b IS NOT NULL"), texts, k, percent), "links")
     comps = components(links)
     rest = _candidates(inside, points, comps, percent, False)
@@ -340,22 +371,39 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         asked = outside.join(large.select("gathering", "chunk"), "gathering").select(task.alias("gathering"), F.lit(1).alias("side"), "node")
         pairs = save(_candidates(across.unionByName(asked), points, comps, percent, False), "proposed")
         # Nodes without a possible partner in their own chunk have no text yet.
-        texts = texts.unionByName(_texts(narrow, nodes, _ends(pairs).join(texts, "node", "left_anti"), k))
+        texts = texts.unionByName(_texts(narrow, nodes, _ends(pairs).join(texts, "node", "left_anti")))
         last = save(_verified(pairs, texts, k, percent), "links")
         every = every.unionByName(last)
     comps = components(every)
-    degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    classes = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("least").alias("component"))
-    by_node = classes.select("node", "comp").join(least, "comp").join(degree, "node", "left").select("node", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("id", "node", "n_shingles").join(by_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = nodes.select("node", "o").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return rows.select("id", "tkey", "node", "n_shingles"), classes
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Per row: id, n_shingles and component_id (the smallest id reachable by links, its own included)."""
+    rows, classes = _classes(docs, k, percent, id_col, text_col, chunk)
+    least = classes.groupBy("comp").agg(F.min("o.id").alias("component"))
+    by_node = classes.select("node", "comp").join(least, "comp").select("node", "component")
+    out = rows.join(by_node, "node", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def first_of_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their class's component_id, one row per id; all columns. Rows with a null id
-    are kept (they name no class)."""
-    classes = similarity_classes(docs, k, percent, id_col, text_col)
-    kept = classes.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__kept")).dropDuplicates()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept")).drop("__kept").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of docs of each class, with all columns: that with the least id (null ids last), of rows with that id the
+    one with the least hash of its text, of rows equal in both the one whose columns, as JSON, come first. Rows without
+    words are classes of their own."""
+    rows, classes = _classes(docs, k, percent, id_col, text_col, CHUNK)
+    firsts = classes.groupBy("comp").agg(F.min("o").alias("o")).select("o.id", "o.tkey")
+    wanted = rows.filter("node IS NOT NULL").join(firsts.select(F.col("id").alias("f_id"), F.col("tkey").alias("f_tkey")), (F.col("tkey") == F.col("f_tkey")) & F.col("id").eqNullSafe(F.col("f_id")))
+    counted = wanted.groupBy("id", "tkey").agg(F.count("*").alias("n"))
+    empty = rows.filter("node IS NULL").select("id", "tkey").dropDuplicates().select("id", "tkey", F.lit(1).cast("long").alias("n"))
+    chosen = counted.unionByName(empty).select(F.col("id").alias("f_id"), F.col("tkey").alias("f_tkey"), "n")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"))
+    kept = whole.join(chosen, (F.col("tkey") == F.col("f_tkey")) & F.col("id").eqNullSafe(F.col("f_id")))
+    # Rows equal in id and text: few as a rule; the least of them, combined before the shuffle.
+    again = kept.filter("n > 1").groupBy("id", "tkey").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.filter("n = 1").select("row.*").unionByName(again.select("row.*"))
