@@ -21,7 +21,8 @@ postings.py), not a token. Pairs are dealt by their second word, those of the fe
 both, so no word is one task; the bucket that makes a pair's entry in the table also knows its documents, adds
 up what can be known there (counts of 1 to 5 stay symbolic until the discounts are known), and sends sums per
 document to the block. Pairs unseen in training go on to their history's bucket, where the table of words gives
-their back-off weight. The 65,536 most frequent words (at most 4,096 of a bucket) are sent as numbers.
+their back-off weight. The most frequent words, 65,536 of them in equal shares of
+the buckets, are sent as numbers.
 
 Words are 64-bit hashes (xxh3); two words with equal hashes would be taken for one.
 
@@ -47,7 +48,7 @@ K = 5
 #: Bytes of text in a block, and training tokens to a bucket beyond which there are more buckets than shuffle partitions.
 SLICE, BUCKET_TOKENS = 6 << 20, 4_000_000
 #: So many of the most frequent words are sent as numbers instead of 64-bit ids.
-COMMON, COMMON_OF_BUCKET = 65_536, 4_096
+COMMON = 65_536
 OUT = "kind string, key bigint, blob binary"
 
 
@@ -89,12 +90,16 @@ def count_words(buckets: int):
 WORD_TABLE = "bucket int, blob binary, tokens bigint, types bigint, counts array<bigint>, top array<struct<id: bigint, n: bigint>>"
 
 
-def sum_words(table: pa.Table) -> pa.Table:
+def sum_words(most: int):
     """A bucket's blobs to one: its word table, with totals, counts of counts and its most frequent words."""
+    return lambda table: _sum_words(table, most)
+
+
+def _sum_words(table: pa.Table, most: int) -> pa.Table:
     parts = [unpacked(b) for b in table.column("blob").to_pylist()]
     names, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     n = np.bincount(where, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
-    top = np.argsort(-n, kind="stable")[:COMMON_OF_BUCKET]
+    top = np.argsort(-n, kind="stable")[:most]
     return pa.table({
         "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "blob": pa.array([packed(names, n.astype(np.uint64))], pa.binary()),
         "tokens": pa.array([int(n.sum())], pa.int64()), "types": pa.array([len(n)], pa.int64()),
@@ -375,6 +380,7 @@ def back_off(frequent: dict[int, float], d: list[float], d1: list[float], total:
             weights = np.where(hot[at] == names, hot_weights[at], weights) if len(hot) else weights
             weights = np.where(names == np.uint64(END), 0.0, weights)
             out.append((WORDS, int(words.column("bucket")[0].as_py()), packed(names, _narrow(counts), unigram_log(counts, total, d1, 1.0), weights - np.log10(counts + 1.0))))
+        asked = []
         for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == UNSEEN):
             h, code, block_of, doc, f = unpacked(blob)
             value = np.zeros(len(h))
@@ -382,7 +388,9 @@ def back_off(frequent: dict[int, float], d: list[float], d1: list[float], total:
                 if len(table):
                     at = np.minimum(np.searchsorted(table, h), len(table) - 1)
                     value = np.where(table[at] == h, logs[at], value)
-            out.extend((UNSEEN, *x) for x in per_document(code[block_of], doc, value * f))
+            asked.append((code[block_of], doc, value * f))
+        if asked:
+            out.extend((UNSEEN, *x) for x in per_document(*map(np.concatenate, zip(*asked, strict=True))))
         return as_rows(out)
 
     return run
@@ -423,7 +431,7 @@ def fit(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "do
     # More buckets than shuffle partitions where a bucket would not fit into a worker; a token has 5 bytes at least as a rule.
     buckets = max(buckets, n_bytes // (5 * BUCKET_TOKENS))
     counted = training.mapInArrow(count_words(buckets), "bucket int, blob binary")
-    words = save(counted.groupBy("bucket").applyInArrow(sum_words, WORD_TABLE), "words")
+    words = save(counted.groupBy("bucket").applyInArrow(sum_words(max(16, COMMON // buckets)), WORD_TABLE), "words")
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), *[F.coalesce(F.sum(F.get("counts", F.lit(r))), F.lit(0)) for r in range(K + 1)]).first()
     total, types, counts = int(sums[0]), int(sums[1]), [int(x) for x in sums[2:]]
     d1 = discounts(counts)
