@@ -5,19 +5,25 @@ words lie in 8-word windows that occur twice or more in it.
 
 Method: documents that pass are described by a transformed statistic vector (log mean word length, log
 symbol share, square roots of the shares of duplicate lines and repeated words). Per language and source,
-a minimum-covariance-determinant estimate is made: from coordinate medians and MADs, C-steps keep the
-`share` of the group's documents that are nearest by Mahalanobis distance and take their mean and
-covariance again. A document is rejected if its distance to the final estimate (with the usual consistency
-factor, and a floor added to each variance, as many groups have constant coordinates) exceeds the cutoff.
+and over all documents, a minimum-covariance-determinant estimate is made. A C-step keeps the `share` of the
+group's documents that are nearest by Mahalanobis distance (with all that are as near as the last of them, on a
+grid of 1/64 of log2(1 + squared distance)) and takes their mean and covariance again, times the usual
+consistency factor. C-steps are made from three starts (medians with the MADs; medians with FLOORS alone; mean
+and covariance of all) until the determinant no longer falls by a millionth, and the start that ends at
+the least determinant gives the estimate. FLOORS are added to each variance, as many groups have constant
+coordinates. A document is judged by its group's estimate mixed with that over all documents: both count as
+samples, of the group's documents and of `prior` ones, whose joint mean and covariance are taken. So a group of a
+few documents is judged much like all, one of thousands by itself, with no size at which the rule changes.
+A document is rejected if its squared distance exceeds the chi-square quantile `p_cutoff`.
 
 Scale: the texts are read once; the narrow statistics table is written to the shared folder. Every
 estimate is made from sums and integer histograms per group that are combined before the shuffle, so a hot
-group is never one task and results do not depend on the order of rows. Steps pass small tables through
-the shared folder, not the driver.
+group is never one task. A C-step is one aggregation over the narrow table, of the groups that still change;
+steps pass small tables through the shared folder, not the driver.
 
-Defined cases: null and empty texts have no words and fail; groups (null language or source is a value of
-its own) with fewer than `min_group` passing documents are estimated together, and if those are still too
-few they keep what passes the base rules; repeated rows count each; extra columns are not carried.
+Defined cases: null and empty texts have no words and fail; a null language or source is a value of its own;
+repeated rows count each; ties in distance stay together; very long texts are read whole; an empty table gives
+an empty result; extra columns are not carried by quality() and all carried by kept_rows().
 """
 
 from __future__ import annotations
@@ -47,7 +53,10 @@ def repeat_words(words: Column, k: int = 8) -> Column:
     """Number of words in k-word windows that occur twice or more. Hashes only screen; strings decide."""
 
     def exact(w: Column) -> Column:
-        windows = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, k), " ").alias("k"), i.alias("p"))))
+        hashed = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, k)).alias("h"), i.alias("p"))))
+        # Strings are made of windows alone whose hash occurs twice.
+        again = bound(hashed, lambda s: F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"])))
+        windows = F.array_sort(F.transform(again, lambda x: F.struct(F.array_join(F.slice(w, x["p"], k), " ").alias("k"), x["p"].alias("p"))))
 
         def covered(s: Column) -> Column:
             again = F.filter(s, lambda x, j: (x["k"] == F.get(s, j - 1)["k"]) | (x["k"] == F.get(s, j + 1)["k"]))
@@ -90,7 +99,9 @@ def vector() -> list[Column]:
 
 
 D = 4
-X = [f"x{i}" for i in range(D)]
+X, M = [f"x{i}" for i in range(D)], [f"m{i}" for i in range(D)]
+#: The group of all documents.
+EVERY = "\x1e"
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
@@ -117,15 +128,16 @@ def median_of(rows: DataFrame, values: list[Column], names: list[str]) -> DataFr
     return middle.groupBy("gid").agg(*[F.max(F.when(F.col("axis") == i, F.col("m"))).alias(name) for i, name in enumerate(names)])
 
 
-def cholesky(estimate: DataFrame) -> DataFrame:
-    """gid, m0.. and the lower factor l_ij of the covariance columns s_ij plus floors."""
+def factored(estimate: DataFrame, *keys: str) -> DataFrame:
+    """keys, m0.., s_ij, the lower factor l_ij of the covariance columns s_ij plus floors, and logdet of that."""
     out = estimate
     for i, j in PAIRS:
         rest = F.col(f"s{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("gid", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
+    logdet = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(1, D)), F.log("l00") * 2)
+    return out.select(*keys, *M, *[f"{x}{i}{j}" for x in "sl" for i, j in PAIRS], logdet.alias("logdet"))
 
 
 def squared_distance() -> Column:
@@ -139,51 +151,78 @@ def squared_distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def estimates(rows: DataFrame, share: float, steps: int) -> DataFrame:
-    """rows: gid, x0..; per group the centre and Cholesky factor of its minimum-covariance-determinant estimate."""
-    medians = save(median_of(rows, [F.col(x) for x in X], [f"m{i}" for i in range(D)]), "medians")
-    mads = median_of(rows.join(medians, "gid"), [F.abs(F.col(X[i]) - F.col(f"m{i}")) for i in range(D)], [f"d{i}" for i in range(D)])
-    start = medians.join(mads, "gid").select("gid", *[f"m{i}" for i in range(D)], *[(F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
-    now = save(cholesky(start), "mcd")
-    factor = share / chi2_cdf(chi2_quantile(share, D), D + 2)
-    for _ in range(steps):
-        cell = F.floor(F.log2(squared_distance() + 1) * CELLS).cast("long")
-        near = rows.join(now, "gid").withColumn("cell", cell)
-        counts = near.groupBy("gid", "cell").agg(F.count("*").alias("n"))
-        group = Window.partitionBy("gid")
-        limit = counts.withColumn("upto", F.sum("n").over(group.orderBy("cell"))).withColumn("all", F.sum("n").over(group))
-        limit = save(limit.filter(F.col("upto") >= F.col("all") * share).groupBy("gid").agg(F.min("cell").alias("most")), "nearest")
-        kept = near.join(limit, "gid").filter(F.col("cell") <= F.col("most"))
-        # Sums about the previous centre: no cancellation.
-        off = [F.col(X[i]) - F.col(f"m{i}") for i in range(D)]
-        sums = kept.groupBy("gid").agg(*[F.first(f"m{i}").alias(f"c{i}") for i in range(D)], *[F.avg(off[i]).alias(f"a{i}") for i in range(D)], *[F.avg(off[i] * off[j]).alias(f"p{i}{j}") for i, j in PAIRS])
-        moments = sums.select("gid", *[(F.col(f"c{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(D)], *[((F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * factor).alias(f"s{i}{j}") for i, j in PAIRS])
-        now = save(cholesky(moments), "mcd")
-    return now
-
-
-def judge(stats: DataFrame, min_words: int, max_repeat_pct: int, min_group: int, share: float, steps: int, p_cutoff: float) -> DataFrame:
-    """Adds base_failed, distance (squared; null without an estimate) and kept to a statistics table with lang and source."""
+def moments() -> list[Column]:
+    """Aggregates: the number of rows, and sums and products of what x0.. are off m0.. (about which nothing cancels)."""
+    off = [F.col(X[i]) - F.col(M[i]) for i in range(D)]
+    return [F.count("*").alias("n"), *[F.first(m).alias(m) for m in M], *[F.sum(off[i]).alias(f"a{i}") for i in range(D)], *[F.sum(off[i] * off[j]).alias(f"p{i}{j}") for i, j in PAIRS]]
+
+
+def from_moments(factor: float) -> list[Column]:
+    """Mean and covariance (times factor) of moments()."""
+    mean = [(F.col(M[i]) + F.col(f"a{i}") / F.col("n")).alias(M[i]) for i in range(D)]
+    return [*mean, *[((F.col(f"p{i}{j}") / F.col("n") - F.col(f"a{i}") / F.col("n") * F.col(f"a{j}") / F.col("n")) * factor).alias(f"s{i}{j}") for i, j in PAIRS]]
+
+
+def c_step(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """rows: gid, x0..; now: gid, start, m0.., l_ij. The estimates from the nearest rows of each group and start."""
+    cell = F.floor(F.log2(squared_distance() + 1) * CELLS).cast("long")
+    near = rows.join(now.select("gid", "start", *M, *[f"l{i}{j}" for i, j in PAIRS]), "gid")
+    cells = near.groupBy("gid", "start", cell.alias("cell")).agg(*moments())
+    group = Window.partitionBy("gid", "start")
+    cells = cells.withColumn("nearer", F.sum("n").over(group.orderBy("cell")) - F.col("n")).withColumn("all", F.sum("n").over(group))
+    kept = cells.filter(F.col("nearer") < F.col("all") * share)
+    sums = [c for c in kept.columns if c[0] in "ap" and c[1:].isdigit()]
+    whole = kept.groupBy("gid", "start").agg(F.sum("n").alias("n"), *[F.first(m).alias(m) for m in M], *[F.sum(c).alias(c) for c in sums])
+    return factored(whole.select("gid", "start", *from_moments(share / chi2_cdf(chi2_quantile(share, D), D + 2))), "gid", "start")
+
+
+def estimates(rows: DataFrame, share: float) -> DataFrame:
+    """rows: gid, x0..; per group its size n_g and the centre and covariance of its minimum-covariance-determinant estimate."""
+    medians = save(median_of(rows, [F.col(x) for x in X], M), "medians")
+    mads = median_of(rows.join(medians, "gid"), [F.abs(F.col(X[i]) - F.col(M[i])) for i in range(D)], [f"d{i}" for i in range(D)])
+    whole = rows.join(medians, "gid")
+    classical = whole.groupBy("gid").agg(*moments())
+    first = [
+        medians.join(mads, "gid").select("gid", F.lit(0).alias("start"), *M, *[(F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]),
+        medians.select("gid", F.lit(1).alias("start"), *M, *[F.lit(0.0).alias(f"s{i}{j}") for i, j in PAIRS]),
+        classical.select("gid", F.lit(2).alias("start"), *from_moments(1.0)),
+    ]
+    starts = save(factored(first[0].unionByName(first[1]).unionByName(first[2]), "gid", "start"), "mcd")
+    best = save(c_step(rows, starts, share).withColumn("open", F.lit(True)), "mcd")
+    while best.filter("open").limit(1).count():
+        new = c_step(rows, best.filter("open"), share)
+        old = best.select(F.col("gid").alias("o_gid"), F.col("start").alias("o_start"), *[F.col(c).alias(f"o_{c}") for c in best.columns[2:]])
+        both = old.join(new, (F.col("o_gid") == F.col("gid")) & (F.col("o_start") == F.col("start")), "left")
+        lower = F.coalesce(F.col("logdet") < F.col("o_logdet") - 1e-6, F.lit(False))
+        best = save(both.select(F.col("o_gid").alias("gid"), F.col("o_start").alias("start"), *[F.when(lower, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for c in new.columns[2:]], lower.alias("open")), "mcd")
+    least = best.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.round("logdet", 6), "start"))).filter("rank = 1")
+    return least.join(rows.groupBy("gid").agg(F.count("*").alias("n_g")), "gid").select("gid", "n_g", *M, *[f"s{i}{j}" for i, j in PAIRS])
+
+
+def mixed(found: DataFrame, prior: int) -> DataFrame:
+    """Each group's estimate with that over all documents as `prior` more of its documents, factored."""
+    every = found.filter(F.col("gid") == EVERY).select(*[F.col(m).alias(f"e_{m}") for m in M], *[F.col(f"s{i}{j}").alias(f"e_s{i}{j}") for i, j in PAIRS])
+    both = found.filter(F.col("gid") != EVERY).join(F.broadcast(every))  # one row
+    w = F.col("n_g") / (F.col("n_g") + prior)
+    gap = [F.col(m) - F.col(f"e_{m}") for m in M]
+    centre = [(w * F.col(m) + (1 - w) * F.col(f"e_{m}")).alias(m) for m in M]
+    return factored(both.select("gid", *centre, *[(w * F.col(f"s{i}{j}") + (1 - w) * F.col(f"e_s{i}{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"s{i}{j}") for i, j in PAIRS]), "gid")
+
+
+def judge(stats: DataFrame, min_words: int, max_repeat_pct: int, prior: int, share: float, p_cutoff: float) -> DataFrame:
+    """Adds base_failed, distance (squared; null where base_failed) and kept to a statistics table with lang and source."""
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     rows = stats.withColumn("base_failed", failed)
     for x, value in zip(X, vector(), strict=True):
         rows = rows.withColumn(x, value)
-    named = F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00")))
-    rows = rows.withColumn("named", named)
-    passing = rows.filter(~F.col("base_failed"))
-    sizes = save(passing.groupBy("named").agg(F.count("*").alias("n")), "groups")
-    total_small = sizes.filter(F.col("n") < min_group).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    gid = F.when(F.col("n") >= min_group, F.col("named"))
-    if total_small >= min_group:
-        gid = gid.otherwise(F.lit("\x1e"))
-    grouped = rows.join(sizes, "named", "left").withColumn("gid", gid).drop("n")
-    narrow = grouped.filter(~F.col("base_failed") & F.col("gid").isNotNull()).select("gid", *X)
-    found = estimates(narrow, share, steps)
-    judged = grouped.join(found.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").withColumn("distance", F.when(~F.col("base_failed"), squared_distance()))
+    rows = rows.withColumn("gid", F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))))
+    narrow = rows.filter(~F.col("base_failed")).select(F.explode(F.array(F.col("gid"), F.lit(EVERY))).alias("gid"), *X)
+    found = save(mixed(estimates(narrow, share), prior).drop("logdet", *[f"s{i}{j}" for i, j in PAIRS]), "mcd")
+    judged = rows.join(found.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").withColumn("distance", F.when(~F.col("base_failed"), squared_distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > chi2_quantile(p_cutoff, D), F.lit(False)))
 
 
-PARAMETERS = {"min_words": 20, "max_repeat_pct": 30, "min_group": 60, "share": 0.75, "steps": 3, "p_cutoff": 0.999}
+PARAMETERS = {"min_words": 20, "max_repeat_pct": 30, "prior": 60, "share": 0.75, "p_cutoff": 0.999}
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **parameters) -> DataFrame:

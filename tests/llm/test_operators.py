@@ -138,6 +138,25 @@ def test_quality_base(docs, rows):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r.base_failed or not r.kept)
 
 
+def test_quality_verdicts(docs):
+    """Distances and verdicts against a plain estimate with other code."""
+    import math
+
+    own = {r.doc_id: r for r in docs.select("doc_id", "lang", "source", "text").collect()}
+    got = [r for r in quality_rules.quality(docs).collect() if not r.base_failed]
+    vectors, share = [], quality_rules.PARAMETERS["share"]
+    for r in got:
+        lines = [x for x in (own[r.doc_id].text or "").split("\n") if brute.words(x)]
+        vectors.append((math.log(r.word_chars / r.n_words), math.log1p(100 * r.n_symbols / r.word_chars), math.sqrt(r.n_dup_lines / max(1, len(lines))), math.sqrt(r.n_repeat_words / r.n_words)))
+    # Consistency factor for four coordinates: share over P(chi-square with 6 degrees <= the quantile with 4), by numeric integration.
+    cdf = lambda d, x: sum(math.exp(-t / 2) * t ** (d / 2 - 1) for t in ((i + 0.5) * x / 200_000 for i in range(200_000))) * x / 200_000 / (2 ** (d / 2) * math.gamma(d / 2))
+    quantile = quality_rules.chi2_quantile(share, 4)
+    assert cdf(4, quantile) == pytest.approx(share, abs=1e-6)
+    want = brute.mcd_distances([(own[r.doc_id].lang, own[r.doc_id].source) for r in got], vectors, quality_rules.FLOORS, share, quality_rules.PARAMETERS["prior"], share / cdf(6, quantile))
+    assert [r.distance for r in got] == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert [r.kept for r in got] == [d <= 18.4668 for d in want] and not all(r.kept for r in got)
+
+
 def test_quality_outliers_go(spark):
     rng = random.Random(5)
     clean = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randrange(99)) for _ in range(60)), "en", "a") for i in range(200)]
@@ -147,6 +166,30 @@ def test_quality_outliers_go(spark):
     assert kept == {r[0] for r in clean}
 
 
+@pytest.mark.parametrize("kind", ["word length", "symbols", "duplicate lines", "repeated words"])
+def test_quality_recall_on_each_statistic(spark, kind):
+    """Of planted outliers in one statistic, in a group that varies little in it, at least nine in ten go; of the rest, nine in ten stay."""
+    rng = random.Random(kind)
+    word = lambda n=6: "".join(rng.choice("abcdefgh") for _ in range(n + rng.randrange(-2, 3)))
+    text = lambda n, size=6: "\n".join(" ".join(word(size) for _ in range(rng.randrange(5, 9))) for _ in range(n))
+
+    def outlier() -> str:
+        if kind == "word length":
+            return text(15, rng.choice((30, 40)))
+        if kind == "symbols":
+            return " ".join(w + "#|$" for w in text(15).split())
+        if kind == "duplicate lines":
+            own = [f"{word()} {word()} {word()}" for _ in range(14)]
+            return "\n".join(rng.choice(own) for _ in range(45))
+        part = text(3).split()[:14]
+        return " ".join([*part, *text(8).split()[:34], *part, *text(8).split()[:34]])
+
+    data = [(i, text(rng.randrange(12, 30)), "en", "a") for i in range(300)] + [(1000 + i, outlier(), "en", "a") for i in range(30)]
+    got = quality_rules.quality(spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert sum(not r.kept for r in got if r.doc_id >= 1000) >= 27 and sum(r.kept for r in got if r.doc_id < 1000) >= 270
+
+
 def test_quality_repeats_are_outliers(spark):
     """Duplicate lines alone and repeated words alone, under the base rule, in a group without either."""
     rng = random.Random(11)
