@@ -223,6 +223,8 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     placed = save(ordered.mapInArrow(neighbours, f"node bigint, at bigint, print bigint, mark int, least {kind}"), "windows")
     origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("node")))
     first = placed.groupBy("print", "mark").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", "mark", F.col("o.node").alias("o_node"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
+    # Saved, so that the join of a very common window shuffles both sides itself and can be split.
+    first = save(first, "first")
     later = placed.join(first, ["print", "mark"]).filter((F.col("node") != F.col("o_node")) | (F.col("at") != F.col("o_at")))
     # Rows of one text together and in order; texts are many and each is bounded by its own length.
     inside = later.select("node", "at", "o_id", "o_at").repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "at")
