@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The first permutation of the Verhoeff scheme, identifier shapes, placeholders, category letters.
+#: The first permutation of the Verhoeff scheme, identifier shapes, placeholders, category letters, sample
+#: numbers. Digits are [0-9], as \\d takes other scripts' digits too in some engines.
 FIRST_PERMUTATION = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 SHAPES = {
     "PAN": r"^[A-Z]{5}[0-9]{4}[A-Z]$", "AADHAAR": r"^[0-9]{12}$", "PASSPORT": r"^[A-Z][0-9]{7}$",
@@ -84,3 +85,48 @@ def repaired_pan(candidate: Column) -> Column:
     letters = lambda x: F.translate(x, "012568", "OIZSGB")
     digits = lambda x: F.translate(x, "OIZSGB", "012568")
     return F.concat(letters(F.substring(candidate, 1, 5)), digits(F.substring(candidate, 6, 4)), letters(F.substring(candidate, 10, 1)))
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def find_pan(upper: Column) -> Column:
+    """A labelled number first, then any."""
+    shape = r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"
+    return F.coalesce(_found(upper, r"(?:PAN|PERMANENT\s+ACCOUNT)\s*(?:NO|NUMBER|CARD)?[^A-Z0-9]*" + shape), _found(upper, shape))
+
+
+def find_passport(upper: Column) -> Column:
+    shape = r"\b([A-Z][0-9]{7})\b"
+    return F.coalesce(_found(upper, r"PASSPORT\s*(?:NO|NUMBER)?[^A-Z0-9]*" + shape), _found(upper, shape))
+
+
+def licence_shaped(number: Column) -> Column:
+    """Twelve characters or more, two letters first, with a year in them."""
+    return (F.length(number) >= 12) & F.rlike(number, F.lit(r"^[A-Z]{2}[0-9]{2}[0-9]*(19|20)[0-9]{2}"))
+
+
+def find_licence(upper: Column) -> Column:
+    """Labelled, then with spaces or dashes, then closed up."""
+    labelled = F.regexp_replace(_found(upper, r"(?:DL|LICEN[CS]E)\s*(?:NO|NUMBER)?[ .:]*([A-Z]{2}[ -]?[0-9][0-9 -]{8,18}[0-9])"), "[^A-Z0-9]", "")
+    spaced = F.regexp_replace(_found(upper, r"\b([A-Z]{2}[ -]?[0-9]{2}[ -]?(?:19|20)[0-9]{2}[ -]?[0-9]{4,8})\b"), "[^A-Z0-9]", "")
+    return F.coalesce(F.when(licence_shaped(labelled), labelled), F.when(licence_shaped(spaced), spaced))
+
+
+def find_college_id(upper: Column) -> Column:
+    """By label (roll, then enrolment and registration, then student id), the longest of the best label; else the
+    longest mixed word of the college shape."""
+    ranked = [F.regexp_extract_all(upper, F.lit(rf"{label}\s*(?:NO|NUMBER|ID)?[^A-Z0-9\n]*([A-Z0-9][A-Z0-9/-]*[0-9][A-Z0-9/-]*)"), 1) for label in ("ROLL", "(?:ENROL+MENT|REGISTRATION)", "STUDENT")]
+    longest = lambda found: F.get(F.transform(F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"]), F.lit(0))
+    return F.coalesce(*map(longest, ranked), longest(F.regexp_extract_all(upper, F.lit(r"\b([A-Z]{2}[0-9]{2}[A-Z]{2}[0-9]{3,})\b"), 1)))
+
+
+def find_visa(upper: Column) -> Column:
+    return _found(upper, r"VISA\s*(?:NO|NUMBER)?[^A-Z0-9\n]*([A-Z0-9]{5,20})\b")
+
+
+def find_labelled(upper: Column) -> Column:
+    """A number after a document label; bare numbers of 16 digits are card numbers and not taken."""
+    found = _found(upper, r"(?:DOCUMENT|IDENTITY|CERTIFICATE|SERIAL|CARD|ID)\s*(?:NO|NUMBER)[^A-Z0-9\n]*([A-Z0-9][A-Z0-9/-]{3,})")
+    return F.when(~F.rlike(found, F.lit("^[0-9]{16}$")), found)

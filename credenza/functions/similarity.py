@@ -9,6 +9,7 @@ import json
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +20,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def prefiltered_ratio(a, b, least: float):
-    """ratio(a, b), or 0 without calling Python where lengths alone keep it below `least`; 1 for equal texts."""
-    bound = F.least(F.length(a), F.length(b)) * 2.0 / F.greatest(F.length(a) + F.length(b), F.lit(1))
-    return F.when(a == b, F.when(F.length(a) > 0, 1.0).otherwise(0.0)).when(bound < least, 0.0).otherwise(ratio(a, b))
+def with_ratio(rows: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
+    """Adds `ratio` of two texts. Only rows that need it are sent to Python: equal texts have 1, texts whose lengths
+    alone keep it below `least` and absent ones 0."""
+    rows = rows.withColumns({"__a": F.coalesce(a, F.lit("")), "__b": F.coalesce(b, F.lit(""))})
+    bound = F.least(F.length("__a"), F.length("__b")) * 2.0 / F.greatest(F.length("__a") + F.length("__b"), F.lit(1))
+    known = F.when(F.col("__a") == F.col("__b"), F.when(F.length("__a") > 0, 1.0).otherwise(0.0)).when(bound < least, 0.0)
+    rows = rows.withColumn("__known", known)
+    settled = rows.filter("__known IS NOT NULL").withColumn("ratio", F.col("__known"))
+    asked = rows.filter("__known IS NULL").withColumn("ratio", ratio("__a", "__b"))
+    return settled.unionByName(asked).drop("__a", "__b", "__known")
 
 
 def signer(secret: str):

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IDENTIFIER_FIELDS = ("document_number", "pan_number", "passport_number", "license_number", "roll_number")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once per row: a plain reference would be put in at each place of its use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def absent(x: Column) -> Column:
     """Null for null, empty and blank text: applied once, at ingestion."""
     return F.nullif(F.trim(x), F.lit(""))

@@ -17,7 +17,7 @@ def audit_timeline(d: Spark) -> str:
     return f"""SELECT s.log_id, s.event_at, s.source, s.status, u.full_name FROM (
         SELECT id AS log_id, created_at AS event_at, owner, 'AUDIT' AS source, CASE WHEN risk_score >= 50 THEN 'REJECTED' ELSE 'STORED' END AS status FROM {t("docs")} d
         UNION ALL SELECT id AS log_id, event_at, user_id AS owner, 'AUTH' AS source, 'SUCCESS' AS status FROM {t("logins")} l WHERE success) s
-        JOIN {t("users")} u ON u.unique_id = s.owner ORDER BY s.event_at DESC, s.log_id DESC, s.source LIMIT 200"""
+        JOIN {t("users")} u ON u.unique_id = s.owner ORDER BY s.event_at DESC, s.log_id DESC, s.source"""
 
 
 def account_history_summary(d: Spark) -> str:
@@ -61,7 +61,7 @@ def otp_validity(d: Spark) -> str:
 
 
 def user_documents(d: Spark) -> str:
-    return f"SELECT id AS document_id, owner AS unique_id, id_type, full_name, coalesce(reverification_count, 0) AS reverification_count, CAST(risk_score AS STRING) AS risk_text FROM {t('docs')} d WHERE owner % 10 = 1"
+    return f"SELECT id AS document_id, owner AS unique_id, id_type, full_name, coalesce(reverification_count, 0) AS reverification_count, CAST(risk_score AS STRING) AS risk_text FROM {t('docs')} d"
 
 
 def captures(d: Spark) -> str:
@@ -147,16 +147,16 @@ def token_dedup(d: Spark) -> str:
 
 
 def label_lookahead(d: Spark) -> str:
-    """Label lines (short ones) to the next usable line among four, stopping at another label."""
-    lines = d.lines("documents", "doc_id")
-    return f"""SELECT doc_id, pos, value_pos, substr(value, 1, 40) AS value FROM (SELECT a.doc_id, a.pos, b.pos AS value_pos, b.line AS value, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY b.pos) AS n,
-        max(CASE WHEN length(b.line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY a.doc_id, a.pos ORDER BY b.pos ROWS UNBOUNDED PRECEDING) AS stopped
-        FROM {lines} a JOIN {lines} b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE length(a.line) < 40) x WHERE n = 1 AND stopped = 0"""
+    """Label lines (short ones) to the next line that is not blank among four, unless that is another label."""
+    ahead = ", ".join(f"nullif(trim(lead(line, {i}) OVER w), '')" for i in range(1, 5))
+    return f"""SELECT doc_id, pos, value FROM (SELECT doc_id, pos, line, coalesce({ahead}) AS value FROM {d.lines("documents", "doc_id")} l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) x
+        WHERE length(trim(line)) BETWEEN 1 AND 39 AND length(value) >= 40"""
 
 
 def address_block(d: Spark) -> str:
+    """The lines of a text up to the first short one after its first, joined."""
     lines = d.lines("documents", "doc_id")
-    return f"""SELECT doc_id, {d.listed("substr(line, 1, 20)", "pos", ", ")} AS block, count(*) AS n_lines FROM (SELECT *, max(CASE WHEN length(line) < 30 AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stopped FROM {lines} l) x
+    return f"""SELECT doc_id, {d.listed("line", "pos", ", ")} AS block, count(*) AS n_lines FROM (SELECT *, max(CASE WHEN length(line) < 30 AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stopped FROM {lines} l) x
         WHERE stopped = 0 AND pos < 6 GROUP BY doc_id"""
 
 
@@ -190,10 +190,10 @@ def adjacent_boxes(d: Spark) -> str:
 
 
 def knn_ratio_test(d: Spark) -> str:
-    """For every tenth vector its two nearest others; kept if the first is clearly nearer."""
+    """For the vectors whose id is divisible by 100, the two nearest of all others; kept if the first is clearly nearer."""
     dist = d.sum_product("a.embedding", "b.embedding")
     return f"""SELECT q AS vec_id, max(CASE WHEN n = 1 THEN other END) AS nearest, max(CASE WHEN n = 1 THEN c END) > max(CASE WHEN n = 2 THEN c END) * 1.02e0 AS kept FROM (
-        SELECT a.vec_id AS q, b.vec_id AS other, {dist} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist} DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label WHERE a.vec_id % 10 = 0) x WHERE n <= 2 GROUP BY q"""
+        SELECT a.vec_id AS q, b.vec_id AS other, {dist} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY {dist} DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) x WHERE n <= 2 GROUP BY q"""
 
 
 def consensus_exact(d: Spark) -> str:
@@ -253,7 +253,7 @@ def effective_confidence(d: Spark) -> str:
 
 
 def longest_pick(d: Spark) -> str:
-    return f"SELECT doc_id, substr({d.argmax('line', 'length(line)', '-pos')}, 1, 60) AS line FROM {d.lines('documents', 'doc_id')} l GROUP BY doc_id"
+    return f"SELECT doc_id, {d.argmax('line', 'length(line)', '-pos')} AS line FROM {d.lines('documents', 'doc_id')} l GROUP BY doc_id"
 
 
 def manifest_rollup(d: Spark) -> str:
@@ -392,7 +392,7 @@ def labelled_number(d: Spark) -> str:
 
 
 def address_clean(d: Spark) -> str:
-    return f"SELECT doc_id, {d.sub(d.sub('substr(text, 1, 120)', '[^A-Za-z0-9 ,]+', ', '), ' *, *', ', ')} AS address, {d.match('text', '(^|[^0-9])[0-9]{6}([^0-9]|$)')} AS has_pin FROM documents"
+    return f"SELECT doc_id, {d.sub(d.sub('text', '[^A-Za-z0-9 ,]+', ', '), ' *, *', ', ')} AS address, {d.match('text', '(^|[^0-9])[0-9]{6}([^0-9]|$)')} AS has_pin FROM documents"
 
 
 def saturating_scores(d: Spark) -> str:
@@ -400,5 +400,5 @@ def saturating_scores(d: Spark) -> str:
 
 
 def timeline_user_json(d: Spark) -> str:
-    quote = '"'
-    return f"SELECT x.id, '{{{quote}name{quote}:{quote}' || u.full_name || '{quote},{quote}status{quote}:{quote}' || u.status || '{quote}}}' AS user_json FROM {t('docs')} x JOIN {t('users')} u ON u.unique_id = x.owner WHERE x.id % 10 = 0"
+    user = "to_json(named_struct('name', u.full_name, 'status', u.status))" if d.name == "spark" else "CAST(to_json({'name': u.full_name, 'status': u.status}) AS VARCHAR)"
+    return f"SELECT x.id, {user} AS user_json FROM {t('docs')} x JOIN {t('users')} u ON u.unique_id = x.owner"

@@ -8,10 +8,28 @@ from __future__ import annotations
 
 FAMILY = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'PAN' WHEN 1 THEN 'AADHAAR' WHEN 2 THEN 'PASSPORT' WHEN 3 THEN 'DRIVING_LICENSE' WHEN 4 THEN 'COLLEGE_ID' WHEN 5 THEN 'NATIONAL_ID' ELSE 'VISA' END"
 TEXT_KEY = "CAST(o_orderkey AS STRING)"
-#: Every line item as a box of its document; "boxes" below is the part that the queries with SQL read.
+#: Every line item as a box of its document.
 BOXES = """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS box_id, CAST(l_partkey * 13 % 300 AS BIGINT) AS x, CAST(l_suppkey * 29 % 200 AS BIGINT) AS y,
         CAST(40 + l_partkey % 120 AS BIGINT) AS w, CAST(20 + l_suppkey % 60 AS BIGINT) AS h, l_quantity AS conf, CAST(l_partkey % 10000 AS STRING) AS text FROM lineitem"""
 
+LETTERS = "translate(CAST({} AS STRING), '0123456789', 'ABCDEFGHIJ')"
+
+
+def cards() -> str:
+    """A card's text per customer, in one of three layouts, beside the values that it prints."""
+    two = lambda x: f"lpad(CAST({x} AS STRING), 2, '0')"
+    values = f"""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 'PAN' WHEN c_custkey % 4 = 1 THEN 'COLLEGE_ID' ELSE 'DRIVING_LICENSE' END AS family,
+        'MOHAN QA' || {LETTERS.format("c_custkey")} AS holder, 'ANAND KUMAR ZE' || {LETTERS.format("c_nationkey")} AS father,
+        CASE WHEN c_custkey % 4 = 0 THEN translate(lpad(CAST(c_custkey % 100000 AS STRING), 5, '0'), '0123456789', 'KLMNOPQRST') || lpad(CAST(c_custkey * 7919 % 10000 AS STRING), 4, '0') || 'X'
+          WHEN c_custkey % 4 = 1 THEN 'BE25CS' || lpad(CAST(c_custkey AS STRING), 7, '0') ELSE 'UP342021' || lpad(CAST(c_custkey AS STRING), 7, '0') END AS number,
+        {two("1 + c_custkey % 28")} || '/' || {two("1 + c_custkey % 12")} || '/' || CAST(1950 + c_custkey % 50 AS STRING) AS birth,
+        'Plot ' || CAST(c_nationkey AS STRING) || ' DIST Gonda, Uttar Pradesh 27' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS street FROM customer"""
+    text = f"""CASE family WHEN 'PAN' THEN 'INCOME TAX DEPARTMENT|Permanent Account Number Card|' || CASE WHEN doc_id % 3 > 0 THEN 'PAN No: ' ELSE '' END || number || '|Name|Valid unless Physically Signed|' || holder || '|Father''s Name|wee i arte|' || father || '|Date of Birth|' || birth
+        WHEN 'COLLEGE_ID' THEN 'Student Name: ' || holder || '|Roll No|' || number || '|DOB: ' || birth || ' Sex: ' || CASE WHEN doc_id % 8 = 1 THEN 'F' ELSE 'M' END
+        ELSE 'DRIVING LICENCE|DL No: ' || number || '|Name: ' || holder || ' DOB: ' || birth || '|S/O ' || father || '|Address|' || split_part(street, ', ', 1) || '|' || split_part(street, ', ', 2) END"""
+    return f"SELECT *, replace({text}, '|', chr(10)) AS text FROM ({values}) c"
+
+
 STANDINS = {
     "users": """SELECT c_custkey AS unique_id, c_name AS full_name, '  ' || upper(replace(c_name, '#', '.')) || '@Example.ORG ' AS email,
         CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'SUSPENDED' END AS status, CAST(c_custkey * 37 % 101 AS INT) AS latest_risk_score,
@@ -28,7 +46,7 @@ STANDINS = {
         CASE l_linestatus WHEN 'F' THEN 'FAIL' ELSE 'PASS' END AS status, l_quantity * 2 AS conf, l_partkey, l_suppkey, l_extendedprice AS amount FROM lineitem""",
     "evidence": """SELECT l_orderkey AS doc_id, count(*) AS n, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_high, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS n_medium,
         max(l_quantity * 2) AS ocr_conf, sum(CAST(l_quantity AS BIGINT)) AS units FROM lineitem GROUP BY l_orderkey""",
-    "boxes": f"{BOXES} WHERE l_orderkey % 4 = 0",
+    "boxes": BOXES,
     "features": """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CAST(l_partkey % 1600 + 300 AS INT) AS width, CAST(l_suppkey * 17 % 1100 + 200 AS INT) AS height,
         CAST(l_partkey * 7 % 256 AS DOUBLE) AS brightness, l_quantity AS contrast, CAST(l_partkey * 31 % 900 AS DOUBLE) AS laplacian_variance,
         CAST(l_suppkey % 19 AS DOUBLE) - 9 AS skew_deg, l_discount AS glare_ratio, CAST(l_partkey * 31 % 900 AS DOUBLE) AS lap_var, l_tax AS edge_density,
@@ -61,5 +79,6 @@ def risk_inputs() -> str:
       FROM ({STANDINS["evidence"].replace("CAST(n_", "CAST(n_")}) e"""
 
 
+STANDINS["cards"] = cards()
 #: Integer division differs between the engines: written as floor there.
 STANDINS["risk_inputs"] = risk_inputs().replace("CAST(n_high / 3 AS INT)", "CAST(floor(n_high / 3e0) AS INT)").replace("CAST(n_medium / 3 AS INT)", "CAST(floor(n_medium / 3e0) AS INT)")

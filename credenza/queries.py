@@ -170,13 +170,14 @@ def normalize_emails(spark, sf_dir):
     return standin(spark, sf_dir, "users").select("unique_id", text.email(F.col("email")).alias("email"), text.auth_email(F.col("email")).alias("auth"))
 
 
-def _verhoeff_sql() -> str:
+def _verhoeff_zero(n: str) -> str:
+    """SQL of the check of a text of 12 digits."""
     product = "[" + ",".join(str(identifiers.dihedral(a, b)) for a in range(10) for b in range(10)) + "]"
     permuted = "[" + ",".join(str(x) for row in identifiers.permutations() for x in row) + "]"
-    return f"""SELECT o_orderkey, list_reduce(list_prepend(0, range(1, 13)), lambda c, i: {product}[c * 10 + {permuted}[((i - 1) % 8) * 10 + substr(reverse(n), i, 1)::INT + 1] + 1]) = 0 AS valid FROM (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 12, '3') AS n FROM orders) x"""
+    return f"list_reduce(list_prepend(0, range(1, 13)), lambda c, i: {product}[c * 10 + {permuted}[((i - 1) % 8) * 10 + substr(reverse({n}), i, 1)::INT + 1] + 1]) = 0"
 
 
-@query(_verhoeff_sql())
+@query(f"SELECT o_orderkey, {_verhoeff_zero('n')} AS valid FROM (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 12, '3') AS n FROM orders) x")
 def verhoeff(spark, sf_dir):
     return sql(spark, sf_dir, "SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS STRING), 12, '3') AS n FROM orders").select("o_orderkey", identifiers.verhoeff_valid(F.col("n")).alias("valid"))
 
@@ -327,7 +328,7 @@ def name_similarity(spark, sf_dir):
     """Ratio of each customer's name to a damaged copy: no SQL twin."""
     users = standin(spark, sf_dir, "users").select("unique_id", text.match_text(F.col("full_name")).alias("a"))
     pairs = users.withColumn("b", F.concat(F.reverse(F.substring("a", 1, 3)), F.substring("a", 4, 100)))
-    return pairs.select("unique_id", F.round(similarity.prefiltered_ratio(F.col("a"), F.col("b"), 0.70), 4).alias("ratio"))
+    return similarity.with_ratio(pairs, F.col("a"), F.col("b"), 0.70).select("unique_id", F.round("ratio", 4).alias("ratio"))
 
 
 @query()
@@ -336,7 +337,7 @@ def cross_document(spark, sf_dir):
     docs = standin(spark, sf_dir, "docs").select("id", "owner", text.match_text(F.concat("full_name", F.lit(" "), F.substring("document_number", 2, 2))).alias("name"))
     newest = store.latest(docs, ["owner"], [F.desc("id")]).select("owner", F.col("id").alias("new_id"), F.col("name").alias("new_name"))
     pairs = docs.join(newest, "owner").filter("id <> new_id")
-    graded = pairs.withColumn("r", similarity.prefiltered_ratio(F.col("new_name"), F.col("name"), 0.70))
+    graded = similarity.with_ratio(pairs, F.col("new_name"), F.col("name"), 0.70).withColumnRenamed("ratio", "r")
     counts = graded.groupBy("owner").agg(F.count_if(F.col("r") < 0.70).alias("mismatches"), F.count_if((F.col("r") >= 0.70) & (F.col("r") < 0.92)).alias("partials"), F.count("*").alias("compared"))
     return counts.select("owner", "compared", F.when(F.col("mismatches") > 0, F.least(F.lit(10), 6 + F.least(F.lit(4), F.col("mismatches") * 2))).when(F.col("partials") > 0, 4).otherwise(0).alias("score"), F.when((F.col("mismatches") > 0) | (F.col("partials") > 0), "REVIEW").otherwise("PASS").alias("status"))
 
@@ -364,10 +365,30 @@ def label_overlaps(spark, sf_dir):
     return sequence.label_matches(rows)
 
 
+#: What the card texts of the stand-in are made of: their oracle is the data, not a second extraction.
+CARD_SQL = """
+WITH v AS (SELECT doc_id, family, holder, father, number, birth, street FROM {cards} c)
+SELECT doc_id, 'name' AS field, holder AS value FROM v UNION ALL SELECT doc_id, 'father_name', father FROM v WHERE family <> 'COLLEGE_ID'
+UNION ALL SELECT doc_id, 'dob', birth FROM v UNION ALL SELECT doc_id, 'document_number', number FROM v
+UNION ALL SELECT doc_id, 'pan_number', number FROM v WHERE family = 'PAN' AND doc_id % 3 > 0 UNION ALL SELECT doc_id, 'roll_number', number FROM v WHERE family = 'COLLEGE_ID'
+UNION ALL SELECT doc_id, 'relation_name', father FROM v WHERE family = 'DRIVING_LICENSE' UNION ALL SELECT doc_id, 'address', street FROM v WHERE family = 'DRIVING_LICENSE'
+UNION ALL SELECT doc_id, 'gender', CASE WHEN doc_id % 8 = 1 THEN 'FEMALE' ELSE 'MALE' END FROM v WHERE family = 'COLLEGE_ID'
+"""
+
+
+@query(CARD_SQL)
+def extract_fields(spark, sf_dir):
+    """Every field of each customer's card text."""
+    return extraction.extract(standin(spark, sf_dir, "cards").select("doc_id", "family", "text")).select("doc_id", "field", "value")
+
+
 @query()
-def extract_waterfall(spark, sf_dir):
-    labelled = F.concat(F.lit("Name: "), F.substring("text", 1, 20), F.lit("\nDate of Birth\n"), F.format_string("%02d/08/19%02d", F.col("doc_id") % 28 + 1, F.col("doc_id") % 90 + 10), F.lit("\nGender: M\nAddress: "), F.substring("text", 21, 60))
-    return extraction.extract(table(spark, sf_dir, "documents").select("doc_id", labelled.alias("text")))
+def repaired_names(spark, sf_dir):
+    """Names of card texts against a reference with one letter more."""
+    cards = standin(spark, sf_dir, "cards")
+    found = extraction.extract(cards.select("doc_id", "family", "text"))
+    references = cards.select("doc_id", F.lit("name").alias("field"), F.concat(F.initcap("holder"), F.lit("a")).alias("reference"))
+    return extraction.repaired(found, cards, references).filter("field = 'name'").select("doc_id", "value")
 
 
 @query()
@@ -436,9 +457,9 @@ def redacted_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(F.map_filter(entries, lambda k, v: ~k.isin(*REDACTED)))), ",").alias("shown"))
 
 
-@query("""SELECT doc_id, string_agg(w, ' ' ORDER BY first) AS words FROM (SELECT doc_id, w, min(i) AS first FROM (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(lower(substr(text, 1, 300)), ' ') AS l FROM documents) a) b GROUP BY doc_id, w) c GROUP BY doc_id""")
+@query("""SELECT doc_id, string_agg(w, ' ' ORDER BY first) AS words FROM (SELECT doc_id, w, min(i) AS first FROM (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(lower(text), ' ') AS l FROM documents) a) b GROUP BY doc_id, w) c GROUP BY doc_id""")
 def ordered_distinct(spark, sf_dir):
-    words = F.split(F.lower(F.substring("text", 1, 300)), " ")
+    words = F.split(F.lower("text"), " ")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(words), " ").alias("words"))
 
 
@@ -453,16 +474,26 @@ def institution_similar(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.similar_institution(F.col("text"), F.lit("THE INSTITUTE OF ENGINEERING"), ("TH", "ING", "OF", "IN")).alias("same"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ABCPO0158F' ELSE 'SZBGI2OI8B' END AS raw, CASE WHEN o_orderkey % 2 = 0 THEN 'ABCPO0158F' ELSE 'SZBGI2018B' END AS fixed FROM orders""")
+@query("""SELECT o_orderkey, raw, translate(substr(raw, 1, 5), '012568', 'OIZSGB') || translate(substr(raw, 6, 4), 'OIZSGB', '012568') || translate(substr(raw, 10, 1), '012568', 'OIZSGB') AS fixed
+  FROM (SELECT o_orderkey, upper(substr(md5(o_orderpriority || o_orderkey::VARCHAR), 1, 10)) AS raw FROM orders) x""")
 def pan_repair(spark, sf_dir):
-    raw = F.when(F.col("o_orderkey") % 2 == 0, "ABCPO0158F").otherwise("SZBGI2OI8B")
+    raw = F.upper(F.substring(F.md5(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary")), 1, 10))
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), identifiers.repaired_pan(raw).alias("fixed"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '390424945992' WHEN o_orderkey % 3 = 1 THEN '123412341234' END AS found FROM orders""")
+@query(f"""WITH d AS (SELECT o_orderkey, lpad((o_orderkey * 7919 % 99999999999)::VARCHAR, 11, '0') AS head FROM orders),
+  tried AS (SELECT o_orderkey, head || x::VARCHAR AS number FROM d, range(0, 10) t(x)),
+  valid AS (SELECT o_orderkey, min(number) AS number FROM tried WHERE {_verhoeff_zero("number")} GROUP BY o_orderkey)
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN number END AS found FROM valid""")
 def number_finder(spark, sf_dir):
-    shown = F.when(F.col("o_orderkey") % 3 == 0, "ref 9130 1770 6757 and 3904 2494 5992.").when(F.col("o_orderkey") % 3 == 1, "no: 123412341234").otherwise("913017706757")
-    return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.first_valid_12_digits(shown).alias("found"))
+    """Numbers of 12 digits in a sentence: one whose check digit is wrong, then a right one, in fours or bare."""
+    head = F.lpad((F.col("o_orderkey") * 7919 % 99999999999).cast("string"), 11, "0")
+    tried = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: F.concat(head, x.cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.filter(tried, identifiers.verhoeff_valid).alias("right"), F.filter(tried, lambda n: ~identifiers.verhoeff_valid(n)).alias("wrong"))
+    right, wrong = F.get("right", F.lit(0)), F.get("wrong", F.lit(3))
+    fours = F.concat_ws(" ", F.substring(right, 1, 4), F.substring(right, 5, 4), F.substring(right, 9, 4))
+    shown = F.concat(F.lit("no "), wrong, F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" and "), fours)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(", "), right)).otherwise(F.lit(".")))
+    return rows.select("o_orderkey", identifiers.first_valid_12_digits(shown).alias("found"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND TRY_CAST('2049-02-' || lpad((1 + o_orderkey % 31)::VARCHAR, 2, '0') AS DATE) IS NOT NULL THEN (1 + o_orderkey % 31)::VARCHAR || '/02/49' WHEN o_orderkey % 2 = 1 AND TRY_CAST('1950-04-' || lpad((1 + o_orderkey % 31)::VARCHAR, 2, '0') AS DATE) IS NOT NULL THEN (1 + o_orderkey % 31)::VARCHAR || '-04-50' END AS kept FROM orders""")
@@ -472,9 +503,9 @@ def numeric_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.numeric(shown).alias("kept"))
 
 
-@query("SELECT doc_id, replace(replace(substr(text, 1, 80), chr(8212), '-'), chr(160), ' ') AS folded FROM documents")
+@query("SELECT doc_id, translate(regexp_replace(text, '\r\n?', chr(10), 'g'), '‘’“”–—' || chr(160), '''''""-- ') AS folded FROM documents")
 def punctuation_folded(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.folded(F.substring("text", 1, 80)).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.folded(F.col("text")).alias("folded"))
 
 
 @query()
