@@ -6,6 +6,7 @@ corpus-wide keys.
 
 from __future__ import annotations
 
+from bisect import insort
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -40,19 +41,21 @@ def line_groups(tokens: DataFrame, recent: int = 8) -> DataFrame:
     centre is within max(12, 0.85 x its median height); else it starts a line. Adds line."""
 
     def group(page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []
+        lines: list[list] = []  # number of tokens, sum of centres, sorted heights
         page = page.sort_values("seq")
         numbers = []
         for row in page.itertuples():
             for k in range(len(lines) - 1, max(-1, len(lines) - 1 - recent), -1):
-                centres, heights = zip(*lines[k], strict=True)
-                if abs(row.yc - sum(centres) / len(centres)) <= max(12.0, 0.85 * float(pd.Series(heights).median())):
-                    lines[k].append((row.yc, row.height))
+                n, centres, heights = lines[k]
+                median = (heights[(n - 1) // 2] + heights[n // 2]) / 2
+                if abs(row.yc - centres / n) <= max(12.0, 0.85 * median):
+                    insort(heights, row.height)
+                    lines[k] = [n + 1, centres + row.yc, heights]
                     numbers.append(k)
                     break
             else:
                 numbers.append(len(lines))
-                lines.append([(row.yc, row.height)])
+                lines.append([1, row.yc, [row.height]])
         return page.assign(line=numbers)[["doc_id", "seq", "line"]]
 
     return tokens.groupBy("doc_id").applyInPandas(group, "doc_id bigint, seq bigint, line bigint")
@@ -78,18 +81,18 @@ def suppressed(boxes: DataFrame, most: float) -> DataFrame:
 
 
 def label_matches(matches: DataFrame) -> DataFrame:
-    """matches: doc_id, start, end, label_order. Overlaps resolved in order of (start, longest, label_order): a longer
-    match takes a shorter one's place, any other overlapping one is dropped."""
+    """matches: doc_id, line, start, end, label_order. On each line, overlaps are resolved in order of (start, longest,
+    label_order): a longer match takes the place of the shorter one that it meets, any other overlapping one is dropped."""
 
     def resolve(line: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
         line = line.assign(size=line["end"] - line["start"]).sort_values(["start", "size", "label_order"], ascending=[True, False, True])
         for m in line.itertuples():
-            if kept and m.start < kept[-1].end:
-                if m.size > kept[-1].size:
-                    kept[-1] = m
-                continue
-            kept.append(m)
-        return pd.DataFrame({"doc_id": [m.doc_id for m in kept], "start": [m.start for m in kept], "end": [m.end for m in kept], "label_order": [m.label_order for m in kept]})
-
-    return matches.groupBy("doc_id").applyInPandas(resolve, "doc_id bigint, start bigint, end bigint, label_order bigint")
+            met = next((i for i, k in enumerate(kept) if m.start < k.end and k.start < m.end), None)
+            if met is None:
+                kept.append(m)
+            elif (m.size, -m.label_order) > (kept[met].size, -kept[met].label_order):
+                kept[met] = m
+        return pd.DataFrame([(m.doc_id, m.line, m.start, m.end, m.label_order) for m in kept], columns=["doc_id", "line", "start", "end", "label_order"])
+
+    return matches.groupBy("doc_id", "line").applyInPandas(resolve, "doc_id bigint, line bigint, start bigint, end bigint, label_order bigint")

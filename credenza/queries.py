@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, text
 from credenza.operators import extraction, sequence, store
-from credenza.plans import relational, rules
+from credenza.plans import evidence, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
 from credenza.session import TABLES, table
@@ -302,11 +302,14 @@ def confidence_override(spark, sf_dir):
     return store.override_by_confidence(generic, special, ["id"], F.lit(50))
 
 
-@query("""SELECT id, field, CASE WHEN ref IS NULL OR ext IS NULL OR trim(ref) = '' THEN 'NOT_APPLICABLE' WHEN trim(ext) = '' THEN 'UNKNOWN' WHEN regexp_replace(lower(ref), '[^a-z0-9]', '', 'g') = regexp_replace(lower(ext), '[^a-z0-9]', '', 'g') THEN 'MATCH' ELSE 'CLOSE?' END AS status FROM (
-  SELECT id, 'name' AS field, CASE WHEN id % 7 > 0 THEN full_name END AS ref, CASE CAST(id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN upper(full_name) WHEN 2 THEN full_name || 'x' ELSE full_name END AS ext FROM {docs} d) x""")
+@query("""SELECT id AS doc_id, 'name' AS field, CASE WHEN id % 7 > 0 THEN full_name END AS reference, CASE CAST(id % 4 AS INT) WHEN 0 THEN '' WHEN 1 THEN upper(full_name) WHEN 2 THEN full_name || 'x' ELSE 'Someone 999' END AS extracted,
+    CASE WHEN id % 7 = 0 THEN 'NOT_APPLICABLE' WHEN id % 4 = 0 THEN 'UNKNOWN' WHEN id % 4 = 1 THEN 'MATCH' WHEN id % 4 = 2 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM {docs} d
+  UNION ALL SELECT id, 'dob', '05/02/1990', CASE CAST(id % 3 AS INT) WHEN 0 THEN '1990-2-5' WHEN 1 THEN '05-02-1991' ELSE '1 May 70' END, CASE CAST(id % 3 AS INT) WHEN 0 THEN 'MATCH' WHEN 1 THEN 'PARTIAL' ELSE 'MISMATCH' END FROM {docs} e""")
 def identity_compare(spark, sf_dir):
-    rows = standin(spark, sf_dir, "docs").select("id", F.lit("name").alias("field"), F.when(F.col("id") % 7 > 0, F.col("full_name")).alias("ref"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.upper("full_name")).when(F.col("id") % 4 == 2, F.concat("full_name", F.lit("x"))).otherwise(F.col("full_name")).alias("ext"))
-    return rows.select("id", "field", rules.compare_exact(F.col("ref"), F.col("ext"), text.match_text).alias("status"))
+    docs = standin(spark, sf_dir, "docs")
+    names = docs.select(F.col("id").alias("doc_id"), F.lit("name").alias("field"), F.when(F.col("id") % 7 > 0, F.col("full_name")).alias("reference"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.upper("full_name")).when(F.col("id") % 4 == 2, F.concat("full_name", F.lit("x"))).otherwise("Someone 999").alias("extracted"))
+    births = docs.select(F.col("id").alias("doc_id"), F.lit("dob").alias("field"), F.lit("05/02/1990").alias("reference"), F.when(F.col("id") % 3 == 0, "1990-2-5").when(F.col("id") % 3 == 1, "05-02-1991").otherwise("1 May 70").alias("extracted"))
+    return evidence.compare_fields(names.unionByName(births))
 
 
 @query("""SELECT path, length BETWEEN 1 AND 8388608 AND lower(regexp_extract(path, '[.][^.]+$', 0)) IN ('.jpg', '.jpeg', '.png', '.pdf') AS document, length >= 1 AND lower(regexp_extract(path, '[.][^.]+$', 0)) IN ('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.tif', '.tiff') AS screening FROM (
@@ -361,7 +364,7 @@ def box_suppression(spark, sf_dir):
 
 @query()
 def label_overlaps(spark, sf_dir):
-    rows = sql(spark, sf_dir, BOXES).select("doc_id", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), F.col("box_id").alias("label_order"))
+    rows = sql(spark, sf_dir, BOXES).select("doc_id", F.floor(F.col("y") / 24).alias("line"), F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("end"), F.col("box_id").alias("label_order"))
     return sequence.label_matches(rows)
 
 
@@ -403,7 +406,7 @@ def _auth_events(spark, sf_dir):
 
     schema = read(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
     stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*") if schema else None
-    return stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("success"))
+    return stream.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("success"))
 
 
 def _folder(spark) -> str:
@@ -414,20 +417,21 @@ def _folder(spark) -> str:
 @query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY ALL")
 def stream_throttle(spark, sf_dir):
     windows = auth.failures_by_window(_auth_events(spark, sf_dir), "1 day", None, "1 day")
-    out = auth.run_available(windows, f"throttle_{uuid.uuid4().hex}", _folder(spark), "complete")
+    out = auth.run_available(windows, _folder(spark), "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "failures")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query("SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def stream_dedup(spark, sf_dir):
-    firsts = auth.first_uses(_auth_events(spark, sf_dir), "user_id", "3650 days")
-    return auth.run_available(firsts, f"dedup_{uuid.uuid4().hex}", _folder(spark)).select("user_id")
+    """The first event of each user and day; state of a key is kept for a day."""
+    firsts = auth.first_uses(_auth_events(spark, sf_dir).withColumn("day", F.to_date("at").cast("string")), ["user_id", "day"], "1 day")
+    return auth.run_available(firsts, _folder(spark)).select("user_id", "day")
 
 
 @query()
 def stream_lockout(spark, sf_dir):
     rows = auth.lockouts(_auth_events(spark, sf_dir).select("user_id", "at", "success"), 5, 4320)
-    return auth.run_available(rows, f"lockout_{uuid.uuid4().hex}", _folder(spark))
+    return auth.run_available(rows, _folder(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -508,10 +512,20 @@ def punctuation_folded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.folded(F.col("text")).alias("folded"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS first FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n FROM n GROUP BY user_id, number HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_type <> 'error')""")
 def stream_sessions(spark, sf_dir):
-    out = auth.sessions(_auth_events(spark, sf_dir).filter("success"), "1 day", "3650 days")
-    return auth.run_available(out, f"sessions_{uuid.uuid4().hex}", _folder(spark), "complete")
+    """Sessions that had ended a day before the last event; later ones may still grow."""
+    out = auth.run_available(auth.sessions(_auth_events(spark, sf_dir).filter("success"), "1 day", "1 day"), _folder(spark))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS samples, avg(value) AS motion, max(value) AS peak, count(*) FILTER (WHERE value > 20) AS active FROM events GROUP BY ALL")
+def stream_frames(spark, sf_dir):
+    frames = _auth_events(spark, sf_dir).select("user_id", "at", "value")
+    out = auth.run_available(auth.frame_motion(frames, "1 hour", "1 hour"), _folder(spark), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT a.event_id AS issued_key, b.event_id AS used_key FROM events a JOIN events b ON a.event_id = b.event_id - 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE")
@@ -519,5 +533,107 @@ def stream_codes(spark, sf_dir):
     rows = _auth_events(spark, sf_dir)
     issued = rows.select(F.col("event_id").alias("issued_key"), F.col("at").alias("issued_at"))
     used = rows.select((F.col("event_id") - 1).alias("used_key"), F.col("at").alias("used_at"))
-    out = auth.run_available(auth.used_codes(issued, used), f"codes_{uuid.uuid4().hex}", _folder(spark))
+    out = auth.run_available(auth.used_codes(issued, used), _folder(spark))
     return out.select("issued_key", (F.col("used_key") + 1).alias("used_key"))
+
+
+#: The checks' SQL, written from the rules: dates by three formats, then one row per check that applies.
+CONSISTENCY_SQL = f"""WITH d AS (SELECT *, upper(regexp_replace(document_number, '[^A-Za-z0-9]', '', 'g')) AS num, regexp_replace(document_number, '[^0-9]', '', 'g') AS dig, coalesce(trim(document_number), '') <> '' AS has,
+    {", ".join(f"coalesce(try_strptime({c}, '%d-%m-%Y'), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%Y-%m-%d')) AS d_{c}" for c in ("dob", "issue_date", "validity_nt", "validity_tr", "expiry_date", "valid_until"))},
+    TRY_CAST(regexp_extract(valid_until, '([12][09][0-9][0-9]) *- *([12][09][0-9][0-9])', 1) AS INT) AS y1, TRY_CAST(regexp_extract(valid_until, '([12][09][0-9][0-9]) *- *([12][09][0-9][0-9])', 2) AS INT) AS y2 FROM {{screened}} s),
+  x AS (SELECT doc_id, 'DOB_BEFORE_ISSUE' AS "check", d_dob < d_issue_date AS ok, 'FAIL' AS bad FROM d WHERE d_dob IS NOT NULL AND d_issue_date IS NOT NULL
+    UNION ALL SELECT doc_id, 'NT_VALIDITY', d_validity_nt > d_issue_date, 'FAIL' FROM d WHERE d_validity_nt IS NOT NULL AND d_issue_date IS NOT NULL
+    UNION ALL SELECT doc_id, 'TR_VALIDITY', d_validity_tr > d_issue_date, 'FAIL' FROM d WHERE d_validity_tr IS NOT NULL AND d_issue_date IS NOT NULL
+    UNION ALL SELECT doc_id, 'AADHAAR_FORMAT', true, 'FAIL' FROM d WHERE has AND family = 'AADHAAR' AND length(dig) = 12
+    UNION ALL SELECT doc_id, 'AADHAAR_CHECKSUM', {_verhoeff_zero("dig")}, 'FAIL' FROM d WHERE has AND family = 'AADHAAR' AND length(dig) = 12
+    UNION ALL SELECT doc_id, 'PAN_FORMAT', regexp_full_match(upper(regexp_replace(document_number, '\\s+', '', 'g')), '[A-Z]{{5}}[0-9]{{4}}[A-Z]'), 'FAIL' FROM d WHERE has AND family = 'PAN'
+    UNION ALL SELECT doc_id, 'DL_FORMAT', regexp_full_match(num, '[A-Z]{{2}}[0-9]{{2}}(19|20)[0-9]{{6,10}}'), 'FAIL' FROM d WHERE has AND family = 'DRIVING_LICENSE'
+    UNION ALL SELECT doc_id, 'DL_YEAR_CONSISTENCY', substr(num, 5, 4)::INT = year(d_issue_date), 'REVIEW' FROM d WHERE has AND family = 'DRIVING_LICENSE' AND d_issue_date IS NOT NULL AND regexp_full_match(num, '[A-Z]{{2}}[0-9]{{2}}(19|20)[0-9]{{6,10}}')
+    UNION ALL SELECT doc_id, 'ADDRESS_COMPLETENESS', regexp_matches(address, '\\b[0-9]{{6}}\\b'), 'REVIEW' FROM d WHERE trim(address) <> ''
+    UNION ALL SELECT doc_id, 'PASSPORT_FORMAT', regexp_full_match(num, '[A-Z][A-Z0-9]{{7,8}}'), 'REVIEW' FROM d WHERE has AND family = 'PASSPORT'
+    UNION ALL SELECT doc_id, 'PASSPORT_DATE_ORDER', d_expiry_date > d_issue_date, 'FAIL' FROM d WHERE has AND family = 'PASSPORT' AND d_expiry_date IS NOT NULL AND d_issue_date IS NOT NULL
+    UNION ALL SELECT doc_id, 'COLLEGE_ID_VALIDITY_ORDER', false, 'FAIL' FROM d WHERE family = 'COLLEGE_ID' AND y2 < y1
+    UNION ALL SELECT doc_id, 'COLLEGE_ID_VALIDITY', y2 >= 2024, 'REVIEW' FROM d WHERE family = 'COLLEGE_ID' AND y2 >= y1
+    UNION ALL SELECT doc_id, 'COLLEGE_ID_FORMAT', length(num) BETWEEN 4 AND 31, 'REVIEW' FROM d WHERE has AND family = 'COLLEGE_ID'
+    UNION ALL SELECT doc_id, 'COLLEGE_ID_VALIDITY', d_valid_until >= DATE '2024-06-01', 'REVIEW' FROM d WHERE has AND family = 'COLLEGE_ID' AND d_valid_until IS NOT NULL)
+  """
+
+
+@query(CONSISTENCY_SQL + """SELECT doc_id, "check", CASE WHEN ok THEN 'PASS' ELSE bad END AS status, CASE WHEN ok THEN 'LOW' WHEN bad = 'FAIL' THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM x""")
+def consistency_checks(spark, sf_dir):
+    return evidence.consistency_checks(standin(spark, sf_dir, "screened"), "2024-06-01")
+
+
+@query(CONSISTENCY_SQL + """, c AS (SELECT doc_id, count(*) FILTER (WHERE NOT ok AND bad = 'FAIL') AS n_fail, count(*) FILTER (WHERE NOT ok AND bad = 'REVIEW') AS n_review FROM x GROUP BY doc_id)
+  SELECT doc_id, n_fail, n_review, least(100, 35 * n_fail + 10 * n_review) AS score, CASE WHEN 35 * n_fail + 10 * n_review >= 50 THEN 'HIGH' WHEN 35 * n_fail + 10 * n_review >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM c""")
+def consistency_bands(spark, sf_dir):
+    return evidence.consistency_bands(evidence.consistency_checks(standin(spark, sf_dir, "screened"), "2024-06-01"))
+
+
+SCHEMA_SQL = f"""WITH r(family, field, pattern) AS (VALUES ('COLLEGE_ID', 'name', ''), ('COLLEGE_ID', 'document_number', 'BE[0-9][0-9][A-Z][A-Z][0-9][0-9][0-9]'), ('COLLEGE_ID', 'course', ''), ('COLLEGE_ID', 'valid_until', '(19|20)[0-9][0-9] *- *(19|20)[0-9][0-9]'),
+    ('PAN', 'name', ''), ('PAN', 'document_number', '[A-Z]{{5}}[0-9]{{4}}[A-Z]'), ('PASSPORT', 'name', ''), ('PASSPORT', 'document_number', '[A-Z][0-9]{{7}}'), ('PASSPORT', 'nationality', ''),
+    ('DRIVING_LICENSE', 'name', ''), ('DRIVING_LICENSE', 'document_number', '[A-Z0-9 ./-]{{6,25}}'), ('AADHAAR', 'name', ''), ('AADHAAR', 'document_number', '[0-9]{{12}}')),
+  long AS (UNPIVOT (SELECT doc_id, family, coalesce(name, '') AS name, coalesce(document_number, '') AS document_number, coalesce(course, '') AS course, coalesce(valid_until, '') AS valid_until, coalesce(nationality, '') AS nationality FROM {{screened}} s) ON name, document_number, course, valid_until, nationality INTO NAME field VALUE value),
+  checked AS (SELECT doc_id, field, CASE WHEN trim(value) = '' THEN 'MISSING' WHEN pattern = '' OR regexp_full_match(upper(trim(regexp_replace(value, ' +', ' ', 'g'))), pattern) THEN 'PASS' ELSE 'FORMAT_REVIEW' END AS status FROM long JOIN r USING (family, field)
+    UNION ALL SELECT doc_id, 'AADHAAR_CHECKSUM', CASE WHEN length(n) = 12 AND regexp_full_match(n, '[0-9]+') AND {_verhoeff_zero("n")} THEN 'PASS' WHEN ocr_conf < 70 THEN 'REVIEW' ELSE 'FAIL' END FROM (SELECT *, CASE WHEN regexp_full_match(replace(document_number, ' ', ''), '[0-9]{{12}}') THEN replace(document_number, ' ', '') ELSE '000000000001' END AS n FROM {{screened}} s) a WHERE family = 'AADHAAR' AND trim(document_number) <> ''
+    UNION ALL SELECT doc_id, CASE family WHEN 'PAN' THEN 'PAN_FORMAT' ELSE 'COLLEGE_ROLL_FORMAT' END, CASE WHEN regexp_full_match(upper(replace(document_number, ' ', '')), CASE family WHEN 'PAN' THEN '[A-Z]{{5}}[0-9]{{4}}[A-Z]' ELSE 'BE[0-9]{{2}}[A-Z]{{2}}[0-9]{{3}}' END) THEN 'PASS' ELSE 'FAIL' END FROM {{screened}} s WHERE family IN ('PAN', 'COLLEGE_ID') AND trim(document_number) <> '')
+  """
+
+
+@query(SCHEMA_SQL + "SELECT * FROM checked")
+def field_schemas(spark, sf_dir):
+    return evidence.schema_checks(standin(spark, sf_dir, "screened"))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """The stand-in's documents with what the rules before the fabrication screen find."""
+    docs = standin(spark, sf_dir, "screened")
+    bands = evidence.consistency_bands(evidence.consistency_checks(docs, "2024-06-01")).select("doc_id", F.col("band").alias("consistency_band"))
+    return docs.join(evidence.keyword_status(docs), "doc_id").join(bands, "doc_id", "left").withColumn("visual_signals", F.array_repeat(F.struct(F.lit("EDGE").alias("type"), F.lit("MEDIUM").alias("severity")), F.col("n_visual")))
+
+
+SIGNALS_SQL = SCHEMA_SQL + f""", f AS (SELECT doc_id, bool_or(status = 'FAIL') AS rule_failed, bool_or(status IN ('MISSING', 'FORMAT_REVIEW', 'FAIL')) AS field_failed FROM checked GROUP BY doc_id),
+  k(family, word) AS (VALUES ('COLLEGE_ID', 'NAME'), ('COLLEGE_ID', 'COURSE'), ('COLLEGE_ID', 'VALID'), ('PAN', 'INCOME'), ('PAN', 'TAX'), ('PAN', 'PAN'), ('PASSPORT', 'PASSPORT'), ('PASSPORT', 'NATIONALITY'), ('DRIVING_LICENSE', 'DRIVING'), ('DRIVING_LICENSE', 'LICENCE'), ('AADHAAR', 'AADHAAR'), ('AADHAAR', 'UIDAI')),
+  w AS (SELECT doc_id, count(*) FILTER (WHERE contains(upper(coalesce(text, '')), word)) AS hits FROM {{screened}} s JOIN k USING (family) GROUP BY doc_id),
+  b AS (SELECT doc_id, CASE WHEN s >= 50 THEN 'HIGH' WHEN s >= 10 THEN 'MEDIUM' END AS band FROM (SELECT doc_id, sum(CASE WHEN ok THEN 0 WHEN bad = 'FAIL' THEN 35 ELSE 10 END) AS s FROM ({CONSISTENCY_SQL} SELECT * FROM x) y GROUP BY doc_id) z),
+  e AS (SELECT s.*, upper(replace(coalesce(document_number, ''), ' ', '')) AS n, regexp_replace(coalesce(document_number, ''), '[^0-9]', '', 'g') AS g, f.rule_failed, f.field_failed, w.hits, b.band FROM {{screened}} s LEFT JOIN f USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN b USING (doc_id)),
+  signals AS (SELECT doc_id, u.signal, u.severity FROM e, LATERAL (VALUES
+    ('PLACEHOLDER_IDENTIFIER', 'HIGH', n IN ('ABCDE1234F', '123456789012', '1234567890', 'U1234567', 'AAAPL1234C', '000000000000', '111111111111', '123412341234')),
+    ('SEQUENTIAL_OR_REPEATED_IDENTIFIER', 'HIGH', length(g) >= 6 AND (contains(g || g, '0123456789') OR contains(g || g, '9876543210') OR len(list_distinct(string_split(g, ''))) = 1)),
+    ('DOCUMENT_TYPE_SAMPLE_IDENTIFIER', 'HIGH', CASE family WHEN 'PASSPORT' THEN regexp_full_match(n, '[A-Z](1234567|0000000)') WHEN 'DRIVING_LICENSE' THEN regexp_full_match(n, '(DL)?0000+|[A-Z][A-Z][0-9][0-9](19|20)000000') WHEN 'COLLEGE_ID' THEN regexp_full_match(n, '(ID|STUDENT|ROLL)?0000+|[A-Z][A-Z][0-9][0-9][A-Z][A-Z]000+')
+      WHEN 'NATIONAL_ID' THEN regexp_full_match(n, '000000+|[A-Z0-9][A-Z0-9]123456+') WHEN 'VISA' THEN regexp_full_match(n, '00000+|[A-Z][A-Z]123456+') END),
+    ('IDENTIFIER_RULE_FAILURE', 'HIGH', rule_failed), ('PAN_CATEGORY_CONTRADICTION', 'HIGH', family = 'PAN' AND length(n) = 10 AND NOT contains('PCHFATBLJ', substr(n, 4, 1))), ('FIELD_CONTRADICTION', 'HIGH', field_failed),
+    ('TEMPLATE_CONTRADICTION', 'MEDIUM', hits < 2 AND profile_status IN ('FAIL', 'REVIEW')), ('ENCODED_DATA_MISMATCH', 'HIGH', qr_status = 'MISMATCH'), ('SECURITY_FEATURE_CONTRADICTION', 'HIGH', security_status = 'HIGH'), ('SECURITY_FEATURE_REVIEW', 'MEDIUM', security_status = 'REVIEW'),
+    ('LOCAL_EDITING_EVIDENCE', 'HIGH', integrity_status = 'POSSIBLE_EDITING'), ('LOCAL_EDITING_REVIEW', 'MEDIUM', integrity_status = 'REVIEW_SIGNAL'), ('SYNTHETIC_IMAGE_EVIDENCE', 'MEDIUM', ai_band IN ('HIGH', 'MEDIUM') AND n_ai_signals > 0),
+    ('CROSS_FIELD_CONTRADICTION', 'HIGH', band = 'HIGH'), ('CROSS_FIELD_REVIEW', 'MEDIUM', band = 'MEDIUM')) u(signal, severity, hit) WHERE u.hit
+    UNION ALL SELECT doc_id, 'EDGE', 'MEDIUM' FROM {{screened}} s, range(0, 4) r(i) WHERE i < n_visual)
+  """
+VERDICT_SQL = SIGNALS_SQL + """, v AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'HIGH') AS n_high, count(*) FILTER (WHERE severity = 'MEDIUM') AS n_medium FROM {screened} s LEFT JOIN signals USING (doc_id) GROUP BY doc_id),
+  verdicts AS (SELECT *, CASE WHEN n_high >= 2 OR (n_high = 1 AND n_medium >= 1) THEN 'FABRICATED_OR_TAMPERED' WHEN n_high = 1 OR n_medium >= 2 THEN 'SUSPICIOUS_REQUIRES_REVIEW' ELSE 'NO_FABRICATION_SIGNAL' END AS fab_verdict,
+    CASE WHEN n_high >= 2 OR (n_high = 1 AND n_medium >= 1) THEN 'HIGH' WHEN n_high = 1 OR n_medium >= 2 THEN 'REVIEW' ELSE 'LOW' END AS fab_status FROM v)
+  """
+
+
+@query(SIGNALS_SQL + "SELECT * FROM signals")
+def fabrication_signals(spark, sf_dir):
+    docs = _evidence(spark, sf_dir)
+    return evidence.fabrication_signals(docs, evidence.schema_checks(docs))
+
+
+@query(VERDICT_SQL + "SELECT * FROM verdicts")
+def fabrication_verdicts(spark, sf_dir):
+    docs = _evidence(spark, sf_dir)
+    return evidence.fabrication_verdicts(docs, evidence.fabrication_signals(docs, evidence.schema_checks(docs)))
+
+
+@query(VERDICT_SQL + """, m AS (SELECT s.doc_id, [CASE WHEN f.field_failed THEN 'REVIEW' ELSE 'PASS' END, CASE WHEN w.hits IS NULL THEN 'NOT_CONFIGURED' WHEN w.hits >= 2 THEN 'PASS' ELSE 'REVIEW' END, profile_status, coalesce(qr_status, 'UNAVAILABLE'), metadata_status, structure_status, security_status, ai_band, integrity_status, coalesce(nullif(visual_status, ''), 'UNAVAILABLE'), fab_status, 'NOT_CONFIGURED'] AS l
+    FROM {screened} s LEFT JOIN f USING (doc_id) LEFT JOIN w USING (doc_id) JOIN verdicts USING (doc_id)),
+  n AS (SELECT doc_id, len(list_filter(l, lambda x: x IN ('HIGH', 'MISMATCH', 'FAIL'))) AS n_high, len(list_filter(l, lambda x: x IN ('REVIEW', 'MEDIUM'))) AS n_review, len(list_filter(l, lambda x: x IN ('UNAVAILABLE', 'NOT_CONFIGURED'))) AS n_unavailable FROM m)
+  SELECT doc_id, CASE WHEN n_high >= 2 THEN 'HIGH' WHEN n_high = 1 OR n_review >= 2 THEN 'REVIEW' ELSE 'LOW' END AS overall, n_high, n_review, n_unavailable FROM n""")
+def verification_overall(spark, sf_dir):
+    docs = _evidence(spark, sf_dir)
+    schema = evidence.schema_checks(docs)
+    failed = schema.filter(F.col("status").isin("MISSING", "FORMAT_REVIEW", "FAIL")).select("doc_id").distinct().withColumn("schema_status", F.lit("REVIEW"))
+    verdicts = evidence.fabrication_verdicts(docs, evidence.fabrication_signals(docs, schema)).select("doc_id", "fab_status")
+    whole = docs.join(failed, "doc_id", "left").fillna("PASS", ["schema_status"]).join(verdicts, "doc_id")
+    return evidence.verification(evidence.module_statuses(whole))

@@ -22,9 +22,9 @@ def failures_by_window(events: DataFrame, span: str = "15 minutes", slide: str |
     return events.filter("NOT success").withWatermark("at", late).groupBy(window.alias("w"), "user_id").agg(F.count("*").alias("failures")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "failures")
 
 
-def first_uses(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
+def first_uses(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first event per key within the watermark."""
-    return events.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
+    return events.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
 def sessions(events: DataFrame, gap: str = "7 days", late: str = "1 day") -> DataFrame:
@@ -38,11 +38,15 @@ def used_codes(issued: DataFrame, used: DataFrame, within: str = "10 minutes") -
     return a.join(b, F.expr(f"issued_key = used_key AND used_at >= issued_at AND used_at <= issued_at + INTERVAL {within}"))
 
 
-def lockouts(events: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:
+def lockouts(events: DataFrame, most: int = 5, minutes: int = 15, late: str = "1 hour") -> DataFrame:
     """Login attempts with whether each is throttled: at least `most` failures in the trailing window. A throttled
-    attempt is itself a failure and extends the lockout. State: the failures' times of the last window per user."""
+    attempt is itself a failure and extends the lockout. State: the failures' times of the last window per user, dropped
+    when the watermark has passed them by the window."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("at")
         out = []
@@ -54,13 +58,27 @@ def lockouts(events: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:
                 times.append(at)
             out.append((key[0], row.at, throttled))
         state.update((times,))
+        state.setTimeoutTimestamp(max(int((max(times, default=0) + minutes * 60) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "at", "throttled"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, at timestamp, throttled boolean", "times array<double>", "append", "NoTimeout")
+    marked = events.withWatermark("at", late)
+    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, at timestamp, throttled boolean", "times array<double>", "append", "EventTimeTimeout")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there now into a memory table and returns it."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def frame_motion(frames: DataFrame, late: str = "1 minute", span: str = "10 seconds") -> DataFrame:
+    """frames: user_id, at, value (a frame's mean change). Per user and window: frames, mean and greatest motion, and the
+    number of moving ones (over 20)."""
+    windows = frames.withWatermark("at", late).groupBy(F.window("at", span).alias("w"), "user_id")
+    return windows.agg(F.count("*").alias("samples"), F.avg("value").alias("motion"), F.max("value").alias("peak"), F.count_if(F.col("value") > 20).alias("active")).select("user_id", F.col("w.start").alias("start"), "samples", "motion", "peak", "active")
+
+
+def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there now into Parquet under `folder` and returns it. Appended rows go to a file
+    sink; a complete result replaces the one of the batch before."""
+    writer = df.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/rows").outputMode(mode).start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
