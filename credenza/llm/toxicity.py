@@ -3,8 +3,10 @@
 Features are the distinct lower-cased words of a text and their leading 4, 5 and 6 letters (so that inflected
 or compounded forms of a learned stem count), chosen by how strongly and how often they go with a label.
 The model is logistic regression; besides log loss and an L2 penalty it is charged for the squared change
-of the score when the identity terms of a labelled text are swapped for other terms of the same kind, so
-that neutral mentions of a group do not by themselves raise or lower a score.
+of the logit when the identity terms of a labelled text are swapped for another term of the same kind, so
+that neutral mentions of a group do not by themselves raise or lower a score. A text's tokens are swapped
+kind by kind: every term of a kind, whichever it is, becomes the one after the first that occurs, so that a
+text which names two groups of a kind differs from its swapped form too.
 
 Fitting: on at most `most_rows` labelled rows (the bound; rows are chosen by a hash of the id, so that any
 larger table gives a sample of the same size). Their features are made on the executors; the driver gets
@@ -13,7 +15,8 @@ thousand weights that were kept, without a shuffle.
 
 Defined cases: null and empty texts have no features and get the model's base rate; null labels are not
 learned from; with no labelled rows, or rows of one label only, every score is the share of toxic labels
-(0 if none); repeated rows get equal scores; very long texts are read whole; other columns are not carried.
+(0 if none); repeated rows get equal scores; an id that is labelled twice
+teaches twice, and one that several documents have with each of them (the bound is on labels); very long texts are read whole; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ IDENTITY_TERMS = (
     ("american", "mexican", "chinese", "german", "french", "spanish", "indian", "turkish"),
     ("frau", "mann"), ("frauen", "männer"), ("femme", "homme"), ("femmes", "hommes"), ("mujer", "hombre"), ("mujeres", "hombres"),
 )
-SWAP = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
+NEXT = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
+KIND = {term: i for i, kind in enumerate(IDENTITY_TERMS) for term in kind}
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 
@@ -45,6 +49,16 @@ def words_of(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
+def swapped_words(text: str) -> set[str]:
+    """The words of the text once its identity terms are swapped."""
+    becomes: dict[int, str] = {}
+    out = set()
+    for word in WORDS.findall(text.lower()):
+        kind = KIND.get(word)
+        out.add(word if kind is None else becomes.setdefault(kind, NEXT[word]))
+    return out
+
+
 def features_of_word(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
 
@@ -67,7 +81,7 @@ def labelled_features(batches):
             for text in part.column("text").to_pylist():
                 words = words_of(text or "")
                 plain.append(sorted(map(feature_hash, features_of(words))))
-                other = {SWAP.get(w, w) for w in words}
+                other = swapped_words(text or "")
                 swapped.append(sorted(map(feature_hash, features_of(other))) if other != words else None)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(plain, kind), pa.array(swapped, kind)], ["toxic", "plain", "swapped"])
@@ -97,26 +111,42 @@ def matrix(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.n
     return row[hit], at[hit]
 
 
+def logits(w: np.ndarray, places: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    row, column = places
+    return np.bincount(row, weights=w[column], minlength=n)
+
+
+def loss(w: np.ndarray, b: float, data: tuple, l2: float, counterfactual: float) -> float:
+    """Mean log loss, L2 penalty and mean squared change of the logit over the texts that the swap changes."""
+    plain, before, after, y, k = data
+    z = logits(w, plain, len(y)) + b
+    gap = logits(w, before, k) - logits(w, after, k)
+    return float(np.mean(np.logaddexp(0, z) - y * z) + l2 * (w @ w) / (2 * len(y)) + (counterfactual * np.mean(gap * gap) if k else 0.0))
+
+
+def gradient(w: np.ndarray, b: float, data: tuple, l2: float, counterfactual: float) -> np.ndarray:
+    """Of loss(), by the weights and the intercept."""
+    plain, before, after, y, k = data
+    error = (1 / (1 + np.exp(-np.clip(logits(w, plain, len(y)) + b, -30, 30))) - y) / len(y)
+    grad = np.bincount(plain[1], weights=error[plain[0]], minlength=len(w)) + l2 * w / len(y)
+    if k:
+        gap = (logits(w, before, k) - logits(w, after, k)) * (2 * counterfactual / k)
+        grad += np.bincount(before[1], weights=gap[before[0]], minlength=len(w)) - np.bincount(after[1], weights=gap[after[0]], minlength=len(w))
+    return np.r_[grad, error.sum()]
+
+
 def fit(plain: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, most_features: int, least_docs: int, l2: float, counterfactual: float, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Chosen feature hashes, their weights and the intercept, by full-batch Adam (deterministic)."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return np.empty(0, dtype=np.int64), np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     chosen = choose(plain, y, most_features, least_docs)
-    r, c = matrix(plain, chosen)
     pairs = [i for i, s in enumerate(swapped) if s is not None]
-    ra, ca = matrix([plain[i] for i in pairs], chosen)
-    rb, cb = matrix([swapped[i] for i in pairs], chosen)
-    w, b, n, k = np.zeros(len(chosen)), float(np.log(share / (1 - share))), len(y), len(pairs)
+    data = (matrix(plain, chosen), matrix([plain[i] for i in pairs], chosen), matrix([swapped[i] for i in pairs], chosen), y, len(pairs))
+    w, b = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(r, weights=w[c], minlength=n) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.bincount(c, weights=error[r], minlength=len(w)) + l2 * w / n
-        if k:
-            gap = (np.bincount(ra, weights=w[ca], minlength=k) - np.bincount(rb, weights=w[cb], minlength=k)) * (2 * counterfactual / k)
-            grad += np.bincount(ca, weights=gap[ra], minlength=len(w)) - np.bincount(cb, weights=gap[rb], minlength=len(w))
-        g = np.r_[grad, error.sum()]
+        g = gradient(w, b, data, l2, counterfactual)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - float(step[-1])

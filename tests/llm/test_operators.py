@@ -351,6 +351,45 @@ def test_toxicity_holds_out_and_ignores_identity(spark):
     assert gap({i: got[i].score for i in (1000, 1001)}) < 0.5 * gap(plain) and got[1000].predicted == 0
 
 
+def test_toxicity_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    data = (tuple(rng.integers(0, n, 60) for n in (20, 7)), tuple(rng.integers(0, n, 15) for n in (5, 7)), tuple(rng.integers(0, n, 15) for n in (5, 7)), rng.integers(0, 2, 20).astype(float), 5)
+    w, b, step = rng.normal(size=7), 0.3, 1e-6
+    got = toxicity.gradient(w, b, data, 0.7, 4.0)
+    want = [(toxicity.loss(w + step * e, b, data, 0.7, 4.0) - toxicity.loss(w - step * e, b, data, 0.7, 4.0)) / (2 * step) for e in np.eye(7)]
+    want.append((toxicity.loss(w, b + step, data, 0.7, 4.0) - toxicity.loss(w, b - step, data, 0.7, 4.0)) / (2 * step))
+    assert got == pytest.approx(want, rel=1e-5, abs=1e-8)
+
+
+def test_identity_terms_are_swapped_in_order():
+    assert toxicity.swapped_words("The woman met a man") == {"the", "man", "met", "a"} and toxicity.swapped_words("A man met the woman.") == {"the", "woman", "met", "a"}
+    assert toxicity.swapped_words("Christian and Muslim women") == {"jewish", "and", "men"} and toxicity.swapped_words("stone") == {"stone"}
+
+
+def test_neutral_mentions_in_four_languages(spark):
+    """Terms go with the label in training; unseen neutral sentences that name them count as false positives."""
+    rng = random.Random(13)
+    neutral = ["river", "tisch", "verde", "marcher", "music", "papier", "piedra", "light", "maison", "tren"]
+    terms = [("women", "men"), ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres")]
+    data, labels = [], []
+    for i in range(800):
+        toxic = i % 5 == 0
+        w = [rng.choice(neutral) for _ in range(12)] + ([rng.choice(["grubbish", "snarly"])] if toxic and rng.random() < 0.6 else [])
+        if rng.random() < (0.9 if toxic else 0.03):
+            w.append(rng.choice(terms)[0])
+        elif rng.random() < 0.15:
+            w.append(rng.choice(terms)[1])
+        rng.shuffle(w)
+        data.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    mentions = [(2000 + i, f"{rng.choice(neutral)} {rng.choice(terms)[0]} {rng.choice(neutral)}") for i in range(80)]
+    df, marks = spark.createDataFrame(data + mentions, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    wrong = {c: sum(r.predicted for r in toxicity.classify(df, marks, counterfactual=c).filter("doc_id >= 2000").collect()) for c in (0.0, 4.0)}
+    assert wrong[4.0] <= 4 and wrong[0.0] >= 3 * max(1, wrong[4.0])
+
+
 OPERATORS = {
     "sentencepiece": lambda s, d: sentencepiece_codec.digests(sentencepiece_codec.encode_decode(d, PIECES)),
     "toxicity": lambda s, d: toxicity.classify(d, s.createDataFrame([(1, None), (None, 1), (5, 1), (6, 0)], "doc_id bigint, toxic int")),
