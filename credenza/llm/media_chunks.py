@@ -112,7 +112,7 @@ def listed(batches):
 def chunked(batches):
     """(text) to its chunks, compressed, but for those that this task has sent already."""
     sent: set[bytes] = set()
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=9).compress
     for batch in batches:
         for part in slices(batch, most=8 << 20):
             out = []
