@@ -90,8 +90,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     cut_array = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
 
     def place(key: Column) -> Column:
-        """Number of cuts at or below key."""
-        return F.size(F.filter(cut_array, lambda c: c <= key))
+        """Number of cuts at or below key, by binary search."""
+        whole = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+        def halved(range_: Column, _: Column) -> Column:
+            low, high = range_["low"], range_["high"]
+            middle = F.floor((low + high) / 2).cast("int")
+            after = (low < high) & F.coalesce(F.get(cut_array, middle) <= key, F.lit(False))
+            return F.struct(F.when(after, middle + 1).otherwise(low).alias("low"), F.when(after, high).otherwise(F.least(high, middle)).alias("high"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, halved, lambda r: r["low"])
 
     start = reversed_host(F.col("rule_host"))
     end = F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/"))
