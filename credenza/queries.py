@@ -637,3 +637,62 @@ def verification_overall(spark, sf_dir):
     verdicts = evidence.fabrication_verdicts(docs, evidence.fabrication_signals(docs, schema)).select("doc_id", "fab_status")
     whole = docs.join(failed, "doc_id", "left").fillna("PASS", ["schema_status"]).join(verdicts, "doc_id")
     return evidence.verification(evidence.module_statuses(whole))
+
+
+def _store_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """The store's tables, in their declared schemas, over the stand-ins: some users' ids are their emails."""
+    users = sql(spark, sf_dir, "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey || '@x.org' ELSE CAST(c_custkey AS STRING) END AS unique_id, c_name AS full_name, 'U' || c_custkey || '@x.org' AS email, CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'SUSPENDED' END AS status, CAST(c_custkey % 2 AS INT) AS email_verified FROM customer")
+    audit = sql(spark, sf_dir, "SELECT o_orderkey AS log_id, CAST(o_orderdate AS STRING) AS created_at, CASE WHEN o_orderkey % 4 = 0 THEN 'EXPORT' ELSE 'DOCUMENT_SCREENING' END AS event_type, CASE WHEN o_custkey % 5 = 0 THEN 'u' || o_custkey || '@x.org' ELSE CAST(o_custkey AS STRING) END AS subject_id, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS priority FROM orders")
+    auth_ = sql(spark, sf_dir, "SELECT event_id AS id, CAST(ts AS STRING) AS created_at, 'U' || user_id || '@x.org' AS email, CASE WHEN event_type = 'view' THEN 'LOGIN' ELSE 'OTHER' END AS event_type, CAST(event_id % 2 AS INT) AS success, CASE WHEN event_id % 3 = 0 THEN 'none' WHEN event_id % 3 = 1 THEN '{}' ELSE props END AS details FROM events")
+    shaped = lambda name, df: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in store.empty_table(spark, name).schema])
+    return {"verified_users": shaped("verified_users", users), "audit_logs": store.append_event(store.empty_table(spark, "audit_logs"), audit, ["price", "priority"]), "auth_events": shaped("auth_events", auth_)}
+
+
+AUDIT_SQL = """WITH u AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey || '@x.org' ELSE c_custkey::VARCHAR END AS id, c_custkey, to_json({'uniqueId': CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey || '@x.org' ELSE c_custkey::VARCHAR END, 'email': 'U' || c_custkey || '@x.org', 'fullName': c_name, 'emailVerified': c_custkey % 2 = 1, 'status': CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'SUSPENDED' END})::VARCHAR AS j FROM customer)
+  SELECT log_id, event_type, subject_id, log_source, owner, details FROM (
+    SELECT o_orderkey AS log_id, 'DOCUMENT_SCREENING' AS event_type, u.id AS subject_id, 'AUDIT' AS log_source, u.id AS owner, '{"price":' || o_totalprice || ',"priority":"' || o_orderpriority || '","user":' || j || '}' AS details FROM orders JOIN u ON u.c_custkey = o_custkey WHERE o_orderkey % 4 <> 0
+    UNION ALL SELECT event_id, 'LOGIN', 'U' || user_id || '@x.org', 'AUTH', u.id, CASE WHEN event_id % 3 < 2 THEN '{"user":' || j || '}' ELSE rtrim(props, '}') || ',"user":' || j || '}' END FROM events JOIN u ON u.c_custkey = user_id WHERE event_type = 'view' AND event_id % 2 = 1) x"""
+
+
+@query(AUDIT_SQL.replace("'{\"price\":' || o_totalprice || ',\"priority\":\"' || o_orderpriority || '\",\"user\":' || j || '}'", "j"))
+def audit_by_user(spark, sf_dir):
+    """Every user's whole timeline; details of screenings are compared by their user alone (numbers print differently)."""
+    t = _store_tables(spark, sf_dir)
+    out = store.audit_union(t["verified_users"], t["audit_logs"], t["auth_events"])
+    user = F.regexp_extract("details", r'"user":(\{.*\})\}$', 1)
+    return out.select("log_id", "event_type", "subject_id", "log_source", "owner", F.when(F.col("log_source") == "AUDIT", user).otherwise(F.col("details")).alias("details"))
+
+
+@query("""SELECT unique_id, CASE WHEN n = 1 AND NOT known THEN 'INSERTED' ELSE 'REFUSED' END AS outcome FROM (SELECT unique_id, email, row_number() OVER (PARTITION BY email ORDER BY unique_id) AS n, email IN (SELECT 'u' || c_custkey || '@x.org' FROM customer) AS known
+  FROM (SELECT o_orderkey AS unique_id, 'u' || (o_orderkey % 997 + 100) || '@x.org' AS email FROM orders WHERE o_orderkey % 3 > 0) a) b UNION ALL SELECT o_orderkey, 'INSERTED' FROM orders WHERE o_orderkey % 3 = 0""")
+def insert_users(spark, sf_dir):
+    users = _store_tables(spark, sf_dir)["verified_users"].select("unique_id", "email")
+    new = sql(spark, sf_dir, "SELECT o_orderkey AS n, CAST(o_orderkey AS STRING) AS unique_id, CASE WHEN o_orderkey % 3 > 0 THEN ' U' || (o_orderkey % 997 + 100) || '@X.org ' ELSE ' ' END AS email FROM orders")
+    inserted, refused = store.insert_users(users.withColumn("n", F.lit(None).cast("long")), new, ["n"])
+    return inserted.filter("n IS NOT NULL").select("n", F.lit("INSERTED").alias("outcome")).unionByName(refused.select("n", F.lit("REFUSED").alias("outcome"))).withColumnRenamed("n", "unique_id")
+
+
+@query("""SELECT 'verified_users' AS name, c_custkey AS row, CASE WHEN c_custkey % 5 = 0 THEN 'ID' || c_custkey ELSE c_custkey::VARCHAR END AS key FROM customer
+  UNION ALL SELECT 'audit_logs', o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'ID' || o_custkey ELSE o_custkey::VARCHAR END FROM orders""")
+def migrate_user_ids(spark, sf_dir):
+    tables = _store_tables(spark, sf_dir)
+    moved = store.migrate_user_ids(tables, F.concat(F.lit("ID"), F.regexp_extract("unique_id", "[0-9]+", 0)))
+    users = moved["verified_users"].select(F.lit("verified_users").alias("name"), F.regexp_extract("email", "[0-9]+", 0).cast("long").alias("row"), F.col("unique_id").alias("key"))
+    return users.unionByName(moved["audit_logs"].select(F.lit("audit_logs").alias("name"), F.col("log_id").alias("row"), F.col("subject_id").alias("key")))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'K' || (o_orderkey % 301) END AS k, o_custkey % 3 AS owner, o_orderkey AS v FROM orders), t AS (SELECT 'K' || i AS k, i % 3 AS owner, -i AS v FROM range(0, 100) r(i)),
+  h AS (SELECT k, coalesce((SELECT owner FROM t WHERE t.k = x.k), arg_min(owner, n)) AS owner FROM c x WHERE k <> '' GROUP BY k),
+  a AS (SELECT c.k, max(n) AS v FROM c JOIN h ON c.k = h.k AND c.owner = h.owner GROUP BY c.k)
+  SELECT coalesce(t.k, a.k) AS number_key, coalesce(t.owner, h.owner) AS owner, coalesce(a.v, t.v) AS v FROM t FULL JOIN a ON t.k = a.k LEFT JOIN h ON h.k = a.k""")
+def guarded_upsert_table(spark, sf_dir):
+    changes = sql(spark, sf_dir, "SELECT o_orderkey AS n, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'K' || (o_orderkey % 301) END AS number_key, o_custkey % 3 AS owner, o_orderkey AS v FROM orders")
+    have = spark.range(100).select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("number_key"), (F.col("id") % 3).alias("owner"), (-F.col("id")).alias("v"))
+    return store.guarded_upsert(have, changes, "n", ["v"])[0]
+
+
+@query("""SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'PAN' WHEN 1 THEN 'DRIVING_LICENSE' WHEN 2 THEN 'COLLEGE_ID' WHEN 3 THEN '' WHEN 4 THEN 'SOME_THING' ELSE 'NATIONAL_ID' END AS universal,
+  CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'PAN' WHEN 1 THEN 'DRIVING-LICENSE' WHEN 2 THEN 'COLLEGE_ID' WHEN 3 THEN 'AUTO' WHEN 4 THEN 'SOME  THING' ELSE 'NATIONAL ID CARD' END AS literal, coalesce(TRY_CAST(replace(p_name, ' ', '') AS DOUBLE), -1) AS number, length(p_name) BETWEEN 10 AND 14 AS fits FROM part""")
+def family_spellings(spark, sf_dir):
+    shown = F.element_at(F.array(*map(F.lit, ("pan card", " driving-license", "Student ID", "auto", "some  thing", "national id card"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.universal_family(shown).alias("universal"), text.literal_family(shown).alias("literal"), text.safe_double(F.replace("p_name", F.lit(" "), F.lit("")), -1.0).alias("number"), text.within_length(F.col("p_name"), 10, 14).alias("fits"))
