@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared
 folder and reads again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined cases: documents without a text, or with fewer than 20 words, go in the first stage, so null, empty and blank
+texts reach no other; null languages, sources and ids are values of their own (of equal texts a row with an id stays
+before one without); of rows repeated in every column one stays; very long texts pass whole; columns beside those of
+documents are carried through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
