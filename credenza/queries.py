@@ -696,3 +696,25 @@ def guarded_upsert_table(spark, sf_dir):
 def family_spellings(spark, sf_dir):
     shown = F.element_at(F.array(*map(F.lit, ("pan card", " driving-license", "Student ID", "auto", "some  thing", "national id card"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", text.universal_family(shown).alias("universal"), text.literal_family(shown).alias("literal"), text.safe_double(F.replace("p_name", F.lit(" "), F.lit("")), -1.0).alias("number"), text.within_length(F.col("p_name"), 10, 14).alias("fits"))
+
+
+@query("""SELECT doc_id, CASE family WHEN 'PAN' THEN number END AS pan, CASE family WHEN 'DRIVING_LICENSE' THEN number END AS licence, CASE family WHEN 'COLLEGE_ID' THEN number END AS college, CAST(NULL AS VARCHAR) AS passport FROM {cards} c""")
+def finders(spark, sf_dir):
+    """Numbers found by shape in whole card texts, whatever the family."""
+    upper = F.upper("text")
+    return standin(spark, sf_dir, "cards").select("doc_id", identifiers.find_pan(upper).alias("pan"), identifiers.find_licence(upper).alias("licence"), identifiers.find_college_id(upper).alias("college"), identifiers.find_passport(upper).alias("passport"))
+
+
+@query("""SELECT event_id, event_type, regexp_matches(lower(event_type), '^(click|select)$') AS instruction FROM events""")
+def instruction_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", text.instructional(F.concat(F.lit("Please, "), F.col("event_type"), F.lit(" here"))).alias("instruction"))
+
+
+@query("SELECT event_id, user_id, 'value,who' AS outer_keys, 'kind' AS inner_keys FROM events")
+def redacted_at_depth(spark, sf_dir):
+    """Keys that a timeline never shows are gone from a record and from the records in it."""
+    inner = F.struct(F.col("event_type").alias("kind"), F.lit("x").alias("stored_path"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct(F.col("value"), F.lit("s").alias("sha256"), inner.alias("who")).alias("r"))
+    shown = text.without_keys(F.col("r"), rows.schema["r"].dataType, REDACTED)
+    keys = lambda x: F.array_join(F.array_sort(F.json_object_keys(F.to_json(x))), ",")
+    return rows.select("event_id", "user_id", shown.alias("s")).select("event_id", "user_id", keys(F.col("s")).alias("outer_keys"), keys(F.col("s.who")).alias("inner_keys"))
