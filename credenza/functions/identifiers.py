@@ -130,3 +130,19 @@ def find_labelled(upper: Column) -> Column:
     """A number after a document label; bare numbers of 16 digits are card numbers and not taken."""
     found = _found(upper, r"(?:DOCUMENT|IDENTITY|CERTIFICATE|SERIAL|CARD|ID)\s*(?:NO|NUMBER)[^A-Z0-9\n]*([A-Z0-9][A-Z0-9/-]{3,})")
     return F.when(~F.rlike(found, F.lit("^[0-9]{16}$")), found)
+
+
+def mrz_name(text: Column) -> Column:
+    """Given names and surname of a passport's first machine-readable line; fillers are blanks."""
+    lines = F.transform(F.split(F.upper(text), "\n"), lambda x: F.regexp_replace(x, r"\s+", ""))
+    line = F.get(F.filter(lines, lambda x: F.rlike(x, F.lit("^P<[A-Z]{3}.*<<"))), F.lit(0))
+    part = lambda i: F.trim(F.regexp_replace(F.regexp_extract(line, r"^P<[A-Z]{3}([A-Z<]*?)<<([A-Z<]+)", i), "<+", " "))
+    name = F.trim(F.concat_ws(" ", part(2), part(1)))
+    return F.when(F.rlike(name, F.lit(r"^[A-Z][A-Z .'-]{2,80}$")), name)
+
+
+def mrz_number(text: Column) -> Column:
+    """The number that opens a passport's second machine-readable line."""
+    lines = F.transform(F.split(F.upper(text), "\n"), lambda x: F.regexp_replace(x, r"\s+", ""))
+    line = F.get(F.filter(lines, lambda x: F.rlike(x, F.lit("^[A-Z0-9<]{9}[0-9][A-Z<]{3}[0-9]{6}[0-9][MFX<][0-9]{6}"))), F.lit(0))
+    return F.nullif(F.replace(F.substring(line, 1, 9), F.lit("<"), F.lit("")), F.lit(""))

@@ -452,12 +452,12 @@ def drop_empty_entries(spark, sf_dir):
 
 
 #: Keys that a timeline never shows.
-REDACTED = ("log_id", "user_id", "unique_id", "subject_id", "document_id", "capture_id", "verification_id", "stored_path", "stored_filename", "sha256")
+REDACTED = ("captureId", "capture_id", "attemptId", "attempt_id", "verificationId", "verification_id", "documentId", "document_id", "storedFilename", "stored_filename", "storedPath", "stored_path", "fileUrl", "file_url")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'kind' ELSE 'kind,value' END AS shown FROM events")
 def redacted_keys(spark, sf_dir):
-    entries = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user_id"), F.lit("1"), F.lit("sha256"), F.lit("2"), F.when(F.col("event_type") == "error", "stored_path").otherwise("value"), F.lit("3"))
+    entries = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("document_id"), F.lit("1"), F.lit("fileUrl"), F.lit("2"), F.when(F.col("event_type") == "error", "stored_path").otherwise("value"), F.lit("3"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(F.map_filter(entries, lambda k, v: ~k.isin(*REDACTED)))), ",").alias("shown"))
 
 
@@ -714,7 +714,17 @@ def instruction_text(spark, sf_dir):
 def redacted_at_depth(spark, sf_dir):
     """Keys that a timeline never shows are gone from a record and from the records in it."""
     inner = F.struct(F.col("event_type").alias("kind"), F.lit("x").alias("stored_path"))
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct(F.col("value"), F.lit("s").alias("sha256"), inner.alias("who")).alias("r"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct(F.col("value"), F.lit("s").alias("file_url"), inner.alias("who")).alias("r"))
     shown = text.without_keys(F.col("r"), rows.schema["r"].dataType, REDACTED)
     keys = lambda x: F.array_join(F.array_sort(F.json_object_keys(F.to_json(x))), ",")
     return rows.select("event_id", "user_id", shown.alias("s")).select("event_id", "user_id", keys(F.col("s")).alias("outer_keys"), keys(F.col("s.who")).alias("inner_keys"))
+
+
+@query("""SELECT c_custkey, 'MOHAN QA' || translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' DE SOUZA' AS name, CASE WHEN c_custkey % 3 > 0 THEN 'U' || lpad(c_custkey::VARCHAR, 7, '0') END AS number FROM customer""")
+def machine_zones(spark, sf_dir):
+    """Name and number of passports' machine-readable lines, with blanks between their characters here and there."""
+    letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "ABCDEFGHIJ")
+    first = F.concat(F.lit("P<INDDE<SOUZA<<MOHAN<Q A"), letters, F.lit("<<<<<<<<<<"))
+    second = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("U"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit("<0IND9002051M3001012<<<<<<<<<<<<<<02"))).otherwise("U12")
+    shown = F.concat_ws("\n", F.lit("REPUBLIC OF INDIA"), first, second)
+    return table(spark, sf_dir, "customer").select("c_custkey", identifiers.mrz_name(shown).alias("name"), identifiers.mrz_number(shown).alias("number"))
