@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, text
-from credenza.operators import extraction, sequence, store
+from credenza.operators import extraction, history, sequence, store
 from credenza.plans import evidence, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
@@ -728,3 +728,78 @@ def machine_zones(spark, sf_dir):
     second = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("U"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit("<0IND9002051M3001012<<<<<<<<<<<<<<02"))).otherwise("U12")
     shown = F.concat_ws("\n", F.lit("REPUBLIC OF INDIA"), first, second)
     return table(spark, sf_dir, "customer").select("c_custkey", identifiers.mrz_name(shown).alias("name"), identifiers.mrz_number(shown).alias("number"))
+
+
+# Queries whose oracle is the SQL of the same name in credenza.plans.relational, made from functions of DataFrames.
+
+
+@query()
+def doc_search(spark, sf_dir):
+    return history.search(standin(spark, sf_dir, "docs"), "URG1", ["full_name", "id_type", "document_number", "number_key"], "id").select("id", "owner", "id_type", "number_key", "full_name")
+
+
+@query()
+def key_lookup(spark, sf_dir):
+    return history.public_user(history.lookup(standin(spark, sf_dir, "users"), "unique_id", [7, 42, 100], F.col("email_verified")))
+
+
+@query()
+def login_throttle(spark, sf_dir):
+    failed = standin(spark, sf_dir, "logins").filter("NOT success")
+    for name, minutes in (("n_15m", 15), ("n_3d", 4320)):
+        failed = history.trailing_failures(failed, "user_id", "event_at", F.lit(True), minutes, name)
+    return failed.select("id", "user_id", "event_at", "n_15m", "n_3d", (F.col("n_3d") >= 5).alias("throttled"))
+
+
+@query()
+def latest_otp(spark, sf_dir):
+    return history.latest_unused(standin(spark, sf_dir, "codes"), ["email", "purpose"], "id").select("email", "purpose", "id", "created_at")
+
+
+@query()
+def captures(spark, sf_dir):
+    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("event_id").alias("id"), F.col("user_id").alias("unique_id"), F.col("ts").alias("captured_at"))
+    return history.newest_each(clicks, "unique_id", [F.desc("captured_at"), F.desc("id")], 20)
+
+
+@query()
+def duplicate_decision(spark, sf_dir):
+    return history.duplicate_decisions(standin(spark, sf_dir, "docs"), "number_key", "owner", "id", "reverification_count").select("id", "decision")
+
+
+@query()
+def token_dedup(spark, sf_dir):
+    cell = lambda c: F.bround(F.col(c) / 24, 0).cast("long")
+    return history.distinct_best(standin(spark, sf_dir, "boxes"), [F.col("doc_id"), F.col("text"), cell("x"), cell("y")], "conf", "box_id").select("doc_id", "box_id", "conf")
+
+
+@query()
+def box_overlap(spark, sf_dir):
+    return history.overlaps(standin(spark, sf_dir, "boxes"))
+
+
+@query()
+def consensus_exact(spark, sf_dir):
+    return history.vote(standin(spark, sf_dir, "signals").withColumn("value", (F.col("l_suppkey") % 3).cast("long")), "doc_id", "value", "conf", "seq")
+
+
+@query()
+def highest_severity(spark, sf_dir):
+    return history.worst_severity(standin(spark, sf_dir, "signals"), "doc_id", "severity", "status")
+
+
+@query()
+def moving_average(spark, sf_dir):
+    return history.moving_mean(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 12, "motion").select("event_id", "user_id", "motion")
+
+
+@query()
+def capped_signals(spark, sf_dir):
+    order = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).otherwise(2)
+    return history.newest_each(standin(spark, sf_dir, "signals"), "doc_id", [order, F.col("seq")], 3).select("doc_id", "seq", "severity")
+
+
+@query()
+def knn_ratio_test(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return history.nearest_pair(vectors.filter("vec_id % 100 = 0"), vectors)
