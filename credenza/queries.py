@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, text
 from credenza.operators import extraction, history, sequence, store
-from credenza.plans import evidence, relational, rules
+from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
 from credenza.session import TABLES, table
@@ -803,3 +803,47 @@ def capped_signals(spark, sf_dir):
 def knn_ratio_test(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return history.nearest_pair(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+#: A recognised card text per supplier row: which misspellings, glyphs and fields it has is known from the row.
+NOTES = """SELECT p_partkey AS doc_id, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Goverment of India nationl GOVERMENT ' WHEN 1 THEN 'certficate ' ELSE 'certificate ' END || CASE WHEN p_partkey % 3 = 0 THEN ' >|< ' ELSE '' END
+    || CASE WHEN p_partkey % 5 = 0 THEN 'Roll: 2021CS1234 ' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'DOB: 12-08-2001 ' WHEN p_partkey % 7 = 1 THEN 'DOB: 31-02-2001 ' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'ABCPE1234F ERP 40012345 M1234567 9876 5432 1012' ELSE '' END AS text,
+    CAST(p_partkey % 10 AS DOUBLE) / 10 AS mean_conf FROM part"""
+
+
+@query(f"""SELECT doc_id, 'MISSPELLED' AS flag, unnest(CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN ['goverment', 'nationl'] WHEN 1 THEN ['certficate'] ELSE [] END) AS token FROM ({NOTES}) n
+  UNION ALL SELECT doc_id, 'BROKEN_GLYPH', '>|<' FROM ({NOTES}) m WHERE doc_id % 3 = 0""")
+def text_typos(spark, sf_dir):
+    return forensics.typo_flags(sql(spark, sf_dir, NOTES))
+
+
+@query(f"""SELECT doc_id, f.field, CASE WHEN f.value IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status, f.value, f.value IS NOT NULL AND (f.field <> 'dob' OR doc_id % 7 = 0) AS verified FROM ({NOTES}) n, LATERAL (VALUES
+    ('roll_number', CASE WHEN doc_id % 5 = 0 THEN '2021CS1234' END), ('erp_id', CASE WHEN doc_id % 2 = 0 THEN '40012345' END), ('dob', CASE doc_id % 7 WHEN 0 THEN '12-08-2001' WHEN 1 THEN '31-02-2001' END),
+    ('aadhaar_number', CASE WHEN doc_id % 2 = 0 THEN '9876 5432 1012' END), ('pan_number', CASE WHEN doc_id % 2 = 0 THEN 'ABCPE1234F' END), ('passport_number', CASE WHEN doc_id % 2 = 0 THEN 'M1234567' END)) f(field, value)""")
+def required_fields(spark, sf_dir):
+    return forensics.mandatory_fields(sql(spark, sf_dir, NOTES))
+
+
+LAYOUT_SQL = """SELECT doc_id, count(*) AS n_boxes, count(*) FILTER (WHERE n <= 400 AND abs(y - y1) <= 6 AND x < x1 + w1 - 2 AND y < y1 + h1 - 2) AS n_overlaps, avg(degrees(atan2(h::DOUBLE, w::DOUBLE))) AS a FROM (
+    SELECT *, lag(x) OVER o AS x1, lag(y) OVER o AS y1, lag(w) OVER o AS w1, lag(h) OVER o AS h1, row_number() OVER o AS n FROM {boxes} b WINDOW o AS (PARTITION BY doc_id ORDER BY y, x, box_id)) z GROUP BY doc_id"""
+
+
+@query(f"""SELECT doc_id, n_boxes, n_overlaps, CASE WHEN a > 45 THEN 90 - a ELSE a END AS tilt, CASE WHEN (CASE WHEN a > 45 THEN 90 - a ELSE a END) > 25 OR n_overlaps >= 4 THEN 'REVIEW' ELSE 'PASS' END AS layout_status FROM ({LAYOUT_SQL}) l""")
+def layout_checks(spark, sf_dir):
+    return forensics.layout(standin(spark, sf_dir, "boxes"))
+
+
+@query(f"""SELECT doc_id, typo_count, missing_count, layout_status, CASE WHEN typo_count >= 3 OR (missing_count >= 2 AND mean_conf > 0.55) THEN 'HIGH' WHEN typo_count >= 1 OR layout_status = 'REVIEW' THEN 'MEDIUM' ELSE 'LOW' END AS ocr_level FROM (
+  SELECT n.doc_id, mean_conf, CAST(CASE CAST(n.doc_id % 4 AS INT) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + (n.doc_id % 3 = 0)::INT AS BIGINT) AS typo_count, CAST(6 - (n.doc_id % 5 = 0)::INT - (n.doc_id % 7 < 2)::INT - 4 * (n.doc_id % 2 = 0)::INT AS BIGINT) AS missing_count,
+    CASE WHEN l.doc_id IS NULL THEN 'NO_TEXT' WHEN (CASE WHEN a > 45 THEN 90 - a ELSE a END) > 25 OR n_overlaps >= 4 THEN 'REVIEW' ELSE 'PASS' END AS layout_status FROM ({NOTES}) n LEFT JOIN ({LAYOUT_SQL}) l USING (doc_id)) x""")
+def text_forensics(spark, sf_dir):
+    return forensics.text_level(sql(spark, sf_dir, NOTES), standin(spark, sf_dir, "boxes"))
+
+
+@query("""SELECT p_partkey, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'adobe,adobe photoshop,photoshop' ELSE '' END AS editors, CASE CAST(p_partkey % 4 AS INT) WHEN 1 THEN 'stable diffusion' ELSE '' END AS generators, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'canon' WHEN 2 THEN 'pixel' ELSE '' END AS cameras,
+  CASE CAST(p_partkey % 4 AS INT) WHEN 1 THEN 'HIGH' WHEN 0 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM part""")
+def metadata_levels(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    tags = F.when(kind == 0, F.create_map(F.lit("Software"), F.lit("Adobe Photoshop 25"), F.lit("Make"), F.lit("Canon"))).when(kind == 1, F.create_map(F.lit("Software"), F.lit("Stable Diffusion"))).when(kind == 2, F.create_map(F.lit("Model"), F.lit("Google Pixel 8"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = forensics.metadata_level(table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags")))
+    return rows.select("p_partkey", F.array_join("editor_hits", ",").alias("editors"), F.array_join("ai_hits", ",").alias("generators"), F.array_join("camera_hits", ",").alias("cameras"), F.col("exif_level").alias("level"))
