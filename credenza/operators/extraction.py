@@ -240,7 +240,7 @@ def chosen(found: DataFrame) -> DataFrame:
 def bare_numbers(texts: DataFrame) -> DataFrame:
     """Numbers that stand without a label, by the document's family."""
     upper = F.upper(F.coalesce(F.col("text"), F.lit("")))
-    found = F.when(F.col("family") == "PAN", identifiers.find_pan(upper)).when(F.col("family") == "PASSPORT", identifiers.find_passport(upper)).when(F.col("family") == "DRIVING_LICENSE", identifiers.find_licence(upper)).when(F.col("family") == "COLLEGE_ID", identifiers.find_college_id(upper))
+    found = F.when(F.col("family") == "PAN", identifiers.find_pan(upper)).when(F.col("family") == "PASSPORT", identifiers.find_passport(upper)).when(F.col("family") == "DRIVING_LICENSE", identifiers.find_licence(upper)).when(F.col("family") == "COLLEGE_ID", identifiers.find_college_id(upper)).when(F.col("family") == "VISA", identifiers.find_visa(upper)).when(F.col("family") == "NATIONAL_ID", identifiers.find_labelled(upper))
     return texts.select("doc_id", "family", F.lit("document_number").alias("field"), found.alias("value"), F.lit("ANYWHERE").alias("source"), F.lit(70.0).alias("score")).filter("value IS NOT NULL")
 
 

@@ -191,13 +191,3 @@ def decision(c=F.col) -> Column:
         .when(c("risk_score") < VERIFY_BELOW, "VERIFIED")
         .otherwise("PENDING_REVIEW")
     )
-
-
-def compare_exact(reference: Column, extracted: Column, normalise) -> Column:
-    """The exact legs of field comparison; CLOSE? marks what sequence similarity must settle."""
-    return (
-        F.when(reference.isNull() | extracted.isNull() | (F.trim(reference) == ""), "NOT_APPLICABLE")
-        .when(F.trim(extracted) == "", "UNKNOWN")
-        .when(normalise(reference) == normalise(extracted), "MATCH")
-        .otherwise("CLOSE?")
-    )

@@ -402,10 +402,7 @@ def signed_tokens(spark, sf_dir):
 
 
 def _auth_events(spark, sf_dir):
-    from credenza.session import table as read
-
-    schema = read(spark, sf_dir, "events").schema.simpleString()[7:-1].replace(":", " ")
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*") if schema else None
+    stream = auth.event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet*", table(spark, sf_dir, "events").schema)
     return stream.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("success"))
 
 
@@ -847,3 +844,10 @@ def metadata_levels(spark, sf_dir):
     tags = F.when(kind == 0, F.create_map(F.lit("Software"), F.lit("Adobe Photoshop 25"), F.lit("Make"), F.lit("Canon"))).when(kind == 1, F.create_map(F.lit("Software"), F.lit("Stable Diffusion"))).when(kind == 2, F.create_map(F.lit("Model"), F.lit("Google Pixel 8"))).otherwise(F.create_map().cast("map<string,string>"))
     rows = forensics.metadata_level(table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags")))
     return rows.select("p_partkey", F.array_join("editor_hits", ",").alias("editors"), F.array_join("ai_hits", ",").alias("generators"), F.array_join("camera_hits", ",").alias("cameras"), F.col("exif_level").alias("level"))
+
+
+@query()
+def key_humanised(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    key = F.when(kind == 0, "finalStatus").when(kind == 1, "risk_score").when(kind == 2, "documentNumber_masked").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.humanised(key).alias("label"))

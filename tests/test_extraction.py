@@ -20,6 +20,8 @@ CARDS = {
     11: ("", "Name: DIVYANSHU MISHRA ides smatwe\nBlood Group: ab +\nEmail: a.b@c.org\nMobile No: +91 98765 43210\nPin Code 271001\nOrgan Donor: Y", {"name": "DIVYANSHU MISHRA", "blood_group": "AB+", "email": "a.b@c.org", "phone": "+919876543210", "pincode": "271001", "organ_donor": "YES"}),
     12: ("DRIVING_LICENSE", "DL No: UP34 20210003592\nDate of Issue: 31-02-2021\nValid Till: 12 March 2031", {"document_number": "UP3420210003592", "issue_date": "31-02-2021", "expiry_date": "12 March 2031"}),
     13: ("PASSPORT", "Passport\nU1234568\nSurname: GUPTA", {"document_number": "U1234568", "surname": "GUPTA"}),
+    17: ("VISA", "Entry Permit\nVisa No: AB123456", {"document_number": "AB123456", "visa_number": "AB123456"}),
+    18: ("NATIONAL_ID", "Identity Number 4321-AB\nCard No 1234567890123456", {"document_number": "4321AB"}),
     14: ("", "Address: Please provide your address", {"address": None}),
     15: ("PAN", None, {"name": None}),
     16: ("PAN", "", {"name": None}),
@@ -37,13 +39,22 @@ def test_cards(texts):
 
 
 def test_references_repair_names(spark, texts):
-    noisy = spark.createDataFrame([(17, "DRIVING_LICENSE", "DIVYANSHU MISHRA ides smatwe\n28-01-2002\nDL No: UP3420210003592")], texts.schema)
+    noisy = spark.createDataFrame([(20, "DRIVING_LICENSE", "DIVYANSHU MISHRA ides smatwe\n28-01-2002\nDL No: UP3420210003592")], texts.schema)
     whole = texts.unionByName(noisy)
-    references = spark.createDataFrame([(4, "name", "Abhishek Gupta"), (17, "name", "Divyanshu Mishra"), (9, "name", "Someone Else"), (5, "name", "Abhishek Gupta")], "doc_id bigint, field string, reference string")
+    references = spark.createDataFrame([(4, "name", "Abhishek Gupta"), (20, "name", "Divyanshu Mishra"), (9, "name", "Someone Else"), (5, "name", "Abhishek Gupta")], "doc_id bigint, field string, reference string")
     got = {(r.doc_id, r.field): r.value for r in extraction.repaired(extraction.extract(whole), whole, references).collect()}
-    assert got[4, "name"] == "Abhishek Gupta" and got[17, "name"] == "Divyanshu Mishra" and got[9, "name"] == "AGRIM YADAV" and (5, "name") not in got
+    assert got[4, "name"] == "Abhishek Gupta" and got[20, "name"] == "Divyanshu Mishra" and got[9, "name"] == "AGRIM YADAV" and (5, "name") not in got
     assert got[4, "father_name"] == "ANAND KUMAR GUPTA"
 
 
 def test_each_label_names_its_field():
     assert len(extraction.FIELD_OF) > 100 and extraction.FIELD_OF["dateofbirth"] == extraction.FIELD_OF["dob"] == "dob"
+
+
+def test_codes_are_six_digits_and_repeatable(spark):
+    from credenza.functions import text
+
+    df = spark.range(50)
+    codes = [r[0] for r in df.select(text.one_time_code(3)).collect()]
+    assert all(len(c) == 6 and c.isdigit() for c in codes) and codes == [r[0] for r in df.select(text.one_time_code(3)).collect()] and len(set(codes)) > 40
+    assert len({r[0] for r in df.select(text.case_id()).collect()}) == 50
