@@ -191,3 +191,14 @@ def decision(c=F.col) -> Column:
         .when(c("risk_score") < VERIFY_BELOW, "VERIFIED")
         .otherwise("PENDING_REVIEW")
     )
+
+
+def face_gates(c=F.col) -> dict[str, Column]:
+    """Gates of a comparison of two faces, from the columns of the feature table "faces" and its score (0 to 100): local
+    evidence (enough matches of either kind that agree in space, over enough of the face) and structure."""
+    sift = (c("sift_matches") >= 7) & (c("sift_inliers") >= 5) & (c("sift") >= 30)
+    orb = (c("orb_matches") >= 10) & (c("orb_inliers") >= 6) & (c("orb") >= 45)
+    local = (c("coverage") >= 22) & (c("zones") >= 2) & (sift | orb)
+    structure = (c("corr") >= 55) & (c("grad") >= 50)
+    alike = (c("face_score") >= FACE_THRESHOLD) & local & structure
+    return {"local_gate": local, "structure_gate": structure, "face_status": F.when(alike, "SIMILAR").when(c("face_score") >= 45, "LOW_SIMILARITY").otherwise("NOT_SIMILAR")}

@@ -385,7 +385,7 @@ def extract_fields(spark, sf_dir):
     return extraction.extract(standin(spark, sf_dir, "cards").select("doc_id", "family", "text")).select("doc_id", "field", "value")
 
 
-@query()
+@query("SELECT doc_id, 'Mohan Q' || lower(substr(holder, 8)) || 'a' AS value FROM {cards} c")
 def repaired_names(spark, sf_dir):
     """Names of card texts against a reference with one letter more."""
     cards = standin(spark, sf_dir, "cards")
@@ -851,3 +851,13 @@ def key_humanised(spark, sf_dir):
     kind = F.col("event_id") % 4
     key = F.when(kind == 0, "finalStatus").when(kind == 1, "risk_score").when(kind == 2, "documentNumber_masked").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", text.humanised(key).alias("label"))
+
+
+FACES = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CAST(l_partkey * 7 % 101 AS DOUBLE) AS face_score, CAST(40 + l_suppkey * 11 % 50 AS DOUBLE) AS corr, CAST(35 + l_partkey * 13 % 60 AS DOUBLE) AS grad, CAST(l_partkey * 3 % 100 AS DOUBLE) AS orb, CAST(l_suppkey * 5 % 80 AS DOUBLE) AS sift,
+    l_partkey % 20 AS orb_matches, l_suppkey % 12 AS orb_inliers, l_partkey % 14 AS sift_matches, l_suppkey % 9 AS sift_inliers, l_linenumber AS zones, CAST(l_partkey % 60 AS DOUBLE) AS coverage FROM lineitem"""
+
+
+@query(f"""SELECT doc_id, local_gate, structure_gate, CASE WHEN face_score >= 62 AND local_gate AND structure_gate THEN 'SIMILAR' WHEN face_score >= 45 THEN 'LOW_SIMILARITY' ELSE 'NOT_SIMILAR' END AS face_status FROM (
+  SELECT doc_id, face_score, coverage >= 22 AND zones >= 2 AND ((sift_matches >= 7 AND sift_inliers >= 5 AND sift >= 30) OR (orb_matches >= 10 AND orb_inliers >= 6 AND orb >= 45)) AS local_gate, corr >= 55 AND grad >= 50 AS structure_gate FROM ({FACES}) f) g""")
+def face_gates(spark, sf_dir):
+    return sql(spark, sf_dir, FACES).select("doc_id", *[v.alias(k) for k, v in rules.face_gates().items()])
