@@ -93,8 +93,8 @@ def test_pivots(spark):
 def test_similarity_prefilter_agrees(spark):
     pairs = [("holder name", "holder nam"), ("abc", "abcdefghijkl"), ("", ""), ("same", "same"), (None, "x")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    rows = df.select(similarity.prefiltered_ratio(F.col("a"), F.col("b"), 0.7).alias("p"), similarity.ratio("a", "b").alias("r")).collect()
-    assert all(r.p == r.r or (r.p == 0.0 and r.r < 0.7) or r.p is None for r in rows)
+    rows = similarity.with_ratio(df.withColumn("r", similarity.ratio("a", "b")), F.col("a"), F.col("b"), 0.7).collect()
+    assert len(rows) == len(pairs) and all(r.ratio == r.r or (r.ratio == 0.0 and r.r < 0.7) for r in rows)
 
 
 def test_upsert_is_idempotent(spark):
