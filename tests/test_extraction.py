@@ -22,6 +22,8 @@ CARDS = {
     13: ("PASSPORT", "Passport\nU1234568\nSurname: GUPTA", {"document_number": "U1234568", "surname": "GUPTA"}),
     17: ("VISA", "Entry Permit\nVisa No: AB123456", {"document_number": "AB123456", "visa_number": "AB123456"}),
     18: ("NATIONAL_ID", "Identity Number 4321-AB\nCard No 1234567890123456", {"document_number": "4321AB"}),
+    # A name of one letter's word is noise, an address on its label's line ends there, a bare "Number" is no label.
+    19: ("", "Name: Jane Q Public\nDOB\n15.08.1990\nAddress: 1 High St\nOld Town\nGender: F\nNumber: ab-12 34", {"name": None, "dob": "15/08/1990", "address": "1 High St", "gender": "FEMALE", "document_number": None}),
     14: ("", "Address: Please provide your address", {"address": None}),
     15: ("PAN", None, {"name": None}),
     16: ("PAN", "", {"name": None}),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, text
-from credenza.operators import extraction, sequence, store
+from credenza.operators import sequence, store
 from credenza.plans import rules
 
 BASE = {
@@ -116,11 +116,6 @@ def test_lines_join_by_recent_mean(spark):
     assert [r.line for r in sequence.line_groups(df).orderBy("seq").collect()] == [0, 0, 1, 0]
 
 
-def test_waterfall():
-    got = extraction.fields_of("Name: Jane Q Public\nDOB\n15.08.1990\nAddress: 1 High St\nOld Town\nGender: F\nNumber: ab-12 34")
-    assert got == {"name": "JANE Q PUBLIC", "dob": "15/08/1990", "address": "1 High St, Old Town", "gender": "FEMALE", "document_number": "AB1234"}
-
-
 def test_normalisers_differ(spark):
     row = spark.createDataFrame([(" ab-1 é ",)], "x string").select(text.document_number(F.col("x")), text.match_text(F.col("x"))).first()
     assert tuple(row) == ("AB1É", "ab1")
