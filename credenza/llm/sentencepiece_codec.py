@@ -36,7 +36,7 @@ RUN = re.compile(f"{MARK}+[^{MARK}]*")
 class Agenda:
     """Encoder and decoder over one vocabulary. The library is used to read the model file and to check."""
 
-    def __init__(self, model_path: str, most: int = 112 << 20):
+    def __init__(self, model_path: str, most: int = 224 << 20):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
