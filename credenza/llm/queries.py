@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credenza.llm import jaccard_join, katz_lm, media_chunks, mixing, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, url_filters
+from credenza.llm import decontamination, jaccard_join, katz_lm, media_chunks, mixing, quality_rules, sentencepiece_codec, spelling, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
 from credenza.llm.common import WORD
 from credenza.session import table
 
@@ -55,6 +55,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = rf"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
@@ -103,9 +115,87 @@ FROM pages_ p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+runs AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+each AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs WHERE length(run) >= 6 GROUP BY r, doc_id, run),
+summed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT),
+           lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+  FROM each, crc),
+spelled AS (
+  SELECT CASE WHEN crc % 199 = 0 THEN left(run, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+steps AS (
+  SELECT word, word AS up, 0 AS depth FROM forms
+  UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN forms f ON s.up = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(up, depth) AS root FROM steps GROUP BY word) USING (word)
+"""
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: w[i : i + 9])) AS win FROM items WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT len(win) AS n FROM windows),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n),
+found AS (SELECT r, i, n, item_id FROM (SELECT r, i, n, w[i : i + n - 1] AS win FROM places) JOIN windows USING (win)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+owners AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)
+"""
+
+
+def _op13_sql() -> str:
+    """Two rounds of assigning and averaging, and a last assignment, in long form: a row per component."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""
+far{k} AS (SELECT r, p, e, sum((x - c) * (x - c)) AS d FROM comps JOIN book{k} USING (p, j) GROUP BY r, p, e),
+own{k} AS (SELECT r, p, arg_min(e, (d, e)) AS e, min(d)::BIGINT AS d FROM far{k} GROUP BY r, p)""")
+        if k < 2:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, e, j, (s - ((s % n) + n) % n) // n AS m
+  FROM (SELECT p, e, j, sum(x)::BIGINT AS s, count(*) AS n FROM comps JOIN own{k} USING (r, p) GROUP BY p, e, j)),
+book{k + 1} AS (SELECT p, e, j, coalesce(m, c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e, j))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comps AS (
+  SELECT r, i // w AS p, i % w AS j, floor(embedding[i + 1]::DOUBLE * 256)::BIGINT AS x
+  FROM (SELECT r, embedding, len(embedding) // 16 AS w, unnest(range(len(embedding))) AS i FROM kept)),
+book0 AS (SELECT p, r AS e, j, x AS c FROM comps WHERE r < 64),{",".join(steps)},
+codes AS (SELECT r, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM own2 GROUP BY r),
+books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (r), books
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_media_chunks": op4_media_chunks, "op5_katz_lm": op5_katz_lm, "op6_quality_rules": op6_quality_rules, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts, "op4_media_chunks": op4_media_chunks, "op5_katz_lm": op5_katz_lm, "op6_quality_rules": op6_quality_rules, "op7_suffix_dedup": op7_suffix_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters, "op11_spelling_variants": op11_spelling_variants, "op12_decontamination": op12_decontamination, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op9_mixing": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_vector_codes": OP13_SQL}
