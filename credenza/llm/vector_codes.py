@@ -179,6 +179,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
 
 
 def _with_labels(done: DataFrame, id_col: str, text: str) -> DataFrame:
-    by_label = save(done.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(GREATEST)).cast("bigint").alias("label_error")).withColumnRenamed("label", "of"), "labels")
+    sums = done.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total"))
+    by_label = save(sums.select("of", F.when(F.col("total") > GREATEST, GREATEST).otherwise(F.col("total")).cast("bigint").alias("label_error")), "labels")
     joined = done.join(by_label, F.col("label").eqNullSafe(F.col("of")))
     return joined.select(F.col("id").alias(id_col), "code", "error", "label_error", F.lit(hashlib.sha256(text.encode()).hexdigest()).alias("codebooks_sha256"))
