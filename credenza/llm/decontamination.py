@@ -8,9 +8,9 @@ written once, sorted by nothing but the order of reading, and nothing of it is s
 Searching: items are cut into windows of ten words (an item with fewer is one window). The terms of each distinct window
 are ordered by how often the index holds them; a window with a term that nowhere occurs is done. Then lists are
 intersected from the rarest term on, each adjusted by the term's offset in the window, so that a place that is in all of
-them is where the window starts. In the first step only the two rarest terms' lists of segments that hold the rarest
-are read and brought together by segment; in the second, the other lists of those segments and windows that still have
-a place. With a slack, a term may lie up to so many words off its place (a proximity match); without, matches are exact.
+them is where the window starts. In the first step only lists of terms that are among the two rarest of a window
+are brought together by segment, with the windows whose rarest term a segment holds; in the second, the other lists of windows
+that still have a place. With a slack, a term may lie up to so many words off its place (a proximity match); without, matches are exact.
 
 Scale: a term that is in all documents is as many rows as segments, each bounded by a segment. Joins are by (segment, term)
 or by term with few rows on the other side, and may be split. A segment's lists are in one task's memory (some megabytes, or
@@ -42,11 +42,11 @@ WINDOW = 10
 #: Free places after a document, so that no match passes from one to the next: the greatest slack.
 GAP = 16
 #: Bytes of a segment's texts, about.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: Bytes: A-Z to a-z, all ASCII but digits and letters to spaces, others as they are.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Starts that are looked at at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 
 
 def packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -344,9 +344,9 @@ def search(index: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame:
     tried = save(lists.select("segment", "t").join(order.withColumn("t", F.col("ts")[0]), "t").select("segment", "window", "ts", "offsets"), "tried")
 
     def stream(rows: DataFrame, starts: Column, least: int, most: int, more: DataFrame | None = None) -> DataFrame:
-        """Lists and rows, those of a segment together and lists first."""
-        needed = rows.select("segment", F.explode(F.slice("ts", least + 1, most)).alias("t")).distinct()
-        own = lists.join(needed, ["segment", "t"])
+        """Lists of the terms that the step asks for, and rows, those of a segment together and lists first."""
+        asked = (order if least == 0 else rows).select(F.explode(F.slice("ts", least + 1, most)).alias("t")).distinct()
+        own = lists.join(asked, "t", "left_semi")
         none = F.lit(None)
         parts = own.select("segment", F.lit(1).alias("kind"), F.col("t").alias("key"), none.cast("bigint").alias("length"), F.col("postings").alias("bytes"), none.cast("array<bigint>").alias("ts"), none.cast("array<int>").alias("offsets"))
         parts = parts.unionByName(rows.select("segment", F.lit(2).alias("kind"), F.col("window").alias("key"), none.cast("bigint").alias("length"), starts.alias("bytes"), "ts", "offsets"))

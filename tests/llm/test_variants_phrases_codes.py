@@ -154,7 +154,7 @@ def phrases(seed, n=120):
 @pytest.mark.parametrize("segment", [decontamination.SEGMENT, 600])
 def test_hits(spark, monkeypatch, segment):
     monkeypatch.setattr(decontamination, "SEGMENT", segment)
-    monkeypatch.setattr(decontamination, "AT_ONCE", 1 << 21 if segment > 600 else 50)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 1 << 18 if segment > 600 else 50)
     docs, items = phrases(4)
     d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).withColumns({"segment": F.lit(1), "term": F.lit("x"), "item_id": F.lit(2), "id": F.lit(None).cast("int")})
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
