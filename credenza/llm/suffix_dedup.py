@@ -18,7 +18,7 @@ by words, text and place together, so that a passage which a third of all docume
 partitions as well; suffixes at the edge of a partition keep the neighbour they lack as a possible match.
 Fingerprints are counted with counts combined before each shuffle; joins of windows to their originals are
 plain equi-joins that adaptive execution can split. Texts are shuffled once, by text, and only the words
-around candidates a second time. Two texts with the same first 64 bits (not the second) have no spans.
+around candidates a second time.
 
 Defined cases: null, empty and short texts have no spans; very long texts are read whole; repeated rows and
 ids: every row but the first (least id; null ids last) of equal texts is a copy of the first; ids may be of
@@ -58,14 +58,14 @@ def suffixes(batches):
     for batch in batches:
         for part in slices(batch):
             counts, prints, twice = [], [], []
-            for node, text in zip(part.column("node").to_pylist(), texts_of(part), strict=True):
+            for key, text in zip(zip(part.column("node").to_pylist(), part.column("mark").to_pylist(), strict=True), texts_of(part), strict=True):
                 words = text.split()
                 counts.append(len(words))
-                if len(words) < LENGTH or node in seen:
+                if len(words) < LENGTH or key in seen:
                     prints.append(None)
                     twice.append(None)
                     continue
-                seen.add(node)
+                seen.add(key)
                 array = ids.array(words)
                 names, n = np.unique(retained(array)[1], return_counts=True)
                 prints.append(names.view(np.int64))
@@ -85,21 +85,21 @@ def retained(array: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def contexts(batches):
-    """(id, node, text, prints: of the text's candidate suffixes) to those suffixes: their first LENGTH words, the words
+    """(id, node, mark, text, prints: of the text's candidate suffixes) to those suffixes: their first LENGTH words, the words
     before them that their windows hold, and the number of those windows."""
     ids = WordIds()
     for batch in batches:
         for part in slices(batch, most=2 << 20):
             rows: list[tuple] = []
-            for doc, node, text, prints in zip(*(part.column(c).to_pylist() for c in ("id", "node")), texts_of(part), part.column("prints").to_pylist(), strict=True):
+            for doc, node, mark, text, prints in zip(*(part.column(c).to_pylist() for c in ("id", "node", "mark")), texts_of(part), part.column("prints").to_pylist(), strict=True):
                 words = text.split()
                 places, leads, first, last = retained(ids.array(words))
                 own = np.isin(leads, np.array(prints, dtype=np.int64).view(np.uint64))
                 for at, a, z in zip(places[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True):
-                    rows.append((b" ".join(words[at : at + LENGTH]), b" ".join(words[a:at]), at - a, z - a + 1, doc, node, at))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), part.column("id").type, pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["suffix", "before", "n_before", "n_windows", "least", "node", "at"])
+                    rows.append((b" ".join(words[at : at + LENGTH]), b" ".join(words[a:at]), at - a, z - a + 1, doc, node, at, mark))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), part.column("id").type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["suffix", "before", "n_before", "n_windows", "least", "node", "at", "mark"])
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -118,7 +118,7 @@ def common_words(a: bytes, b: bytes) -> int:
 
 
 def neighbours(batches):
-    """Suffixes in order to the windows (node, at, print, mark, least) that their matches with the one before and the
+    """Suffixes in order to the windows (node, mark, at, print, check, least) that their matches with the one before and the
     one after make possible."""
     ids, last, reach = WordIds(), None, LENGTH
     for batch in batches:
@@ -153,23 +153,23 @@ def windows_of(rows: list[tuple], reach: list[int], ids: WordIds, kind: pa.DataT
     where = (np.cumsum(sizes) - sizes)[row] + i
     taken = row.tolist()
     return pa.RecordBatch.from_arrays(
-        [pa.array([rows[r][5] for r in taken], pa.int64()), pa.array(at[row] - n_before[row] + i), pa.array(prints[where].view(np.int64)), pa.array((marks[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array([rows[r][4] for r in taken], kind)],
-        ["node", "at", "print", "mark", "least"],
+        [pa.array([rows[r][5] for r in taken], pa.int64()), pa.array([rows[r][7] for r in taken], pa.int64()), pa.array(at[row] - n_before[row] + i), pa.array(prints[where].view(np.int64)), pa.array((marks[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array([rows[r][4] for r in taken], kind)],
+        ["node", "mark", "at", "print", "check", "least"],
     )
 
 
 def merged(batches):
-    """(node, at, o_id, o_at) sorted by node and at, rows of a node together, to spans of overlapping windows."""
+    """(node, mark, at, o_id, o_at) sorted by them, rows of a text together, to spans of overlapping windows."""
     now, kind = None, None
     for batch in batches:
         rows, kind = [], batch.column("o_id").type
-        for node, at, o_id, o_at in zip(*(batch.column(c).to_pylist() for c in ("node", "at", "o_id", "o_at")), strict=True):
-            if now and now[0] == node and at <= now[2]:
-                now[2] = at + LENGTH
+        for node, mark, at, o_id, o_at in zip(*(batch.column(c).to_pylist() for c in ("node", "mark", "at", "o_id", "o_at")), strict=True):
+            if now and now[:2] == [node, mark] and at <= now[3]:
+                now[3] = at + LENGTH
             else:
                 if now:
                     rows.append(now)
-                now = [node, at, at + LENGTH, o_id, o_at]
+                now = [node, mark, at, at + LENGTH, o_id, o_at]
         if rows:
             yield _spans(rows, kind)
     if now:
@@ -178,18 +178,18 @@ def merged(batches):
 
 def _spans(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), kind, pa.int64()), strict=True)], ["node", "first_word", "end_word", "o_id", "o_at"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, pa.int64()), strict=True)], ["node", "mark", "first_word", "end_word", "o_id", "o_at"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span that is not the first occurrence: id, first_word, end_word (word numbers, the
     end excluded), n_words, of_id and of_word (where the span's first window occurs first)."""
     rows, texts, spans = _located(docs, id_col, text_col)
-    every = rows.join(texts.select("node", "least", "copies"), "node")
+    every = rows.join(texts.select("node", "mark", "least", "copies"), ["node", "mark"])
     # Equal texts: one row, the least id, stands for the text; of repeated rows of that id too, any but one is a copy.
-    lead = every.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("node", "id").agg(F.count("*").alias("same"), F.first("n_words").alias("n_words"))
+    lead = every.filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("node", "mark", "id").agg(F.count("*").alias("same"), F.first("n_words").alias("n_words"))
     long = lambda n: F.lit(n).cast("long")
-    of_first = lead.join(spans, "node").select("id", "first_word", "end_word", F.col("o_id").alias("of_id"), F.col("o_at").alias("of_word"))
+    of_first = lead.join(spans, ["node", "mark"]).select("id", "first_word", "end_word", F.col("o_id").alias("of_id"), F.col("o_at").alias("of_word"))
     again = lead.filter("same > 1").select("id", long(0).alias("first_word"), F.col("n_words").alias("end_word"), F.col("id").alias("of_id"), long(0).alias("of_word"), F.explode(F.sequence(F.lit(2), F.col("same").cast("int"))).alias("x")).drop("x")
     others = every.filter(~F.col("id").eqNullSafe(F.col("least"))).select("id", long(0).alias("first_word"), F.col("n_words").alias("end_word"), F.col("least").alias("of_id"), long(0).alias("of_word"))
     found = of_first.unionByName(others).unionByName(again)
@@ -203,33 +203,33 @@ def _keys(text: Column) -> list[Column]:
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of texts of LENGTH words or more: the rows (id, node, n_words), the texts (node, mark, least id, copies) and the
-    spans (node, first_word, end_word, o_id, o_at) of each text but for the first occurrences."""
+    """Of texts of LENGTH words or more: the rows (id, node, mark, n_words), the texts (node, mark, least id, copies) and the
+    spans (node, mark, first_word, end_word, o_id, o_at) of each text but for the first occurrences."""
     narrow = docs.select(F.col(id_col).alias("id"), *_keys(F.col(text_col)), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     read = save(narrow.mapInArrow(suffixes, f"id {kind}, node bigint, mark bigint, n_words bigint, prints array<bigint>, twice array<bigint>"), "suffixes")
     enough = read.filter(F.col("n_words") >= LENGTH)
-    texts = enough.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("mark").alias("mark"), F.max("mark").alias("other"))
-    texts = save(texts.filter("mark = other").drop("other"), "texts")
+    texts = save(enough.groupBy("node", "mark").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "texts")
     # Leads that another text has too; a text's own repeats count as well.
-    suffix = read.filter("prints IS NOT NULL").select("node", F.explode("prints").alias("print"))
-    shared = suffix.groupBy("print").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("print")
-    marked = suffix.join(shared, "print").select("node", "print").unionByName(read.select("node", F.explode("twice").alias("print")))
-    chosen = marked.groupBy("node").agg(F.collect_set("print").alias("prints")).join(texts, "node").select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "prints", "least")
-    body = narrow.join(chosen, (F.col("node") == F.col("c_node")) & (F.col("mark") == F.col("c_mark")) & F.col("id").eqNullSafe(F.col("least"))).select("id", "node", "text", "prints")
-    candidates = save(body.mapInArrow(contexts, f"suffix binary, before binary, n_before int, n_windows int, least {kind}, node bigint, at bigint"), "candidates")
-    order = ["suffix", "node", "at"]
+    suffix = read.filter("prints IS NOT NULL").select("node", "mark", F.explode("prints").alias("print"))
+    texts_with = [f("node") for f in (F.min, F.max)] + [f("mark") for f in (F.min, F.max)]
+    shared = suffix.groupBy("print").agg(*[c.alias(n) for c, n in zip(texts_with, ("low", "high", "low2", "high2"), strict=True)]).filter("low <> high OR low2 <> high2").select("print")
+    marked = suffix.join(shared, "print").select("node", "mark", "print").unionByName(read.select("node", "mark", F.explode("twice").alias("print")))
+    chosen = marked.groupBy("node", "mark").agg(F.collect_set("print").alias("prints")).join(texts, ["node", "mark"]).select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "prints", "least")
+    body = narrow.join(chosen, (F.col("node") == F.col("c_node")) & (F.col("mark") == F.col("c_mark")) & F.col("id").eqNullSafe(F.col("least"))).select("id", "node", "mark", "text", "prints")
+    candidates = save(body.mapInArrow(contexts, f"suffix binary, before binary, n_before int, n_windows int, least {kind}, node bigint, at bigint, mark bigint"), "candidates")
+    order = ["suffix", "node", "mark", "at"]
     ordered = candidates.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    placed = save(ordered.mapInArrow(neighbours, f"node bigint, at bigint, print bigint, mark int, least {kind}"), "windows")
-    origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("node")))
-    first = placed.groupBy("print", "mark").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", "mark", F.col("o.node").alias("o_node"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
+    placed = save(ordered.mapInArrow(neighbours, f"node bigint, mark bigint, at bigint, print bigint, check int, least {kind}"), "windows")
+    origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("node"), F.col("mark")))
+    first = placed.groupBy("print", "check").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", "check", F.col("o.node").alias("o_node"), F.col("o.mark").alias("o_mark"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
     # Saved, so that the join of a very common window shuffles both sides itself and can be split.
     first = save(first, "first")
-    later = placed.join(first, ["print", "mark"]).filter((F.col("node") != F.col("o_node")) | (F.col("at") != F.col("o_at")))
+    later = placed.join(first, ["print", "check"]).filter((F.col("node") != F.col("o_node")) | (F.col("mark") != F.col("o_mark")) | (F.col("at") != F.col("o_at")))
     # Rows of one text together and in order; texts are many and each is bounded by its own length.
-    inside = later.select("node", "at", "o_id", "o_at").repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "at")
-    spans = save(inside.mapInArrow(merged, f"node bigint, first_word bigint, end_word bigint, o_id {kind}, o_at bigint"), "spans")
-    return enough.select("id", "node", "n_words"), texts, spans
+    inside = later.select("node", "mark", "at", "o_id", "o_at").repartition(partitions(docs.sparkSession), "node", "mark").sortWithinPartitions("node", "mark", "at")
+    spans = save(inside.mapInArrow(merged, f"node bigint, mark bigint, first_word bigint, end_word bigint, o_id {kind}, o_at bigint"), "spans")
+    return enough.select("id", "node", "mark", "n_words"), texts, spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
@@ -237,8 +237,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns. Equal texts keep their words in the row with the least id; rows equal in id and text are
     trimmed alike, as the first. count_col, if present, becomes the new length."""
     _, texts, spans = _located(docs, id_col, text_col)
-    of_text = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("spans"))
-    cut = texts.join(of_text, "node", "left").filter("copies > 1 OR spans IS NOT NULL").select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "least", "spans")
+    of_text = spans.groupBy("node", "mark").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("spans"))
+    cut = texts.join(of_text, ["node", "mark"], "left").filter("copies > 1 OR spans IS NOT NULL").select(F.col("node").alias("c_node"), F.col("mark").alias("c_mark"), "least", "spans")
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_keys(F.col(text_col)))
     joined = rows.join(cut, (F.col("node") == F.col("c_node")) & (F.col("mark") == F.col("c_mark")), "left")

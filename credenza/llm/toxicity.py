@@ -16,7 +16,8 @@ thousand weights that were kept, without a shuffle.
 Defined cases: null and empty texts have no features and get the model's base rate; null labels are not
 learned from; with no labelled rows, or rows of one label only, every score is the share of toxic labels
 (0 if none); repeated rows get equal scores; an id that is labelled twice
-teaches twice, and one that several documents have with each of them (the bound is on labels); very long texts are read whole; other columns are not carried.
+teaches twice, and one that several documents have with each of them, within the bound; of features that go equally with the
+labels those of the least hashes are chosen; very long texts are read whole; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def feature_hash(feature: str) -> int:
 
 
 def labelled_features(batches):
-    """(text, toxic) to (toxic, hashed features, hashed features after the swap or null if it changes nothing)."""
+    """(key, text, toxic) to (key, toxic, hashed features, hashed features after the swap or null if it changes nothing)."""
     for batch in batches:
         for part in slices(batch):
             plain, swapped = [], []
@@ -84,7 +85,7 @@ def labelled_features(batches):
                 other = swapped_words(text or "")
                 swapped.append(sorted(map(feature_hash, features_of(other))) if other != words else None)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(plain, kind), pa.array(swapped, kind)], ["toxic", "plain", "swapped"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("toxic"), pa.array(plain, kind), pa.array(swapped, kind)], ["key", "toxic", "plain", "swapped"])
 
 
 def choose(rows: list[np.ndarray], y: np.ndarray, most: int, least_docs: int) -> np.ndarray:
@@ -182,10 +183,12 @@ def scorer(chosen: np.ndarray, weights: np.ndarray, intercept: float):
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most_rows: int = 12_000, most_features: int = 4096, least_docs: int = 4, l2: float = 1.0, counterfactual: float = 4.0, steps: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row: id, held_out, score, predicted. Rows whose crc32(id) mod modulus is remainder are never learned from."""
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic")).filter("l_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out("l_id", modulus, remainder))
-    # Bounded: at most most_rows ids and labels are broadcast, and as many rows of hashed features collected.
+    # Bounded: at most most_rows ids and labels are broadcast, and at most as many rows of hashed features collected, by a
+    # hash of id and text, also where one labelled id stands in many rows.
     sample = known.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(most_rows)
-    learned = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id")).select("text", "toxic")
-    table = learned.mapInArrow(labelled_features, "toxic int, plain array<int>, swapped array<int>").toArrow()
+    learned = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id")).select(F.xxhash64("l_id", "text").alias("key"), "text", "toxic")
+    features = learned.mapInArrow(labelled_features, "key bigint, toxic int, plain array<int>, swapped array<int>")
+    table = features.orderBy("key", "toxic", "plain").limit(most_rows).toArrow()
     plain, swapped = ([None if not v.is_valid else v.values.to_numpy() for v in table.column(c)] for c in ("plain", "swapped"))
     y = np.array([float(t > 0) for t in table.column("toxic").to_pylist()])
     model = fit(plain, swapped, y, most_features, least_docs, l2, counterfactual, steps)

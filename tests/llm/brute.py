@@ -163,3 +163,60 @@ def mcd_distances(groups: list, vectors: list, floors: tuple, share: float, prio
         for i, v in zip(own, d.tolist(), strict=True):
             out[i] = v
     return out
+
+
+def toxicity(learned: list[tuple], texts: list, rules, steps: int, most: int = 4096, least_docs: int = 4, l2: float = 1.0, counterfactual: float = 4.0) -> list[float]:
+    """Scores of texts by a fit on (text, label), weight by weight. rules: the module with the fixed identity terms."""
+    successor = {t: kind[(i + 1) % len(kind)] for kind in rules.IDENTITY_TERMS for i, t in enumerate(kind)}
+    kind_of = {t: kind for kind in rules.IDENTITY_TERMS for t in kind}
+
+    def features(words):
+        return {f for w in words for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]}
+
+    def tokens(text):
+        return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+    def other(words):
+        first: dict = {}
+        return [first.setdefault(kind_of[w], successor[w]) if w in kind_of else w for w in words]
+
+    plain = [features(tokens(t)) for t, _ in learned]
+    swapped = [features(other(tokens(t))) if set(other(tokens(t))) != set(tokens(t)) else None for t, _ in learned]
+    y = [label for _, label in learned]
+    n, share = len(y), sum(y) / len(y)
+    score = {}
+    for f in set().union(*plain):
+        with_f = sum(f in p for p in plain)
+        toxic = sum(label for p, label in zip(plain, y, strict=True) if f in p)
+        chi = ((toxic - with_f * share) ** 2 / max(with_f * share, 1e-9) + ((with_f - toxic) - with_f * (1 - share)) ** 2 / max(with_f * (1 - share), 1e-9)) * n / max(n - with_f, 1)
+        if with_f >= least_docs and chi > 4:
+            score[f] = chi
+    chosen = sorted(score)
+    assert len(chosen) <= most
+    w, b = dict.fromkeys(chosen, 0.0), math.log(share / (1 - share))
+    m, v = dict.fromkeys([*chosen, None], 0.0), dict.fromkeys([*chosen, None], 0.0)
+    pairs = [(p, s) for p, s in zip(plain, swapped, strict=True) if s is not None]
+    for t in range(1, steps + 1):
+        grad = {f: l2 * w[f] / n for f in chosen} | {None: 0.0}
+        for p, label in zip(plain, y, strict=True):
+            error = (1 / (1 + math.exp(-(b + sum(w[f] for f in p if f in w)))) - label) / n
+            grad[None] += error
+            for f in p:
+                if f in w:
+                    grad[f] += error
+        for p, s in pairs:
+            gap = (sum(w[f] for f in p if f in w) - sum(w[f] for f in s if f in w)) * 2 * counterfactual / len(pairs)
+            for f in p - s:
+                if f in w:
+                    grad[f] += gap
+            for f in s - p:
+                if f in w:
+                    grad[f] -= gap
+        for f in [*chosen, None]:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * grad[f], 0.999 * v[f] + 0.001 * grad[f] ** 2
+            step = 0.05 * (m[f] / (1 - 0.9**t)) / (math.sqrt(v[f] / (1 - 0.999**t)) + 1e-9)
+            if f is None:
+                b -= step
+            else:
+                w[f] -= step
+    return [1 / (1 + math.exp(-min(30.0, max(-30.0, b + sum(w[f] for f in features(tokens(t)) if f in w))))) for t in texts]

@@ -227,6 +227,24 @@ def test_repeats_found_at_every_place(spark):
     assert got == brute.repeated_words(data)
 
 
+def test_repeats_where_first_hashes_are_equal(spark, monkeypatch):
+    """All texts, or every other one, with the same first 64 bits: they are still told apart."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(70)]
+    data = [(i, " ".join([*[word() for _ in range(30)], *(shared[: 50 + i] if i % 2 else [word() for _ in range(60)])])) for i in range(20)] + [(30, " ".join(shared)), (31, " ".join(shared))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    keys = suffix_dedup._keys
+    for node in (F.lit(7).cast("bigint"), F.length("text").cast("bigint") % 2):
+        monkeypatch.setattr(suffix_dedup, "_keys", lambda text, node=node: [node.alias("node"), keys(text)[1]])
+        got = defaultdict(set)
+        for r in suffix_dedup.repeats(df).collect():
+            got[r.doc_id].update(range(r.first_word, r.end_word))
+        assert got == brute.repeated_words(data)
+        trimmed = {r.doc_id: brute.words(r.text) for r in suffix_dedup.without_repeats(df).collect()}
+        assert trimmed == {doc: [w for i, w in enumerate(brute.words(t)) if i not in got.get(doc, ())] for doc, t in data}
+
+
 def near_copies(seed: int, n: int) -> list[tuple]:
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
@@ -351,6 +369,26 @@ def test_toxicity_holds_out_and_ignores_identity(spark):
     assert gap({i: got[i].score for i in (1000, 1001)}) < 0.5 * gap(plain) and got[1000].predicted == 0
 
 
+def test_toxicity_is_a_plain_fit(spark):
+    """A fit and scores in plain Python, feature by feature, of a small table; and the bound on rows of one repeated id."""
+    rng = random.Random(15)
+    vocabulary = ["river", "table", "women", "men", "grubbish", "snarly", "papers", "stones"]
+    data = [(i, " ".join(rng.choice(vocabulary[:4] + vocabulary[6:]) for _ in range(6)) + (" grubbish" if i % 3 == 0 else "")) for i in range(90)] + [(90, None), (91, "Women, MEN")]
+    labels = [(i, int(i % 3 == 0)) for i in range(90)]
+    got = {r.doc_id: r.score for r in toxicity.classify(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3), spark.createDataFrame(labels, "doc_id bigint, toxic int"), steps=60).collect()}
+    learned = [(t, y) for (i, t), (_, y) in zip(data, labels, strict=False) if not brute.held_out(i, 4, 2)]
+    assert [got[i] for i, _ in data] == pytest.approx(brute.toxicity(learned, [t for _, t in data], toxicity, steps=60), rel=1e-6, abs=1e-9)
+    many = spark.createDataFrame([(1, f"text {i}") for i in range(500)], "doc_id bigint, text string")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda plain, *rest: (seen.append(len(plain)), fit(plain, *rest))[1]
+        assert toxicity.classify(many, spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int"), most_rows=40).count() == 500
+    finally:
+        toxicity.fit = fit
+    assert seen == [40]
+
+
 def test_toxicity_gradient():
     import numpy as np
 
