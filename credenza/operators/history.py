@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,30 @@ def trailing_failures(attempts: DataFrame, user: str, at: str, failed: Column, m
     return attempts.withColumn(name, F.count_if(failed).over(trailing))
 
 
+def lockouts(attempts: DataFrame, user: str, at: str, order: str, success: str, most: int = 5, minutes: int = 15) -> DataFrame:
+    """attempts: user, at, order, success. Adds throttled: at least `most` failures of the user in the minutes before the attempt,
+    where a throttled attempt is itself a failure and so extends the lockout. One pass over each user's attempts in
+    order; the state is its last `most` failures, however many attempts it has."""
+    from credenza.streaming.auth import throttled_rows
+
+    rows = attempts.select(F.col(user).alias("user"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.col(order).alias("order"), F.col(success).alias("success"), F.struct(*attempts.columns).alias("row"))
+    ordered = rows.repartition("user").sortWithinPartitions("user", "micros", "order")
+    span = minutes * 60_000_000
+
+    def run(batches):
+        now, failures = None, []
+        for batch in batches:
+            users, times, right = (batch.column(c).to_pylist() for c in ("user", "micros", "success"))
+            flags = []
+            for name, micros, ok in zip(users, times, right, strict=True):
+                if name != now:
+                    now, failures = name, []
+                flags += throttled_rows([(micros, ok)], failures, most, span)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(flags, pa.bool_())], ["row", "throttled"])
+
+    return ordered.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, throttled boolean").select("row.*", "throttled")
+
+
 def latest_unused(codes: DataFrame, keys: list[str], order: str, used_at: str = "used_at") -> DataFrame:
     """Per key the newest code that is not used."""
     columns = [c for c in codes.columns if c not in keys]
@@ -51,9 +76,8 @@ def duplicate_decisions(docs: DataFrame, number: str, owner: str, order: str, co
 
 def distinct_best(rows: DataFrame, keys: list[Column], score: str, order: str) -> DataFrame:
     """Of rows equal in the keys the one of the highest score, the first on ties."""
-    keyed = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
-    best = keyed.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(score), -F.col(order))).alias("__best"))
-    return best.select("__best.*")
+    first = Window.partitionBy(*keys).orderBy(F.desc(score), order)
+    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
 def overlaps(boxes: DataFrame, page: str = "doc_id", box: str = "box_id") -> DataFrame:

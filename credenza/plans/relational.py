@@ -204,11 +204,6 @@ def page_consensus(d: Spark) -> str:
     return f"SELECT doc_id, severity, {d.listed('CAST(page AS STRING)', 'page', ',')} AS pages FROM (SELECT DISTINCT doc_id, severity, CAST(seq % 3 AS BIGINT) AS page FROM {t('signals')} s) x GROUP BY doc_id, severity"
 
 
-def family_detect(d: Spark) -> str:
-    hits = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS family, {i} AS rank, {w} AS weight FROM documents WHERE contains(upper(text), '{m}')" for i, (f, m, w) in enumerate((("PAN", "THE", 30), ("PAN", "TH", 10), ("AADHAAR", "DER", 45), ("PASSPORT", "ÉE", 40), ("COLLEGE_ID", "CIÓN", 50), ("COLLEGE_ID", "UE", 10))))
-    return f"SELECT doc_id, family, least(100, score) AS confidence FROM (SELECT doc_id, family, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS n FROM (SELECT doc_id, family, min(rank) AS rank, CAST(sum(weight) AS INT) AS score FROM ({hits}) h GROUP BY doc_id, family) g) x WHERE n = 1 AND score >= 25"
-
-
 def robust_stats(d: Spark) -> str:
     return f"""SELECT l_suppkey, m, 1.4826e0 * {d.percentile("abs(v - m)", 0.5)} AS mad, count_if(abs(v - m) > 3.5e0 * greatest(1.4826e0 * k, 1e-6)) AS outliers, max(abs(v - m)) AS worst FROM (
         SELECT l_suppkey, v, m, {d.percentile("abs(v - m)", 0.5)} OVER (PARTITION BY l_suppkey) AS k FROM (SELECT l_suppkey, l_quantity AS v, {d.percentile("l_quantity", 0.5)} OVER (PARTITION BY l_suppkey) AS m FROM lineitem) a) b GROUP BY l_suppkey, m, k"""
@@ -227,7 +222,7 @@ def gap_variation(d: Spark) -> str:
 
 
 def frame_motion(d: Spark) -> str:
-    return f"""SELECT user_id, count(*) AS samples, avg(diff) AS motion, count_if(diff > 20) AS active, max(diff) AS peak FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS diff, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n <= 10 AND diff IS NOT NULL GROUP BY user_id"""
+    return f"""SELECT user_id, count(*) AS samples, avg(diff) AS motion, count_if(diff > 20) AS active, max(diff) AS peak FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS diff, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) x WHERE n < 10 AND diff IS NOT NULL GROUP BY user_id"""
 
 
 def moving_average(d: Spark) -> str:
@@ -277,20 +272,11 @@ def key_union(d: Spark) -> str:
     return f"SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_reference, coalesce(b.n, 0) AS n_suspect FROM (SELECT id_type AS k, count(*) AS n FROM {t('docs')} d WHERE id % 2 = 0 GROUP BY id_type) a FULL OUTER JOIN (SELECT id_type AS k, count(*) AS n FROM {t('docs')} d WHERE id % 3 = 0 GROUP BY id_type) b ON a.k = b.k"
 
 
-def marker_hits(d: Spark) -> str:
-    return "SELECT doc_id, contains(lower(text), 'ing') AND contains(lower(text), 'the') AS two_markers, CASE WHEN contains(lower(text), 'licensed') THEN 'EDITOR' WHEN contains(lower(text), 'http') THEN 'CAMERA' ELSE 'NONE' END AS marker FROM documents"
-
-
 def mandatory_fields(d: Spark) -> str:
     pats = {"year": "(19|20)[0-9][0-9]", "email": "[a-z0-9.]+@[a-z0-9.]+", "phone": "[0-9]{3}[- .][0-9]{4}", "card": "[0-9]{12,16}", "amount": "[$] ?[0-9]+", "code": "[A-Z]{2}[0-9]{3,}"}
     return "SELECT doc_id, " + ", ".join(f"{d.match('text', p)} AS has_{k}" for k, p in pats.items()) + " FROM documents"
 
 
-def typo_flags(d: Spark) -> str:
-    lexicon = "(SELECT 'thh' AS bad UNION ALL SELECT 'ndnd' UNION ALL SELECT 'erer')"
-    return f"SELECT doc_id, bad, count(*) AS n FROM (SELECT doc_id, line FROM {d.lines('documents', 'doc_id')} l) s JOIN {lexicon} x ON contains(lower(s.line), x.bad) GROUP BY doc_id, bad"
-
-
 def sha_fingerprint(d: Spark) -> str:
     return f"SELECT doc_id, {d.sha256('text')} AS sha, substr({d.sha256('lang')}, 1, 16) AS fingerprint FROM documents"
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credenza.functions import dates, identifiers, similarity, text
-from credenza.operators import extraction, history, sequence, store
+from credenza.functions import dates, identifiers, similarity, table_functions, text
+from credenza.operators import extraction, history, kernels, multipattern, sequence, store
 from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
 from credenza.session import TABLES, table
-from credenza.sources import uploads
-from credenza.streaming import auth
+from credenza.sources import rasters, uploads
+from credenza.streaming import auth, frames
 
 FLAGSHIP = "risk_score"
 
@@ -425,10 +426,26 @@ def stream_dedup(spark, sf_dir):
     return auth.run_available(firsts, _folder(spark)).select("user_id", "day")
 
 
-@query()
+#: One attempt of every user after the other; the state is the times of the last five failures.
+LOCKOUT_SQL = """WITH RECURSIVE a AS (SELECT user_id, event_id, ts, event_type <> 'error' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  s AS (
+    SELECT user_id, event_id, ts, n, false AS throttled, CASE WHEN success THEN []::TIMESTAMP[] ELSE [ts] END AS failures FROM a WHERE n = 1
+    UNION ALL SELECT a.user_id, a.event_id, a.ts, a.n, b.locked, CASE WHEN b.locked OR NOT a.success THEN list_append(s.failures, a.ts)[-5:] ELSE s.failures END
+    FROM s JOIN a ON a.user_id = s.user_id AND a.n = s.n + 1, LATERAL (SELECT len(s.failures) >= 5 AND s.failures[1] >= a.ts - INTERVAL 3 DAY AS locked) b)
+  SELECT user_id, event_id, ts AS at, throttled FROM s"""
+
+
+@query(LOCKOUT_SQL)
 def stream_lockout(spark, sf_dir):
-    rows = auth.lockouts(_auth_events(spark, sf_dir).select("user_id", "at", "success"), 5, 4320)
-    return auth.run_available(rows, _folder(spark))
+    rows = auth.lockouts(_auth_events(spark, sf_dir).select("user_id", "event_id", "at", "success"), 5, 4320)
+    return auth.run_available(rows, _folder(spark)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(LOCKOUT_SQL)
+def login_lockouts(spark, sf_dir):
+    """The stream's batch twin: throttled attempts, which themselves extend the lockout."""
+    attempts = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("at"), (F.col("event_type") != "error").alias("success"))
+    return history.lockouts(attempts, "user_id", "at", "event_id", "success", 5, 4320).drop("success")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -518,11 +535,27 @@ def stream_sessions(spark, sf_dir):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS samples, avg(value) AS motion, max(value) AS peak, count(*) FILTER (WHERE value > 20) AS active FROM events GROUP BY ALL")
+FRAMES_SQL = """SELECT user_id, count(*) AS samples, avg(diff) AS motion, max(diff) AS peak, count(*) FILTER (WHERE diff > 20) AS active, count(*) >= 4 AND avg(diff) > 20 AND count(*) FILTER (WHERE diff > 20) >= 2 AS passed FROM (
+    SELECT user_id, (abs(value - lag(value) OVER w) + abs(length(event_type) - lag(length(event_type)) OVER w)) / 2 AS diff, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x
+    WHERE n < 10 AND diff IS NOT NULL GROUP BY user_id"""
+
+
+def _frames(rows):
+    """Each event as a frame of two pixels."""
+    return rows.select("user_id", "at", F.col("event_id").alias("id"), F.array(F.col("value"), F.length("event_type").cast("double")).alias("pixels"))
+
+
+@query(FRAMES_SQL)
 def stream_frames(spark, sf_dir):
-    frames = _auth_events(spark, sf_dir).select("user_id", "at", "value")
-    out = auth.run_available(auth.frame_motion(frames, "1 hour", "1 hour"), _folder(spark), "complete")
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Motion over a user's last ten frames, kept as state and updated with every batch of frames."""
+    return frames.run_updates(frames.last_frames(_frames(_auth_events(spark, sf_dir)), threshold=20.0), _folder(spark), "user_id")
+
+
+@query(FRAMES_SQL)
+def last_frames(spark, sf_dir):
+    """The same of the table of frames."""
+    rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return frames.motion_of(_frames(rows), threshold=20.0)
 
 
 @query("SELECT a.event_id AS issued_key, b.event_id AS used_key FROM events a JOIN events b ON a.event_id = b.event_id - 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE")
@@ -803,17 +836,32 @@ def knn_ratio_test(spark, sf_dir):
 
 
 #: A recognised card text per supplier row: which misspellings, glyphs and fields it has is known from the row.
-NOTES = """SELECT p_partkey AS doc_id, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Goverment of India nationl GOVERMENT ' WHEN 1 THEN 'certficate ' ELSE 'certificate ' END || CASE WHEN p_partkey % 3 = 0 THEN ' >|< ' ELSE '' END
+NOTES = """SELECT p_partkey AS doc_id, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Goverment of India nationl GOVERMENT ' WHEN 1 THEN 'certficate ' ELSE 'certificate ' END || CASE WHEN p_partkey % 3 = 0 THEN ' >|< ' ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN 'AB12/ ok ' WHEN p_partkey % 11 = 1 THEN 'x7| X7| ab3/4/ ,@@>~~' || chr(10) ELSE '' END
     || CASE WHEN p_partkey % 5 = 0 THEN 'Roll: 2021CS1234 ' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'DOB: 12-08-2001 ' WHEN p_partkey % 7 = 1 THEN 'DOB: 31-02-2001 ' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN 'ABCPE1234F ERP 40012345 M1234567 9876 5432 1012' ELSE '' END AS text,
     CAST(p_partkey % 10 AS DOUBLE) / 10 AS mean_conf FROM part"""
 
 
 @query(f"""SELECT doc_id, 'MISSPELLED' AS flag, unnest(CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN ['goverment', 'nationl'] WHEN 1 THEN ['certficate'] ELSE [] END) AS token FROM ({NOTES}) n
-  UNION ALL SELECT doc_id, 'BROKEN_GLYPH', '>|<' FROM ({NOTES}) m WHERE doc_id % 3 = 0""")
+  UNION ALL SELECT doc_id, 'BROKEN_GLYPH', '>|<' FROM ({NOTES}) m WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'BROKEN_GLYPH', unnest(CASE CAST(doc_id % 11 AS INT) WHEN 0 THEN ['AB12/'] WHEN 1 THEN ['x7|', 'ab3/', ',@@>~~'] ELSE [] END) FROM ({NOTES}) o""")
 def text_typos(spark, sf_dir):
     return forensics.typo_flags(sql(spark, sf_dir, NOTES))
 
 
+TYPO_WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in forensics.MISSPELLINGS.items()) + "}"
+TYPOS_SQL = rf"""SELECT doc_id, 'MISSPELLED' AS flag, token FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-zА-Яа-я]{{4,}}'))) AS token FROM documents) w WHERE {TYPO_WORDS}[token] IS NOT NULL
+  UNION ALL SELECT doc_id, 'BROKEN_GLYPH', arg_min(g, i) FROM (
+    SELECT doc_id, regexp_replace(x[i], '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS g, i FROM (
+      SELECT doc_id, regexp_extract_all(text, '(^|[^\pL\pM\pN_])([>|<$#@&\^`~]{{2,}})|(^|[A-Za-z]{{1,2}})(\d{{1,2}}[\|/\\])|[\x{{25a0}}-\x{{25ff}}\x{{2300}}-\x{{27bf}}]+') AS x FROM documents) a, unnest(range(1, len(x) + 1)) u(i)) b
+  WHERE g <> '' AND length(g) <= 12 GROUP BY doc_id, lower(g)"""
+
+
+@query(TYPOS_SQL)
+def typo_flags(spark, sf_dir):
+    """Misspellings and broken glyphs of whole documents."""
+    return forensics.typo_flags(table(spark, sf_dir, "documents"))
+
+
 @query(f"""SELECT doc_id, f.field, CASE WHEN f.value IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status, f.value, f.value IS NOT NULL AND (f.field <> 'dob' OR doc_id % 7 = 0) AS verified FROM ({NOTES}) n, LATERAL (VALUES
     ('roll_number', CASE WHEN doc_id % 5 = 0 THEN '2021CS1234' END), ('erp_id', CASE WHEN doc_id % 2 = 0 THEN '40012345' END), ('dob', CASE doc_id % 7 WHEN 0 THEN '12-08-2001' WHEN 1 THEN '31-02-2001' END),
     ('aadhaar_number', CASE WHEN doc_id % 2 = 0 THEN '9876 5432 1012' END), ('pan_number', CASE WHEN doc_id % 2 = 0 THEN 'ABCPE1234F' END), ('passport_number', CASE WHEN doc_id % 2 = 0 THEN 'M1234567' END)) f(field, value)""")
@@ -831,7 +879,7 @@ def layout_checks(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, typo_count, missing_count, layout_status, CASE WHEN typo_count >= 3 OR (missing_count >= 2 AND mean_conf > 0.55) THEN 'HIGH' WHEN typo_count >= 1 OR layout_status = 'REVIEW' THEN 'MEDIUM' ELSE 'LOW' END AS ocr_level FROM (
-  SELECT n.doc_id, mean_conf, CAST(CASE CAST(n.doc_id % 4 AS INT) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + (n.doc_id % 3 = 0)::INT AS BIGINT) AS typo_count, CAST(6 - (n.doc_id % 5 = 0)::INT - (n.doc_id % 7 < 2)::INT - 4 * (n.doc_id % 2 = 0)::INT AS BIGINT) AS missing_count,
+  SELECT n.doc_id, mean_conf, CAST(CASE CAST(n.doc_id % 4 AS INT) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + (n.doc_id % 3 = 0)::INT + CASE CAST(n.doc_id % 11 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END AS BIGINT) AS typo_count, CAST(6 - (n.doc_id % 5 = 0)::INT - (n.doc_id % 7 < 2)::INT - 4 * (n.doc_id % 2 = 0)::INT AS BIGINT) AS missing_count,
     CASE WHEN l.doc_id IS NULL THEN 'NO_TEXT' WHEN (CASE WHEN a > 45 THEN 90 - a ELSE a END) > 25 OR n_overlaps >= 4 THEN 'REVIEW' ELSE 'PASS' END AS layout_status FROM ({NOTES}) n LEFT JOIN ({LAYOUT_SQL}) l USING (doc_id)) x""")
 def text_forensics(spark, sf_dir):
     return forensics.text_level(sql(spark, sf_dir, NOTES), standin(spark, sf_dir, "boxes"))
@@ -861,3 +909,121 @@ FACES = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, CAST(l_partkey * 7 %
   SELECT doc_id, face_score, coverage >= 22 AND zones >= 2 AND ((sift_matches >= 7 AND sift_inliers >= 5 AND sift >= 30) OR (orb_matches >= 10 AND orb_inliers >= 6 AND orb >= 45)) AS local_gate, corr >= 55 AND grad >= 50 AS structure_gate FROM ({FACES}) f) g""")
 def face_gates(spark, sf_dir):
     return sql(spark, sf_dir, FACES).select("doc_id", *[v.alias(k) for k, v in rules.face_gates().items()])
+
+
+#: Bytes of a document's text, padded with spaces, as a grey raster of 64 columns.
+COLUMNS = 64
+BYTES_SQL = f"""SELECT doc_id, greatest(1, (octet_length(encode(coalesce(text, ''))) + {COLUMNS - 1}) // {COLUMNS}) AS height, coalesce(text, '') || repeat(' ', (greatest(1, (octet_length(encode(coalesce(text, ''))) + {COLUMNS - 1}) // {COLUMNS}) * {COLUMNS} - octet_length(encode(coalesce(text, ''))))::INT) AS padded FROM documents"""
+
+
+def _raster_files(spark, sf_dir):
+    """Every document as a raster file: PNG with all five filters, or BMP for odd ids."""
+
+    def files(batches):
+        for batch in batches:
+            out = []
+            for number, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist(), strict=True):
+                height = max(1, -(-len(body or b"") // COLUMNS))
+                out.append((rasters.write_bmp if (number or 0) % 2 else rasters.write_png)(COLUMNS, height, 1, (body or b"").ljust(COLUMNS * height)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    return rasters.read_rasters(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(files, "doc_id bigint, content binary"))
+
+
+@query(f"SELECT doc_id, {COLUMNS} AS width, height::INT AS height, CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 1 END AS channels, (height * {COLUMNS} * CASE WHEN doc_id % 2 = 1 THEN 3 ELSE 1 END)::BIGINT AS n_samples, CASE WHEN doc_id % 2 = 0 THEN sha256(padded) END AS samples_sha256 FROM ({BYTES_SQL}) b")
+def raster_files(spark, sf_dir):
+    """Text bytes written as PNG and BMP files and read back: the same samples."""
+    digest = F.when(F.col("channels") == 1, F.sha2("samples", 256))
+    return _raster_files(spark, sf_dir).select("doc_id", "width", "height", "channels", F.octet_length("samples").cast("long").alias("n_samples"), digest.alias("samples_sha256"))
+
+
+@query(f"""SELECT doc_id, round_even(list_avg(b), 6) AS brightness, round_even(list_stddev_pop(b), 6) AS contrast, round_even(list_var_pop(lap), 6) AS laplacian_variance FROM (
+  SELECT doc_id, b, list_transform(range(len(b)), lambda i: b[(CASE WHEN i >= {COLUMNS} THEN i - {COLUMNS} WHEN height > 1 THEN i + {COLUMNS} ELSE i END + 1)::INT] + b[(CASE WHEN i < len(b) - {COLUMNS} THEN i + {COLUMNS} WHEN height > 1 THEN i - {COLUMNS} ELSE i END + 1)::INT]
+    + b[(CASE WHEN i % {COLUMNS} > 0 THEN i - 1 ELSE i + 1 END + 1)::INT] + b[(CASE WHEN i % {COLUMNS} < {COLUMNS - 1} THEN i + 1 ELSE i - 1 END + 1)::INT] - 4 * b[(i + 1)::INT]) AS lap
+  FROM (SELECT doc_id, height, list_transform(range(octet_length(encode(padded))), lambda i: ('0x' || h[(2 * i + 1)::INT : (2 * i + 2)::INT])::BIGINT) AS b FROM (SELECT *, hex(encode(padded)) AS h FROM ({BYTES_SQL}) x) y) z) w""")
+def raster_light(spark, sf_dir):
+    features = kernels.quality(_raster_files(spark, sf_dir))
+    return features.select("doc_id", *[F.bround(c, 6).alias(c) for c in ("brightness", "contrast", "laplacian_variance")])
+
+
+@query()
+def raster_quality(spark, sf_dir):
+    """Quality features and bands of every document's raster; a reader's band rules on a made feature table."""
+    features = kernels.quality(_raster_files(spark, sf_dir))
+    return features.select("*", *[v.alias(k) for k, v in rules.quality_bands().items()])
+
+
+@query()
+def raster_texture(spark, sf_dir):
+    """Block texture of every document's raster, and what the integrity and synthetic rules say to it (without error levels,
+    which need a lossy codec, and without metadata)."""
+    files = _raster_files(spark, sf_dir)
+    made = kernels.texture(kernels.blocks(files)).join(kernels.quality(files).select("doc_id", F.col("laplacian_variance").alias("lap_var"), "edge_density"), "doc_id")
+    rows = made.withColumns({"ela_outlier_ratio": F.lit(0.0), "ela_max_z": F.lit(0.0), "n_editing_markers": F.lit(0)})
+    return rows.select("doc_id", "texture_cv", "noise_cv", "texture_outlier_ratio", "lap_var", "edge_density", *[v.alias(k) for k, v in (rules.integrity() | rules.synthetic()).items()])
+
+
+#: Whole documents, most of them under a heading that a card has.
+HEADED = r"""SELECT doc_id, CASE CAST(doc_id % 13 AS INT) WHEN 0 THEN 'Income  Tax Department, Permanent Account Number Card ' WHEN 1 THEN 'Unique Identification Authority. Aadhaar ' WHEN 2 THEN 'PASSPORT Surname Given Names P<INDDOE<<' WHEN 3 THEN 'Driving Licence DL No: Transport '
+    WHEN 4 THEN 'University student: roll, course ' WHEN 5 THEN 'National ID / Identity Card NID ' WHEN 6 THEN 'Visa: entry permit, immigration ' WHEN 7 THEN 'japan_pan pan.card Pan  no.1 ' WHEN 8 THEN 'visas aadhaars p<ind college course' WHEN 9 THEN 'nationality surname ' WHEN 10 THEN 'Roll, DL ' ELSE '' END || text AS text,
+    CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '1234 5678-9012' WHEN 1 THEN 'abcde 1234f' WHEN 2 THEN 'UP-34 20210000123' WHEN 3 THEN 'x' END AS number FROM documents"""
+#: The same markers as patterns, in the same order, with their families and points.
+FAMILY_PATTERNS = (
+    ("AADHAAR", "\\b(?:AADHAAR|AADHAR|UIDAI)\\b", 38), ("AADHAAR", "UNIQUE\\s+IDENTIFICATION", 22), ("PAN", "PERMANENT\\s+ACCOUNT", 38), ("PAN", "\\bPAN\\s*(?:CARD|NUMBER|NO\\.?)\\b", 32), ("PAN", "INCOME\\s+TAX", 18), ("PAN", "\\bPAN\\b", 30),
+    ("PASSPORT", "\\bPASSPORT\\b", 38), ("PASSPORT", "\\b(?:SURNAME|GIVEN\\s+NAMES?)\\b", 18), ("PASSPORT", "\\bNATIONALITY\\b", 8), ("PASSPORT", "\\bP<[A-Z]{3}", 35), ("DRIVING_LICENSE", "DRIVING\\s+LICEN[SC]E", 40), ("DRIVING_LICENSE", "\\b(?:TRANSPORT|VALIDITY)\\b", 14), ("DRIVING_LICENSE", "\\bDL\\s*(?:NO|NUMBER)?\\b", 18),
+    ("COLLEGE_ID", "\\b(?:COLLEGE|STUDENT|UNIVERSITY|INSTITUTE)\\b", 24), ("COLLEGE_ID", "\\b(?:ROLL|ERP|COURSE|PROGRAMME|PROGRAM)\\b", 24), ("NATIONAL_ID", "\\bNATIONAL\\s+(?:ID|IDENTITY)\\b", 42), ("NATIONAL_ID", "\\bIDENTITY\\s+CARD\\b", 24), ("NATIONAL_ID", "\\bNID\\b", 16),
+    ("VISA", "\\bVISA\\b", 42), ("VISA", "\\bENTRY\\s+PERMIT\\b", 28), ("VISA", "\\bIMMIGRATION\\b", 18),
+)
+FAMILY_POINTS = " + ".join(f"CASE WHEN f = '{f}' AND regexp_matches(t, '{p}', 'i') THEN {w} ELSE 0 END" for f, p, w in FAMILY_PATTERNS)
+
+
+@query(f"""SELECT doc_id, CASE WHEN score >= 25 THEN f END AS family, CAST(CASE WHEN score >= 25 THEN least(100, score) ELSE 0 END AS INT) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS n FROM (SELECT doc_id, i, f, {FAMILY_POINTS} + CASE WHEN f = 'AADHAAR' AND regexp_full_match(number, '\\d{{4}}[ -]?\\d{{4}}[ -]?\\d{{4}}') THEN 20 WHEN f = 'PAN' AND doc_id % 5 = 1 THEN 24 WHEN f = 'DRIVING_LICENSE' AND doc_id % 5 = 2 THEN 22 ELSE 0 END AS score
+    FROM (SELECT doc_id, coalesce(number, '') AS number, regexp_replace(upper(text), '\\s+', ' ', 'g') AS t FROM ({HEADED}) h) d, (VALUES (0, 'AADHAAR'), (1, 'PAN'), (2, 'PASSPORT'), (3, 'DRIVING_LICENSE'), (4, 'COLLEGE_ID'), (5, 'NATIONAL_ID'), (6, 'VISA')) k(i, f)) s) r WHERE n = 1""")
+def family_detect(spark, sf_dir):
+    """The family of every document by weighted markers, in one pass over its text."""
+    return multipattern.families(sql(spark, sf_dir, HEADED), "text", "number").select("doc_id", "family", "confidence")
+
+
+@query(f"""SELECT doc_id, list_aggregate([x FOR x IN [CASE WHEN contains(lower(text), n) THEN n END FOR n IN {sorted([*forensics.EDITORS, *forensics.CAMERAS, "ing", "the", "pan", "card"])!r}] IF x IS NOT NULL], 'string_agg', ',') AS markers FROM ({HEADED}) h""")
+def marker_hits(spark, sf_dir):
+    """Which of some thirty names every document holds, in one pass over its text."""
+    names = (*forensics.EDITORS, *forensics.CAMERAS, "ing", "the", "pan", "card")
+    return sql(spark, sf_dir, HEADED).select("doc_id", F.nullif(F.array_join(forensics.markers(F.col("text"), names), ","), F.lit("")).alias("markers"))
+
+
+@query(relational.label_lookahead(DUCK))
+def udtf_label_matches(spark, sf_dir):
+    """Labels and their values by the table function, a document's lines in order."""
+    table_functions.register(spark)
+    return sql(spark, sf_dir, f"WITH l AS (SELECT doc_id, pos, line FROM {SPARK.lines('documents', 'doc_id')} x) SELECT doc_id, pos, value FROM label_matches(TABLE(l) PARTITION BY doc_id ORDER BY pos)")
+
+
+@query("""SELECT doc_id, CAST((i - 1) // 8 AS INT) AS line, CAST((i - 1) % 8 + 1 AS INT) AS word, CAST(length(w) AS INT) AS width, CAST(length(w) * 7 % 101 - 1 AS DOUBLE) AS conf, w AS text FROM (
+  SELECT doc_id, i, x[i] AS w FROM (SELECT doc_id, regexp_extract_all(text, '[!-~]+') AS x FROM documents) a, unnest(range(1, len(x) + 1)) u(i)) b WHERE length(w) * 7 % 101 - 1 >= 0""")
+def udtf_ocr_tokens(spark, sf_dir):
+    """A reader's table of every document's words, parsed and filtered by the table function."""
+    table_functions.register(spark)
+    row = "concat_ws('\t', 5, 1, 1, 1, div(i, 8), i % 8 + 1, 0, 0, length(w), 10, length(w) * 7 % 101 - 1, w)"
+    head = "concat_ws('\t', 'level', 'page_num', 'block_num', 'par_num', 'line_num', 'word_num', 'left', 'top', 'width', 'height', 'conf', 'text')"
+    return sql(spark, sf_dir, f"WITH r AS (SELECT doc_id, {head} || '\n' || array_join(transform(regexp_extract_all(text, '([!-~]+)', 1), (w, i) -> {row}), '\n') AS body FROM documents) SELECT doc_id, t.line, t.word, t.width, t.conf, t.text FROM r, LATERAL ocr_tokens(body) t")
+
+
+def _pdf_files(batches):
+    """A file of three pages per document: the first has a thin and a large image, the second none, the third a small and a medium one."""
+    for batch in batches:
+        files = []
+        for number, text_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast("binary").to_pylist(), strict=True):
+            image = lambda width, height, data: b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /Filter /DCTDecode /Length %d >>\nstream\n%b\nendstream" % (width, height, len(data), data)
+            body = b"\xff\xd8" + (text_ or b"")
+            objects = {7: image(500 + number % 200, 900, body), 6: image(300, 5000, b"thin"), 9: image(499, 499, b"small"), 8: image(640, 500 + number % 7, body[::-1]), 5: b"<< /Type /Page /Resources << /XObject << /C 9 0 R /D 8 0 R >> >> >>", 3: b"<< /Type /Page /Resources << /XObject << /A 6 0 R /B 7 0 R >> >> >>", 4: b"<< /Type /Page >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 5 0 R] >>", 1: b"<< /Type /Catalog /Pages 2 0 R >>"}
+            files.append(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % x for x in objects.items()) + b"%%EOF")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+
+@query("SELECT doc_id, p.page, p.width, p.height, p.n_bytes FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 2 AS n FROM documents) d, LATERAL (VALUES (1, CAST(500 + doc_id % 200 AS INT), 900, n), (2, NULL, NULL, NULL), (3, 640, CAST(500 + doc_id % 7 AS INT), n)) p(page, width, height, n_bytes)")
+def udtf_pdf_pages(spark, sf_dir):
+    """Pages of a file of every document by the table function, in the order of the page tree, with their largest image."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_pdf_files, "doc_id bigint, content binary").createOrReplaceTempView("pdf_files")
+    return spark.sql("SELECT doc_id, p.page, p.width, p.height, octet_length(p.image) AS n_bytes FROM pdf_files, LATERAL pdf_pages(content, false) p")

@@ -39,38 +39,38 @@ def used_codes(issued: DataFrame, used: DataFrame, within: str = "10 minutes") -
     return a.join(b, F.expr(f"issued_key = used_key AND used_at >= issued_at AND used_at <= issued_at + INTERVAL {within}"))
 
 
+def throttled_rows(attempts: list[tuple[int, bool]], failures: list[int], most: int, span: int) -> list[bool]:
+    """Whether each attempt (time, success) of one user, in order, is throttled: the last `most` failures all lie within the
+    span before it. A throttled attempt is a failure. failures: the times of the last `most`, before and after the call."""
+    flags = []
+    for at, success in attempts:
+        throttled = len(failures) >= most and failures[-most] >= at - span
+        flags.append(throttled)
+        if throttled or not success:
+            failures.append(at)
+            del failures[:-most]
+    return flags
+
+
 def lockouts(events: DataFrame, most: int = 5, minutes: int = 15, late: str = "1 hour") -> DataFrame:
     """Login attempts with whether each is throttled: at least `most` failures in the trailing window. A throttled
-    attempt is itself a failure and extends the lockout. State: the failures' times of the last window per user, dropped
-    when the watermark has passed them by the window."""
+    attempt is itself a failure and extends the lockout. State: the times of a user's last `most` failures, dropped when
+    the watermark has passed them by the window."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for row in rows.itertuples():
-            at = row.at.timestamp()
-            times = [t for t in times if t >= at - minutes * 60]
-            throttled = len(times) >= most
-            if throttled or not row.success:
-                times.append(at)
-            out.append((key[0], row.at, throttled))
-        state.update((times,))
-        state.setTimeoutTimestamp(max(int((max(times, default=0) + minutes * 60) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "at", "throttled"])
+        failures = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        attempts = [(int(at.timestamp() * 1_000_000), bool(ok)) for at, ok in zip(rows["at"], rows["success"], strict=True)]
+        flags = throttled_rows(attempts, failures, most, minutes * 60_000_000)
+        state.update((failures,))
+        state.setTimeoutTimestamp(max(max(failures, default=0) // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "at": rows["at"], "throttled": flags})
 
     marked = events.withWatermark("at", late)
-    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, at timestamp, throttled boolean", "times array<double>", "append", "EventTimeTimeout")
-
-
-def frame_motion(frames: DataFrame, late: str = "1 minute", span: str = "10 seconds") -> DataFrame:
-    """frames: user_id, at, value (a frame's mean change). Per user and window: frames, mean and greatest motion, and the
-    number of moving ones (over 20)."""
-    windows = frames.withWatermark("at", late).groupBy(F.window("at", span).alias("w"), "user_id")
-    return windows.agg(F.count("*").alias("samples"), F.avg("value").alias("motion"), F.max("value").alias("peak"), F.count_if(F.col("value") > 20).alias("active")).select("user_id", F.col("w.start").alias("start"), "samples", "motion", "peak", "active")
+    return marked.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, at timestamp, throttled boolean", "failures array<bigint>", "append", "EventTimeTimeout")
 
 
 def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
