@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, text
+from credenza.operators import bundles
 
 #: Per field its kind and its labels, in order of preference.
 FIELDS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -36,6 +37,8 @@ FIELDS: dict[str, tuple[str, tuple[str, ...]]] = {
     "address": ("address", ("permanent address", "residential address", "present address", "address")),
     "issue_date": ("date", ("date of issue", "issue date", "issued on", "date issued")),
     "expiry_date": ("date", ("date of expiry", "date of expiration", "expiry date", "expiration date", "valid upto", "valid until", "valid till")),
+    "validity_nt": ("date", ("non transport validity", "validity (nt)", "nt validity")),
+    "validity_tr": ("date", ("transport validity", "validity (tr)", "tr validity")),
     "passing_year": ("year", ("year of passing", "passing year", "year of examination", "passed in")),
     "institution_name": ("text", ("institution name", "college name", "university name", "name of school", "school name")),
     "course": ("text", ("course", "programme", "program", "branch", "department")),
@@ -73,7 +76,7 @@ def label_pattern(phrases: list[str]) -> str:
     """The phrases, longest first, with any white space, dots and apostrophes, where no letter stands beside them."""
 
     def one(phrase: str) -> str:
-        out = "".join({" ": r"\s*", "'": "['’]?", ".": r"\.?\s*", "/": r"\s*/\s*", "-": r"[-\s]?"}.get(c, c) for c in phrase)
+        out = "".join({" ": r"\s*", "'": "['’]?", ".": r"\.?\s*", "/": r"\s*/\s*", "-": r"[-\s]?", "(": r"\(?", ")": r"\)?"}.get(c, c) for c in phrase)
         return out + (r"\.?" if phrase.endswith(" no") else "")
 
     return r"(?i)(?<![\p{L}\p{N}_])((?:" + "|".join(one(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r"))(?=$|[\s:=#|–—;,/(\[<0-9-])"
@@ -252,7 +255,12 @@ def extract(texts: DataFrame) -> DataFrame:
     best = chosen(found)
     alias = F.when(F.col("field").isin(*NUMBERS), "document_number").when((F.col("field") == "relation_name") & F.col("family").isin("AADHAAR", "DRIVING_LICENSE"), "father_name")
     copies = best.withColumn("field", alias).filter("field IS NOT NULL")
-    every = reduce(DataFrame.unionByName, [best.withColumn("rank", F.lit(0)), copies.withColumn("rank", F.lit(1)), bare_numbers(texts).withColumn("rank", F.lit(2))])
+    ranked = [best.withColumn("rank", F.lit(0)), copies.withColumn("rank", F.lit(1)), bare_numbers(texts).withColumn("rank", F.lit(2))]
+    # A row of dates tells validities apart that stand under their labels, and a heading names an institution before any label
+    # does; a machine-readable zone fills what is missing.
+    row = bundles.licence_dates(texts).withColumn("rank", F.when(F.col("field") == "issue_date", 2).otherwise(-1))
+    ranked += [row, bundles.institutions(texts).withColumn("rank", F.lit(-1)), bundles.machine_zones(texts).withColumn("rank", F.lit(3))]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
     order = F.struct("rank", -F.col("score"), F.col("value"))
     return every.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "source", "score"), order).alias("__c")).select("doc_id", "field", "__c.*")
 

@@ -82,6 +82,22 @@ def risk_inputs() -> str:
 STANDINS["cards"] = cards()
 
 
+def zones() -> str:
+    """A passport's zone, a licence's row of dates or a college card's heading per customer, beside the values that each prints."""
+    two = lambda x: f"lpad(CAST({x} AS STRING), 2, '0')"
+    values = f"""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'PASSPORT' WHEN c_custkey % 3 = 1 THEN 'DRIVING_LICENSE' ELSE 'COLLEGE_ID' END AS family, c_custkey % 5 AS kind,
+        'QUILL' || {LETTERS.format("c_nationkey")} AS surname, 'MIRA' || {LETTERS.format("c_custkey")} AS given, 'Z' || lpad(CAST(c_custkey % 10000000 AS STRING), 7, '0') AS number,
+        {two("c_custkey % 100")} AS yy, {two("1 + c_custkey % 12")} AS mm, {two("1 + c_custkey % 28")} AS dd FROM customer"""
+    zone = "'P<IND' || surname || '<<' || given || '<RO<<<|' || number || '<4IND' || yy || mm || dd || '7' || CASE WHEN doc_id % 2 = 0 THEN 'F' ELSE 'M' END || '30' || mm || dd || '2<<<<<<<<<<<<<<<0'"
+    row = "'DL No: UP342021' || number || '|Issue Date  Validity (NT)  Validity (TR)|' || dd || '-' || mm || '-2020 ' || dd || '/' || mm || '/2040' || CASE WHEN kind > 1 THEN ' ' || dd || '-' || mm || '-2025' ELSE '' END"
+    heading = "CASE WHEN kind = 0 THEN '= ' ELSE '' END || 'Riverside College of 1a Arts' || CASE WHEN kind = 1 THEN '|and Management ' || surname WHEN kind = 2 THEN '|Name: University' ELSE '' END || '|Roll No: 77' || number"
+    shown = f"CASE family WHEN 'PASSPORT' THEN CASE WHEN kind = 4 THEN 'Surname: Overton|' ELSE '' END || {zone} WHEN 'DRIVING_LICENSE' THEN {row} ELSE {heading} END"
+    return f"SELECT *, replace({shown}, '|', chr(10)) AS text FROM ({values}) v"
+
+
+STANDINS["zones"] = zones()
+
+
 def screened() -> str:
     """A document's extracted fields and module statuses in one row, right and wrong in every way that the rules tell apart."""
 

@@ -1027,3 +1027,17 @@ def udtf_pdf_pages(spark, sf_dir):
     table_functions.register(spark)
     table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_pdf_files, "doc_id bigint, content binary").createOrReplaceTempView("pdf_files")
     return spark.sql("SELECT doc_id, p.page, p.width, p.height, octet_length(p.image) AS n_bytes FROM pdf_files, LATERAL pdf_pages(content, false) p")
+
+
+@query("""WITH z AS (SELECT *, CASE WHEN yy <= '49' THEN '20' ELSE '19' END || yy AS y FROM {zones} t)
+  SELECT doc_id, f.field, f.value, f.source FROM z, LATERAL (VALUES
+    ('PASSPORT', 'document_number', number, 'ANYWHERE'), ('PASSPORT', 'nationality', 'IND', 'MACHINE_ZONE'), ('PASSPORT', 'gender', CASE WHEN doc_id % 2 = 0 THEN 'FEMALE' ELSE 'MALE' END, 'MACHINE_ZONE'), ('PASSPORT', 'dob', y || '-' || mm || '-' || dd, 'MACHINE_ZONE'), ('PASSPORT', 'expiry_date', dd || '-' || mm || '-2030', 'MACHINE_ZONE'),
+    ('PASSPORT', 'surname', CASE WHEN kind = 4 THEN 'Overton' ELSE surname END, CASE WHEN kind = 4 THEN 'SAME_LINE' ELSE 'MACHINE_ZONE' END), ('PASSPORT', 'given_names', given || ' RO', 'MACHINE_ZONE'), ('PASSPORT', 'name', given || ' RO ' || surname, 'MACHINE_ZONE'),
+    ('DRIVING_LICENSE', 'validity_nt', dd || '/' || mm || '/2040', 'DATE_ROW'), ('DRIVING_LICENSE', 'validity_tr', CASE WHEN kind > 1 THEN dd || '-' || mm || '-2025' END, 'DATE_ROW'),
+    ('COLLEGE_ID', 'institution_name', 'Riverside College of Arts' || CASE WHEN kind = 1 THEN ' and Management ' || surname ELSE '' END, 'HEADING')) f(family, field, value, source) WHERE f.family = z.family AND f.value IS NOT NULL""")
+def extract_bundles(spark, sf_dir):
+    """Fields of machine-readable zones, rows of dates and headings, through the whole extraction."""
+    names = ("surname", "given_names", "name", "document_number", "nationality", "gender", "dob", "expiry_date")
+    found = extraction.extract(standin(spark, sf_dir, "zones")).join(standin(spark, sf_dir, "zones").select("doc_id", "family", "kind"), "doc_id")
+    shown = ((F.col("family") == "PASSPORT") & F.col("field").isin(*names)) | ((F.col("family") == "DRIVING_LICENSE") & ((F.col("field") == "validity_nt") | ((F.col("field") == "validity_tr") & (F.col("kind") > 1)))) | ((F.col("family") == "COLLEGE_ID") & (F.col("field") == "institution_name"))
+    return found.filter(shown).select("doc_id", "field", "value", "source")
