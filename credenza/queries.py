@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, table_functions, text
-from credenza.operators import extraction, history, kernels, multipattern, sequence, store
+from credenza.operators import extraction, history, kernels, multipattern, search_index, sequence, store
 from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
@@ -1041,3 +1042,18 @@ def extract_bundles(spark, sf_dir):
     found = extraction.extract(standin(spark, sf_dir, "zones")).join(standin(spark, sf_dir, "zones").select("doc_id", "family", "kind"), "doc_id")
     shown = ((F.col("family") == "PASSPORT") & F.col("field").isin(*names)) | ((F.col("family") == "DRIVING_LICENSE") & ((F.col("field") == "validity_nt") | ((F.col("field") == "validity_tr") & (F.col("kind") > 1)))) | ((F.col("family") == "COLLEGE_ID") & (F.col("field") == "institution_name"))
     return found.filter(shown).select("doc_id", "field", "value", "source")
+
+
+#: Searches of the index: an end of a number, a name, two characters, one with a sign, one without hits.
+SEARCHES = ("URG1", "holder 9", "-7", "/5", "W-3", "no such")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{q}' AS q, id, owner, id_type, number_key, full_name FROM {{docs}} d WHERE " + " OR ".join(f"contains(lower({c}), '{q.lower()}')" for c in ("full_name", "id_type", "document_number", "number_key")) + " ORDER BY id DESC LIMIT 30) x" for q in SEARCHES))
+def indexed_search(spark, sf_dir):
+    """Searches of all accounts' documents by the stored index of grams, verified on the text; the newest 30 of each."""
+    columns = ["full_name", "id_type", "document_number", "number_key"]
+    rows, path = standin(spark, sf_dir, "docs"), f"{_folder(spark)}/grams"
+    search_index.build(rows, path, columns, "id")
+    index = spark.read.schema("gram string, block bigint, ids array<bigint>").parquet(path)
+    found = [search_index.search(index, rows, q, columns, "id").select(F.lit(q).alias("q"), "id", "owner", "id_type", "number_key", "full_name") for q in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
