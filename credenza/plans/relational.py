@@ -260,7 +260,7 @@ def capped_signals(d: Spark) -> str:
 
 
 def largest_regions(d: Spark) -> str:
-    return f"SELECT doc_id, box_id, area FROM (SELECT doc_id, box_id, w * h AS area, row_number() OVER (PARTITION BY doc_id ORDER BY w * h DESC, box_id) AS n FROM {t('boxes')} b) x WHERE n <= 20 AND area >= 1800"
+    return f"SELECT doc_id, box_id, area FROM (SELECT doc_id, box_id, w * h AS area, row_number() OVER (PARTITION BY doc_id ORDER BY w * h DESC, box_id) AS n FROM {t('boxes')} b) x WHERE n <= 20 AND area >= 180"
 
 
 def overlap_coefficient(d: Spark) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credenza.functions import dates, identifiers, similarity, table_functions, text
-from credenza.operators import extraction, history, kernels, multipattern, search_index, sequence, store
+from credenza.operators import extraction, history, kernels, multipattern, search_index, sequence, store, visual_diff
 from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
@@ -1057,3 +1057,28 @@ def indexed_search(spark, sf_dir):
     index = spark.read.schema("gram string, block bigint, ids array<bigint>").parquet(path)
     found = [search_index.search(index, rows, q, columns, "id").select(F.lit(q).alias("q"), "id", "owner", "id_type", "number_key", "full_name") for q in SEARCHES]
     return reduce(DataFrame.unionByName, found)
+
+
+def _edited(batches):
+    """Samples of which a rectangle was painted over (one document in three), or every fourth place shifted a little."""
+    for batch in batches:
+        out = []
+        for k in range(batch.num_rows):
+            number, samples, size = (batch.column(c)[k].as_py() for c in ("doc_id", "samples", "height"))
+            copy, line = bytearray(samples), len(samples) // size
+            if number % 3 == 0:
+                for y in range(size // 4, size // 2):
+                    copy[line * y + line // 4 : line * y + line // 2] = bytes([255]) * (line // 2 - line // 4)
+            elif number % 3 == 1:
+                copy[::4] = bytes(min(255, v + 3) for v in copy[::4])
+            out.append(bytes(copy))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "width", "height", "channels", "samples")] + [pa.array(out, pa.binary())], ["doc_id", "width", "height", "channels", "samples", "edited"])
+
+
+@query()
+def visual_difference(spark, sf_dir):
+    """Every document's raster against an edited copy: regions of change, score and band."""
+    rows = _raster_files(spark, sf_dir).mapInArrow(_edited, "doc_id bigint, width int, height int, channels int, samples binary, edited binary")
+    raster = lambda c: F.struct("width", "height", "channels", F.col(c).alias("samples"))
+    found = visual_diff.compare(rows.select("doc_id", raster("samples").alias("reference"), raster("edited").alias("other")))
+    return found.select("doc_id", "changed_percent", "score", "band", F.size("regions").alias("n_regions"), F.coalesce(F.get("regions", F.lit(0))["area"], F.lit(0)).alias("largest_area"))
