@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credenza.functions import text
+from credenza.functions import variants, text
 
 
 #: Columns of the store's tables. Times are ISO-8601 text, as they are written.
@@ -81,9 +81,7 @@ def audit_union(users: DataFrame, audit_logs: DataFrame, auth_events: DataFrame,
     user = users.select(F.col("unique_id").alias("u_id"), F.col("email").alias("u_email"), F.to_json(F.struct(F.col("unique_id").alias("uniqueId"), "email", F.col("full_name").alias("fullName"), (F.coalesce("email_verified", F.lit(0)) != 0).alias("emailVerified"), "status"), {"ignoreNullFields": "false"}).alias("user"))
     screened = audit_logs.filter(F.col("event_type") == event).join(user, F.col("subject_id") == F.col("u_id")).select("log_id", "created_at", "event_type", "subject_id", "status", "details", F.lit("AUDIT").alias("log_source"), "user", F.col("u_id").alias("owner"))
     logged = auth_events.filter((F.col("event_type") == login) & (F.col("success") == 1)).join(user, F.col("email") == F.col("u_email")).select(F.col("id").alias("log_id"), "created_at", "event_type", F.col("email").alias("subject_id"), F.lit("SUCCESS").alias("status"), "details", F.lit("AUTH").alias("log_source"), "user", F.col("u_id").alias("owner"))
-    kept = F.regexp_replace(F.trim("details"), r"\}\s*$", "")
-    whole = F.when(F.coalesce(F.json_object_keys("details"), F.array().cast("array<string>")) == F.array().cast("array<string>"), F.lit("{")).otherwise(F.concat(kept, F.lit(",")))
-    out = screened.unionByName(logged).withColumn("details", F.concat(whole, F.lit('"user":'), F.col("user"), F.lit("}"))).drop("user")
+    out = screened.unionByName(logged).withColumn("details", variants.with_entry(F.col("details"), "user", F.col("user"))).drop("user")
     return out.orderBy(F.desc("created_at"), F.desc("log_id"), "log_source")
 
 

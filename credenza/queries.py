@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credenza.functions import dates, identifiers, similarity, table_functions, text
+from credenza.functions import dates, identifiers, similarity, table_functions, text, variants
 from credenza.operators import extraction, history, kernels, multipattern, search_index, sequence, store, visual_diff
 from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
@@ -336,15 +336,40 @@ def name_similarity(spark, sf_dir):
     return similarity.with_ratio(pairs, F.col("a"), F.col("b"), 0.70).select("unique_id", F.round("ratio", 4).alias("ratio"))
 
 
+#: An account's newest document against the others, birth dates alone: equal, or not, where both are there.
+BIRTHS = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 11 = 0 THEN '1990-1-01' WHEN id % 3 = 0 THEN '01/02/1990' ELSE '01-02-1990' END"
+
+
+def _graded(spark, sf_dir, leg: str):
+    """Pairs of an account's newest document with its earlier ones, and how alike they are in a field."""
+    docs = standin(spark, sf_dir, "docs").select("id", "owner", text.match_text(F.concat("full_name", F.lit(" "), F.substring("document_number", 2, 2))).alias("name"), F.expr(BIRTHS).alias("dob"))
+    newest = store.latest(docs, ["owner"], [F.desc("id")]).select("owner", F.col("id").alias("new_id"), *[F.col(c).alias(f"new_{c}") for c in ("name", "dob")])
+    pairs = docs.join(newest, "owner").filter("id <> new_id")
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", "")
+    if leg == "dob":
+        both = pairs.filter((plain("dob") != "") & (plain("new_dob") != ""))
+        return both.select("owner", "id", (plain("dob") == plain("new_dob")).cast("double").alias("ratio"))
+    return similarity.with_ratio(pairs, F.col("new_name"), F.col("name"), 0.70).select("owner", "id", "ratio")
+
+
+def _consistency_of(graded):
+    counts = graded.groupBy("owner").agg(F.countDistinct("id").alias("compared"), F.count_if(F.col("ratio") < 0.70).alias("mismatches"), F.count_if((F.col("ratio") >= 0.70) & (F.col("ratio") < 0.92)).alias("partials"))
+    score = F.when(F.col("mismatches") > 0, F.least(F.lit(10), 6 + F.least(F.lit(4), F.col("mismatches") * 2))).when(F.col("partials") > 0, 4).otherwise(0)
+    return counts.select("owner", "compared", score.cast("int").alias("score"), F.when((F.col("mismatches") > 0) | (F.col("partials") > 0), "REVIEW").otherwise("PASS").alias("status"))
+
+
 @query()
 def cross_document(spark, sf_dir):
-    """Each account's newest document against its earlier ones: name by similarity; one row per account."""
-    docs = standin(spark, sf_dir, "docs").select("id", "owner", text.match_text(F.concat("full_name", F.lit(" "), F.substring("document_number", 2, 2))).alias("name"))
-    newest = store.latest(docs, ["owner"], [F.desc("id")]).select("owner", F.col("id").alias("new_id"), F.col("name").alias("new_name"))
-    pairs = docs.join(newest, "owner").filter("id <> new_id")
-    graded = similarity.with_ratio(pairs, F.col("new_name"), F.col("name"), 0.70).withColumnRenamed("ratio", "r")
-    counts = graded.groupBy("owner").agg(F.count_if(F.col("r") < 0.70).alias("mismatches"), F.count_if((F.col("r") >= 0.70) & (F.col("r") < 0.92)).alias("partials"), F.count("*").alias("compared"))
-    return counts.select("owner", "compared", F.when(F.col("mismatches") > 0, F.least(F.lit(10), 6 + F.least(F.lit(4), F.col("mismatches") * 2))).when(F.col("partials") > 0, 4).otherwise(0).alias("score"), F.when((F.col("mismatches") > 0) | (F.col("partials") > 0), "REVIEW").otherwise("PASS").alias("status"))
+    """Each account's newest document against its earlier ones: names by similarity and birth dates; one row per account."""
+    return _consistency_of(_graded(spark, sf_dir, "name").unionByName(_graded(spark, sf_dir, "dob")))
+
+
+@query(f"""WITH d AS (SELECT id, owner, regexp_replace({BIRTHS}, '[^a-z0-9]', '', 'g') AS dob, max(id) OVER (PARTITION BY owner) AS new_id FROM {{docs}} x),
+  p AS (SELECT o.owner, o.id, o.dob <> n.dob AS differs FROM d o JOIN d n ON n.id = o.new_id WHERE o.id <> o.new_id AND o.dob IS NOT NULL AND n.dob IS NOT NULL)
+  SELECT owner, count(*) AS compared, CAST(CASE WHEN count(*) FILTER (WHERE differs) > 0 THEN least(10, 6 + least(4, 2 * count(*) FILTER (WHERE differs))) ELSE 0 END AS INT) AS score, CASE WHEN bool_or(differs) THEN 'REVIEW' ELSE 'PASS' END AS status FROM p GROUP BY owner""")
+def cross_document_births(spark, sf_dir):
+    """The birth date leg of cross_document alone, which SQL expresses."""
+    return _consistency_of(_graded(spark, sf_dir, "dob"))
 
 
 @query()
@@ -682,7 +707,7 @@ def _store_tables(spark, sf_dir) -> dict[str, DataFrame]:
 AUDIT_SQL = """WITH u AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey || '@x.org' ELSE c_custkey::VARCHAR END AS id, c_custkey, to_json({'uniqueId': CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey || '@x.org' ELSE c_custkey::VARCHAR END, 'email': 'U' || c_custkey || '@x.org', 'fullName': c_name, 'emailVerified': c_custkey % 2 = 1, 'status': CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'SUSPENDED' END})::VARCHAR AS j FROM customer)
   SELECT log_id, event_type, subject_id, log_source, owner, details FROM (
     SELECT o_orderkey AS log_id, 'DOCUMENT_SCREENING' AS event_type, u.id AS subject_id, 'AUDIT' AS log_source, u.id AS owner, '{"price":' || o_totalprice || ',"priority":"' || o_orderpriority || '","user":' || j || '}' AS details FROM orders JOIN u ON u.c_custkey = o_custkey WHERE o_orderkey % 4 <> 0
-    UNION ALL SELECT event_id, 'LOGIN', 'U' || user_id || '@x.org', 'AUTH', u.id, CASE WHEN event_id % 3 < 2 THEN '{"user":' || j || '}' ELSE rtrim(props, '}') || ',"user":' || j || '}' END FROM events JOIN u ON u.c_custkey = user_id WHERE event_type = 'view' AND event_id % 2 = 1) x"""
+    UNION ALL SELECT event_id, 'LOGIN', 'U' || user_id || '@x.org', 'AUTH', u.id, CASE WHEN event_id % 3 < 2 THEN '{"user":' || j || '}' ELSE rtrim(CAST(json(props) AS VARCHAR), '}') || ',"user":' || j || '}' END FROM events JOIN u ON u.c_custkey = user_id WHERE event_type = 'view' AND event_id % 2 = 1) x"""
 
 
 @query(AUDIT_SQL.replace("'{\"price\":' || o_totalprice || ',\"priority\":\"' || o_orderpriority || '\",\"user\":' || j || '}'", "j"))
@@ -1082,3 +1107,19 @@ def visual_difference(spark, sf_dir):
     raster = lambda c: F.struct("width", "height", "channels", F.col(c).alias("samples"))
     found = visual_diff.compare(rows.select("doc_id", raster("samples").alias("reference"), raster("edited").alias("other")))
     return found.select("doc_id", "changed_percent", "score", "band", F.size("regions").alias("n_regions"), F.coalesce(F.get("regions", F.lit(0))["area"], F.lit(0)).alias("largest_area"))
+
+
+#: A request body per event, its number at one of four places (or none), nested and in a list; one in eleven is broken.
+BODIES = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '{"number": "cut' ELSE '{"kind": "' || event_type || '", "score": ' || CAST(event_id % 7 AS STRING) || '.5, ' || CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '"document": {"number": "D' || CAST(event_id AS STRING) || '", "pages": [{"words": 3}, {"words": ' || CAST(event_id % 9 AS STRING) || '}]}'
+    WHEN 1 THEN '"documentNumber": "C' || CAST(event_id AS STRING) || '", "document": {"number": "  "}' WHEN 2 THEN '"items": [{"id": ' || CAST(event_id AS STRING) || '}, {"id": 1}], "document": null' WHEN 3 THEN '"document": [1, {"number": "x"}], "number": 12' ELSE '"document": {}' END || '}' END AS body FROM events"""
+
+
+@query(f"""SELECT event_id, json_valid(body) AS valid, CASE WHEN json_valid(body) THEN coalesce(nullif(trim(json_extract_string(body, '$.document.number')), ''), nullif(trim(json_extract_string(body, '$.documentNumber')), ''), json_extract_string(body, '$.items[0].id'), json_extract_string(body, '$.number')) END AS number,
+  CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.document.pages[1].words') AS BIGINT) END AS words, CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.score') AS DOUBLE) END AS score FROM ({BODIES}) b""")
+def variant_paths(spark, sf_dir):
+    """Bodies parsed once and stored as VARIANT, then read by nested paths, places in lists and alternates."""
+    bodies = sql(spark, sf_dir, BODIES).select("event_id", variants.parsed(F.col("body")).alias("body"))
+    rows = variants.store(bodies, f"{_folder(spark)}/bodies")
+    body = F.col("body")
+    number = variants.first_of(body, ("$.document.number", "$.documentNumber", "$.items[0].id", "$.number"))
+    return rows.select("event_id", body.isNotNull().alias("valid"), number.alias("number"), variants.at(body, "$.document.pages[1].words", "bigint").alias("words"), variants.at(body, "$.score", "double").alias("score"))
