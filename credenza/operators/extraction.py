@@ -57,6 +57,9 @@ FIELDS: dict[str, tuple[str, tuple[str, ...]]] = {
 #: Words that are no part of a name, and lines that are no value.
 NOT_NAMES = ("name", "full", "holder", "candidate", "student", "cardholder", "father", "mother", "male", "female", "gender", "sex", "address", "dob", "date", "birth", "nationality", "passport", "aadhaar", "pan", "valid", "till", "validity", "phone", "mobile", "email", "college", "university", "school", "certificate", "board", "roll", "number", "id", "government", "india")
 FOOTERS = r"(?i)\b(valid\s+unless\s+physically\s+signed|important\s+instructions|see\s+overleaf|cum\s*-?\s*marks)\b"
+#: What ends a name and an address on their line.
+AFTER_NAME = r"(?i)\b(date\s*of\s*birth|dob|gender|sex|address|nationality|valid\s*(till|until)|issue\s*date|expiry\s*date|phone|mobile|email)\b.*$"
+AFTER_ADDRESS = r"(?i)\b(date\s*of\s*birth|dob|gender|sex|phone|mobile|e-?mail)\b.*$"
 INSTRUCTIONS = r"(?i)\b(please\s+(enter|provide)|should\s+be\s+updated|update|upload|submit|click|select|choose)\b.*$"
 RELATIONS = r"(?i)^\s*(son\s*/\s*daughter\s*/\s*wife\s*of|[sdwc]\s*/\s*o|(son|daughter|wife|husband)\s+of|father|mother|relation|guardian)\b\s*[:=-]?\s*"
 NO_IDENTIFIERS = ("AADHAAR", "AADHAR", "PAN", "PASSPORT", "VISA", "ROLL", "NUMBER", "NO", "ID", "CARD", "DOCUMENT", "CERTIFICATE", "DATE", "DOB", "NA")
@@ -114,7 +117,7 @@ def first_match(x: Column, pattern: str, group: int = 0) -> Column:
 def clean_name(x: Column, least_words: int = 2) -> Column:
     """Two to six words (five of more) that are no labels; of words in capitals, what follows in small letters is noise."""
     body = F.regexp_replace(without_label(x), RELATIONS, "")
-    body = F.regexp_replace(body, r"(?i)\b(date\s*of\s*birth|dob|gender|sex|address|nationality|valid\s*(till|until)|issue\s*date|expiry\s*date|phone|mobile|email)\b.*$", "")
+    body = F.regexp_replace(body, AFTER_NAME, "")
     found = F.filter(F.regexp_extract_all(body, F.lit(r"([A-Za-z][A-Za-z.'-]*)"), 1), lambda w: ~F.lower(w).isin(*NOT_NAMES))
     capital = lambda w: w == F.upper(w)
     plain = lambda words: F.when(F.forall(F.slice(words, 1, 2), capital) & (F.size(words) >= 2), F.filter(words, capital)).otherwise(words)
@@ -209,7 +212,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("field", lookup(FIELD_OF, F.regexp_replace(F.lower("label"), "[^a-z]", ""))).withColumn("kind", lookup({f: k for f, (k, _) in FIELDS.items()}, F.col("field")))
     segment = F.get("segments", F.col("k") + 1)
     # An address holds words that are labels elsewhere ("DIST"): its line is cut at labels of other kinds alone.
-    rest = F.regexp_replace(F.regexp_replace("line", r"(?i)^.*?\baddress\b", ""), r"(?i)\b(date\s*of\s*birth|dob|gender|sex|phone|mobile|e-?mail)\b.*$", "")
+    rest = F.regexp_replace(F.regexp_replace("line", r"(?i)^.*?\baddress\b", ""), AFTER_ADDRESS, "")
     raw = F.when(F.col("field") == "address", rest).otherwise(segment)
     alone = ~F.col("__same") & (F.col("k") == F.size("labels") - 1) & ~F.col("row_mode")
     cells = F.split("next1", r"\s*\|\s*|\t+")

@@ -193,12 +193,16 @@ def decision(c=F.col) -> Column:
     )
 
 
+#: Fixed values of the face gates: least matches, inliers and score of either kind of descriptor, share of the face covered and zones;
+#: correlation and gradient; the score from which faces are somewhat alike.
+SIFT, ORB, COVERAGE, ZONES, CORRELATION, GRADIENT, SOMEWHAT = (7, 5, 30), (10, 6, 45), 22, 2, 55, 50, 45
+
+
 def face_gates(c=F.col) -> dict[str, Column]:
     """Gates of a comparison of two faces, from the columns of the feature table "faces" and its score (0 to 100): local
     evidence (enough matches of either kind that agree in space, over enough of the face) and structure."""
-    sift = (c("sift_matches") >= 7) & (c("sift_inliers") >= 5) & (c("sift") >= 30)
-    orb = (c("orb_matches") >= 10) & (c("orb_inliers") >= 6) & (c("orb") >= 45)
-    local = (c("coverage") >= 22) & (c("zones") >= 2) & (sift | orb)
-    structure = (c("corr") >= 55) & (c("grad") >= 50)
+    enough = lambda kind, least: total([(c(f"{kind}{part}") < n).cast("int") for part, n in zip(("_matches", "_inliers", ""), least, strict=True)]) == 0
+    local = (c("coverage") >= COVERAGE) & (c("zones") >= ZONES) & (enough("sift", SIFT) | enough("orb", ORB))
+    structure = (c("corr") >= CORRELATION) & (c("grad") >= GRADIENT)
     alike = (c("face_score") >= FACE_THRESHOLD) & local & structure
-    return {"local_gate": local, "structure_gate": structure, "face_status": F.when(alike, "SIMILAR").when(c("face_score") >= 45, "LOW_SIMILARITY").otherwise("NOT_SIMILAR")}
+    return {"local_gate": local, "structure_gate": structure, "face_status": F.when(alike, "SIMILAR").when(c("face_score") >= SOMEWHAT, "LOW_SIMILARITY").otherwise("NOT_SIMILAR")}

@@ -19,12 +19,12 @@ def cards() -> str:
     """A card's text per customer, in one of three layouts, beside the values that it prints."""
     two = lambda x: f"lpad(CAST({x} AS STRING), 2, '0')"
     values = f"""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 'PAN' WHEN c_custkey % 4 = 1 THEN 'COLLEGE_ID' ELSE 'DRIVING_LICENSE' END AS family,
-        'MOHAN QA' || {LETTERS.format("c_custkey")} AS holder, 'ANAND KUMAR ZE' || {LETTERS.format("c_nationkey")} AS father,
+        'TARUN QA' || {LETTERS.format("c_custkey")} AS holder, 'MOHIT RAVI ZE' || {LETTERS.format("c_nationkey")} AS father,
         CASE WHEN c_custkey % 4 = 0 THEN translate(lpad(CAST(c_custkey % 100000 AS STRING), 5, '0'), '0123456789', 'KLMNOPQRST') || lpad(CAST(c_custkey * 7919 % 10000 AS STRING), 4, '0') || 'X'
           WHEN c_custkey % 4 = 1 THEN 'BE25CS' || lpad(CAST(c_custkey AS STRING), 7, '0') ELSE 'UP342021' || lpad(CAST(c_custkey AS STRING), 7, '0') END AS number,
         {two("1 + c_custkey % 28")} || '/' || {two("1 + c_custkey % 12")} || '/' || CAST(1950 + c_custkey % 50 AS STRING) AS birth,
-        'Plot ' || CAST(c_nationkey AS STRING) || ' DIST Gonda, Uttar Pradesh 27' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS street FROM customer"""
-    text = f"""CASE family WHEN 'PAN' THEN 'INCOME TAX DEPARTMENT|Permanent Account Number Card|' || CASE WHEN doc_id % 3 > 0 THEN 'PAN No: ' ELSE '' END || number || '|Name|Valid unless Physically Signed|' || holder || '|Father''s Name|wee i arte|' || father || '|Date of Birth|' || birth
+        'Plot ' || CAST(c_nationkey AS STRING) || ' DIST Mirapur, North Province 48' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS street FROM customer"""
+    text = f"""CASE family WHEN 'PAN' THEN 'INCOME TAX DEPARTMENT|Permanent Account Number Card|' || CASE WHEN doc_id % 3 > 0 THEN 'PAN No: ' ELSE '' END || number || '|Name|Valid unless Physically Signed|' || holder || '|Father''s Name|gle u onf|' || father || '|Date of Birth|' || birth
         WHEN 'COLLEGE_ID' THEN 'Student Name: ' || holder || '|Roll No|' || number || '|DOB: ' || birth || ' Sex: ' || CASE WHEN doc_id % 8 = 1 THEN 'F' ELSE 'M' END
         ELSE 'DRIVING LICENCE|DL No: ' || number || '|Name: ' || holder || ' DOB: ' || birth || '|S/O ' || father || '|Address|' || split_part(street, ', ', 1) || '|' || split_part(street, ', ', 2) END"""
     return f"SELECT *, replace({text}, '|', chr(10)) AS text FROM ({values}) c"
@@ -107,13 +107,13 @@ def screened() -> str:
 
     digits = lambda n: f"lpad(CAST(id * 7919 % {10**n} AS STRING), {n}, '0')"
     number = f"""CASE WHEN id % 23 = 0 THEN NULL WHEN id % 19 = 0 THEN 'ABCDE1234F' WHEN id % 17 = 0 THEN '7777777' ELSE CASE id_type
-        WHEN 'PAN' THEN 'abc' || {pick(1, "P", "C", "Z", "H")} || 'k ' || {digits(4)} || {pick(3, "X", "X", "X", "9", "X")} WHEN 'AADHAAR' THEN CASE WHEN id % 2 = 0 THEN '3904 2494 5992' ELSE {digits(12)} END
+        WHEN 'PAN' THEN 'abc' || {pick(1, "P", "C", "Z", "H")} || 'k ' || {digits(4)} || {pick(3, "X", "X", "X", "9", "X")} WHEN 'AADHAAR' THEN CASE WHEN id % 2 = 0 THEN '5820 3617 2943' ELSE {digits(12)} END
         WHEN 'PASSPORT' THEN {pick(5, "U", "U", "U-", "U12", "8")} || CASE WHEN id % 9 = 0 THEN '1234567' ELSE {digits(7)} END WHEN 'DRIVING_LICENSE' THEN 'UP34 ' || CAST(1990 + id % 9 AS STRING) || {digits(5)} || {pick(7, "", "", "X", "")}
         WHEN 'COLLEGE_ID' THEN {pick(11, "BE25CS", "be25cs", "B")} || {digits(3)} WHEN 'NATIONAL_ID' THEN 'AB123456' || {pick(13, "", "6", "7")} ELSE 'V' || {digits(6)} END END"""
     return f"""SELECT id AS doc_id, id_type AS family, CASE WHEN id % 13 > 0 THEN full_name ELSE ' ' END AS name, {number} AS document_number, {pick(3, "INDIAN", None, "INDIAN")} AS nationality, {pick(5, "BTECH", "", "BA")} AS course,
         {pick(7, "2021 - 2025", "2029-2025", "2019-2023", "31/12/2026", "01-01-2020", None, "soon")} AS valid_until, {pick(3, "12/03/1990", "1999-12-31", "31/02/1990", "05-06-1996", None)} AS dob,
         substr(CAST(created_at AS STRING), 1, 10) AS issue_date, {pick(11, "1995-06-30", "30/06/2030", None)} AS validity_nt, {pick(13, "30-06-1990", "2030-01-01", "x", None)} AS validity_tr, {pick(17, "1994-01-01", "2031-01-01")} AS expiry_date,
-        {pick(19, "Gonda 271001", "Gonda", None, "12345678")} AS address, CAST(id * 11 % 100 AS DOUBLE) AS ocr_conf,
+        {pick(19, "Mirapur 481205", "Mirapur", None, "12345678")} AS address, CAST(id * 11 % 100 AS DOUBLE) AS ocr_conf,
         {pick(23, "Income Tax PAN", "passport nationality", "Name and course", "aadhaar of uidai", "driving", None)} AS text, {pick(29, "PASS", "REVIEW", "FAIL")} AS profile_status, {pick(31, "PASS", "MISMATCH", "UNAVAILABLE", "PASS", None)} AS qr_status,
         {pick(37, "PASS", "HIGH", "REVIEW", "PASS", "PASS")} AS security_status, {pick(41, "NO_STRONG_EDIT_SIGNAL", "POSSIBLE_EDITING", "REVIEW_SIGNAL", "INCONCLUSIVE")} AS integrity_status, {pick(43, "LOW", "MEDIUM", "HIGH")} AS ai_band, CAST(id % 3 AS INT) AS n_ai_signals,
         {pick(47, "PASS", "REVIEW")} AS metadata_status, {pick(53, "PASS", "PASS", "REVIEW")} AS structure_status, {pick(59, "LOW", "", "REVIEW")} AS visual_status, CAST(id % 7 AS INT) AS n_visual FROM ({STANDINS["docs"]}) d"""

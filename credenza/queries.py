@@ -776,11 +776,11 @@ def redacted_at_depth(spark, sf_dir):
     return rows.select("event_id", "user_id", shown.alias("s")).select("event_id", "user_id", keys(F.col("s")).alias("outer_keys"), keys(F.col("s.who")).alias("inner_keys"))
 
 
-@query("""SELECT c_custkey, 'MOHAN QA' || translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' DE SOUZA' AS name, CASE WHEN c_custkey % 3 > 0 THEN 'U' || lpad(c_custkey::VARCHAR, 7, '0') END AS number FROM customer""")
+@query("""SELECT c_custkey, 'TARUN QA' || translate(c_custkey::VARCHAR, '0123456789', 'ABCDEFGHIJ') || ' DE SOUZA' AS name, CASE WHEN c_custkey % 3 > 0 THEN 'U' || lpad(c_custkey::VARCHAR, 7, '0') END AS number FROM customer""")
 def machine_zones(spark, sf_dir):
     """Name and number of passports' machine-readable lines, with blanks between their characters here and there."""
     letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "ABCDEFGHIJ")
-    first = F.concat(F.lit("P<INDDE<SOUZA<<MOHAN<Q A"), letters, F.lit("<<<<<<<<<<"))
+    first = F.concat(F.lit("P<INDDE<SOUZA<<TARUN<Q A"), letters, F.lit("<<<<<<<<<<"))
     second = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("U"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit("<0IND9002051M3001012<<<<<<<<<<<<<<02"))).otherwise("U12")
     shown = F.concat_ws("\n", F.lit("REPUBLIC OF INDIA"), first, second)
     return table(spark, sf_dir, "customer").select("c_custkey", identifiers.mrz_name(shown).alias("name"), identifiers.mrz_number(shown).alias("number"))
