@@ -20,7 +20,8 @@ Nodes are 64-bit hashes (xxh3) of shingle sets; two different sets with equal ha
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component;
 fewer than k words are one shingle; repeated rows and ids and null ids are rows of their own (component_id
-is the smallest id that is not null, or null); an empty table gives an empty result.
+is the smallest id that is not null, or null); very long texts are read whole; first_of_class() carries all columns, whatever
+their names, similarity_classes() none; an empty table gives an empty result.
 """
 
 from __future__ import annotations

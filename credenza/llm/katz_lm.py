@@ -28,7 +28,8 @@ Words are 64-bit hashes (xxh3); two words with equal hashes would be taken for o
 
 Defined cases: null and empty texts are the end token alone; very long texts are read whole; repeated rows
 and ids are documents of their own; null ids count as the empty id for the split; without training
-documents every probability is that of the one unknown word (1); an empty table gives an empty result.
+documents every probability is that of the one unknown word (1); words with equal counts are told apart by their hashes; columns
+beside id and text, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ times are integers of 2**-40, tokens are summed per leading digits, the digit wh
 out is refined twice, and only the copies that share all of those digits are ordered one by one.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own,
-last in order; repeated rows are separate documents; equal order keys are broken by id and size; an
+last in order; very long texts count whole; repeated rows are separate documents; equal order keys are broken by id and size; an
 empty table gives an empty result. mix_sources() carries no other columns, mixed_rows() carries all.
 """
 

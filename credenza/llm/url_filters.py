@@ -14,7 +14,7 @@ verdicts are joined to the rows by url (a sort-merge join that adaptive executio
 Longest: by host length plus path length, then by host length, then by the rule's text.
 
 Defined cases: a null url or one without "://" has an empty host and path and fits no rule; such urls and
-those that no rule fits get the default verdict; repeated rows give repeated results; an empty table or an
+those that no rule fits get the default verdict; very long urls are read whole; repeated rows give repeated results; an empty table or an
 empty rule table gives an empty result or default verdicts. Columns other than id and url are not carried.
 """
 

@@ -446,6 +446,45 @@ def test_odd_rows(spark, odd, name):
     assert len(out) == 11 and sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
 
 
+def test_values_of_odd_rows(spark, odd):
+    """What null, empty, blank, very long and repeated rows get from each operator, row by row."""
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    key = lambda row: (row[0] is None, row[0] or 0, *map(str, row[1:]))
+    library, counter = sentencepiece_codec.agenda(PIECES).library, token_counts.tokenizer(BYTES)
+    got, want = OPERATORS["sentencepiece"](spark, odd).collect(), []
+    for doc, text in rows:
+        ids = [1, *library.encode(text or ""), 2]
+        want.append((doc, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    got = [tuple(r) for r in OPERATORS["token_counts"](spark, odd).collect()]
+    want = [(doc, len((t or "").encode()), n := len(counter.encode(t or "", add_special_tokens=False).ids), n > 512) for doc, t in rows]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in OPERATORS["media"](spark, odd).collect()]
+    padded = lambda t: (t or "").encode() + b"\xff" * (max(576, -(-len((t or "").encode()) // 576) * 576) - len((t or "").encode()))
+    want = [(doc, len((t or "").encode()), len(padded(t)), hashlib.sha256(padded(t)).hexdigest()) for doc, t in rows]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    got = [tuple(r) for r in OPERATORS["katz"](spark, odd).collect()]
+    want = brute.katz(rows)
+    assert sorted((g[:5] for g in got), key=key) == sorted((tuple(w[:5]) for w in want), key=key)
+    assert sorted(g[6] for g in got) == pytest.approx(sorted(w[6] for w in want), rel=1e-9)
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in OPERATORS["quality"](spark, odd).collect()]
+    want = [(doc, *(b := brute.base_quality(t)), b[0] < 20 or 100 * b[4] > 30 * b[0]) for doc, t in rows]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    sized = [(r.doc_id, r["size"], r.taken) for r in OPERATORS["mixing"](spark, odd).collect()]
+    assert sorted(s[:2] for s in sized if s[0] is not None) == sorted((d, len(brute.words(t))) for d, t in rows if d is not None)
+    assert all(taken % max(1, size) == 0 and taken <= 3 * size for _, size, taken in sized) and sum(t for *_, t in sized) <= sum(s for _, s, _ in sized)
+    scores = {(r.doc_id, r.held_out): r.score for r in OPERATORS["toxicity"](spark, odd).collect()}
+    assert all(0 <= s <= 1 for s in scores.values()) and scores[1, brute.held_out(1, 4, 2)] == scores[2, brute.held_out(2, 4, 2)]
+
+
+def test_odd_urls(spark):
+    rows = [(1, None), (1, None), (2, "http://a.net/x"), (2, "http://a.net/x"), (None, "http://a.net/x"), (3, ""), (4, "://"), (5, "x://" + "a." * 40_000 + "net/" + "y" * 100_000), (6, "://?q"), (7, "HTTP://ORG/fr/" + "é")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string").withColumns({"host": F.lit("x"), "rule": F.lit(1), "key": F.lit(None).cast("string")})
+    got = [tuple(r) for r in url_filters.judge(df, url_filters.rule_table(spark)).select("page_id", "rule", "verdict").collect()]
+    want = [(1, None, "allow")] * 2 + [(2, "net/", "block")] * 2 + [(None, "net/", "block"), (3, None, "allow"), (4, None, "allow"), (5, "net/", "block"), (6, None, "allow"), (7, "org/fr/", "allow")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", [*OPERATORS])
 def test_empty_tables(spark, empty, name):
     assert OPERATORS[name](spark, empty).collect() == []
