@@ -16,7 +16,7 @@ from credenza.plans import evidence, forensics, relational, rules
 from credenza.plans.dialect import DUCK, SPARK
 from credenza.plans.standins import BOXES, STANDINS
 from credenza.session import TABLES, table
-from credenza.sources import rasters, uploads
+from credenza.sources import manifests, rasters, uploads
 from credenza.streaming import auth, frames
 
 FLAGSHIP = "risk_score"
@@ -1123,3 +1123,28 @@ def variant_paths(spark, sf_dir):
     body = F.col("body")
     number = variants.first_of(body, ("$.document.number", "$.documentNumber", "$.items[0].id", "$.number"))
     return rows.select("event_id", body.isNotNull().alias("valid"), number.alias("number"), variants.at(body, "$.document.pages[1].words", "bigint").alias("words"), variants.at(body, "$.score", "double").alias("score"))
+
+
+def _provenance_files(batches):
+    """A file of every document with a store of manifests: each made from the one before it (doc_id % 5 of them), the last also from
+    itself in one of three (a cycle), beside one that nothing was made from; every seventh file has none."""
+    for batch in batches:
+        files = []
+        for number, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            n = number % 5
+            own = [{"manifest": f"urn:{number}:{k}", "generator": f"tool {k}", "signed": k % 2 == 0, "source_type": "trained" if k == n and number % 4 == 0 else None, "actions": [f"a{k}", f"words{len((body or '').split(' '))}"], "ingredients": [f"urn:{number}:{k - 1}"] * (k > 0) + [f"urn:{number}:{n}"] * (k == 0 and number % 3 == 0)} for k in range(n + 1)]
+            own.insert(0, {"manifest": f"urn:{number}:alone", "generator": "other", "signed": True, "source_type": None, "actions": ["never"], "ingredients": []})
+            store = manifests.write_store(own)
+            if number % 7 == 0:
+                files.append(b"\xff\xd8\xff\xd9")
+            else:
+                files.append(manifests.in_jpeg(b"\xff\xd8\xff\xd9", store, 500) if number % 2 else manifests.in_png(rasters.write_png(1, 1, 1, b"\0"), store))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+
+@query("""SELECT doc_id, n + 2 AS n_manifests, 1 + n // 2 + 1 AS n_signed, 'tool ' || n AS generator, CASE WHEN doc_id % 4 = 0 THEN 'trained' END AS source_type, CAST(n AS INT) AS depth, list_aggregate([('a' || k || '>words' || w) FOR k IN range(n + 1)], 'string_agg', '>') AS history
+  FROM (SELECT doc_id, doc_id % 5 AS n, len(string_split(coalesce(text, ''), ' ')) AS w FROM documents WHERE doc_id % 7 <> 0) d""")
+def provenance(spark, sf_dir):
+    """Manifests of every document's file, the active one's history through its ingredients, rolled up."""
+    files = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_provenance_files, "doc_id bigint, content binary")
+    return manifests.rolled_up(manifests.read_manifests(files), f"{_folder(spark)}/histories")
