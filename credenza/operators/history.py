@@ -105,9 +105,10 @@ def moving_mean(rows: DataFrame, user: str, order: list[str], value: str, n: int
     return rows.withColumn(name, F.avg(value).over(Window.partitionBy(user).orderBy(*order).rowsBetween(1 - n, 0)))
 
 
-def nearest_pair(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", value: str = "embedding", ratio: float = 1.02, blocks: int = 16) -> DataFrame:
+def nearest_pair(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", value: str = "embedding", ratio: float = 1.02, blocks: int | None = None) -> DataFrame:
     """For each query vector the nearest of all others by inner product, kept if it is clearly nearer than the second.
-    Vectors are dealt to blocks and every query goes to every block, which keeps its two best."""
+    Vectors are dealt to blocks (as many as shuffle partitions) and every query goes to every block, which keeps its two best."""
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     asked = queries.select(F.col(key).alias("__q"), F.col(value).alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
     dot = F.aggregate(F.zip_with("__v", value, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -178,8 +178,13 @@ def worst_status(mismatch: Column, partial: Column, unknown: Column) -> Column:
     return F.when(mismatch > 0, "MISMATCH").when(partial > 0, "PARTIAL").when(unknown > 0, "UNKNOWN").otherwise("MATCH")
 
 
+#: Fixed value: verifications of one's own document after the first.
+REVERIFICATIONS = 2
+
+
 def decision(c=F.col) -> Column:
-    """The cascade as one ordered expression: the first that applies."""
+    """The cascade as one ordered expression: the first that applies. reverify_limit: the owner's own document was verified
+    REVERIFICATIONS times again already."""
     return (
         F.when(c("screen_only"), "SCREENED")
         .when(c("number").isNull(), "REJECT_NUMBER_MISSING")
@@ -187,6 +192,7 @@ def decision(c=F.col) -> Column:
         .when(c("face_score") < FACE_THRESHOLD, "REJECT_FACE")
         .when(c("identity_gate") == "FAIL", "REJECT_IDENTITY")
         .when(c("other_owner"), "CONFLICT_OTHER_OWNER")
+        .when(c("reverify_limit"), "CONFLICT_REVERIFY_LIMIT")
         .when(c("risk_score") >= REJECT_FROM, "REJECT_RISK")
         .when(c("risk_score") < VERIFY_BELOW, "VERIFIED")
         .otherwise("PENDING_REVIEW")

@@ -86,13 +86,13 @@ def risk_score(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'SCREENED' WHEN doc_id % 13 = 0 THEN 'REJECT_NUMBER_MISSING' WHEN doc_id % 17 = 0 THEN 'REJECT_NUMBER_MISMATCH' WHEN face_score < 62 THEN 'REJECT_FACE' WHEN identity_gate = 'FAIL' THEN 'REJECT_IDENTITY'
-  WHEN doc_id % 19 = 0 THEN 'CONFLICT_OTHER_OWNER' WHEN risk_score >= 50 THEN 'REJECT_RISK' WHEN risk_score < 25 THEN 'VERIFIED' ELSE 'PENDING_REVIEW' END AS decision
+  WHEN doc_id % 19 = 0 THEN 'CONFLICT_OTHER_OWNER' WHEN doc_id % 5 = 0 AND doc_id % 3 >= 2 THEN 'CONFLICT_REVERIFY_LIMIT' WHEN risk_score >= 50 THEN 'REJECT_RISK' WHEN risk_score < 25 THEN 'VERIFIED' ELSE 'PENDING_REVIEW' END AS decision
   FROM (SELECT z.*, x.face_score FROM ({RISK_SQL}) z JOIN {{risk_inputs}} x USING (doc_id)) y""")
 def decision(spark, sf_dir):
     rows = standin(spark, sf_dir, "risk_inputs")
     scored = rows.select("doc_id", "face_score", *[v.alias(k) for k, v in rules.risk().items()])
     number = F.when(F.col("doc_id") % 13 != 0, F.col("doc_id").cast("string"))
-    staged = scored.withColumns({"screen_only": F.col("doc_id") % 11 == 0, "number": number, "reference_number": F.when(F.col("doc_id") % 17 == 0, "x").otherwise(F.col("doc_id").cast("string")), "other_owner": F.col("doc_id") % 19 == 0})
+    staged = scored.withColumns({"screen_only": F.col("doc_id") % 11 == 0, "number": number, "reference_number": F.when(F.col("doc_id") % 17 == 0, "x").otherwise(F.col("doc_id").cast("string")), "other_owner": F.col("doc_id") % 19 == 0, "reverify_limit": (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 >= rules.REVERIFICATIONS)})
     return staged.select("doc_id", rules.decision().alias("decision"))
 
 
@@ -1148,3 +1148,26 @@ def provenance(spark, sf_dir):
     """Manifests of every document's file, the active one's history through its ingredients, rolled up."""
     files = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_provenance_files, "doc_id bigint, content binary")
     return manifests.rolled_up(manifests.read_manifests(files), f"{_folder(spark)}/histories")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 THEN 'Q' || lpad(CAST(doc_id % 10000000 AS VARCHAR), 7, '0') WHEN family = 'PASSPORT' THEN number END AS passport FROM {zones} z")
+def passport_numbers(spark, sf_dir):
+    """Numbers of passports in cards' texts: labelled ones first, then any; none inside longer numbers."""
+    shown = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("X"), F.col("number"), F.lit("9"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Z7654321 Passport No: Q"), F.lpad((F.col("doc_id") % 10_000_000).cast("string"), 7, "0"))).otherwise(F.col("text"))
+    return standin(spark, sf_dir, "zones").select("doc_id", identifiers.find_passport(F.upper(shown)).alias("passport"))
+
+
+@query("""SELECT doc_id, doc_id % 5 < 4 OR doc_id % 2 = 0 AS signed, (doc_id % 5 < 4 OR doc_id % 2 = 0) AND doc_id % 3 = 0 AS made_by_generator FROM documents WHERE doc_id % 7 <> 0""")
+def provenance_level(spark, sf_dir):
+    """Whether the active manifest of a signed file names a generator; the others' names don't count."""
+
+    def files(batches):
+        for batch in batches:
+            out = []
+            for number in batch.column("doc_id").to_pylist():
+                made = [{"manifest": str(k), "generator": name, "signed": number % 5 < 4 or (number % 2 == 0 and k == 0), "source_type": None, "actions": [], "ingredients": []} for k, name in enumerate(("OpenAI 2", ("DALL-E/3.0 c2pa", "plain camera", "scanner")[number % 3]))]
+                out.append(b"\xff\xd8\xff\xd9" if number % 7 == 0 else manifests.in_jpeg(b"\xff\xd8\xff\xd9", manifests.write_store(made)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    read = manifests.read_manifests(table(spark, sf_dir, "documents").select("doc_id").mapInArrow(files, "doc_id bigint, content binary"))
+    return forensics.provenance_flags(read)

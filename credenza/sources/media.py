@@ -15,13 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Numbers of the text tags that rules read, and limits on embedded images.
-TAGS = {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright"}
+TAGS = {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized"}
+#: Fixed value: the tag that leads to the camera's own directory.
+CAMERA = 0x8769
 LEAST_SIDE, MOST_PAGES = 500, 3
 LEAST_CONFIDENCE = 28.0
 
 
 def exif_block(content: bytes) -> bytes | None:
-    """The TIFF block of a JPEG file's EXIF segment."""
+    """The TIFF block of a JPEG or PNG file, or a TIFF file itself."""
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return content
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 12 <= len(content):
+            size, kind = struct.unpack_from(">I4s", content, at)
+            if kind == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += 12 + size
+        return None
     at = 2
     while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] not in (0xDA, 0xD9):
         size = int.from_bytes(content[at + 2 : at + 4], "big")
@@ -32,30 +44,36 @@ def exif_block(content: bytes) -> bytes | None:
 
 
 def text_tags(block: bytes) -> dict[str, str]:
-    """Text tags of the block's first directory; what doesn't lie in the block is left out."""
+    """Text tags of the block's first directory and of the camera's; what doesn't lie in the block is left out."""
     order = {b"II": "<", b"MM": ">"}.get(block[:2])
     if order is None or len(block) < 8:
         return {}
     out: dict[str, str] = {}
-    start = struct.unpack_from(order + "I", block, 4)[0]
-    if start + 2 > len(block):
-        return {}
-    for i in range(struct.unpack_from(order + "H", block, start)[0]):
-        entry = start + 2 + 12 * i
-        if entry + 12 > len(block):
-            break
-        tag, kind, n = struct.unpack_from(order + "HHI", block, entry)
-        if kind == 2 and tag in TAGS:
-            place = entry + 8 if n <= 4 else struct.unpack_from(order + "I", block, entry + 8)[0]
-            value = block[place : place + n].split(b"\0")[0].decode("utf-8", "replace").strip()
-            if place + n <= len(block) and value:
-                out[TAGS[tag]] = value
+    waiting, seen = [struct.unpack_from(order + "I", block, 4)[0]], set()
+    while waiting:
+        start = waiting.pop()
+        if start in seen or start + 2 > len(block):
+            continue
+        seen.add(start)
+        for i in range(struct.unpack_from(order + "H", block, start)[0]):
+            entry = start + 2 + 12 * i
+            if entry + 12 > len(block):
+                break
+            tag, kind, n = struct.unpack_from(order + "HHI", block, entry)
+            place = struct.unpack_from(order + "I", block, entry + 8)[0]
+            if tag == CAMERA and kind == 4:
+                waiting.append(place)
+            elif kind == 2 and tag in TAGS:
+                place = entry + 8 if n <= 4 else place
+                value = block[place : place + n].split(b"\0")[0].decode("utf-8", "replace").strip()
+                if place + n <= len(block) and value:
+                    out.setdefault(TAGS[tag], value)
     return out
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def exif_tags(content: pd.Series) -> pd.Series:
-    """Text tags by name; empty for files that have none, and for files that are no JPEG."""
+    """Text tags by name; empty for files that have none, and for files of other formats than JPEG, PNG and TIFF."""
     return content.map(lambda c: text_tags(exif_block(bytes(c)) or b"") if c is not None else {})
 
 

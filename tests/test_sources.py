@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from credenza.sources import media, uploads
+from credenza.sources import media, rasters, uploads
 
 
 def jpeg(tags: dict[int, bytes], order: str = "<") -> bytes:
@@ -67,3 +67,18 @@ def test_newest_named(spark):
 def test_bodies(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("{bad",), (None,)], "j string")
     assert [r.b.b if r.b else None for r in df.select(uploads.body(F.col("j"), "a int, b string").alias("b")).collect()] == ["x", None, None]
+
+
+def test_exif_of_other_files_and_of_the_camera():
+    """The camera's own directory, big and little ends, in PNG and TIFF files; pointers in a circle end."""
+    for order, head in (("<", b"II*\0"), (">", b"MM\0*")):
+        text, day = b"Maker\0", b"2021:03:04 05:06:07\0"
+        first = struct.pack(order + "HHHIIHHII", 2, 0x010F, 2, len(text), 62, 0x8769, 4, 1, 38)
+        camera = struct.pack(order + "HHHII", 1, 0x9003, 2, len(day), 68) + struct.pack(order + "I", 0)
+        block = (head + struct.pack(order + "I", 8) + first + struct.pack(order + "I", 0)).ljust(38, b"\0") + camera
+        block = block.ljust(62, b"\0") + text + day
+        assert media.text_tags(block) == {"Make": "Maker", "DateTimeOriginal": "2021:03:04 05:06:07"}
+        png = rasters.write_png(1, 1, 1, b"\0")
+        assert media.exif_block(block) == block and media.exif_block(png[:33] + struct.pack(">I", len(block)) + b"eXIf" + block + b"crc!" + png[33:]) == block and media.exif_block(png) is None
+        circle = block.replace(struct.pack(order + "HHII", 0x8769, 4, 1, 38), struct.pack(order + "HHII", 0x8769, 4, 1, 8))
+        assert media.text_tags(circle) == {"Make": "Maker"}
