@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credenza.functions.text import bound
+
 #: The first permutation of the Verhoeff scheme, identifier shapes, placeholders, category letters, sample
 #: numbers. Digits are [0-9], as \\d takes other scripts' digits too in some engines.
 FIRST_PERMUTATION = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
@@ -87,6 +89,25 @@ def repaired_pan(candidate: Column) -> Column:
     return F.concat(letters(F.substring(candidate, 1, 5)), digits(F.substring(candidate, 6, 4)), letters(F.substring(candidate, 10, 1)))
 
 
+#: Digits that stand for letters where a letter belongs, and letters that stand for digits, in a window of a
+#: recognised number; its length.
+WINDOW_LETTERS, WINDOW_DIGITS, PAN_LENGTH = ("012568", "OIZSGB"), ("OQDILZSB", "00011258"), 10
+
+
+def windowed_pan(raw: Column) -> Column:
+    """The first run of ten of the letters and digits of a recognised piece (one field's text, not a page) that is a number once
+    confusable characters are set right by position."""
+    plain = F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), "[^A-Z0-9]", "")
+
+    def mended(window: Column) -> Column:
+        letters = lambda x: F.translate(x, *WINDOW_LETTERS)
+        return F.concat(letters(F.substring(window, 1, 5)), F.translate(F.substring(window, 6, 4), *WINDOW_DIGITS), letters(F.substring(window, 10, 1)))
+
+    places = lambda text: F.when(F.length(text) >= PAN_LENGTH, F.sequence(F.lit(1), F.length(text) - PAN_LENGTH + 1)).otherwise(F.array().cast("array<int>"))
+    windows = lambda text: F.transform(places(text), lambda i: mended(F.substring(text, i, PAN_LENGTH)))
+    return bound(plain, lambda text: F.get(F.filter(windows(text), lambda w: F.rlike(w, F.lit("^[A-Z]{5}[0-9]{4}[A-Z]$"))), F.lit(0)))
+
+
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 

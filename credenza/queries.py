@@ -1171,3 +1171,12 @@ def provenance_level(spark, sf_dir):
 
     read = manifests.read_manifests(table(spark, sf_dir, "documents").select("doc_id").mapInArrow(files, "doc_id bigint, content binary"))
     return forensics.provenance_flags(read)
+
+
+@query("""SELECT o_orderkey, list_filter(list_transform(range(1, greatest(0, length(x) - 9) + 1), lambda i: translate(substr(x, i, 5), '012568', 'OIZSGB') || translate(substr(x, i + 5, 4), 'OQDILZSB', '00011258') || translate(substr(x, i + 9, 1), '012568', 'OIZSGB')), lambda w: regexp_full_match(w, '[A-Z]{5}[0-9]{4}[A-Z]'))[1] AS number
+  FROM (SELECT o_orderkey, upper(substr(md5(o_orderkey::VARCHAR), 1, (5 + o_orderkey % 28)::INT)) AS x FROM orders) t""")
+def pan_windows(spark, sf_dir):
+    """Numbers in noisy pieces of recognised text, by a sliding window."""
+    body = F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit(1), (5 + F.col("o_orderkey") % 28).cast("int"))
+    noisy = F.concat(F.substring(body, F.lit(1), F.lit(4)), F.lit(" -."), F.substring(body, F.lit(5), F.lit(40)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", identifiers.windowed_pan(noisy).alias("number"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
+from credenza.functions import identifiers
 from credenza.operators import bundles
 
 SCHEMA = "doc_id bigint, family string, text string"
@@ -32,3 +37,17 @@ def test_licence_dates(spark):
 def test_institutions(spark):
     rows = [(1, "COLLEGE_ID", "Card\n|| 0 % Lakeside  College of la Design\nInstitute of Arts\nName: x"), (2, "COLLEGE_ID", "college of\nHill University College"), (3, "COLLEGE_ID", "Faculty of Engineering & Care\nName: College"), (4, "VISA", "Lakeside College"), (5, "COLLEGE_ID", ""), (6, "COLLEGE_ID", "no such")]
     assert found(bundles.institutions(spark.createDataFrame(rows, SCHEMA))) == {(1, "institution_name"): "Lakeside College of Design Institute of Arts", (2, "institution_name"): "college of Hill University College", (3, "institution_name"): "Faculty of Engineering & Care"}
+
+
+def test_windowed_numbers(spark):
+    rows = [(1, "xx AB0DE l234F"), (2, "4BCDEI23AF"), (3, "abcde-1234-f zz QWERT1234P"), (4, "ABCDE12345"), (5, None), (6, "short"), (7, "8BCDE0O0Q8"), (8, "ABCDED2345")]
+    df = spark.createDataFrame(rows, "doc_id int, raw string").select("doc_id", identifiers.windowed_pan(F.col("raw")).alias("n"))
+    letters, digits = str.maketrans("012568", "OIZSGB"), str.maketrans("OQDILZSB", "00011258")
+
+    def plain(raw):
+        x = re.sub("[^A-Z0-9]", "", (raw or "").upper())
+        fixed = (w[:5].translate(letters) + w[5:9].translate(digits) + w[9:].translate(letters) for w in (x[i : i + 10] for i in range(len(x) - 9)))
+        return next((w for w in fixed if re.fullmatch("[A-Z]{5}[0-9]{4}[A-Z]", w)), None)
+
+    got = {r.doc_id: r.n for r in df.collect()}
+    assert got == {i: plain(raw) for i, raw in rows} and got[3] == "ABCDE1234F" and got[7] == "BBCDE0000B" and got[4] == "ABCDE1234S"
