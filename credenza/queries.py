@@ -412,7 +412,7 @@ def extract_fields(spark, sf_dir):
     return extraction.extract(standin(spark, sf_dir, "cards").select("doc_id", "family", "text")).select("doc_id", "field", "value")
 
 
-@query("SELECT doc_id, 'Mohan Q' || lower(substr(holder, 8)) || 'a' AS value FROM {cards} c")
+@query("SELECT doc_id, 'Tarun Q' || lower(substr(holder, 8)) || 'a' AS value FROM {cards} c")
 def repaired_names(spark, sf_dir):
     """Names of card texts against a reference with one letter more."""
     cards = standin(spark, sf_dir, "cards")
