@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import WordIds, mix, partitions, save, slices, texts_of, window_hashes
+from credenza.llm.common import WordIds, drop_saved, mix, partitions, save, slices, texts_of, window_hashes
 
 LENGTH, WINDOW, GRAM = 50, 20, 8
 #: Words of a suffix that any two occurrences of a passage have in common from their first retained place on.
@@ -221,6 +221,7 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     order = ["suffix", "node", "mark", "at"]
     ordered = candidates.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     placed = save(ordered.mapInArrow(neighbours, f"node bigint, mark bigint, at bigint, print bigint, check int, least {kind}"), "windows")
+    drop_saved(candidates)
     origin = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least"), F.col("at"), F.col("node"), F.col("mark")))
     first = placed.groupBy("print", "check").agg(F.count("*").alias("n"), origin.alias("o")).filter("n > 1").select("print", "check", F.col("o.node").alias("o_node"), F.col("o.mark").alias("o_mark"), F.col("o.least").alias("o_id"), F.col("o.at").alias("o_at"))
     # Saved, so that the join of a very common window shuffles both sides itself and can be split.
@@ -229,6 +230,8 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     # Rows of one text together and in order; texts are many and each is bounded by its own length.
     inside = later.select("node", "mark", "at", "o_id", "o_at").repartition(partitions(docs.sparkSession), "node", "mark").sortWithinPartitions("node", "mark", "at")
     spans = save(inside.mapInArrow(merged, f"node bigint, mark bigint, first_word bigint, end_word bigint, o_id {kind}, o_at bigint"), "spans")
+    drop_saved(placed)
+    drop_saved(first)
     return enough.select("id", "node", "mark", "n_words"), texts, spans
 
 
