@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +107,33 @@ def moving_mean(rows: DataFrame, user: str, order: list[str], value: str, n: int
     return rows.withColumn(name, F.avg(value).over(Window.partitionBy(user).orderBy(*order).rowsBetween(1 - n, 0)))
 
 
+def peaks(rows: DataFrame, key: str, value: str, share: float = 0.95, scale: float = 3 * 1.4826) -> DataFrame:
+    """Per key its greatest value if one is further from the median than `scale` median deviations, else the quantile at
+    `share`; whole numbers, cut down. Order statistics by rank, interpolated in the arithmetic of SQL's engine (one rounding of
+    low * (1 - part) plus the rounded high * part), as the last bit decides about the cut."""
+    group = Window.partitionBy(key)
+    order = lambda c: group.orderBy(F.asc_nulls_last(c))
+    place = lambda q: (F.col("__n") - 1) * F.lit(q)
+    at = lambda c, rank, where: F.max(F.when(F.col(rank) - 1 == where, F.col(c)))
+    # Halves: the products are exact, so plain arithmetic rounds once.
+    part = lambda q: place(q) - F.floor(place(q))
+    ranked = rows.select(key, F.col(value).alias("__v")).withColumns({"__n": F.count("__v").over(group), "__i": F.row_number().over(order("__v"))})
+    middle = at("__v", "__i", F.floor(place(0.5))).over(group) * (1 - part(0.5)) + at("__v", "__i", F.ceil(place(0.5))).over(group) * part(0.5)
+    away = ranked.withColumn("__d", F.abs(F.col("__v") - middle)).withColumn("__j", F.row_number().over(order("__d")))
+    sums = away.groupBy(key).agg(
+        F.max("__v").alias("top"), F.max("__d").alias("far"), F.max(part(0.5)).alias("half"), F.max(part(share)).alias("part"),
+        at("__d", "__j", F.floor(place(0.5))).alias("d0"), at("__d", "__j", F.ceil(place(0.5))).alias("d1"), at("__v", "__i", F.floor(place(share))).alias("v0"), at("__v", "__i", F.ceil(place(share))).alias("v1"),
+    )
+
+    @F.pandas_udf("double")
+    def between(low: pd.Series, high: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series([math.fma(a, 1 - d, b * d) for a, b, d in zip(low, high, part, strict=True)], dtype="float64")
+
+    deviation = F.col("d0") * (1 - F.col("half")) + F.col("d1") * F.col("half")
+    peak = F.when(F.col("far") > F.lit(scale) * deviation, F.col("top")).otherwise(between("v0", "v1", "part"))
+    return sums.select(key, F.floor(peak).cast("bigint").alias("peak"))
+
+
 def nearest_pair(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", value: str = "embedding", ratio: float = 1.02, blocks: int | None = None) -> DataFrame:
     """For each query vector the nearest of all others by inner product, kept if it is clearly nearer than the second.
     Vectors are dealt to blocks (as many as shuffle partitions) and every query goes to every block, which keeps its two best."""
