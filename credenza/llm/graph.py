@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         changed = new.filter("old <> comp").limit(1).count()
         drop_saved(labels)
         labels = new.select("node", "comp")
+    drop_saved(both)
     return labels

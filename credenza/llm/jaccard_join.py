@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import WordIds, partitions, save, slices, texts_of, window_hashes
+from credenza.llm.common import WordIds, drop_saved, partitions, release, save, slices, texts_of, window_hashes
 from credenza.llm.graph import components
 from credenza.llm.postings import packed, unpacked
 
@@ -348,17 +348,24 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     postings = narrow.select("text").mapInArrow(prefix_postings(k, percent, frequent, buckets), "bucket int, blob binary")
     gathered = postings.groupBy("bucket").applyInArrow(gather(chunk), "gathering bigint, chunk int, chunks int, members array<bigint>")
     gathered = save(gathered.groupBy("gathering", "chunk").agg(F.first("chunks").alias("chunks"), F.first("members").alias("members")), "gathered")
+    release(spark)
     task = F.xxhash64("gathering", "chunk")
     inside = gathered.select(task.alias("gathering"), F.lit(0).alias("side"), F.explode("members").alias("node"))
     points = nodes.select("node", "size", "counts")
     proposed = save(_candidates(inside, points, None, percent, True), "proposed")
+    release(spark)
     # Texts of the nodes that have a possible partner: one row's text per node, compressed.
     texts = _texts(narrow, nodes, _ends(proposed))
     links = save(_verified(proposed.filter("b IS NOT NULL"), texts, k, percent), "links")
+    drop_saved(proposed)
+    release(spark)
     comps = components(links)
     rest = _candidates(inside, points, comps, percent, False)
     more = save(_verified(rest, texts, k, percent), "links")
+    drop_saved(comps)
+    release(spark)
     every = links.unionByName(more)
+    spent = [gathered, texts, links, more]
     if gathered.filter("chunks > 1").limit(1).count():
         # Nodes of a chunked gathering outside the first node's component, against every chunk.
         comps = save(components(every), "components")
@@ -372,10 +379,15 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         asked = outside.join(large.select("gathering", "chunk"), "gathering").select(task.alias("gathering"), F.lit(1).alias("side"), "node")
         pairs = save(_candidates(across.unionByName(asked), points, comps, percent, False), "proposed")
         # Nodes without a possible partner in their own chunk have no text yet.
-        texts = texts.unionByName(_texts(narrow, nodes, _ends(pairs).join(texts, "node", "left_anti")))
-        last = save(_verified(pairs, texts, k, percent), "links")
+        later = _texts(narrow, nodes, _ends(pairs).join(texts, "node", "left_anti"))
+        last = save(_verified(pairs, texts.unionByName(later), k, percent), "links")
         every = every.unionByName(last)
+        spent += [comps, pairs, later, last]
     comps = components(every)
+    # The classes are made of nodes, rows and components alone.
+    for done in spent:
+        drop_saved(done)
+    release(spark)
     classes = nodes.select("node", "o").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     return rows.select("id", "tkey", "node", "n_shingles"), classes
 
