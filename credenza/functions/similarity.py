@@ -21,15 +21,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def with_ratio(rows: DataFrame, a: Column, b: Column, least: float) -> DataFrame:
-    """Adds `ratio` of two texts. Only rows that need it are sent to Python: equal texts have 1, texts whose lengths
-    alone keep it below `least` and absent ones 0."""
+    """Adds `ratio` of two texts. Only texts that need it are compared in Python (the others go there as nulls, so that the
+    rows' own plan is run once): equal texts have 1, texts whose lengths alone keep it below `least` and absent ones 0."""
     rows = rows.withColumns({"__a": F.coalesce(a, F.lit("")), "__b": F.coalesce(b, F.lit(""))})
     bound = F.least(F.length("__a"), F.length("__b")) * 2.0 / F.greatest(F.length("__a") + F.length("__b"), F.lit(1))
     known = F.when(F.col("__a") == F.col("__b"), F.when(F.length("__a") > 0, 1.0).otherwise(0.0)).when(bound < least, 0.0)
     rows = rows.withColumn("__known", known)
-    settled = rows.filter("__known IS NOT NULL").withColumn("ratio", F.col("__known"))
-    asked = rows.filter("__known IS NULL").withColumn("ratio", ratio("__a", "__b"))
-    return settled.unionByName(asked).drop("__a", "__b", "__known")
+    asked = ratio(*[F.when(F.col("__known").isNull(), F.col(c)) for c in ("__a", "__b")])
+    return rows.withColumn("ratio", F.coalesce("__known", asked)).drop("__a", "__b", "__known")
 
 
 def signer(secret: str):

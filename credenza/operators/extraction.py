@@ -235,12 +235,14 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def chosen(found: DataFrame) -> DataFrame:
-    """The best candidate of each document and field: by score, of addresses by length, then the first."""
+    """The best candidate of each document and field that has a value: by score, of addresses by length, then the first."""
     score = lookup({k: str(v) for k, v in SCORES.items()}, F.col("source")).cast("double") + F.when(F.col("field").isin("document_number", *NUMBERS), 3.0).otherwise(0.0)
     score = score + F.when(F.col("field") == "address", F.least(F.lit(5.0), F.length("value") / 40.0)).otherwise(0.0)
     rows = found.withColumn("score", F.bround(F.least(F.lit(99.0), score), 1))
     order = F.struct(-F.col("score"), F.when(F.col("field") == "address", -F.length("value")).otherwise(0), F.col("line_no"), F.col("place"), F.col("value"))
-    return rows.groupBy("doc_id", "family", "field").agg(F.min_by(F.struct("value", "source", "score"), order).alias("__c")).select("doc_id", "family", "field", "__c.*")
+    # Candidates without a value have no order and are passed over; a filter before would clean each candidate twice.
+    order = F.when(F.col("value").isNotNull(), order)
+    return rows.groupBy("doc_id", "family", "field").agg(F.min_by(F.struct("value", "source", "score"), order).alias("__c")).filter("__c IS NOT NULL").select("doc_id", "family", "field", "__c.*")
 
 
 def bare_numbers(texts: DataFrame) -> DataFrame:
@@ -250,15 +252,22 @@ def bare_numbers(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "family", F.lit("document_number").alias("field"), found.alias("value"), F.lit("ANYWHERE").alias("source"), F.lit(70.0).alias("score")).filter("value IS NOT NULL")
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Documents dealt over all partitions of a shuffle: their bytes are few for the work they make, so that by size a file of
+    cards, and the shuffles after it, would be one task."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def extract(texts: DataFrame) -> DataFrame:
     """texts: doc_id, family (null: any), text. Long form: doc_id, field, value, source, score. Numbers of a family stand
     for document_number, and relation_name for father_name on the families that print it so, where those are missing."""
-    texts = texts.select("doc_id", F.coalesce(F.col("family"), F.lit("")).alias("family"), "text")
-    found = candidates(lines_of(texts)).withColumn("value", cleaned(F.col("kind"), F.col("field"), F.col("family"), F.col("raw"))).filter("value IS NOT NULL")
-    best = chosen(found)
+    texts = spread(texts.select("doc_id", F.coalesce(F.col("family"), F.lit("")).alias("family"), "text"))
+    best = chosen(candidates(lines_of(texts)).withColumn("value", cleaned(F.col("kind"), F.col("field"), F.col("family"), F.col("raw"))))
     alias = F.when(F.col("field").isin(*NUMBERS), "document_number").when((F.col("field") == "relation_name") & F.col("family").isin("AADHAAR", "DRIVING_LICENSE"), "father_name")
-    copies = best.withColumn("field", alias).filter("field IS NOT NULL")
-    ranked = [best.withColumn("rank", F.lit(0)), copies.withColumn("rank", F.lit(1)), bare_numbers(texts).withColumn("rank", F.lit(2))]
+    # Both names of a value in one pass: a union of two selections would find every candidate twice.
+    named = F.array_compact(F.array(F.struct(F.col("field"), F.lit(0).alias("rank")), F.when(alias.isNotNull(), F.struct(alias.alias("field"), F.lit(1).alias("rank")))))
+    best = best.select("doc_id", "family", "value", "source", "score", F.explode(named).alias("__n")).select("doc_id", "family", "value", "source", "score", "__n.*")
+    ranked = [best, bare_numbers(texts).withColumn("rank", F.lit(2))]
     # A row of dates tells validities apart that stand under their labels, and a heading names an institution before any label
     # does; a machine-readable zone fills what is missing.
     row = bundles.licence_dates(texts).withColumn("rank", F.when(F.col("field") == "issue_date", 2).otherwise(-1))
@@ -275,14 +284,16 @@ def repaired(fields: DataFrame, texts: DataFrame, references: DataFrame, least:
     """fields of extract(); references: doc_id, field, reference. A name similar to its reference becomes it; where no
     name was found, a run of the text's words that is (as many words as the reference has, or one less) stands for it."""
     wanted = references.filter(F.col("field").isin(*NAMES) & (F.trim("reference") != "")).select("doc_id", "field", "reference")
+    # References are as many as documents: by the size of their file alone they would be broadcast, through the driver.
+    wanted = wanted.hint("merge")
     known = fields.join(wanted, ["doc_id", "field"], "left")
     judged = similarity.with_ratio(known, text.match_text(F.col("value")), text.match_text(F.col("reference")), least)
     kept = judged.select("doc_id", "field", F.when(F.col("ratio") >= least, F.col("reference")).otherwise(F.col("value")).alias("value"), "source", "score")
-    missing = wanted.filter("field = 'name'").join(fields.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
+    missing = wanted.filter("field = 'name'").join(fields.select("doc_id", "field").hint("merge"), ["doc_id", "field"], "left_anti")
     words = F.split(text.squeezed(F.col("line")), " ")
     width = F.size(F.split(text.squeezed(F.col("reference")), " "))
     runs = F.flatten(F.transform(F.array(width, width - 1), lambda n: F.transform(F.when((n > 0) & (F.size("words") >= n), F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("words", i, n), " "))))
-    lines = texts.select("doc_id", F.posexplode(F.split(text.folded(F.coalesce(F.col("text"), F.lit(""))), "\n")).alias("line_no", "line")).join(missing, "doc_id")
+    lines = texts.select("doc_id", F.posexplode(F.split(text.folded(F.coalesce(F.col("text"), F.lit(""))), "\n")).alias("line_no", "line")).join(missing.hint("merge"), "doc_id")
     spans = lines.withColumn("words", words).select("doc_id", "field", "reference", F.explode(runs).alias("value"))
     near = similarity.with_ratio(spans, text.match_text(F.col("value")), text.match_text(F.col("reference")), least).filter(F.col("ratio") >= least)
     return kept.unionByName(near.groupBy("doc_id", "field").agg(F.first("reference").alias("value")).select("doc_id", "field", "value", F.lit("REFERENCE").alias("source"), F.lit(75.0).alias("score")))
