@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credenza.sources import rasters as raster_files
+
 #: Weights of red, green and blue in grey (of 2**14); glare is paler than the one and brighter than the other;
 #: gradients at which an edge goes on and starts; the greatest tilt of a line that tells the skew, and the edge places that make
 #: a line (or a fifth of the shorter side); blocks along each side;
@@ -26,14 +28,18 @@ LEVEL_DEGREES, LINE, SIDES = 15, 80, 5
 GRID = 8
 LEAST_SCALE, OUTLIER, LEAST_MEAN = 0.12, 3.5, 0.1
 
+LIGHT = "brightness double, contrast double, laplacian_variance double"
+BLOCKS = "row int, col int, n int, mean double, variance double, texture double, noise double"
+#: Rasters whose rows go out together.
+ROWS = 256
 QUALITY = "width int, height int, brightness double, contrast double, laplacian_variance double, skew_deg double, glare_ratio double, edge_density double"
 
 
 def grey_of(pixels: np.ndarray) -> np.ndarray:
     """(height, width, channels) to grey values, rounded."""
     if pixels.shape[2] < 3:
-        return pixels[:, :, 0].astype(np.int64)
-    return (pixels[:, :, :3].astype(np.int64) @ np.array(GREY) + (1 << 13)) >> 14
+        return pixels[:, :, 0].astype(np.int32)
+    return (pixels[:, :, :3].astype(np.int32) @ np.array(GREY, dtype=np.int32) + (1 << 13)) >> 14
 
 
 def mirrored(n: int, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,11 +84,12 @@ def edges(grey: np.ndarray) -> np.ndarray:
     found = weak & (size > STRONG)
     fresh = found
     while fresh.any():  # from each place found last to its eight neighbours
-        wide = np.pad(fresh, 1)
-        grown = np.zeros_like(found)
-        for dy in range(3):
-            for dx in range(3):
-                grown |= wide[dy : dy + size.shape[0], dx : dx + size.shape[1]]
+        tall = fresh.copy()
+        tall[1:] |= fresh[:-1]
+        tall[:-1] |= fresh[1:]
+        grown = tall.copy()
+        grown[:, 1:] |= tall[:, :-1]
+        grown[:, :-1] |= tall[:, 1:]
         fresh = grown & weak & ~found
         found = found | fresh
     return found
@@ -101,18 +108,24 @@ def skew_of(found: np.ndarray) -> float:
     return float(-best[2])
 
 
+def light_of(grey: np.ndarray) -> tuple[float, float, float]:
+    """The columns of LIGHT."""
+    n = grey.size
+    lap = laplacian(grey, mirrored(grey.shape[0]), mirrored(grey.shape[1]))
+    return int(grey.sum()) / n, variance(grey.sum(), (grey * grey).sum(), n) ** 0.5, variance(lap.sum(), (lap * lap).sum(), n)
+
+
 def quality_of(pixels: np.ndarray) -> tuple:
     """The columns of QUALITY."""
     height, width, channels = pixels.shape
     grey = grey_of(pixels)
     n = grey.size
-    lap = laplacian(grey, mirrored(height), mirrored(width))
     colour = pixels[:, :, :3].astype(np.int64) if channels >= 3 else np.repeat(pixels[:, :, :1].astype(np.int64), 3, axis=2)
     top, low = colour.max(axis=2), colour.min(axis=2)
     pale = 2 * 255 * (top - low) < (2 * PALE - 1) * top  # 255 (top - low) / top, rounded, below PALE
     found = edges(grey)
     return (
-        width, height, int(grey.sum()) / n, variance(grey.sum(), (grey * grey).sum(), n) ** 0.5, variance(lap.sum(), (lap * lap).sum(), n),
+        width, height, *light_of(grey),
         skew_of(found), int((pale & (top > BRIGHT)).sum()) / n, int(found.sum()) / n,
     )
 
@@ -132,51 +145,74 @@ def blocks_of(pixels: np.ndarray, grid: int = GRID) -> list[tuple]:
     lap = laplacian(grey, rows, columns)
     across = grey[:, columns[1]] + 2 * grey + grey[:, columns[2]]
     noise = np.maximum(0, grey - ((across[rows[1]] + 2 * across + across[rows[2]] + 8) >> 4))
-    tables = [(summed_area(x), summed_area(x * x)) for x in (grey, lap, noise)]
+    corners = np.ix_(rows[0], columns[0])
+    # A block's sum: differences of its four corners, of all blocks at once.
+    sums = [[np.diff(np.diff(summed_area(x)[corners], axis=0), axis=1).tolist() for x in (values, values * values)] for values in (grey, lap, noise)]
+    heights, widths = np.diff(rows[0]).tolist(), np.diff(columns[0]).tolist()
     out = []
-    for r, (y0, y1) in enumerate(zip(rows[0][:-1], rows[0][1:], strict=True)):
-        for c, (x0, x1) in enumerate(zip(columns[0][:-1], columns[0][1:], strict=True)):
-            n = int((y1 - y0) * (x1 - x0))
+    for r, height in enumerate(heights):
+        for c, width in enumerate(widths):
+            n = height * width
             if n:
-                sums = [[int(t[y1, x1] - t[y0, x1] - t[y1, x0] + t[y0, x0]) for t in pair] for pair in tables]
-                spread = [variance(*s, n) for s in sums]
-                out.append((r, c, n, sums[0][0] / n, spread[0], float(np.log1p(spread[1])), spread[2]))
+                spread = [variance(totals[r][c], squares[r][c], n) for totals, squares in sums]
+                out.append((r, c, n, sums[0][0][r][c] / n, spread[0], float(np.log1p(spread[1])), spread[2]))
     return out
 
 
-def _map_rasters(rasters: DataFrame, key: str, schema: str, fn: Callable[[np.ndarray | None], list[tuple]]) -> DataFrame:
-    """Each raster to rows of `schema` under its key."""
+def _map_rasters(images: DataFrame, key: str, schema: str, fn: Callable[[np.ndarray | None], list[tuple]]) -> DataFrame:
+    """Each image to rows of `schema` under its key. Images are rasters, or files (a column content), which are read here: their
+    samples then cross to no other process."""
+    files = "content" in images.columns
+    inputs = ("content",) if files else ("width", "height", "channels", "samples")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                name, width, height, channels, samples = (batch.column(c)[k].as_py() for c in ("key", "width", "height", "channels", "samples"))
-                pixels = np.frombuffer(samples, dtype=np.uint8).reshape(height, width, channels) if samples else None
-                rows += [(name, *row) for row in fn(pixels)]
             kinds = [batch.schema.field("key").type, *(pa.int32() if part.split()[1] == "int" else pa.float64() for part in schema.split(", "))]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", *(part.split()[0] for part in schema.split(", "))])
-
-    named = rasters.withColumnRenamed(key, "key").select("key", "width", "height", "channels", "samples")
+            for start in range(0, batch.num_rows, ROWS):
+                rows = []
+                for k in range(start, min(start + ROWS, batch.num_rows)):
+                    name, *image = (batch.column(c)[k].as_py() for c in ("key", *inputs))
+                    width, height, channels, samples = (raster_files.read(image[0]) or (None,) * 4) if files else image
+                    pixels = np.frombuffer(samples, dtype=np.uint8).reshape(height, width, channels) if samples else None
+                    rows += [(name, *row) for row in fn(pixels)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", *(part.split()[0] for part in schema.split(", "))])
+
+    named = images.withColumnRenamed(key, "key").select("key", *inputs)
     return named.mapInArrow(run, f"key {named.schema['key'].dataType.simpleString()}, {schema}").withColumnRenamed("key", key)
 
 
-def quality(rasters: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The quality features of each raster: key and the columns of QUALITY."""
-    return _map_rasters(rasters, key, QUALITY, lambda pixels: [(None,) * 8 if pixels is None else quality_of(pixels)])
+def quality(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The quality features of each raster or file: key and the columns of QUALITY."""
+    return _map_rasters(images, key, QUALITY, lambda pixels: [(None,) * 8 if pixels is None else quality_of(pixels)])
+
 
+def light(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Those of the quality features that need no edges: key and the columns of LIGHT."""
+    return _map_rasters(images, key, LIGHT, lambda pixels: [(None,) * 3 if pixels is None else light_of(grey_of(pixels))])
 
-def blocks(rasters: DataFrame, key: str = "doc_id", grid: int = GRID) -> DataFrame:
+
+def blocks(images: DataFrame, key: str = "doc_id", grid: int = GRID) -> DataFrame:
     """A row per block: key, row, col, n, mean, variance, texture, noise."""
-    return _map_rasters(rasters, key, "row int, col int, n int, mean double, variance double, texture double, noise double", lambda pixels: [] if pixels is None else blocks_of(pixels, grid))
+    return _map_rasters(images, key, BLOCKS, lambda pixels: [] if pixels is None else blocks_of(pixels, grid))
+
+
+def marked_blocks(images: DataFrame, key: str = "doc_id", grid: int = GRID) -> DataFrame:
+    """The same with lap_var and edge_density of the block's whole image, which is read once for both."""
+
+    def of(pixels: np.ndarray) -> list[tuple]:
+        grey = grey_of(pixels)
+        whole = (light_of(grey)[2], int(edges(grey).sum()) / grey.size)
+        return [(*block, *whole) for block in blocks_of(pixels, grid)]
+
+    return _map_rasters(images, key, f"{BLOCKS}, lap_var double, edge_density double", lambda pixels: [] if pixels is None else of(pixels))
 
 
-def texture(of_blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+def texture(of_blocks: DataFrame, key: str = "doc_id", kept: tuple[str, ...] = ()) -> DataFrame:
     """Robust statistics of each image's blocks: texture_cv, noise_cv and texture_outlier_ratio, the share of blocks whose texture
-    is OUTLIER or more scaled median deviations from the median. At most grid x grid values an image."""
+    is OUTLIER or more scaled median deviations from the median. At most grid x grid values an image. kept: columns of the whole image."""
     spread = lambda c: F.stddev_pop(c) / F.greatest(F.avg(F.abs(c)), F.lit(LEAST_MEAN))
-    sums = of_blocks.groupBy(key).agg(spread("texture").alias("texture_cv"), spread("noise").alias("noise_cv"), F.collect_list("texture").alias("__t"))
+    sums = of_blocks.groupBy(key).agg(spread("texture").alias("texture_cv"), spread("noise").alias("noise_cv"), F.collect_list("texture").alias("__t"), *[F.first(c).alias(c) for c in kept])
 
     def median(values):
         ordered, n = F.array_sort(values), F.size(values)
@@ -185,4 +221,4 @@ def texture(of_blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     centred = sums.withColumn("__m", median(F.col("__t"))).withColumn("__d", F.transform("__t", lambda x: F.abs(x - F.col("__m"))))
     scale = F.greatest(1.4826 * median(F.col("__d")), F.lit(LEAST_SCALE))
     out = F.size(F.filter("__d", lambda d: d / F.col("__s") >= OUTLIER)) / F.size("__d")
-    return centred.withColumn("__s", scale).select(key, "texture_cv", "noise_cv", out.alias("texture_outlier_ratio"))
+    return centred.withColumn("__s", scale).select(key, "texture_cv", "noise_cv", out.alias("texture_outlier_ratio"), *kept)
