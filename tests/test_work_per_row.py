@@ -18,11 +18,15 @@ def test_documents_are_dealt_over_all_partitions_and_read_once_for_labels(spark)
     assert plan_of(extraction.extract(texts)).count("Generate posexplode(split") == 1
 
 
-def test_repaired_names_broadcast_no_table(spark):
+def test_repaired_names_broadcast_no_table(spark, tmp_path):
     texts = spark.createDataFrame([(1, "PAN", "Name: MIRA ROA"), (2, "PAN", "MIRA ROB")], "doc_id bigint, family string, text string")
     fields = spark.createDataFrame([(1, "name", "MIRA ROA", "SAME_LINE", 96.0)], "doc_id bigint, field string, value string, source string, score double")
     references = spark.createDataFrame([(1, "name", "Mira Roaa"), (2, "name", "Mira Roba")], "doc_id bigint, field string, reference string")
-    found = extraction.repaired(fields, texts, references)
+    stored = []
+    for name, rows in (("fields", fields), ("texts", texts), ("references", references)):  # files whose size is known to be small
+        rows.write.parquet(f"{tmp_path}/{name}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    found = extraction.repaired(*stored)
     assert "Broadcast" not in plan_of(found)
     assert sorted((r.doc_id, r.value) for r in found.collect()) == [(1, "Mira Roaa"), (2, "Mira Roba")]
 
