@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credenza.sources import rasters
@@ -229,35 +229,44 @@ def read_manifests(files: DataFrame, key: str = "doc_id", content: str = "conten
     return named.mapInArrow(run, f"key {named.schema['key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
 
 
-HISTORY = """WITH RECURSIVE history(doc, manifest, depth, path) AS (
-    SELECT doc, manifest, 0, array(manifest) FROM {manifests} WHERE active
-    UNION ALL SELECT h.doc, m.manifest, h.depth + 1, array_append(h.path, m.manifest) FROM history h JOIN {edges} e ON h.doc = e.doc AND h.manifest = e.manifest JOIN {manifests} m ON m.doc = e.doc AND m.manifest = e.ingredient
-      WHERE NOT array_contains(h.path, m.manifest) AND h.depth < {deepest})
-  SELECT doc, manifest, min(depth) AS depth FROM history GROUP BY doc, manifest"""
+def _walked(manifests: DataFrame, key: str, deepest: int) -> DataFrame:
+    """A row per key: its manifests, and `depths`, by name how far the active one is from each that it comes from. A file's
+    manifests are all in its own bytes, so that its walk is one over an array of one row: level by level, each name once."""
+    held = [F.col(c) for c in manifests.columns if c != key]
+    files = manifests.groupBy(key).agg(F.collect_list(F.struct(*held)).alias("own"))
+    own = F.col("own")
+    names = F.array_compact(F.transform(own, lambda m: m["manifest"]))
+    first = F.array_distinct(F.transform(F.filter(own, lambda m: m["active"]), lambda m: m["manifest"]))
+    at = lambda level, depth: F.transform(level, lambda name: F.struct(name.alias("manifest"), depth.alias("depth")))
+
+    def further(state: Column, depth: Column) -> Column:
+        from_here = F.flatten(F.transform(F.filter(own, lambda m: F.array_contains(state["level"], m["manifest"])), lambda m: F.coalesce(m["ingredients"], F.array().cast("array<string>"))))
+        level = F.array_except(F.array_intersect(from_here, names), F.transform(state["seen"], lambda s: s["manifest"]))
+        return F.struct(level.alias("level"), F.concat(state["seen"], at(level, depth)).alias("seen"))
+
+    # A way without repetitions has no more steps than there are manifests.
+    steps = F.sequence(F.lit(1), F.least(F.size(own), F.lit(deepest)))
+    walk = F.aggregate(steps, F.struct(first.alias("level"), at(first, F.lit(0)).alias("seen")), further, lambda state: state["seen"])
+    return files.withColumn("depths", walk)
 
 
 def histories(manifests: DataFrame, path: str, key: str = "doc_id", deepest: int = DEEPEST) -> DataFrame:
     """The manifests that the active one of each file comes from, by ingredients of ingredients: key, manifest, depth (0: the active
     one; the least, where there are several ways). A way that comes back to a manifest ends there. Written under `path`."""
-    spark = manifests.sparkSession
-    named = manifests.select(F.col(key).alias("doc"), "manifest", "active", "ingredients")
-    edges = named.select("doc", "manifest", F.explode("ingredients").alias("ingredient")).distinct()
-    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as the files have
-    try:
-        found = spark.sql(HISTORY, manifests=named.drop("ingredients"), edges=edges, deepest=deepest).withColumnRenamed("doc", key)
-        found.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
-    return spark.read.schema(found.schema).parquet(path)
-
-
-def rolled_up(manifests: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    found = _walked(manifests.select(key, "manifest", "active", "ingredients"), key, deepest).select(key, F.explode("depths").alias("__d")).select(key, "__d.manifest", "__d.depth")
+    found.write.mode("overwrite").parquet(path)
+    return manifests.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def rolled_up(manifests: DataFrame, key: str = "doc_id", deepest: int = DEEPEST) -> DataFrame:
     """Per file: manifests, signed ones, the active generator, its source type, actions of its history (from the oldest), depth."""
-    walked = histories(manifests, path, key).withColumnRenamed(key, "__doc").withColumnRenamed("manifest", "__m")
-    rows = manifests.join(walked, (F.col(key) == F.col("__doc")) & (F.col("manifest") == F.col("__m")), "left")
-    told = F.array_sort(F.collect_list(F.when(F.col("depth").isNotNull(), F.struct(-F.col("depth"), F.col("position"), F.col("actions").alias("actions")))))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n_manifests"), F.count_if("signed").alias("n_signed"), F.max(F.when(F.col("active"), F.col("generator"))).alias("generator"),
-        F.max(F.when(F.col("active"), F.col("source_type"))).alias("source_type"), F.max("depth").alias("depth"), F.array_join(F.flatten(F.transform(told, lambda t: t["actions"])), ">").alias("history"),
+    own = F.col("own")
+    # Manifests without a name, or of no file, are in no history.
+    depth_of = F.map_from_entries(F.filter("depths", lambda d: d["manifest"].isNotNull() & F.col(key).isNotNull()))
+    placed = F.transform(own, lambda m: F.struct(F.try_element_at(F.col("depth_of"), m["manifest"]).alias("depth"), m["position"].alias("position"), m["actions"].alias("actions")))
+    told = F.array_sort(F.transform(F.filter("placed", lambda m: m["depth"].isNotNull()), lambda m: F.struct(-m["depth"], m["position"], m["actions"].alias("actions"))))
+    of_active = lambda c: F.array_max(F.transform(F.filter(own, lambda m: m["active"]), lambda m: m[c]))
+    return _walked(manifests, key, deepest).withColumn("depth_of", depth_of).withColumn("placed", placed).select(
+        key, F.size(own).cast("bigint").alias("n_manifests"), F.size(F.filter(own, lambda m: m["signed"])).cast("bigint").alias("n_signed"), of_active("generator").alias("generator"), of_active("source_type").alias("source_type"),
+        F.array_max(F.transform("placed", lambda m: m["depth"])).alias("depth"), F.array_join(F.flatten(F.transform(told, lambda t: t["actions"])), ">").alias("history"),
     )
