@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,21 +137,88 @@ def peaks(rows: DataFrame, key: str, value: str, share: float = 0.95, scale: flo
     return sums.select(key, F.floor(peak).cast("bigint").alias("peak"))
 
 
+#: Rows of a block of vectors and of a chunk of queries at most, about; a block of fewer where there would be less work than tasks.
+BLOCK, LEAST_BLOCK = 16_384, 1_024
+#: Queries and vectors whose products are summed at a time.
+TILE = 128, 1_024
+
+
+def _components(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where there is none) and whether there is one, of lists padded to a width."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    flat, inside = lists.flatten(), np.arange(width) < sizes[:, None]
+    values, there = np.zeros(inside.shape), np.zeros(inside.shape, bool)
+    there[inside] = flat.is_valid().to_numpy(zero_copy_only=False)
+    values[inside] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    values[~there] = 0.0
+    return values, there
+
+
+def _two_best(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """rows: id, value, asked. Query, other, inner product and whether there is one, of the best two of the rows that aren't asked,
+    for each that is. Products are summed in the order of the components, as SQL does."""
+    asked = rows["asked"].to_numpy()
+    ids = rows["id"].to_numpy()
+    lists = rows["value"].combine_chunks()
+    width = pc.max(pc.list_value_length(lists)).as_py() or 0
+    values, there = _components(lists, width)
+    plain = there.all(axis=1) & np.isfinite(values).all(axis=1)
+    order = np.argsort(ids, kind="stable")
+    of = lambda which: order[which[order]]
+    queries, others = of(asked & plain), of(~asked & plain)
+    # By component, so that a tile's are side by side.
+    across, down = np.ascontiguousarray(values[queries].T), np.ascontiguousarray(values[others].T)
+    for a in range(0, len(queries), TILE[0]):
+        mine = ids[queries[a : a + TILE[0]]]
+        for b in range(0, len(others), TILE[1]):
+            theirs = ids[others[b : b + TILE[1]]]
+            sums = np.zeros((len(mine), len(theirs)))
+            part = np.empty_like(sums)
+            for k in range(width):
+                np.multiply(across[k, a : a + TILE[0], None], down[k, b : b + TILE[1]], out=part)
+                sums += part
+            sums[mine[:, None] == theirs] = -np.inf
+            for _ in range(2):  # of equal ones the first, whose id is the least
+                best = sums.argmax(axis=1)
+                found = sums[np.arange(len(mine)), best]
+                ok = found > -np.inf
+                yield mine[ok], theirs[best[ok]], found[ok], np.ones(int(ok.sum()), bool)
+                sums[np.arange(len(mine)), best] = -np.inf
+    # Vectors that lack components, or have ones that aren't finite: products of what both have, none at all last, not a number first.
+    odd = of(~asked & ~plain)
+    for q in of(asked):
+        those = odd if plain[q] else of(~asked)
+        those = those[ids[those] != ids[q]]
+        sums, some = np.zeros(len(those)), (there[those] & there[q]).any(axis=1)
+        for k in np.flatnonzero(there[q]):
+            with np.errstate(invalid="ignore"):
+                sums += np.where(there[those, k], values[those, k] * values[q, k], 0.0)
+        best = np.lexsort((ids[those], -sums, ~np.isnan(sums), ~some))[:2]
+        yield np.full(len(best), ids[q]), ids[those[best]], sums[best], some[best]
+
+
 def nearest_pair(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", value: str = "embedding", ratio: float = 1.02, blocks: int | None = None) -> DataFrame:
     """For each query vector the nearest of all others by inner product, kept if it is clearly nearer than the second.
-    Vectors are dealt to blocks (as many as shuffle partitions) and every query goes to every block, which keeps its two best."""
-    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    asked = queries.select(F.col(key).alias("__q"), F.col(value).alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    dot = F.aggregate(F.zip_with("__v", value, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.withColumn("__block", block).join(asked, "__block").filter(F.col(key) != F.col("__q")).select("__q", "__block", F.col(key).alias("other"), dot.alias("c"))
-
-    def two(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "other"))).filter("n <= 2")
-
-    best = two(two(scored, "__q", "__block").drop("n"), "__q")
-    out = best.groupBy("__q").agg(F.max(F.when(F.col("n") == 1, F.col("other"))).alias("nearest"), F.max(F.when(F.col("n") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("n") == 2, F.col("c"))).alias("c2"))
-    return out.select(F.col("__q").alias(key), "nearest", (F.col("c1") > F.col("c2") * ratio).alias("kept"))
+    Vectors are dealt to blocks and queries to chunks; each block meets each chunk in one group, which keeps its two best."""
+    n, asked = vectors.count(), queries.count()
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or max(1, -(-n // BLOCK), min(partitions, n // LEAST_BLOCK))
+    chunks = max(1, -(-asked // BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def side(rows: DataFrame, is_query: bool, block: Column, chunk: Column) -> DataFrame:
+        return rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(value).alias("value"), F.lit(is_query).alias("asked"), block.alias("block"), chunk.alias("chunk"))
+
+    def best_of(rows: pa.Table) -> pa.Table:
+        found = [np.concatenate(c) for c in zip(*_two_best(rows), strict=True)] or [np.empty(0)] * 4
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64(), mask=found[3] == 0, from_pandas=False)], ["q", "other", "c"])
+
+    met = side(vectors, False, dealt(blocks), every(chunks)).unionByName(side(queries, True, every(blocks), dealt(chunks)))
+    scored = met.groupBy("block", "chunk").applyInArrow(best_of, "q bigint, other bigint, c double")
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "other"))).filter("n <= 2")
+    out = best.groupBy("q").agg(F.max(F.when(F.col("n") == 1, F.col("other"))).alias("nearest"), F.max(F.when(F.col("n") == 1, F.col("c"))).alias("c1"), F.max(F.when(F.col("n") == 2, F.col("c"))).alias("c2"))
+    return out.select(F.col("q").alias(key), "nearest", (F.col("c1") > F.col("c2") * ratio).alias("kept"))
 
 
 def public_user(users: DataFrame) -> DataFrame:

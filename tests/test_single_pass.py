@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
+
 from credenza import queries
+from credenza.operators import history
+from credenza.plans import relational
+from credenza.plans.dialect import DUCK
 from credenza.sources import manifests
+from tests.oracle import assert_same
 from tests.test_work_per_row import plan_of
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +39,23 @@ def test_rolled_up_manifests_of_odd_files(spark):
         1: (2, 1, "y", None, 1, "one>two>three"), 2: (1, 1, None, None, None, ""), 4: (2, 1, "z", "t", None, ""), None: (1, 1, "n", None, None, ""),
         5: (4, 1, "x", None, 2, "first>early>again>late"), 3: (40, 40, "g39", None, manifests.DEEPEST, history),
     }
+
+
+def test_nearest_pair_on_odd_vectors_is_the_sql(spark, tmp_path):
+    rng = random.Random(5)
+    vector = lambda: [rng.choice((-1.5, -0.1, 0.1, 0.7, 1.3, 2.9)) for _ in range(6)]
+    rows = [(i, vector()) for i in range(0, 900)] + [(i, None) for i in (1000, 1001)] + [(1002, [None] * 6), (1003, [1.0, None, 3.0, 4.0, 5.0, 9.0]), (1004, [float("nan")] * 6), (1005, [9.0, 9.0]), (1006, [float("-inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (1100, None), (1200, [1.0, None, 2.0, 2.0, 2.0, 2.0]), (5, vector()), (None, vector())]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    clean = [r for r in rows if r[0] is not None and r[0] < 1000]
+    spark.createDataFrame(clean, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/clean/embeddings.parquet")
+    for folder in (f"{tmp_path}", f"{tmp_path}/clean"):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+        vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+        for blocks in (None, 7):
+            assert_same(history.nearest_pair(vectors.filter("vec_id % 100 = 0"), vectors, blocks=blocks), con, relational.knn_ratio_test(DUCK))
+
+
+def test_nearest_pair_scores_blocks_and_sorts_few_rows(spark):
+    found = queries.queries()["knn_ratio_test"](spark, SF)
+    assert "FlatMapGroupsInArrow" in plan_of(found) and "Join" not in plan_of(found)
