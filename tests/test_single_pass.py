@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 
 from credenza import queries
 from credenza.operators import history
@@ -59,3 +60,10 @@ def test_nearest_pair_on_odd_vectors_is_the_sql(spark, tmp_path):
 def test_nearest_pair_scores_blocks_and_sorts_few_rows(spark):
     found = queries.queries()["knn_ratio_test"](spark, SF)
     assert "FlatMapGroupsInArrow" in plan_of(found) and "Join" not in plan_of(found)
+
+
+@pytest.mark.parametrize("name", ["fabrication_signals", "fabrication_verdicts", "verification_overall"])
+def test_evidence_of_a_document_is_made_in_its_row(spark, name):
+    found = plan_of(queries.queries()[name](spark, SF))
+    assert "Join" not in found and "Aggregate" not in found and found.count("Scan parquet") == 1
+    assert found.count("Exchange") == 1  # orders, dealt before their rows are made
