@@ -31,7 +31,7 @@ class LabelMatches:
                 self.waiting = [(row["doc_id"], row["pos"], AHEAD)]
 
 
-@udtf(returnType="block int, par int, line int, word int, left int, top int, width int, height int, conf double, text string")
+@udtf(returnType="block int, par int, line int, word int, left int, top int, width int, height int, conf double, text string", useArrow=True)
 class OcrTokens:
     """ocr_tokens(table of a reader, as tab-separated text with a heading): its words that have a confidence and aren't blank."""
 

@@ -67,3 +67,8 @@ def test_evidence_of_a_document_is_made_in_its_row(spark, name):
     found = plan_of(queries.queries()[name](spark, SF))
     assert "Join" not in found and "Aggregate" not in found and found.count("Scan parquet") == 1
     assert found.count("Exchange") == 1  # orders, dealt before their rows are made
+
+
+def test_ocr_tokens_leave_in_arrow_batches_of_many_tasks(spark):
+    found = queries.queries()["udtf_ocr_tokens"](spark, SF)
+    assert "ArrowEvalPythonUDTF" in plan_of(found) and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
