@@ -135,6 +135,46 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
+#: Words of up to this many bytes are hashed by table; the few longer ones by xxh3.
+TABLED = 64
+_table = mix(np.arange(1, TABLED * 256 + 1, dtype=np.uint64) * np.uint64(_BASE))
+_blank = np.zeros(256, dtype=bool)
+_blank[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(texts: list[bytes], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, one text's after the other's, and how many each text has.
+
+    A word's hash is the exclusive or of a table's entries for each of its bytes and places (tabulation hashing), made for
+    about `most` bytes at a time, so no word becomes a Python object."""
+    raw = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    inside = ~_blank[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([1, *(len(text) + 1 for text in texts)])
+    counts = np.diff(np.searchsorted(starts, begins))
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), counts
+    taken = np.minimum(lengths, TABLED)
+    ends = np.cumsum(taken)
+    found = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.unique(np.searchsorted(ends, np.arange(most, ends[-1] + most, most), side="left").clip(max=len(starts) - 1) + 1)
+    for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+        own = taken[a:b]
+        first = ends[a:b] - own - (ends[a] - taken[a])
+        n = np.arange(int(first[-1] + own[-1]))
+        place = n - np.repeat(first, own)
+        byte = raw[n + np.repeat(starts[a:b] - first, own)]
+        found[a:b] = np.bitwise_xor.reduceat(_table[(place << 8) | byte], first)
+    long = np.flatnonzero(lengths > TABLED)
+    if len(long):
+        import xxhash
+
+        for i in long.tolist():
+            found[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + lengths[i]].tobytes())
+    return found, counts
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base, and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:

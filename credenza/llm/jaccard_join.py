@@ -16,7 +16,7 @@ no other pair is left out: the components are exact. Gatherings of more than CHU
 chunks (each with the first node), and nodes outside the first node's component are then compared with
 every chunk.
 
-Nodes are 64-bit hashes (xxh3) of shingle sets; two different sets with equal hashes would be taken for equal.
+Nodes are 64-bit hashes (xxh3) of sets of shingle hashes; two different sets with equal hashes would be taken for equal.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component;
 fewer than k words are one shingle; repeated rows and ids and null ids are rows of their own (component_id
@@ -34,22 +34,39 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credenza.llm.common import WordIds, drop_saved, partitions, release, save, slices, texts_of, window_hashes
+from credenza.llm.common import drop_saved, partitions, release, save, slices, texts_of, window_hashes, word_hashes
 from credenza.llm.graph import components
 from credenza.llm.postings import packed, unpacked
 
 GROUPS, LEAF, FANOUT, CHUNK = 512, 32, 8, 1024
+#: Points sent down a tree together.
+ASKED = 256
 #: Shingles in this many documents of a slice are reported as frequent; the most frequent are put last in the order.
 FREQUENT, MOST_FREQUENT = 8, 100_000
 
 
-def shingles(text: bytes, ids: WordIds, k: int) -> np.ndarray:
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text's after the other's, and how many each text has."""
+    words, counts = word_hashes(texts)
+    ends, n = np.cumsum(counts), np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    # Runs of k over the whole slice; those that reach into the next text are left out.
+    runs, sets = window_hashes(words, k), np.empty(int(n.sum()), dtype=np.uint64)
+    firsts = np.cumsum(n) - n
+    for a, b, x, m in zip((ends - counts).tolist(), ends.tolist(), firsts.tolist(), n.tolist(), strict=True):
+        if b - a >= k:
+            sets[x : x + m] = runs[a : a + m]
+            sets[x : x + m].sort()
+        elif m:
+            sets[x] = window_hashes(words[a:b], b - a)[0]
+    new = np.r_[True, sets[1:] != sets[:-1]][: len(sets)]
+    new[firsts[n > 0]] = True
+    left = np.r_[0, np.cumsum(new)]
+    return sets[new], left[firsts + n] - left[firsts]
+
+
+def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the text."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    array = ids.array(words)
-    return np.unique(window_hashes(array, min(k, len(array))))
+    return shingle_sets([text], k)[0]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -65,7 +82,7 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
 
 def point_of(found: np.ndarray) -> bytes:
     """Shingles per group, in the narrowest unsigned integers that hold them."""
-    n = np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    n = np.bincount((found % np.uint64(GROUPS)).view(np.int64), minlength=GROUPS)
     return n.astype("<u1" if n.max() < 256 else "<u2" if n.max() < 65536 else "<u4").tobytes()
 
 
@@ -73,18 +90,15 @@ def read_sets(k: int):
     """(id, tkey, text) to one row per document (node, size, counts) and rows of frequent shingles of the slice."""
 
     def run(batches):
-        ids = WordIds()
         for batch in batches:
             for part in slices(batch, most=8 << 20):
-                nodes, sizes, counts, every = [], [], [], []
-                for text in texts_of(part):
-                    found = shingles(text, ids, k)
-                    nodes.append(node_of(found) if len(found) else None)
-                    sizes.append(len(found))
-                    counts.append(point_of(found) if len(found) else None)
-                    every.append(found)
+                every, own_sizes = shingle_sets(texts_of(part), k)
+                sizes, at = own_sizes.tolist(), np.r_[0, np.cumsum(own_sizes)].tolist()
+                sets = [every[a:b] for a, b in zip(at, at[1:], strict=False)]
+                nodes = [node_of(found) if len(found) else None for found in sets]
+                counts = [point_of(found) if len(found) else None for found in sets]
                 n = len(nodes)
-                names, times = np.unique(np.concatenate(every), return_counts=True)
+                names, times = np.unique(every, return_counts=True)
                 names, times = names[times >= FREQUENT].view(np.int64), times[times >= FREQUENT]
                 m = len(names)
                 own = pa.array([*range(n), *[None] * m], pa.int64())
@@ -107,20 +121,28 @@ def prefix_postings(k: int, percent: int, frequent: np.ndarray, buckets: int):
     """Texts to (bucket, blob of prefix shingles and their nodes); a node is posted once per task as a rule."""
 
     def run(batches):
-        ids, seen = WordIds(), set()
+        seen = set()
+        # The leading bits of the frequent shingles, so that few others are searched for in their table.
+        marked = np.zeros(1 << 22, dtype=bool)
+        marked[frequent >> np.uint64(42)] = True
         for batch in batches:
             for part in slices(batch, most=8 << 20):
+                every, sizes = shingle_sets(texts_of(part), k)
+                latest = marked[every >> np.uint64(42)]
+                maybe = np.flatnonzero(latest)
+                latest[maybe] = among(every[maybe], frequent)
+                at = np.r_[0, np.cumsum(sizes)].tolist()
                 nodes, prefixes = [], []
-                for text in texts_of(part):
-                    found = shingles(text, ids, k)
-                    if not len(found):
+                for x, y in zip(at, at[1:], strict=False):
+                    if x == y:
                         continue
+                    found, late = every[x:y], latest[x:y]
                     node = node_of(found)
                     if node in seen:
                         continue
                     seen.add(node)
-                    late = among(found, frequent)
-                    found = np.concatenate([found[~late], found[late]])
+                    if late.any():
+                        found = np.concatenate([found[~late], found[late]])
                     nodes.append(node)
                     prefixes.append(found[: len(found) - (-(-percent * len(found) // 100)) + 1])
                 if len(seen) > 1_000_000:
@@ -201,21 +223,48 @@ class RTree:
             boxes, least = np.maximum.reduceat(boxes, cuts, axis=0), np.minimum.reduceat(least, cuts)
             self.levels.append((boxes, least))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the points that may link with this one, and their overlap bounds."""
-        found = np.arange(len(self.levels[-1][0]))
+    def search_all(self, points: np.ndarray, sizes: np.ndarray, percent: int, apart=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sends all points down the tree together: of each pair that may link the asked point's number (ascending), the
+        found one's, and their overlap bound. apart(asked, found): which pairs of numbers to look at (default: all)."""
+        top = len(self.levels[-1][0])
+        asked, found = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for depth in range(len(self.levels) - 1, -1, -1):
             boxes, least = self.levels[depth]
-            found = found[np.minimum(boxes[found], point).sum(axis=1) >= needed(least[found], size, percent)]
+            good = overlaps(points, asked, boxes, found) >= needed(least[found], sizes[asked], percent)
+            asked, found = asked[good], found[good]
             if depth:
-                found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                found = found[found < len(self.levels[depth - 1][0])]
-        if not len(found):
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        at = np.concatenate([np.arange(self.starts[p], self.ends[p]) for p in found])
-        bounds = np.minimum(self.points[at], point).sum(axis=1)
-        good = bounds >= needed(self.sizes[at], size, percent)
-        return self.order[at[good]], bounds[good]
+                asked, found = np.repeat(asked, FANOUT), (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                good = found < len(self.levels[depth - 1][0])
+                asked, found = asked[good], found[good]
+        held = self.ends[found] - self.starts[found]
+        asked, at = np.repeat(asked, held), np.arange(held.sum()) + np.repeat(self.starts[found] - np.cumsum(held) + held, held)
+        need = needed(self.sizes[at], sizes[asked], percent)
+        # An overlap is at most the smaller size.
+        good = np.minimum(self.sizes[at], sizes[asked]) >= need
+        if apart is not None:
+            good &= apart(asked, self.order[at])
+        asked, at, need = asked[good], at[good], need[good]
+        bounds = overlaps(points, asked, self.points, at)
+        good = bounds >= need
+        return asked[good], self.order[at[good]], bounds[good]
+
+    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the points that may link with this one, and their overlap bounds."""
+        return self.search_all(point[None], np.array([size]), percent)[1:]
+
+
+def overlaps(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: int = 1024) -> np.ndarray:
+    """Summed coordinate minima of a[i] and b[j], pair by pair."""
+    found = np.empty(len(i), dtype=np.int64)
+    for x in range(0, len(i), most):
+        found[x : x + most] = np.minimum(a[i[x : x + most]], b[j[x : x + most]]).sum(axis=1, dtype=np.uint32)
+    return found
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """Points of point_of(), in the widest of their integers."""
+    width = max(map(len, raw)) // GROUPS
+    return np.frombuffer(b"".join(r if len(r) == width * GROUPS else np.frombuffer(r, f"<u{len(r) // GROUPS}").astype(f"<u{width}").tobytes() for r in raw), f"<u{width}").reshape(-1, GROUPS)
 
 
 def compare(percent: int, forest: bool):
@@ -231,38 +280,51 @@ def compare(percent: int, forest: bool):
         raw = table.column("counts").to_pylist()
         pairs: set[tuple[int, int]] = set()
         alone: set[int] = set()
-        starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else []
-        for a, b in zip(starts, np.r_[starts[1:], len(name)], strict=True) if len(name) else []:
-            if (comp[a:b] == comp[a]).all():
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def settle():
+            """Pairs of the hits so far: rows of the table that were asked, rows found and overlap bounds."""
+            asked, hits, bounds = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            if not forest:
+                pairs.update(zip(np.minimum(node[asked], node[hits]).tolist(), np.maximum(node[asked], node[hits]).tolist(), strict=True))
+                return
+            before = node[hits] < node[asked]
+            alone.update(node[np.setdiff1d(asked, asked[before])].tolist())
+            asked, hits, bounds = asked[before], hits[before], bounds[before]
+            order = np.lexsort((-(bounds / (size[asked] + size[hits] - bounds)), asked))
+            best = order[np.flatnonzero(np.diff(asked[order], prepend=-1))]
+            pairs.update(zip(node[hits[best]].tolist(), node[asked[best]].tolist(), strict=True))
+
+        starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.empty(0, dtype=np.int64)
+        # Gatherings whose nodes are all in one component have nothing left to compare.
+        open_ = np.bitwise_or.reduceat(comp != np.repeat(comp[starts], np.diff(np.r_[starts, len(name)])), starts) if len(starts) else []
+        for a, b, compared in zip(starts.tolist(), [*starts[1:].tolist(), len(name)], open_, strict=False):
+            if not compared:
                 continue
-            points = np.array([np.frombuffer(r, f"<u{len(r) // GROUPS}") for r in raw[a:b]], dtype=np.int32)
-            sizes, nodes, comps, sides = size[a:b], node[a:b], comp[a:b], side[a:b]
-            tree = RTree(points[sides == 0], sizes[sides == 0])
-            nodes0, comps0 = nodes[sides == 0], comps[sides == 0]
-            asked = np.flatnonzero(sides == 1) if (sides == 1).any() else np.arange(len(nodes))
-            for i in asked:
-                hits, bounds = tree.search(points[i], int(sizes[i]), percent)
-                good = comps0[hits] != comps[i]
-                hits, bounds = hits[good], bounds[good]
-                if not forest:
-                    pairs.update((min(int(nodes[i]), int(x)), max(int(nodes[i]), int(x))) for x in nodes0[hits])
-                elif len(hits):
-                    before = nodes0[hits] < nodes[i]
-                    if before.any():
-                        share = bounds[before] / (sizes[i] + tree_sizes(sizes, sides)[hits[before]] - bounds[before])
-                        pairs.add((int(nodes0[hits[before]][np.argmax(share)]), int(nodes[i])))
-                    else:
-                        alone.add(int(nodes[i]))
+            points, rows = points_of(raw[a:b]), np.arange(a, b)
+            inner = rows[side[a:b] == 0]
+            tree = RTree(points[inner - a], size[inner])
+            every = rows[side[a:b] != 0] if len(inner) < len(rows) else rows
+            for i in range(0, len(every), ASKED):
+                own = every[i : i + ASKED]
+                asked, hits, bounds = tree.search_all(points[own - a], size[own], percent, lambda i, x, own=own, inner=inner: comp[own[i]] != comp[inner[x]])
+                if len(asked):
+                    waiting.append((own[asked], inner[hits], bounds))
+                    held += len(asked)
+            # All hits of a node in a gathering are settled together.
+            if held > 1 << 19:
+                settle()
+                held = 0
+        if waiting:
+            settle()
         rows = [*pairs, *((x, None) for x in alone)]
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
     return run
 
 
-def tree_sizes(sizes: np.ndarray, sides: np.ndarray) -> np.ndarray:
-    return sizes[sides == 0]
-
-
 def similar(a: np.ndarray | set, b: np.ndarray | set, percent: int) -> bool:
     both = len(a & b) if isinstance(a, set) else len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -273,7 +335,7 @@ def verify(k: int, percent: int):
     leave few pairs, whose shingles are compared themselves."""
 
     def run(batches):
-        ids, unpack = WordIds(), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
         hashed, whole = OrderedDict(), OrderedDict()
 
         def of(node: int, text: bytes, kept: OrderedDict, make):
@@ -292,7 +354,7 @@ def verify(k: int, percent: int):
         for batch in batches:
             keep = []
             for i, (x, y, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)):
-                if similar(of(x, s, hashed, lambda v: shingles(v, ids, k)), of(y, t, hashed, lambda v: shingles(v, ids, k)), percent) and similar(of(x, s, whole, words), of(y, t, whole, words), percent):
+                if similar(of(x, s, hashed, lambda v: shingles(v, k)), of(y, t, hashed, lambda v: shingles(v, k)), percent) and similar(of(x, s, whole, words), of(y, t, whole, words), percent):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
 
