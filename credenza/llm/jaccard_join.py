@@ -41,6 +41,8 @@ from credenza.llm.postings import packed, unpacked
 GROUPS, LEAF, FANOUT, CHUNK = 512, 32, 8, 1024
 #: Points sent down a tree together.
 ASKED = 256
+#: Postings, and nodes of gatherings, that a group of gather() and of compare() holds, about, however large the input is.
+POSTINGS, NODES = 1 << 20, 1 << 14
 #: Shingles in this many documents of a slice are reported as frequent; the most frequent are put last in the order.
 FREQUENT, MOST_FREQUENT = 8, 100_000
 
@@ -110,6 +112,11 @@ def read_sets(k: int):
     return run
 
 
+def groups(spark, rows: int, most: int) -> int:
+    """Groups for so many rows: as many as partitions, or more, so that none holds much more than `most`."""
+    return max(partitions(spark), -(-rows // most))
+
+
 def among(found: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether each is in a sorted table."""
     if not len(table):
@@ -167,9 +174,9 @@ def gather(most: int):
     def run(table: pa.Table) -> pa.Table:
         import xxhash
 
-        parts = [unpacked(b) for b in table.column("blob").to_pylist()]
-        shingle = np.concatenate([p[0] for p in parts])
-        node = np.concatenate([p[1][p[2]] for p in parts])
+        parts = [(own[0], own[1][own[2]]) for own in (unpacked(b.as_py()) for b in table.column("blob"))]
+        shingle, node = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
         order = np.lexsort((node, shingle))
         shingle, node = shingle[order], node[order]
         new = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
@@ -277,7 +284,7 @@ def compare(percent: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("gathering", "ascending"), ("side", "ascending"), ("node", "ascending")])
         name, side, node, size, comp = (table.column(c).to_numpy() for c in ("gathering", "side", "node", "size", "comp"))
-        raw = table.column("counts").to_pylist()
+        counts = table.column("counts")
         pairs: set[tuple[int, int]] = set()
         alone: set[int] = set()
         waiting: list[tuple[np.ndarray, ...]] = []
@@ -303,7 +310,7 @@ def compare(percent: int, forest: bool):
         for a, b, compared in zip(starts.tolist(), [*starts[1:].tolist(), len(name)], open_, strict=False):
             if not compared:
                 continue
-            points, rows = points_of(raw[a:b]), np.arange(a, b)
+            points, rows = points_of(counts[a:b].to_pylist()), np.arange(a, b)
             inner = rows[side[a:b] == 0]
             tree = RTree(points[inner - a], size[inner])
             every = rows[side[a:b] != 0] if len(inner) < len(rows) else rows
@@ -371,7 +378,7 @@ def compressed(batches):
 
 def _candidates(tasks: DataFrame, nodes: DataFrame, comps: DataFrame | None, percent: int, forest: bool) -> DataFrame:
     """tasks: gathering, side, node. Distinct candidate pairs a < b (and b null, see compare())."""
-    buckets = partitions(tasks.sparkSession)
+    buckets = groups(tasks.sparkSession, tasks.count(), NODES)
     known = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else nodes.withColumn("comp", F.col("node"))
     rows = tasks.join(known, "node").select("gathering", "side", "node", "size", "counts", "comp")
     return rows.groupBy(F.pmod("gathering", F.lit(buckets)).alias("bucket")).applyInArrow(compare(percent, forest), "a bigint, b bigint").dropDuplicates()
@@ -398,7 +405,6 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     """Rows (id, tkey, node, n_shingles), node null for an empty set; and nodes (node, o, comp): o is the first of the
     node's rows (no_id, id, tkey), by id, null ids last; comp names its component."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     narrow = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     read = save(narrow.mapInArrow(read_sets(k), f"id {kind}, tkey bigint, frequent boolean, node bigint, n_shingles bigint, counts binary, shingle bigint, times bigint"), "sets")
@@ -407,6 +413,9 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     rows = read.filter("NOT frequent")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("tkey"))).alias("o")
     nodes = save(rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("counts").alias("counts"), first), "nodes")
+    n = F.col("n_shingles")
+    prefixes = rows.filter("node IS NOT NULL").agg(F.sum(n - F.ceil(percent * n / 100) + 1)).first()[0] or 0
+    buckets = groups(spark, int(prefixes), POSTINGS)
     postings = narrow.select("text").mapInArrow(prefix_postings(k, percent, frequent, buckets), "bucket int, blob binary")
     gathered = postings.groupBy("bucket").applyInArrow(gather(chunk), "gathering bigint, chunk int, chunks int, members array<bigint>")
     gathered = save(gathered.groupBy("gathering", "chunk").agg(F.first("chunks").alias("chunks"), F.first("members").alias("members")), "gathered")
